@@ -1,9 +1,11 @@
 """The queries of this subpackage and the SQL for those that SQL can express."""
 
-from . import near_dup
+from . import decontaminate, mixing, near_dup
 
 QUERIES = {
     "op2_near_dup": near_dup.op2_near_dup,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op10_mix_sources": mixing.op10_mix_sources,
 }
 
-ORACLES = {**near_dup.ORACLE}
+ORACLES = {**near_dup.ORACLE, **decontaminate.ORACLE, **mixing.ORACLE}
