@@ -185,15 +185,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
         if step < rounds:
             order = F.struct((F.col("class_id") if not step else F.xxhash64("class_id", F.lit(step))).alias("turn"), "class_id", "comp")
             other = member.groupBy("band").agg(F.min(order).alias("m")).select("band", F.col("m.class_id").alias("b"), F.col("m.comp").alias("comp_b"))
+            pairs = member.join(other, "band").filter("comp <> comp_b")
         else:
-            other = member.select("band", F.col("class_id").alias("b"), F.col("comp").alias("comp_b"))
-        pairs = member.join(other, "band").filter("comp <> comp_b" + (" and class_id < b" if step == rounds else ""))
+            # each pair once, in the first band that it shares, and only if the sizes allow a link
+            member = member.join(classes.select("class_id", "bands", "n_shingles"), "class_id")
+            other = member.select("band", *[F.col(c).alias(new) for c, new in (("class_id", "b"), ("comp", "comp_b"), ("bands", "bands_b"), ("n_shingles", "n_b"))])
+            first = "element_at(bands, cast(array_position(zip_with(bands, bands_b, (x, y) -> x = y), true) as int)) = band"
+            sizes = f"100 * least(n_shingles, n_b) >= {percent} * greatest(n_shingles, n_b)"
+            pairs = member.join(other, "band").filter(f"comp <> comp_b and class_id < b and {sizes} and {first}")
         pairs = pairs.select(F.greatest("class_id", "b").alias("a"), F.least("class_id", "b").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         if pairs.isEmpty():
-            break
+            continue
         found = written(confirmed(pairs, text, k, percent), "links")
         tried = pairs if tried is None else tried.union(pairs)
         links = found if links is None else links.union(found)
