@@ -1,8 +1,9 @@
 """The queries of this subpackage and the SQL for those that SQL can express."""
 
-from . import decontaminate, mixing, near_dup
+from . import decontaminate, media, mixing, near_dup
 
 QUERIES = {
+    "op1_media": media.op1_media,
     "op2_near_dup": near_dup.op2_near_dup,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op10_mix_sources": mixing.op10_mix_sources,
