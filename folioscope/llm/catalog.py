@@ -1,11 +1,12 @@
 """The queries of this subpackage and the SQL for those that SQL can express."""
 
-from . import decontaminate, media, mixing, near_dup, token_files
+from . import decontaminate, language, media, mixing, near_dup, token_files
 
 QUERIES = {
     "op1_media": media.op1_media,
     "op2_near_dup": near_dup.op2_near_dup,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_language": language.op6_language,
     "op9_token_files": token_files.op9_token_files,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
