@@ -9,7 +9,7 @@ Steps: (1) documents with equal shingle sets become one class; (2) per band buck
 members are compared with one representative, never with each other; (3) links make
 components; (4) buckets that still hold several components get another
 representative, and then (5) whatever pairs across components are left in a bucket are
-compared outright.  Pairs inside a component need no comparison, so a bucket of n near
+compared outright, unless sizes or parity bitmaps of the sets rule a link out.  Pairs inside a component need no comparison, so a bucket of n near
 copies costs about n comparisons, and no cap applies.
 
 Missed links: two sets with similarity s share no band with probability
@@ -32,6 +32,9 @@ from .common import mix64, row_chunks, text_bytes, word_hashes, written
 
 PERMUTATIONS, BAND_ROWS = 48, 4
 BANDS = 2 * PERMUTATIONS // BAND_ROWS
+#: Bits of the parity bitmap.  Two bitmaps differ in at most as many bits as their sets
+#: differ in elements, so a larger distance rules a link out, exactly.
+PARITY_BITS = 1024
 _MULTIPLY = np.random.default_rng(7).integers(1, 2**62, PERMUTATIONS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(8).integers(1, 2**62, PERMUTATIONS, dtype=np.int64).astype(np.uint64)
 
@@ -90,17 +93,25 @@ def signatures(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return bands, one, two
 
 
+def parities(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Bitmaps (rows x PARITY_BITS / 64 words): which cells hold an odd number of the set's hashes."""
+    rows = len(at) - 1
+    cell = np.repeat(np.arange(rows), np.diff(at)) * PARITY_BITS + (h & np.uint64(PARITY_BITS - 1)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=rows * PARITY_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(rows, PARITY_BITS), axis=1).view(np.int64)
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, key_1, key_2 and bands of each document."""
+    """doc_id, n_shingles, key_1, key_2, bands and parity of each document."""
 
     def run(batches):
         for batch in batches:
             buf, off = text_bytes(batch.column(1))
-            for i, j in row_chunks(off):
+            for i, j in row_chunks(off, 2 << 20):
                 h, at = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k)
                 size = np.diff(at)
                 has = np.flatnonzero(size)
@@ -110,9 +121,11 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                     bands, one[has], two[has] = signatures(h, np.append(at[has], len(h)))
                     flat, lengths[has] = bands.ravel(), BANDS
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), _signed(flat))
-                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(size), _signed(one), _signed(two), lists], ["doc_id", "n_shingles", "key_1", "key_2", "bands"])
+                words = PARITY_BITS // 64
+                parity = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * words, pa.int32()), pa.array(parities(h, at).ravel()))
+                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(size), _signed(one), _signed(two), lists, parity], ["doc_id", "n_shingles", "key_1", "key_2", "bands", "parity"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key_1 long, key_2 long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key_1 long, key_2 long, bands array<long>, parity array<long>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -170,7 +183,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
     sketches = written(sketch(docs, k), "sketch")
     key = ["key_1", "key_2", "n_shingles"]
     real = sketches.filter("n_shingles > 0 and doc_id is not null")
-    classes = written(real.groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.min_by("bands", "doc_id").alias("bands")), "classes")
+    classes = written(real.groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.min_by(F.struct("bands", "parity"), "doc_id").alias("s")).select(*key, "class_id", "s.bands", "s.parity"), "classes")
     bucket = classes.select("class_id", F.explode("bands").alias("band"))
     shared = bucket.groupBy("band").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).filter("low <> high")
     bucket = written(bucket.join(shared.select("band"), "band"), "buckets")
@@ -187,12 +200,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
             other = member.groupBy("band").agg(F.min(order).alias("m")).select("band", F.col("m.class_id").alias("b"), F.col("m.comp").alias("comp_b"))
             pairs = member.join(other, "band").filter("comp <> comp_b")
         else:
-            # each pair once, in the first band that it shares, and only if the sizes allow a link
-            member = member.join(classes.select("class_id", "bands", "n_shingles"), "class_id")
-            other = member.select("band", *[F.col(c).alias(new) for c, new in (("class_id", "b"), ("comp", "comp_b"), ("bands", "bands_b"), ("n_shingles", "n_b"))])
+            # each pair once, in the first band that it shares, and only if sizes and parities allow a link
+            member = member.join(classes.select("class_id", "bands", "n_shingles", "parity"), "class_id")
+            other = member.select("band", *[F.col(c).alias(new) for c, new in (("class_id", "b"), ("comp", "comp_b"), ("bands", "bands_b"), ("n_shingles", "n_b"), ("parity", "parity_b"))])
             first = "element_at(bands, cast(array_position(zip_with(bands, bands_b, (x, y) -> x = y), true) as int)) = band"
             sizes = f"100 * least(n_shingles, n_b) >= {percent} * greatest(n_shingles, n_b)"
-            pairs = member.join(other, "band").filter(f"comp <> comp_b and class_id < b and {sizes} and {first}")
+            # similarity s: the sets differ in (|a| + |b|) (1 - s) / (1 + s) elements at most
+            distance = "aggregate(zip_with(parity, parity_b, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)"
+            near = f"{100 + percent} * {distance} <= {100 - percent} * (n_shingles + n_b)"
+            pairs = member.join(other, "band").filter(f"comp <> comp_b and class_id < b and {sizes} and {near} and {first}")
         pairs = pairs.select(F.greatest("class_id", "b").alias("a"), F.least("class_id", "b").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -203,7 +219,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
         tried = pairs if tried is None else tried.union(pairs)
         links = found if links is None else links.union(found)
         label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    rows = sketches.drop("bands").join(classes.drop("bands"), key, "left")
+    rows = sketches.drop("bands", "parity").join(classes.drop("bands", "parity"), key, "left")
     if label is None:
         label = classes.limit(0).select(F.col("class_id").alias("u"), F.col("class_id").alias("v"))
     rows = rows.join(label.select(F.col("u").alias("class_id"), F.col("v").alias("found")), "class_id", "left")
