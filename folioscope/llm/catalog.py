@@ -1,10 +1,11 @@
 """The queries of this subpackage and the SQL for those that SQL can express."""
 
-from . import context_tree, decontaminate, language, media, mixing, near_dup, repeats, token_files
+from . import context_tree, decontaminate, language, main_text, media, mixing, near_dup, repeats, token_files
 
 QUERIES = {
     "op1_media": media.op1_media,
     "op2_near_dup": near_dup.op2_near_dup,
+    "op3_main_text": main_text.op3_main_text,
     "op4_context_tree": context_tree.op4_context_tree,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_language": language.op6_language,
