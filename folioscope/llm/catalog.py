@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL for those that SQL can express."""
 
-from . import context_tree, decontaminate, language, main_text, media, mixing, near_dup, repeats, token_files
+from . import context_tree, decontaminate, language, licenses, main_text, media, mixing, near_dup, repeats, token_files
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_language": language.op6_language,
     "op7_repeats": repeats.op7_repeats,
+    "op8_licenses": licenses.op8_licenses,
     "op9_token_files": token_files.op9_token_files,
     "op10_mix_sources": mixing.op10_mix_sources,
 }

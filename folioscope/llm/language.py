@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import LOWER, row_chunks, table, text_bytes, written
 
@@ -126,18 +127,19 @@ def fit(docs: DataFrame, training) -> Model:
     return Model([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
-_columns: dict[int, np.ndarray] = {}
-
-
-def predicted(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of ``docs`` that scoring needs and lang_pred and score: doc_id, has_letter, lang_pred, score."""
+def predicted(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The named columns of ``docs`` with has_letter, lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    letter = F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("has_letter")
+    given = docs.select(*columns, F.col("text").alias("_text"), letter)
+    passed = len(columns)
+    names = [*columns, "has_letter", "lang_pred", "score"]
 
     def run(batches):
         model, column = shared.value, None
         for batch in batches:
-            buf, off = text_bytes(batch.column(1))
-            letter = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            buf, off = text_bytes(batch.column(passed))
+            letter = batch.column(passed + 1).to_numpy(zero_copy_only=False).astype(bool)
             best, score = np.zeros(len(letter), np.int64), np.zeros(len(letter))
             if model.names:
                 if column is None:
@@ -148,12 +150,12 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
                         s = model.scores(buf[off[k] : off[m]], off[k : m + 1] - off[k], column)
                         best[k:m], score[k:m] = s.argmax(axis=1), s.max(axis=1)
             letter &= bool(model.names)
-            names = np.array([*model.names, "und"], object)
-            lang = names[np.where(letter, best, len(names) - 1)]
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(lang, pa.string()), pa.array(np.where(letter, np.clip(score, 0, 1), 0.0))], ["doc_id", "has_letter", "lang_pred", "score"])
+            lang = np.array([*model.names, "und"], object)[np.where(letter, best, len(model.names))]
+            new = [batch.column(passed + 1), pa.array(lang, pa.string()), pa.array(np.where(letter, np.clip(score, 0, 1), 0.0))]
+            yield pa.record_batch([*batch.columns[:passed], *new], names)
 
-    letter = F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("has_letter")
-    return docs.select("doc_id", "text", letter).mapInArrow(run, "doc_id long, has_letter boolean, lang_pred string, score double")
+    schema = StructType([*given.schema.fields[:passed], given.schema["has_letter"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return given.mapInArrow(run, schema)
 
 
 def held_out(divisor: int, remainder: int):
