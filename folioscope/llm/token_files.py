@@ -23,25 +23,26 @@ block raises ``ValueError``.
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import row_chunks, shared_dir, table, text_bytes
 
-BLOCK_IDS = 1 << 20
-LANES, LANE_IDS = 4096, 64  # at most so many lanes, of at least so many ids
-PIECES_KEPT = 300_000
+BLOCK_IDS = 1 << 21
+LANES, LANE_IDS = 8192, 64  # at most so many lanes, of at least so many ids
+PIECES_KEPT = 600_000
 MAGIC = b"IDMX1\n"
 
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s |\s\s")
+_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: A space beside other white space, where the pieces would depend on each other.
+_ODD = f" {_WHITE}|{_WHITE} "
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -71,40 +72,60 @@ def _loaded(path: str) -> tuple:
     return _tokenizers[path]
 
 
-def encoded(texts: list[str], path: str) -> list[bytes]:
-    """The ids of each text as little-endian 16-bit integers, without an end id."""
-    tokenizer, length, first, after, older = _loaded(path)
-    if len(first) > PIECES_KEPT:
-        first.clear()
-    if len(after) > PIECES_KEPT:  # two generations: what is used again stays known
-        older.clear()
-        older.update(after)
-        after.clear()
-    cut = [(_CUT.split(t) if _ODD.search(t) else t.split(" ")) for t in texts]
-    new = list({p[0] for p in cut if p[0] not in first})
-    if new:
-        for piece, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            first[piece] = np.array(e.ids, "<u2").tobytes()
-    fresh: set[str] = set()
-    for p in cut:
-        fresh.update(p[1:])
-    fresh.difference_update(after)
-    if fresh:
-        known = fresh & older.keys()
-        after.update((w, older[w]) for w in known)
-        fresh -= known
-        # one after another they are a text whose pieces they are again
-        pieces = list(fresh)
-        for i in range(0, len(pieces), 2000):
-            some = pieces[i : i + 2000]
+def _known(pieces: list[str], first: bool, path: str) -> list[bytes]:
+    """The ids of distinct pieces, at a text's start or after a space."""
+    tokenizer, length, firsts, after, older = _loaded(path)
+    known = firsts if first else after
+    found = list(map(known.get, pieces))
+    new = [w for w, ids in zip(pieces, found, strict=True) if ids is None]
+    if not first and older and new:
+        again = [(w, older[w]) for w in new if w in older]
+        after.update(again)
+        new = [w for w in new if w not in after]
+    if new and first:
+        for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+            firsts[w] = np.array(e.ids, "<u2").tobytes()
+    elif new:
+        for i in range(0, len(new), 2000):  # one after another they are a text whose pieces they are again
+            some = new[i : i + 2000]
             ids = np.array(tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u2")
             ends = np.searchsorted(np.cumsum(length[ids]), np.cumsum([len(w.encode()) + 1 for w in some])) + 1
             raw, at = ids.tobytes(), 0
             for w, end in zip(some, (2 * ends).tolist(), strict=True):
                 after[w] = raw[at:end]
                 at = end
-    get = after.__getitem__
-    return [first[p[0]] + b"".join(map(get, p[1:])) for p in cut]
+    if new:
+        found = list(map(known.__getitem__, pieces))
+    if len(firsts) > PIECES_KEPT // 4:
+        firsts.clear()
+    if len(after) > PIECES_KEPT:  # two generations: what is used again stays known
+        older.clear()
+        older.update(after)
+        after.clear()
+    return found
+
+
+def encoded(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The 16-bit ids of all texts, without end ids, and the texts' offsets in them; null is empty."""
+    texts = pc.fill_null(texts, "")
+    if not len(texts):
+        return np.zeros(0, np.uint16), np.zeros(1, np.int64)
+    odd = pc.match_substring_regex(texts, _ODD)  # such a text is one piece
+    lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+    starts = lists.offsets.to_numpy().astype(np.int64)
+    values = lists.values.slice(starts[0], starts[-1] - starts[0]).dictionary_encode()
+    starts = starts - starts[0]
+    heads = pc.if_else(odd, texts, values.take(pa.array(starts[:-1])).cast(texts.type)).dictionary_encode()
+    found = _known(values.dictionary.to_pylist(), False, path)
+    piece = values.indices.to_numpy().astype(np.int64)
+    piece[starts[:-1]] = len(found) + heads.indices.to_numpy()
+    found += _known(heads.dictionary.to_pylist(), True, path)
+    size = np.fromiter(map(len, found), np.int64, len(found)) // 2
+    begin, ids = np.cumsum(size) - size, np.frombuffer(b"".join(found), "<u2")
+    n = size[piece]
+    ends = np.cumsum(n)
+    ids = ids[np.arange(ends[-1]) + np.repeat(begin[piece] - (ends - n), n)]
+    return ids, np.concatenate([[0], ends[starts[1:] - 1]])
 
 
 # --- the coder -----------------------------------------------------------------------
@@ -114,7 +135,7 @@ _LOW32, _32 = _U(0xFFFFFFFF), _U(32)
 ALPHABET = 1 << 16
 ORDER2_BITS = 20
 #: Together at most 2**31, so that a span of 2**32 or more is never split too finely.
-FREQ_LIMIT, WEIGHT_LIMIT = 1 << 20, 1 << 11
+FREQ_LIMIT, WEIGHT_LIMIT = 1 << 19, 1 << 11
 GAIN0, REFRESH, GAIN, AGE = 12, 16, 6, 4
 
 
@@ -134,6 +155,7 @@ def _coded(lanes: int, steps: int, ids: np.ndarray | None, words: np.ndarray | N
         cursor += 2
     freq = np.ones(size, np.int64)
     cum = np.arange(size + 1, dtype=np.uint32)
+    owner = cum[:-1].copy()  # the id to which each unit of frequency belongs
     # a prediction and its confidence: id << 8 | 0 to 15
     order1, order2 = np.zeros(ALPHABET, np.uint32), np.zeros(1 << ORDER2_BITS, np.uint32)
     weight = np.ones((3, 512), np.int64)
@@ -147,6 +169,8 @@ def _coded(lanes: int, steps: int, ids: np.ndarray | None, words: np.ndarray | N
             while freq.sum() > FREQ_LIMIT:
                 freq = (freq + 1) >> 1
             np.cumsum(freq, out=cum[1:], dtype=np.uint32)
+            if not writing:
+                owner = np.repeat(np.arange(size, dtype=np.uint32), freq)
         if j % AGE == 0 and j:
             weight += GAIN * seen.reshape(3, 512)
             seen[:] = 0
@@ -174,9 +198,9 @@ def _coded(lanes: int, steps: int, ids: np.ndarray | None, words: np.ndarray | N
             two = value < end0
             one = (value < end1) & ~two
             none = ~(two | one)
-            symbol = np.searchsorted(cum, np.minimum((np.maximum(value, end1) - end1) // w2, whole - _U(1)).astype(np.uint32)[none], "right").astype(np.uint32) - np.uint32(1)
             now = np.where(two, g2, g1)
-            now[none] = symbol
+            at = np.flatnonzero(none)
+            now[at] = owner[np.minimum((value[at] - end1[at]) // w2[at], whole - _U(1)).astype(np.int64)]
             ids[j] = now
             begin = cum[now]
             start, wide = end1 + w2 * begin, w2 * (cum[now + np.uint32(1)] - begin)
@@ -197,7 +221,7 @@ def _coded(lanes: int, steps: int, ids: np.ndarray | None, words: np.ndarray | N
                 code[at] = (code[at] << _32) | words[cursor[at]]
             cursor[at] += 1
             low[at], span[at] = lo << _32, sp << _32
-        seen += np.bincount(mix + np.where(two, np.uint32(0), np.where(one, np.uint32(512), np.uint32(1024))), minlength=1536)
+        seen += np.bincount(mix + one * np.uint32(512) + none * np.uint32(1024), minlength=1536)
         new = (now << np.uint32(8)) | np.uint32(1)
         for order, p, g, s, at in ((order1, p1, g1, s1, last), (order2, p2, g2, s2, key)):
             # right: surer by one; wrong: half as sure, and replaced once unsure
@@ -269,13 +293,13 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
             return out
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                some = batch.slice(i, 500)
-                texts = [t or "" for t in some.column(1).to_pylist()]
-                for doc_id, ids in zip(some.column(0).to_pylist(), encoded(texts, tokenizer), strict=True):
+            for i, j in row_chunks(text_bytes(batch.column(1))[1], 8 << 20):
+                ids, at = encoded(batch.column(1).slice(i, j - i), tokenizer)
+                raw, at = ids.tobytes(), (2 * at).tolist()
+                for k, doc_id in enumerate(batch.column(0).slice(i, j - i).to_pylist()):
                     doc_ids.append(doc_id)
-                    parts.append(ids + end)
-                    size += len(ids) // 2 + 1
+                    parts.append(raw[at[k] : at[k + 1]] + end)
+                    size += len(parts[-1]) // 2
                     if size >= BLOCK_IDS:
                         yield block()
         if doc_ids:
