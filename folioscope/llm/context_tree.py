@@ -85,7 +85,7 @@ def counts(docs: DataFrame, apart) -> DataFrame:
         for batch in batches:
             buf, off = text_bytes(batch.column(0))
             learn = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for i, j in row_chunks(off, 8 << 20):
+            for i, j in row_chunks(off, 2 << 20):
                 words, word_row, grams, gram_row, _ = _terms(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 for kind, keys, row in ((WORD, words, word_row), (GRAM, grams, gram_row)):
                     key, total = np.unique(keys, return_counts=True)
@@ -94,7 +94,7 @@ def counts(docs: DataFrame, apart) -> DataFrame:
                     train[np.searchsorted(key, known)] = n
                     for part, new in zip(held[kind], (key, train, total), strict=True):
                         part.append(new)
-                    if sum(map(len, held[kind][0])) > 4_000_000:
+                    if sum(map(len, held[kind][0])) > 2_000_000:
                         yield from flush(kind)
         for kind in (WORD, GRAM):
             if held[kind][0]:
@@ -280,7 +280,7 @@ def scored(docs: DataFrame, apart, frequent: int = FREQUENT) -> DataFrame:
         tables = shared.value
         for batch in batches:
             buf, off = text_bytes(batch.column(1))
-            for i, j in row_chunks(off):
+            for i, j in row_chunks(off, 1 << 20):
                 words, word_row, grams, gram_row, mark = _terms(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 rows = j - i
                 sums, rest = {}, []
