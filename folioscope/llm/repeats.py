@@ -17,7 +17,8 @@ again.  Only buckets that can still split are refined:
    their pairs of buckets are sorted and counted.
 
 Covers to refine are marked in a bitmap of ``BITMAP_BITS`` bits, built by Spark; a false
-mark costs rows, never results.  A fingerprint is 64 bits.
+mark costs rows, never results.  A fingerprint is 64 bits; of a cover's, the last 8 bits
+give way to a window's place in its run, which is below LENGTH - Q + 1 <= 256.
 
 Defined cases: null text is empty; texts below LENGTH bytes keep everything; matches
 never cross rows; equal rows, even with one ``doc_id``, are each other's copies.  A null
@@ -73,7 +74,7 @@ def _rows(batch: pa.RecordBatch, length: int, q: int):
     buf, off = text_bytes(batch.column(batch.schema.get_field_index("text")))
     for i, j in row_chunks(off, _CHUNK):
         row, first, size, bucket, cover, prefix = runs(buf[off[i] : off[j]], off[i : j + 1] - off[i], length, q)
-        yield i, off[i:j] - off[i], row, first, size, bucket.view(np.int64), mix64(cover + bucket).view(np.int64), prefix
+        yield i, off[i:j] - off[i], row, first, size, bucket.view(np.int64), (mix64(cover + bucket) & ~np.uint64(0xFF)).view(np.int64), prefix
 
 
 def marks(keys: DataFrame) -> np.ndarray:
@@ -118,35 +119,35 @@ def repeated_runs(docs: DataFrame, length: int, q: int) -> DataFrame:
 
 def refined(docs: DataFrame, classes: DataFrame, length: int, q: int) -> DataFrame:
     """class and offsets: the windows that also start elsewhere, of classes marked for refinement."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(marks(classes.select(F.col("class").alias("key"))))
+    # one run of a class is enough: that of its smallest mark
+    key = F.col("class").bitwiseXOR(F.col("mark")).alias("key")
+    bitmap = docs.sparkSession.sparkContext.broadcast(marks(classes.select(key)))
 
     def run(batches):
-        done: set[int] = set()  # one run of a class is enough
         for batch in batches:
-            for *_, first, size, _, class_, prefix in _rows(batch, length, q):
-                at = np.flatnonzero(marked(bitmap.value, class_))
-                at = at[np.unique(class_[at], return_index=True)[1]]
-                at = np.array([a for a, c in zip(at.tolist(), class_[at].tolist(), strict=True) if c not in done], np.int64)
-                done.update(class_[at].tolist())
+            mark = batch.column(0).to_numpy()
+            for i, _, row, first, size, _, class_, prefix in _rows(batch, length, q):
+                at = np.flatnonzero(marked(bitmap.value, class_ ^ mark[row + i]))
                 n = size[at]
                 offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 start = np.repeat(first[at], n) + offset
                 here, later = span_hash(prefix, start, start + q), span_hash(prefix, start + (length - q), start + length)
-                yield pa.record_batch([pa.array(mix64(here ^ (later * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)), pa.array(np.repeat(class_[at], n)), pa.array(offset.astype(np.int32))], ["pair", "class", "offset"])
+                pair = mix64(here ^ (later * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
+                yield pa.record_batch([pa.array(pair), pa.array(np.repeat(class_[at], n) | offset)], ["pair", "window"])
 
-    pairs = docs.select("text").mapInArrow(run, "pair long, class long, offset int")
-    pairs = written(pairs, "pairs")
-    # one class may come from several tasks: its own windows are then no repeat of each other
-    several = pairs.groupBy("pair").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min("offset").alias("a"), F.max("offset").alias("z"))
-    several = several.filter("low <> high or a <> z").select("pair")
-    return pairs.join(several, "pair", "left_semi").groupBy("class").agg(F.array_sort(F.collect_set("offset")).alias("offsets"))
+    # dealt out once, then counted and selected where they are; equal rows may send the same window twice
+    pairs = docs.select("mark", "text").mapInArrow(run, "pair long, window long").repartition("pair")
+    several = pairs.groupBy("pair").agg(F.min("window").alias("low"), F.max("window").alias("high")).filter("low <> high").select("pair")
+    windows = pairs.join(several, "pair", "left_semi")
+    offset = F.col("window").bitwiseAND(F.lit(255)).cast("int")
+    return windows.groupBy((F.col("window") - offset).alias("class")).agg(F.array_sort(F.collect_set(offset)).alias("offsets"))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, texts: bool = True) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay, if ``texts``) and spans (start, end)."""
-    docs = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("mark"), "text")
     found = written(repeated_runs(docs, length, q), "runs")
-    classes = written(found.groupBy("bucket", "class").agg(F.count("*").alias("n"), F.min("size").alias("size")), "classes")
+    classes = written(found.groupBy("bucket", "class").agg(F.count("*").alias("n"), F.min("mark").alias("mark")), "classes")
     mixed = classes.groupBy("bucket").agg(F.count("*").alias("covers")).filter("covers > 1").select("bucket")
     part = refined(docs, classes.join(mixed, "bucket", "left_semi"), length, q)
     whole = classes.filter("n > 1").select("class", F.lit(True).alias("all"))
