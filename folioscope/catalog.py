@@ -1,10 +1,359 @@
-"""Registered queries over the driver's tables and their SQL counterparts."""
+"""Registered queries over the driver's tables and their SQL counterparts.
+
+All queries read whole tables.  Those whose results rest on ``difflib`` or on fuzzy
+clusters have no SQL; tests hold them against plain Python.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from folioscope.functions import similarity as S
+from folioscope.functions import text as T
+from folioscope.operators import classify, diffing, layout, matching, report, sections
+from folioscope.plans import compare, corpus
+from folioscope.storage import written
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def ENTRY(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- SQL building blocks (DuckDB) ------------------------------------------------------
+
+
+def _collapse(c: str) -> str:
+    return rf"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
+
+
+def _toc(c: str) -> str:
+    return (
+        rf"(CASE WHEN regexp_matches({c}, '^(.+?)\s*[.…·]{{3,}}\s*(\d{{1,4}})\s*$') THEN trim(regexp_extract({c}, '^(.+?)\s*[.…·]{{3,}}\s*(\d{{1,4}})\s*$', 1))"
+        rf" WHEN regexp_matches({c}, '^(.+?)\s+(\d{{1,4}})\s*$') AND len(string_split(regexp_extract({c}, '^(.+?)\s+(\d{{1,4}})\s*$', 1), ' ')) >= 4"
+        rf" AND regexp_matches({c}, '(?i)^([ivxlcdm]+\.\s+|(chapter|section|part|annex)([^\p{{L}}\p{{N}}_]|$))') THEN trim(regexp_extract({c}, '^(.+?)\s+(\d{{1,4}})\s*$', 1)) ELSE {c} END)"
+    )
+
+
+def _norm(c: str) -> str:
+    return _collapse(rf"regexp_replace(lower({_toc(c)}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')")
+
+
+_RAW = rf"""raw AS (SELECT doc_id, source, unnest(range(len(x))) AS line_no, unnest(x) AS raw FROM (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+body0 AS (SELECT doc_id, source, line_no, CASE WHEN line_no % 5 = (CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END) THEN 'Principle ' || (line_no // 5 + 1) || ': ' || left(t, 40)
+  WHEN (doc_id + line_no) % 17 = 0 THEN 'IV. ' || left(t, 30) WHEN (doc_id + line_no) % 13 = 0 THEN 'b. ' || left(t, 30) WHEN (doc_id + line_no) % 11 = 0 THEN '3. ' || left(t, 30)
+  WHEN (doc_id + line_no) % 19 = 0 THEN 'References' ELSE t END AS text FROM (SELECT *, {_collapse('raw')} AS t FROM raw)),
+body_a AS (SELECT doc_id, source, line_no, text || CASE WHEN (doc_id + line_no) % 7 = 0 THEN '{corpus.EDIT_A}' ELSE '' END AS text FROM body0),
+body_b AS (SELECT doc_id, source, line_no, CASE WHEN doc_id % 2 = 0 AND text LIKE 'IV. %' THEN 'V. ' || substr(text, 5) ELSE text END AS text
+  FROM (SELECT doc_id, source, line_no, text || CASE WHEN (doc_id + line_no) % 7 = 0 THEN '{corpus.EDIT_B}' ELSE '' END AS text FROM body0 WHERE (doc_id + line_no) % 23 <> 0))"""
+
+
+def _lines(v: str) -> str:
+    return (
+        f"pages_{v} AS (SELECT doc_id, line_no // 4 + 1 AS page, max(source) AS source FROM body_{v} GROUP BY 1, 2),\n"
+        f"lines_{v} AS (SELECT doc_id, (line_no // 4 + 1) * 10 + 1 + line_no % 4 AS line_no, line_no // 4 + 1 AS page, 100.0 + 40 * (line_no % 4) AS y0, 120.0 + 40 * (line_no % 4) AS y1, text FROM body_{v}\n"
+        f" UNION ALL SELECT doc_id, page * 10, page, 20.0, 40.0, page::VARCHAR FROM pages_{v} UNION ALL SELECT doc_id, page * 10 + 9, page, 760.0, 780.0, 'Corpus review ' || coalesce(source, '') || ' page ' || page FROM pages_{v})"
+    )
+
+
+def _sections(v: str) -> str:
+    t = "text"
+    return (
+        rf"""lab_{v} AS (SELECT doc_id, line_no, text, CASE WHEN regexp_matches({t}, '^.+?[.…·]{{3,}}\s*\d{{1,4}}\s*$') THEN 'reference_line' WHEN regexp_matches({t}, '^(\[\d+\]|\d+\)|\d+)\s*$') THEN 'footnote_label'
+ WHEN regexp_matches({t}, '(?i)^(references?|source|bibliography|annex|appendix)([^\p{{L}}\p{{N}}_]|$)') THEN 'reference_line' WHEN regexp_matches({t}, '^[IVXLCDM]+\.\s+.+') THEN 'major_heading'
+ WHEN regexp_matches({t}, '(?i)^(principle|article|section|chapter|standard|rule)\s+(\d+[a-z]?)\s*[:.-]?\s*(.*)$') THEN 'named_numbered_heading' WHEN regexp_matches({t}, '^\d+\.\s+.+') THEN 'numeric_heading'
+ WHEN regexp_matches({t}, '^[A-Za-z]\.\s+.+') THEN 'letter_heading' ELSE 'body' END AS label FROM (SELECT doc_id, line_no, {_collapse('text')} AS text FROM body_{v}) WHERE text <> ''),
+lev_{v} AS (SELECT *, sum(CASE WHEN level IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS ordinal FROM
+ (SELECT *, CASE WHEN label IN ('major_heading', 'named_numbered_heading') THEN 1 WHEN label = 'letter_heading' THEN 2 END AS level FROM lab_{v})),
+sec_{v} AS (SELECT doc_id, ordinal, max(level) AS level, max(CASE WHEN level IS NOT NULL THEN label END) AS label, max(CASE WHEN level IS NOT NULL THEN text END) AS title,
+ coalesce(list(text ORDER BY line_no) FILTER (level IS NULL), []) AS body, count(*) FILTER (level IS NULL AND label = 'numeric_heading') AS n_children FROM lev_{v} WHERE ordinal > 0 OR label <> 'reference_line' GROUP BY doc_id, ordinal)"""
+    )
+
+
+def _with(*parts: str) -> str:
+    return "WITH " + ",\n".join((_RAW, *parts)) + "\n"
+
+
+# --- plans shared by queries -----------------------------------------------------------
+
+
+def _body(spark, sf_dir, v="a"):
+    return corpus.positioned(corpus.version(corpus.body_lines(corpus.documents(spark, sf_dir)), v))
+
+
+def _cut(spark, sf_dir, v="a"):
+    return sections.sections(_body(spark, sf_dir, v))
+
+
+def _keyed(spark, sf_dir):
+    """Sections of both versions side by side, by ordinal: what fuzzy matching is not needed for."""
+    side = lambda v: _cut(spark, sf_dir, v).select(F.col("doc_id").alias("pair_id"), F.col("ordinal").alias("diff_no"), *[F.col(c).alias(f"{c}_{v}") for c in ("section_id", "title", "body", "body_lines", "level", "start_page")])
+    return side("a").join(side("b"), ["pair_id", "diff_no"])
+
+
+# --- lines and sections ----------------------------------------------------------------
+
+
+@query(_with(_sections("a")) + "SELECT label, count(*) AS n FROM lab_a GROUP BY label")
+def line_labels(spark, sf_dir):
+    return sections.labelled(_body(spark, sf_dir)).filter("text <> ''").groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(_with(_sections("a")) + "SELECT doc_id, ordinal::BIGINT AS ordinal, len(body)::BIGINT AS n_body, n_children FROM sec_a")
+def section_sizes(spark, sf_dir):
+    rows = sections.leveled(_body(spark, sf_dir))
+    body = F.col("level").isNull()
+    return rows.groupBy("doc_id", "ordinal").agg(F.count_if(body).alias("n_body"), F.count_if(body & (F.col("label") == "numeric_heading")).alias("n_children"))
+
+
+ENTRY = section_sizes
+
+
+@query(_with(_sections("a")) + f"SELECT doc_id, ordinal::BIGINT AS ordinal, {_norm('title')} AS title_normalized FROM sec_a WHERE ordinal > 0")
+def normalized_titles(spark, sf_dir):
+    heads = sections.leveled(_body(spark, sf_dir)).filter("level is not null")
+    return heads.select("doc_id", "ordinal", T.normalize_title(F.col("text")).alias("title_normalized"))
+
+
+@query(
+    _with(_sections("a"))
+    + rf"""SELECT doc_id, ordinal::BIGINT AS ordinal, CASE WHEN ordinal = 0 THEN 'preamble' ELSE 's' || lpad((ordinal + max(CASE WHEN ordinal = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id))::BIGINT::VARCHAR, 4, '0') || '-' ||
+ left(coalesce(nullif(trim(regexp_replace(replace({_norm(_toc('title'))}, ' ', '-'), '-+', '-', 'g'), '-'), ''), 'untitled'), 40) END AS section_id FROM sec_a"""
+)
+def section_ids(spark, sf_dir):
+    return _cut(spark, sf_dir).select("doc_id", "ordinal", "section_id")
+
+
+@query(
+    _with(_sections("a"))
+    + """SELECT * EXCLUDE (parent0) FROM (SELECT doc_id, ordinal::BIGINT AS ordinal, coalesce(level, 0)::BIGINT AS level, CASE WHEN level >= 2 THEN last_value(CASE WHEN level = 1 THEN ordinal::BIGINT END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS parent0, coalesce(parent0, -1) AS parent FROM sec_a)"""
+)
+def parent_links(spark, sf_dir):
+    s = _cut(spark, sf_dir)
+    ids = s.select("doc_id", F.col("section_id").alias("parent_id"), F.col("ordinal").alias("parent"))
+    return s.join(ids, ["doc_id", "parent_id"], "left").select("doc_id", "ordinal", F.col("level").cast("long").alias("level"), F.coalesce("parent", F.lit(-1)).alias("parent"))
+
+
+@query(_with(_sections("a")) + r"""SELECT doc_id, ordinal::BIGINT AS ordinal, array_to_string(list_transform(list_filter(body, lambda x: regexp_matches(x, '^\d+\.\s+.+') AND NOT regexp_matches(x, '^.+?[.…·]{3,}\s*\d{1,4}\s*$')), lambda x: regexp_extract(x, '^(\d+)\.', 1)), ',') AS numbers FROM sec_a WHERE n_children > 0""")
+def child_items(spark, sf_dir):
+    s = _cut(spark, sf_dir).filter(F.size("children") > 0)
+    return s.select("doc_id", "ordinal", F.array_join(F.transform("children", lambda c: c["item_number"]), ",").alias("numbers"))
+
+
+@query(_with(_sections("a")) + rf"""SELECT count(*) AS n, count(*) FILTER (len(string_split({_toc('title')}, ' ')) >= 8 AND len(body) > 0 AND regexp_matches(body[1], '^[a-z(,;]') AND NOT regexp_matches({_toc('title')}, '[.?!]$')) AS wrapped FROM sec_a WHERE label IN ('major_heading', 'named_numbered_heading')""")
+def title_continuations(spark, sf_dir):
+    s = _cut(spark, sf_dir).filter(F.col("debug_label").isin("major_heading", "named_numbered_heading"))
+    return s.agg(F.count("*").alias("n"), F.count_if(F.col("title") != T.strip_toc(F.col("raw_title"))).alias("wrapped"))
+
+
+@query(_with(_sections("a")) + "SELECT doc_id, min(line_no // 4 + 1) AS page FROM lev_a JOIN (SELECT doc_id AS d FROM sec_a WHERE ordinal = 0) ON d = doc_id GROUP BY doc_id")
+def preamble_pages(spark, sf_dir):
+    return _cut(spark, sf_dir).filter("section_id = 'preamble'").select("doc_id", F.col("start_page").cast("long").alias("page"))
+
+
+# --- text functions over documents -----------------------------------------------------
+
+
+@query("SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9%$€£.,/-]+'))::BIGINT AS n FROM documents")
+def token_counts(spark, sf_dir):
+    return corpus.documents(spark, sf_dir).select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n"))
+
+
+@query(rf"SELECT doc_id, len(list_filter(string_split(regexp_replace({_collapse(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')}, '([.?!])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> ''))::BIGINT AS n FROM documents")
+def sentence_counts(spark, sf_dir):
+    return corpus.documents(spark, sf_dir).select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n"))
+
+
+@query(_with(_sections("a")) + rf"SELECT doc_id, ordinal::BIGINT AS ordinal, CASE WHEN regexp_matches(title, '^[IVXLCDMivxlcdm]+\.\s+') THEN regexp_extract(title, '^([A-Za-z]+)\.', 1) WHEN regexp_matches(title, '^\d+\.\s+') THEN regexp_extract(title, '^(\d+)', 1) WHEN regexp_matches(title, '^[A-Za-z]\.\s+') THEN left(title, 1) WHEN regexp_matches(title, '(?i)^(principle|article|section|chapter|standard|rule)\s+(\d+[a-z]?)([^\p{{L}}\p{{N}}_]|$)') THEN regexp_extract(title, '(?i)^(principle|article|section|chapter|standard|rule)\s+(\d+[a-z]?)', 2) ELSE 'none' END AS number FROM sec_a WHERE ordinal > 0")
+def section_numbers(spark, sf_dir):
+    heads = sections.leveled(_body(spark, sf_dir)).filter("level is not null")
+    return heads.select("doc_id", "ordinal", T.section_number(F.col("text"), F.lit("none")).alias("number"))
+
+
+# --- layout ----------------------------------------------------------------------------
+
+
+@query(_with(_lines("a")) + rf"""SELECT region, norm, count(*) AS n FROM (SELECT CASE WHEN y1 <= 800 * 0.12 THEN 'top' WHEN y0 >= 800 * (1 - 0.12) THEN 'bottom' END AS region, regexp_replace(lower(text), '\b\d+\b', '<num>', 'g') AS norm FROM lines_a WHERE text <> '') WHERE region IS NOT NULL GROUP BY ALL""")
+def edge_candidates(spark, sf_dir):
+    lines, pages = corpus.layout(corpus.documents(spark, sf_dir))
+    return layout.edge_candidates(lines, pages).groupBy("region", "norm").agg(F.count("*").alias("n"))
+
+
+@query(
+    _with(_lines("a"))
+    + r"""SELECT l.doc_id, count(DISTINCT l.page) AS pages, count(*) AS lines, count(*) FILTER (r) AS removed, count(*) FILTER (NOT r) AS remaining
+ FROM (SELECT *, line_no % 10 = 9 OR EXISTS (SELECT 1 FROM pages_a p WHERE p.doc_id = lines_a.doc_id AND p.page = lines_a.page AND 'Corpus review ' || coalesce(p.source, '') || ' page ' || p.page = lines_a.text) OR regexp_matches(text, '(?i)^(page\s+)?\d+(\s*/\s*\d+)?$') OR text = '' AS r FROM lines_a) l GROUP BY l.doc_id"""
+)
+def extraction_summary(spark, sf_dir):
+    lines, pages = corpus.layout(corpus.documents(spark, sf_dir))
+    return layout.extraction_summary(layout.clean_lines(lines, pages, fuzzy=False))
+
+
+@query(_with(_lines("a")) + r"SELECT doc_id, count(*) AS n FROM lines_a WHERE regexp_matches(text, '(?i)^(page\s+)?\d+(\s*/\s*\d+)?$') GROUP BY doc_id")
+def page_number_lines(spark, sf_dir):
+    lines, _ = corpus.layout(corpus.documents(spark, sf_dir))
+    return lines.filter(T.is_page_number(F.col("text"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(_with(_lines("a")) + r"SELECT doc_id, count(*) AS n FROM lines_a WHERE length(text) >= 20 AND regexp_matches(text, '(^|[^\p{L}\p{N}_])\d{1,4}$') AND length(regexp_replace(text, '[^\p{L}]', '', 'g')) >= 12 AND regexp_matches(lower(text), '[a-z]') GROUP BY doc_id")
+def running_titles(spark, sf_dir):
+    lines, _ = corpus.layout(corpus.documents(spark, sf_dir))
+    return lines.filter(layout.running_title(F.col("text"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(_with(_lines("a")) + "SELECT doc_id, page, count(*) FILTER (trim(text) <> '') AS n_lines, sum(length(trim(text))) FILTER (trim(text) <> '')::BIGINT AS n_chars FROM lines_a GROUP BY doc_id, page HAVING count(*) FILTER (trim(text) <> '') > 0")
+def span_lines(spark, sf_dir):
+    """Every line cut into a span per word, then put together again."""
+    lines, _ = corpus.layout(corpus.documents(spark, sf_dir))
+    spans = lines.select("doc_id", "page", F.col("line_no").alias("block"), "y0", "y1", F.posexplode(F.split("text", " ")).alias("k", "text"))
+    spans = spans.select("doc_id", "page", "block", (F.col("block") * 1000000 + F.col("k")).alias("span_no"), "text", (F.lit(50.0) + F.col("k")).alias("x0"), (F.col("y0") + F.col("k") % 2).alias("y0"), (F.lit(51.0) + F.col("k")).alias("x1"), "y1")
+    got = layout.lines_from_spans(spans)
+    return got.groupBy("doc_id", F.col("page").cast("long").alias("page")).agg(F.count("*").alias("n_lines"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query()
+def edge_clusters(spark, sf_dir):
+    lines, pages = corpus.layout(corpus.documents(spark, sf_dir))
+    return layout.removable(lines, pages, fuzzy=True).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+# --- matching --------------------------------------------------------------------------
+
+_POOLS = ",\n".join(f"pool_{v} AS (SELECT doc_id, ordinal, label, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM sec_{v} WHERE level = 1)" for v in "ab")
+
+
+@query(_with(_sections("a"), _sections("b"), _POOLS) + "SELECT a.doc_id AS pair_id, count(*) AS n, sum(CASE WHEN a.label = b.label THEN 1.0 ELSE 0.4 END) AS anchor, sum(greatest(0.0, 1 - abs(a.i - b.i) / greatest(1, greatest(a.n, b.n) - 1))) AS in_order FROM pool_a a JOIN pool_b b USING (doc_id) GROUP BY a.doc_id")
+def candidate_terms(spark, sf_dir):
+    a, b = (matching.pool(_cut(spark, sf_dir, v).withColumn("pair_id", F.col("doc_id"))) for v in "ab")
+    c = matching.plain_terms(matching.candidates(a, b))
+    return c.groupBy("pair_id").agg(F.count("*").alias("n"), F.sum("anchor_score").alias("anchor"), F.sum("order_score").alias("in_order"))
+
+
+@query()
+def section_matches(spark, sf_dir):
+    return compare.corpus_comparison(spark, sf_dir)["matches"]
+
+
+# --- differences -----------------------------------------------------------------------
+
+
+def _whole(v):
+    return _collapse(f"lower(concat_ws(' ', {v}.title, array_to_string({v}.body, ' ')))")
+
+
+_PAIRS = rf"""k AS (SELECT a.doc_id AS pair_id, a.ordinal, CASE WHEN {_norm('a.title')} = {_norm('b.title')} AND lower(array_to_string(a.body, ' ')) = lower(array_to_string(b.body, ' ')) THEN 'unchanged' ELSE 'changed' END AS status
+ FROM sec_a a JOIN sec_b b ON a.doc_id = b.doc_id AND a.ordinal = b.ordinal WHERE a.ordinal > 0)"""
+
+
+@query(_with(_sections("a"), _sections("b"), _PAIRS) + "SELECT pair_id, count(*) AS n, count(*) FILTER (status = 'unchanged') AS unchanged FROM k GROUP BY pair_id")
+def section_status(spark, sf_dir):
+    rows = diffing.statuses(_keyed(spark, sf_dir).filter("diff_no > 0"))
+    return rows.groupBy("pair_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "unchanged").alias("unchanged"))
+
+
+def _versions(spark, sf_dir):
+    """Lines of both versions side by side: pair_id, diff_no, before_text, after_text."""
+    a, b = (_body(spark, sf_dir, v).select(F.col("doc_id").alias("pair_id"), F.col("line_no").alias("diff_no"), F.col("text").alias(n)) for v, n in (("a", "before_text"), ("b", "after_text")))
+    return a.join(b, ["pair_id", "diff_no"])
+
+
+_VERSIONS = "v AS (SELECT a.doc_id AS pair_id, a.text AS ta, b.text AS tb FROM body_a a JOIN body_b b ON a.doc_id = b.doc_id AND a.line_no = b.line_no)"
+
+
+def _cue(side: str, cues) -> str:
+    return "(" + " OR ".join("contains(lower({}), '{}')".format(side, c.replace("'", "''")) for c in cues) + ")"
+
+
+@query(
+    _with(_VERSIONS)
+    + "SELECT pair_id, "
+    + ", ".join(f"count(*) FILTER ({_cue('ta', c)} <> {_cue('tb', c)}) AS {n}" for n, c in (("obligation", classify.OBLIGATION), ("negation", classify.NEGATION), ("scope", classify.SCOPE)))
+    + r", count(*) FILTER (regexp_matches(ta, '\||\t|\s{3,}\S+\s{3,}') <> regexp_matches(tb, '\||\t|\s{3,}\S+\s{3,}')) AS tables FROM v GROUP BY pair_id"
+)
+def cue_flips(spark, sf_dir):
+    f = classify.value_features(_versions(spark, sf_dir))
+    return f.groupBy("pair_id").agg(F.count_if("obligation_change").alias("obligation"), F.count_if("negation_change").alias("negation"), F.count_if("scope_change_cues").alias("scope"), F.count_if("table_change_detected").alias("tables"))
+
+
+_TOK = "list_distinct(list_transform(regexp_extract_all({}, '[A-Za-z0-9%$€£.,/-]+'), lambda x: lower(x)))"
+
+
+@query(_with(_VERSIONS, f"t AS (SELECT pair_id, {_TOK.format('ta')} AS x, {_TOK.format('tb')} AS y FROM v)") + "SELECT pair_id, round(sum(CASE WHEN len(x) + len(y) = 0 THEN 1.0 ELSE round(len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))), 6) END), 4) AS jaccard FROM t GROUP BY pair_id")
+def token_jaccard(spark, sf_dir):
+    f = classify.value_features(_versions(spark, sf_dir))
+    return f.groupBy("pair_id").agg(F.round(F.sum("token_jaccard"), 4).alias("jaccard"))
+
+
+@query(_with(_sections("a"), _sections("b")) + "SELECT a.doc_id AS pair_id, a.ordinal::BIGINT AS diff_no, lower(coalesce(a.title, 'Preamble')) AS title FROM sec_a a JOIN sec_b b ON a.doc_id = b.doc_id AND a.ordinal = b.ordinal WHERE a.ordinal > 0 AND lower(a.title || ' ' || b.title) LIKE '%principle 2%'")
+def filtered_list(spark, sf_dir):
+    rows = sections.leveled(_body(spark, sf_dir)).filter("level is not null").select(F.col("doc_id").alias("pair_id"), F.col("ordinal").alias("diff_no"), F.col("text").alias("title_a"))
+    other = sections.leveled(_body(spark, sf_dir, "b")).filter("level is not null").select(F.col("doc_id").alias("pair_id"), F.col("ordinal").alias("diff_no"), F.col("text").alias("title_b"))
+    rows = rows.join(other, ["pair_id", "diff_no"]).withColumn("semantic_unified_diff", F.lit("")).withColumn("unified_diff", F.lit(""))
+    return report.filtered(rows, "all", "Principle 2").select("pair_id", "diff_no", F.lower("title_a").alias("title"))
+
+
+# --- annotations (events as an append log) ---------------------------------------------
+
+
+@query("SELECT user_id AS pair_id, event_type AS diff_id, max(event_id) AS seq, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type")
+def latest_annotations(spark, sf_dir):
+    log = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("pair_id"), F.col("event_type").alias("diff_id"), F.col("event_id").alias("seq"), "value")
+    return report.latest(log, ["pair_id", "diff_id"])
+
+
+@query(
+    """WITH d AS (SELECT conv_id AS pair_id, turn AS diff_no, role AS section_id_a, CASE WHEN turn % 3 = 0 THEN '' ELSE 's' || turn END AS section_id_b FROM conversations),
+i AS (SELECT *, diff_no || ':' || coalesce(nullif(section_id_a, ''), 'none') || '->' || coalesce(nullif(section_id_b, ''), 'none') AS diff_id FROM d)
+SELECT pair_id, diff_id, CASE WHEN diff_no % 2 = 0 THEN 'approved' ELSE 'needs_review' END AS validation_status, CASE WHEN diff_no % 5 = 0 THEN 'slight' WHEN section_id_b = 's1' THEN 'editorial' END AS change_classification,
+ CASE WHEN diff_no % 5 = 0 THEN 'manual' WHEN section_id_b = 's1' THEN 'classified_report' END AS classification_source FROM i"""
+)
+def annotation_overlay(spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("pair_id"), F.col("turn").alias("diff_no"), F.col("role").alias("section_id_a"), F.when(F.col("turn") % 3 == 0, "").otherwise(F.concat(F.lit("s"), F.col("turn").cast("string"))).alias("section_id_b"))
+    ids = report.with_diff_id(t)
+    reviews = ids.filter("diff_no % 2 = 0").select("pair_id", "diff_id", F.lit("approved").alias("validation_status"), F.lit("").alias("reviewer"), F.lit("").alias("note"), F.lit(1).alias("seq"))
+    labels = ids.filter("diff_no % 5 = 0").select("pair_id", "diff_id", F.lit("slight").alias("classification"), F.lit("manual").alias("source"), F.lit(1).alias("seq"))
+    external = t.select("pair_id").distinct().select("pair_id", F.lit("s1").alias("section_id"), F.lit("editorial").alias("label"))
+    return report.overlay(t, reviews, labels, external).select("pair_id", "diff_id", "validation_status", "change_classification", "classification_source")
+
+
+# --- whole comparisons (difflib: no SQL) -----------------------------------------------
+
+
+@query()
+def diff_summary(spark, sf_dir):
+    return diffing.quality(diffing.summary(written(compare.corpus_comparison(spark, sf_dir)["diffs"], "diffs")))
+
+
+@query()
+def export_rows(spark, sf_dir):
+    return report.export_rows(compare.corpus_comparison(spark, sf_dir)["diffs"])
+
+
+@query()
+def diff_rows(spark, sf_dir):
+    return diffing.row_pairs(compare.corpus_comparison(spark, sf_dir)["diffs"])
+
+
+@query()
+def inline_diffs(spark, sf_dir):
+    rows = _versions(spark, sf_dir).filter("before_text <> after_text")
+    d = rows.withColumn("d", S.inline_diff(F.col("before_text"), F.col("after_text")))
+    return d.select("pair_id", "diff_no", F.size(F.filter("d.left", lambda x: x["op"] == "del")).alias("deleted"), F.size(F.filter("d.right", lambda x: x["op"] == "add")).alias("added"))
+
+
+@query()
+def change_classification(spark, sf_dir):
+    return compare.corpus_classification(spark, sf_dir).select("pair_id", "diff_no", "section_id", "change_ratio", "token_jaccard", "sentence_overlap", "rule_label", F.array_join("triggered_rules", ",").alias("rules"), "model_label", "disagreement", "override_candidate", "final_classification")
+
+
+@query()
+def classification_summary(spark, sf_dir):
+    return classify.summary(compare.corpus_classification(spark, sf_dir))
