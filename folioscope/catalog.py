@@ -209,7 +209,7 @@ def running_titles(spark, sf_dir):
     return lines.filter(layout.running_title(F.col("text"))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query(_with(_lines("a")) + "SELECT doc_id, page, count(*) FILTER (trim(text) <> '') AS n_lines, sum(length(trim(text))) FILTER (trim(text) <> '')::BIGINT AS n_chars FROM lines_a GROUP BY doc_id, page HAVING count(*) FILTER (trim(text) <> '') > 0")
+@query(_with(_lines("a")) + f"SELECT doc_id, page, count(*) FILTER (trim(text) <> '') AS n_lines, sum(length({_collapse('text')})) FILTER (trim(text) <> '')::BIGINT AS n_chars FROM lines_a GROUP BY doc_id, page HAVING count(*) FILTER (trim(text) <> '') > 0")
 def span_lines(spark, sf_dir):
     """Every line cut into a span per word, then put together again."""
     lines, _ = corpus.layout(corpus.documents(spark, sf_dir))

@@ -106,7 +106,8 @@ def modelled(rows: DataFrame, hook: Hook | None = None) -> DataFrame:
 def parse_label(text) -> F.Column:
     """label and confidence of an answer: the whole text as JSON, or its widest braces."""
     kind = "label string, confidence double"
-    return F.coalesce(F.from_json(text, kind), F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), kind))
+    whole = F.from_json(text, kind)
+    return F.when(whole["label"].isNotNull(), whole).otherwise(F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), kind))
 
 
 def arbitrated(rows: DataFrame) -> DataFrame:
