@@ -11,10 +11,10 @@ _sent: set[str] = set()
 
 
 def ship(spark) -> None:
-    """Adds the package to the session's files unless workers find it by PYTHONPATH."""
+    """Adds the package to the session's files, once."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     app = spark.sparkContext.applicationId
-    if app in _sent or root in str(spark.sparkContext.environment.get("PYTHONPATH") or os.environ.get("SHIPPED_PATH", "")).split(os.pathsep):
+    if app in _sent:
         return
     path = os.path.join(tempfile.mkdtemp(prefix="spark-ship-"), "folioscope.zip")
     with zipfile.ZipFile(path, "w") as out:
@@ -28,9 +28,11 @@ def ship(spark) -> None:
 
 
 def shipped(query):
+    """``query`` after the package has been sent; its first argument is the session."""
+
     @functools.wraps(query)
-    def run(spark, sf_dir):
+    def run(spark, *rest):
         ship(spark)
-        return query(spark, sf_dir)
+        return query(spark, *rest)
 
     return run
