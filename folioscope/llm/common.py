@@ -48,11 +48,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def ascii_lower(col):
     """A-Z to a-z and nothing else, as a Column.
 
-    ``lower`` is fast but also folds other letters, so texts that hold such letters
-    take ``translate``.
+    ``lower`` is fast but also folds other letters, so texts that hold such letters, or
+    characters that the regex engine doesn't know yet, take ``translate``.
     """
     upper, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    other = col.rlike(r"[[\p{javaUpperCase}\p{javaTitleCase}]&&[^\x00-\x7F]]")
+    other = col.rlike(r"[[\p{javaUpperCase}\p{javaTitleCase}\p{Cn}]&&[^\x00-\x7F]]")
     return F.when(other, F.translate(col, upper, low)).otherwise(F.lower(col))
 
 
