@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm import decontaminate, language, mixing, near_dup, token_files
 from folioscope.llm.common import table, written
+from folioscope.shipping import shipped
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +49,11 @@ def to_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
-    ("language", identify_language),
-    ("near_duplicates", drop_near_duplicates),
-    ("decontaminate", drop_contaminated),
-    ("mix_sources", mix_sources),
-    ("token_files", to_token_files),
+    ("language", shipped(identify_language)),
+    ("near_duplicates", shipped(drop_near_duplicates)),
+    ("decontaminate", shipped(drop_contaminated)),
+    ("mix_sources", shipped(mix_sources)),
+    ("token_files", shipped(to_token_files)),
 ]
 
 #: SQL can't express the language model or the token files.

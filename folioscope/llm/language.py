@@ -97,7 +97,8 @@ class Model:
         self.weights, self.bias = (whiten @ solved[:-1]).astype(np.float32), solved[-1].astype(np.float32)
 
     def columns(self) -> np.ndarray:
-        column = np.full(_GRAMS, len(self.grams), np.int32)
+        kind = np.uint16 if len(self.grams) < 1 << 16 else np.int32
+        column = np.full(_GRAMS, len(self.grams), kind)
         column[self.grams] = np.arange(len(self.grams))
         return column
 
@@ -145,8 +146,8 @@ def predicted(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id
                 if column is None:
                     column = model.columns()
                 for i, j in row_chunks(off, 1 << 20):
-                    for k in range(i, j, 512):
-                        m = min(j, k + 512)
+                    for k in range(i, j, 256):
+                        m = min(j, k + 256)
                         s = model.scores(buf[off[k] : off[m]], off[k : m + 1] - off[k], column)
                         best[k:m], score[k:m] = s.argmax(axis=1), s.max(axis=1)
             letter &= bool(model.names)

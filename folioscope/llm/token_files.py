@@ -37,7 +37,7 @@ from .common import row_chunks, shared_dir, table, text_bytes
 
 BLOCK_IDS = 1 << 21
 LANES, LANE_IDS = 8192, 64  # at most so many lanes, of at least so many ids
-PIECES_KEPT = 600_000
+PIECES_KEPT = 250_000
 MAGIC = b"IDMX1\n"
 
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -304,6 +304,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
                         yield block()
         if doc_ids:
             yield block()
+        _loaded(tokenizer)[4].clear()  # between tasks a worker keeps one generation
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     ordered.mapInArrow(run, "part int, first long, n_ids long, block binary").write.parquet(path)

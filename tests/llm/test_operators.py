@@ -329,3 +329,11 @@ def test_mixing(docs, rows, empty):
     heavy = mixing.replicated(docs.filter("doc_id = 1").select("doc_id", "source"), total=3000.0).count()
     assert heavy == pytest.approx(3000, rel=0.1)
     assert mixing.replicated(empty).count() == 0
+
+
+def test_ascii_lower_touches_only_a_to_z(spark):
+    from folioscope.llm.common import ascii_lower
+
+    every = spark.range(1, 0x110000).filter("id < 55296 or id > 57343")
+    other = every.select("id", F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c")).filter(ascii_lower(F.col("c")) != F.col("c"))
+    assert sorted(r["id"] for r in other.collect()) == list(range(65, 91))
