@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import decontaminate, language, mixing, near_dup, token_files
-from folioscope.llm.common import table, written
+from folioscope.llm.common import small_batches, table, written
 from folioscope.shipping import shipped
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = language.fit(docs, F.lit(True))
     found = language.predicted(docs, model, tuple(docs.columns))
     return found.filter("lang_pred <> 'und'").select(*docs.columns)
@@ -45,6 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return token_files.token_table(docs).drop("ids")
 
 

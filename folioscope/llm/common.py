@@ -17,11 +17,18 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into arrays at a time.
 CHUNK_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 
 _own_dir: dict[str, str] = {}
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches for Python workers hold ``BATCH_BYTES``, so that neither side buffers more."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,6 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, read back; readers see one fixed state."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

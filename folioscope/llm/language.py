@@ -132,15 +132,16 @@ def predicted(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id
     """The named columns of ``docs`` with has_letter, lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     letter = F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("has_letter")
-    given = docs.select(*columns, F.col("text").alias("_text"), letter)
+    given = docs.select(*columns, *([] if "text" in columns else [F.col("text").alias("_text")]), letter)
     passed = len(columns)
+    at = columns.index("text") if "text" in columns else passed
     names = [*columns, "has_letter", "lang_pred", "score"]
 
     def run(batches):
         model, column = shared.value, None
         for batch in batches:
-            buf, off = text_bytes(batch.column(passed))
-            letter = batch.column(passed + 1).to_numpy(zero_copy_only=False).astype(bool)
+            buf, off = text_bytes(batch.column(at))
+            letter = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
             best, score = np.zeros(len(letter), np.int64), np.zeros(len(letter))
             if model.names:
                 if column is None:
@@ -152,7 +153,7 @@ def predicted(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id
                         best[k:m], score[k:m] = s.argmax(axis=1), s.max(axis=1)
             letter &= bool(model.names)
             lang = np.array([*model.names, "und"], object)[np.where(letter, best, len(model.names))]
-            new = [batch.column(passed + 1), pa.array(lang, pa.string()), pa.array(np.where(letter, np.clip(score, 0, 1), 0.0))]
+            new = [batch.column(batch.num_columns - 1), pa.array(lang, pa.string()), pa.array(np.where(letter, np.clip(score, 0, 1), 0.0))]
             yield pa.record_batch([*batch.columns[:passed], *new], names)
 
     schema = StructType([*given.schema.fields[:passed], given.schema["has_letter"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])

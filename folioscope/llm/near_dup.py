@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, row_chunks, text_bytes, word_hashes, written
+from .common import mix64, row_chunks, table, text_bytes, word_hashes, written
 
 PERMUTATIONS, BAND_ROWS = 48, 4
 BANDS = 2 * PERMUTATIONS // BAND_ROWS
@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
 
 
 def op2_near_dup(spark, sf_dir):
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=2, percent=80)
+    return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
