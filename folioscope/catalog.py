@@ -47,6 +47,8 @@ def _norm(c: str) -> str:
     return _collapse(rf"regexp_replace(lower({_toc(c)}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')")
 
 
+_TEXT = "coalesce(text, '')"
+
 _RAW = rf"""raw AS (SELECT doc_id, source, unnest(range(len(x))) AS line_no, unnest(x) AS raw FROM (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
 body0 AS (SELECT doc_id, source, line_no, CASE WHEN line_no % 5 = (CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END) THEN 'Principle ' || (line_no // 5 + 1) || ': ' || left(t, 40)
   WHEN (doc_id + line_no) % 17 = 0 THEN 'IV. ' || left(t, 30) WHEN (doc_id + line_no) % 13 = 0 THEN 'b. ' || left(t, 30) WHEN (doc_id + line_no) % 11 = 0 THEN '3. ' || left(t, 30)
@@ -167,7 +169,7 @@ def token_counts(spark, sf_dir):
     return corpus.documents(spark, sf_dir).select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n"))
 
 
-@query(rf"SELECT doc_id, len(list_filter(string_split(regexp_replace({_collapse(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')}, '([.?!])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> ''))::BIGINT AS n FROM documents")
+@query(rf"SELECT doc_id, len(list_filter(string_split(regexp_replace({_collapse(_TEXT)}, '([.?!])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> ''))::BIGINT AS n FROM documents")
 def sentence_counts(spark, sf_dir):
     return corpus.documents(spark, sf_dir).select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n"))
 
@@ -245,10 +247,6 @@ def section_matches(spark, sf_dir):
 # --- differences -----------------------------------------------------------------------
 
 
-def _whole(v):
-    return _collapse(f"lower(concat_ws(' ', {v}.title, array_to_string({v}.body, ' ')))")
-
-
 _PAIRS = rf"""k AS (SELECT a.doc_id AS pair_id, a.ordinal, CASE WHEN {_norm('a.title')} = {_norm('b.title')} AND lower(array_to_string(a.body, ' ')) = lower(array_to_string(b.body, ' ')) THEN 'unchanged' ELSE 'changed' END AS status
  FROM sec_a a JOIN sec_b b ON a.doc_id = b.doc_id AND a.ordinal = b.ordinal WHERE a.ordinal > 0)"""
 
