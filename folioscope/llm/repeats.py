@@ -32,6 +32,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as WindowSpec
 from pyspark.sql import functions as F
 
 from .common import mix64, prefix_hash, row_chunks, span_hash, table, text_bytes, written
@@ -135,10 +136,11 @@ def refined(docs: DataFrame, classes: DataFrame, length: int, q: int) -> DataFra
                 pair = mix64(here ^ (later * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
                 yield pa.record_batch([pa.array(pair), pa.array(np.repeat(class_[at], n) | offset)], ["pair", "window"])
 
-    # dealt out once, then counted and selected where they are; equal rows may send the same window twice
-    pairs = docs.select("mark", "text").mapInArrow(run, "pair long, window long").repartition("pair")
-    several = pairs.groupBy("pair").agg(F.min("window").alias("low"), F.max("window").alias("high")).filter("low <> high").select("pair")
-    windows = pairs.join(several, "pair", "left_semi")
+    # dealt out by pair once, counted where they are; equal rows may send the same window twice
+    same = WindowSpec.partitionBy("pair")
+    pairs = docs.select("mark", "text").mapInArrow(run, "pair long, window long")
+    pairs = pairs.select("window", F.min("window").over(same).alias("low"), F.max("window").over(same).alias("high"))
+    windows = pairs.filter("low <> high")
     offset = F.col("window").bitwiseAND(F.lit(255)).cast("int")
     return windows.groupBy((F.col("window") - offset).alias("class")).agg(F.array_sort(F.collect_set(offset)).alias("offsets"))
 
