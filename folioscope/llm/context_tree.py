@@ -10,11 +10,13 @@ of log10 probabilities; code length per byte follows from it.
 
 **Scale.**  Counts are sums over all training documents, by Spark, for each distinct
 gram (``DEPTH`` bytes and the next) and word; grams that occur only in held-out texts are
-carried with zero counts, so each gram that is asked for has a value.  Trees are built
-in the tasks that hold all grams with the same two last bytes; only the sums for shorter
+carried with zero counts, so each gram that is asked for has a value.  Trees below the
+last ``SPLIT`` bytes are built in the tasks that hold all grams with these bytes, the
+depths from there to 2 in tasks by the two last bytes; only the sums for shorter
 contexts (at most 256 x 255 nodes) come to the driver.  Values of the most frequent terms,
 ``FREQUENT`` of a kind at most, go to the scoring tasks as a hash table; the other terms
-are joined by shuffle, where no key can be hot any more.
+are joined by shuffle, where no key can be hot any more.  Words and grams are looked up
+by 64-bit hashes; trees are built on the grams' own bytes.
 
 Defined cases: null or empty text is one end token and one end symbol.  Without training
 rows every count is zero.  A null ``doc_id`` counts as the empty text in crc32.  Rows
@@ -33,14 +35,14 @@ from pyspark.sql import functions as F
 from .common import LOWER, mix64, prefix_hash, row_chunks, span_hash, table, text_bytes, word_spans, written
 from .language import held_out
 
-DEPTH = 4
+DEPTH, SPLIT = 8, 4
 FREQUENT = 1 << 20
 WORD, GRAM, DOCUMENT = 0, 1, 2
 END_WORD = np.array([0x656E64], np.uint64).view(np.int64)[0]
 
 
 def _terms(buf: np.ndarray, off: np.ndarray):
-    """Word keys with their rows, gram keys with their rows, and hashes of the whole rows."""
+    """Word keys with their rows, contexts, symbols and keys of grams with their rows, and hashes of the whole rows."""
     low = LOWER[buf]
     rows = len(off) - 1
     size = np.diff(off)
@@ -55,10 +57,14 @@ def _terms(buf: np.ndarray, off: np.ndarray):
     padded[at] = low
     ends = off[1:] + (DEPTH + 1) * np.arange(rows) + DEPTH
     at, gram_row = np.concatenate([at, ends]), np.concatenate([row, np.arange(rows)])
-    grams = np.zeros(len(at), np.int64)
-    for d in range(1, DEPTH + 1):  # the last byte first, as the tree branches
-        grams |= padded[at - d].astype(np.int64) << (8 * (DEPTH + 1 - d))
-    return words, word_row, grams | padded[at], gram_row, span_hash(prefix_hash(buf), off[:-1], off[1:]).view(np.int64)
+    # eight bytes at a time, the last byte on top, as the tree branches
+    context = np.ndarray(max(len(padded) - 7, 0), "<u8", padded, strides=(1,))[at - DEPTH] if len(at) else np.zeros(0, np.uint64)
+    symbol = padded[at]
+    return words, word_row, (context, symbol, gram_keys(context, symbol)), gram_row, span_hash(prefix_hash(buf), off[:-1], off[1:]).view(np.int64)
+
+
+def gram_keys(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    return mix64(mix64(context) + symbol.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
 def _summed(keys: list[np.ndarray], *counts: list[np.ndarray]):
@@ -70,38 +76,42 @@ def _summed(keys: list[np.ndarray], *counts: list[np.ndarray]):
 
 
 def counts(docs: DataFrame, apart) -> DataFrame:
-    """kind, key, train (occurrences in training texts) and total of each word and gram."""
+    """kind, key, symbol, train (occurrences in training texts) and total of each word and gram; a gram's key is its context."""
+
+    def rows(kind, key, symbol, train, total):
+        for i in range(0, len(key), 1 << 16):
+            part = slice(i, i + (1 << 16))
+            yield pa.record_batch([pa.array(np.full(len(key[part]), kind, np.int32)), pa.array(key[part]), pa.array(symbol[part].astype(np.int32)), pa.array(train[part]), pa.array(total[part])], ["kind", "key", "symbol", "train", "total"])
 
     def run(batches):
-        held: dict[int, tuple[list, list, list]] = {WORD: ([], [], []), GRAM: ([], [], [])}
+        held: tuple[list, list, list] = ([], [], [])
 
-        def flush(kind):
-            key, train, total = _summed(*held[kind])
-            held[kind] = ([], [], [])
-            for i in range(0, len(key), 1 << 16):
-                part = slice(i, i + (1 << 16))
-                yield pa.record_batch([pa.array(np.full(len(key[part]), kind, np.int32)), pa.array(key[part]), pa.array(train[part]), pa.array(total[part])], ["kind", "key", "train", "total"])
+        def flush():
+            key, train, total = _summed(*held)
+            for part in held:
+                part.clear()
+            yield from rows(WORD, key, np.zeros(len(key), np.int32), train, total)
 
         for batch in batches:
             buf, off = text_bytes(batch.column(0))
             learn = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for i, j in row_chunks(off, 2 << 20):
-                words, word_row, grams, gram_row, _ = _terms(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                for kind, keys, row in ((WORD, words, word_row), (GRAM, grams, gram_row)):
-                    key, total = np.unique(keys, return_counts=True)
-                    known, n = np.unique(keys[learn[i:j][row]], return_counts=True)
-                    train = np.zeros(len(key), np.int64)
-                    train[np.searchsorted(key, known)] = n
-                    for part, new in zip(held[kind], (key, train, total), strict=True):
-                        part.append(new)
-                    if sum(map(len, held[kind][0])) > 2_000_000:
-                        yield from flush(kind)
-        for kind in (WORD, GRAM):
-            if held[kind][0]:
-                yield from flush(kind)
-
-    found = docs.select("text", apart.alias("apart")).mapInArrow(run, "kind int, key long, train long, total long")
-    return found.groupBy("kind", "key").agg(F.sum("train").alias("train"), F.sum("total").alias("total"))
+                words, word_row, (context, symbol, key), gram_row, _ = _terms(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                known = learn[i:j].astype(np.int64)
+                for part, new in zip(held, _summed([words], [known[word_row]], [np.ones(len(words), np.int64)]), strict=True):
+                    part.append(new)
+                if sum(map(len, held[0])) > 2_000_000:
+                    yield from flush()
+                order = np.argsort(key)
+                key = key[order]
+                new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                first = order[new]
+                yield from rows(GRAM, context[first].view(np.int64), symbol[first], np.add.reduceat(known[gram_row[order]], new), np.diff(np.append(new, len(key))))
+        if held[0]:
+            yield from flush()
+
+    found = docs.select("text", apart.alias("apart")).mapInArrow(run, "kind int, key long, symbol int, train long, total long")
+    return found.groupBy("kind", "key", "symbol").agg(F.sum("train").alias("train"), F.sum("total").alias("total"))
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -116,76 +126,123 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - math.log(math.pi)
 
 
+_COUNTS = np.arange(1 << 16, dtype=np.float64)
+_HALF, _ONE = log_gamma(_COUNTS + 0.5) - 0.5 * math.log(math.pi), log_gamma(_COUNTS + 1.0)
+
+
+def _log_kt_of_counts(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """``log_kt``, by tables for counts that are not large."""
+    both = zeros + ones
+    large = np.flatnonzero(both >= len(_COUNTS))
+    top = len(_COUNTS) - 1
+    zero, one, sums = (np.minimum(x, top).astype(np.int64) for x in (zeros, ones, both))
+    kt = _HALF[zero] + _HALF[one] - _ONE[sums]
+    kt[large] = log_kt(zeros[large], ones[large])
+    return kt
+
+
 def _weighted(kt: np.ndarray, below: np.ndarray) -> np.ndarray:
     return math.log(0.5) + np.logaddexp(kt, below)
 
 
-def _level(node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None):
+def _level(node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray):
     """Nodes, counts, log weighted probabilities, own share in the mixture, and each input's node."""
     node, at = np.unique(node, return_inverse=True)
     zeros, ones = (np.bincount(at, x, len(node)) for x in (zeros, ones))
     kt = log_kt(zeros, ones)
-    if below is None:
-        return node, zeros, ones, kt, np.ones(len(node)), at
     weighted = _weighted(kt, np.bincount(at, below, len(node)))
     return node, zeros, ones, weighted, np.exp(math.log(0.5) + kt - weighted), at
 
 
-def _forest(key: np.ndarray, train: np.ndarray):
-    """Trees below the last two bytes: the depth-2 level, and the chance of each gram's bits there (8 x grams) with its node."""
-    symbol = key & 255
-    shift = np.arange(8)[:, None]
-    prefix = (1 << shift) | (symbol >> (8 - shift))  # decisions of a byte, 1 to 255
-    bit = (symbol >> (7 - shift)) & 1
-    node = (((key >> 8) << 8) | prefix).ravel()
-    bit, seen = bit.ravel(), np.tile(train, 8).astype(np.float64)
-    zeros, ones, below = np.where(bit == 0, seen, 0.0), np.where(bit == 1, seen, 0.0), None
-    path, chain = None, []
-    for depth in range(DEPTH, 1, -1):
-        node, zeros, ones, below, share, at = _level(node, zeros, ones, below)
-        path = at if path is None else at[path]
-        chain.append((path, zeros, ones, share))
-        if depth > 2:
-            node = ((node >> 16) << 8) | (node & 255)
-    chance = None
-    for path, zeros, ones, share in chain:  # from the deepest
-        own = (np.where(bit == 0, zeros[path], ones[path]) + 0.5) / (zeros[path] + ones[path] + 1.0)
-        chance = own if chance is None else share[path] * own + (1 - share[path]) * chance
-    return (node, zeros, ones, below), chance.reshape(8, -1), bit.reshape(8, -1), node[chain[-1][0]].reshape(8, -1)
-
-
-def _by_pair(grams: DataFrame, function, schema: str) -> DataFrame:
-    """``function(key, train)`` on all grams of some pairs of last bytes at a time."""
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where another run of equal values begins."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def _forest(context: np.ndarray, symbol: np.ndarray, train: np.ndarray):
+    """Trees below the last SPLIT bytes, of grams in order: for each bit of a byte the SPLIT-level nodes
+    (last bytes, prefix, zeros, ones, log weighted probability), each gram's node there, its bit and its bit's chance."""
+    context, symbol, seen = context.view(np.uint64), symbol.astype(np.int64), train.astype(np.float64)
+    path, levels = np.arange(len(symbol)), [(np.arange(len(symbol)), np.arange(len(symbol)), context, symbol, seen)]
+    for _ in range(DEPTH - SPLIT):
+        context = context >> np.uint64(8)
+        key, first, at = np.unique((np.cumsum(_runs(context)) << 8) | symbol, return_index=True, return_inverse=True)
+        context, symbol, seen = context[first], key & 255, np.bincount(at, seen, len(key))
+        path = at[path]
+        levels.append((path, at, context, symbol, seen))
+    own_symbol = levels[0][3]
+    for b in range(8):
+        below, heads, chance = None, None, None
+        bit = (own_symbol >> (7 - b)) & 1
+        for path, at, context, symbol, seen in levels:  # from the deepest
+            prefix = (1 << b) | (symbol >> (8 - b))  # decisions of a byte, 1 to 255
+            new = _runs(context, prefix)
+            start, node = np.flatnonzero(new), np.cumsum(new) - 1
+            ones = np.add.reduceat(np.where((symbol >> (7 - b)) & 1, seen, 0.0), start)
+            zeros = np.add.reduceat(seen, start) - ones
+            kt = _log_kt_of_counts(zeros, ones)
+            if below is None:
+                weighted, share = kt, np.ones(len(kt))
+            else:
+                weighted = _weighted(kt, np.bincount(node[at[heads]], below, len(start)))
+                share = np.exp(math.log(0.5) + kt - weighted)
+            below, heads, mine = weighted, start, node[path]
+            zero = ((zeros + 0.5) / (zeros + ones + 1.0))[mine]
+            own, share = np.where(bit == 0, zero, 1.0 - zero), share[mine]
+            chance = own if chance is None else share * own + (1 - share) * chance
+        yield (context[start].view(np.int64), prefix[start], zeros, ones, weighted), mine, bit, chance
+
+
+def _by_group(rows: DataFrame, order: list[str], function, schema: str) -> DataFrame:
+    """``function`` of the columns, as arrays, of all rows of some groups (first column) at a time."""
 
     def run(batches):
-        keys, trains, held = [], [], 0
+        parts, held = [], 0
         for batch in batches:
-            keys.append(batch.column(0).to_numpy())
-            trains.append(batch.column(1).to_numpy())
+            parts.append([c.to_numpy() for c in batch.columns])
             held += batch.num_rows
             if held > 100_000:
-                key, train = np.concatenate(keys), np.concatenate(trains)
-                pair = key >> (8 * (DEPTH - 1))
-                done = int(np.searchsorted(pair, pair[-1]))  # the last pair may go on
+                columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+                done = int(np.searchsorted(columns[0], columns[0][-1]))  # the last group may go on
                 if done:
-                    yield function(key[:done], train[:done])
-                keys, trains, held = [key[done:]], [train[done:]], len(key) - done
+                    yield function(*(c[:done] for c in columns))
+                parts, held = [[c[done:] for c in columns]], len(columns[0]) - done
         if held:
-            yield function(np.concatenate(keys), np.concatenate(trains))
+            yield function(*(np.concatenate(c) for c in zip(*parts, strict=True)))
 
-    pair = F.shiftright("key", 8 * (DEPTH - 1))
-    ordered = grams.select("key", "train").repartition(pair).sortWithinPartitions("key")
-    return ordered.mapInArrow(run, schema)
+    return rows.repartition(rows.columns[0]).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def gram_values(grams: DataFrame) -> DataFrame:
-    """key and value: the log10 probability of each gram's last byte after the others."""
-
-    def summary(key, train):
-        (node, zeros, ones, below), *_ = _forest(key, train)
-        return pa.record_batch([pa.array(node >> 16), pa.array(node & 255), pa.array(zeros), pa.array(ones), pa.array(below)], ["byte", "prefix", "zeros", "ones", "below"])
-
-    top = _by_pair(grams, summary, "byte long, prefix long, zeros double, ones double, below double")
+    """key (a hash), total and value: the log10 probability of each gram's last byte after the others."""
+    names = ["pair", "last", "prefix", "zeros", "ones", "below"]
+    last = F.shiftrightunsigned("key", 8 * (DEPTH - SPLIT)).alias("last")
+
+    def summary(last, context, symbol, train):
+        found = [np.concatenate(c) for c in zip(*(nodes for nodes, *_ in _forest(context, symbol, train)), strict=True)]
+        return pa.record_batch([pa.array(found[0] >> (8 * (SPLIT - 2))), *map(pa.array, found)], names)
+
+    split = _by_group(grams.select(last, "key", "symbol", "train"), ["last", "key", "symbol"], summary, "pair long, last long, prefix long, zeros double, ones double, below double")
+    split = written(split, "context-nodes")
+
+    def upper(last, prefix, zeros, ones, below):
+        """The levels between SPLIT and 2, the first with each input's node."""
+        node, levels, path = (last << 8) | prefix, [], np.arange(len(last))
+        for _ in range(SPLIT - 2):
+            node, zeros, ones, below, share, at = _level(((node >> 16) << 8) | (node & 255), zeros, ones, below)
+            path = at[path]
+            levels.append((path, zeros, ones, share))
+        return levels, node, below
+
+    def pairs(pair, last, prefix, zeros, ones, below):
+        levels, node, below = upper(last, prefix, zeros, ones, below)
+        return pa.record_batch([pa.array(node >> 16), pa.array(node & 255), pa.array(levels[-1][1]), pa.array(levels[-1][2]), pa.array(below)], ["byte", "prefix", "zeros", "ones", "below"])
+
+    top = _by_group(split, names[:3], pairs, "byte long, prefix long, zeros double, ones double, below double")
     top = top.groupBy("byte", "prefix").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below")).toPandas()
     # depths 1 and 0: counts, own shares
     one, zero = np.zeros((3, 256, 256)), np.zeros((3, 256))
@@ -201,15 +258,34 @@ def gram_values(grams: DataFrame) -> DataFrame:
     zero[2] = np.exp(math.log(0.5) + kt - _weighted(kt, weighted.sum(axis=0)))
     shared = grams.sparkSession.sparkContext.broadcast((one, zero))
 
-    def values(key, train):
+    def shallow(pair, last, prefix, zeros, ones, below):
+        """What depths above SPLIT give for a zero, and the weight that they leave to the depths from there."""
         one, zero = shared.value
-        _, chance, bit, node = _forest(key, train)
-        byte, prefix = node >> 16, node & 255
-        for z, o, share in ((one[0][byte, prefix], one[1][byte, prefix], one[2][byte, prefix]), (zero[0][prefix], zero[1][prefix], zero[2][prefix])):
-            chance = share * (np.where(bit == 0, z, o) + 0.5) / (z + o + 1.0) + (1 - share) * chance
-        return pa.record_batch([pa.array(key), pa.array(np.log10(chance).sum(axis=0))], ["key", "value"])
-
-    return _by_pair(grams, values, "key long, value double")
+        byte = last >> (8 * (SPLIT - 1))
+        levels = [(z[path], o[path], share[path]) for path, z, o, share in upper(last, prefix, zeros, ones, below)[0]]
+        chance, weight = np.zeros(len(last)), np.ones(len(last))
+        for z, o, share in (*levels, tuple(x[byte, prefix] for x in one), tuple(x[prefix] for x in zero)):
+            chance = share * (z + 0.5) / (z + o + 1.0) + (1 - share) * chance
+            weight = (1 - share) * weight
+        return pa.record_batch([pa.array(last), pa.array(prefix), pa.array(chance), pa.array(weight)], ["last", "prefix", "chance", "weight"])
+
+    nodes = _by_group(split, names[:3], shallow, "last long, prefix long, chance double, weight double")
+    none, zero_long = F.lit(0.0), F.lit(0).cast("long")
+    nodes = nodes.select("last", F.lit(0).alias("grade"), zero_long.alias("key"), F.col("prefix").cast("int").alias("symbol"), zero_long.alias("train"), zero_long.alias("total"), "chance", "weight")
+    rows = nodes.union(grams.select(last, F.lit(1), "key", "symbol", "train", "total", none, none))
+
+    def values(last, grade, context, symbol, train, total, above, weight):
+        gram = grade == 1
+        node = (last[~gram] << 8) | symbol[~gram]
+        above, weight = above[~gram], weight[~gram]
+        context, symbol, total = context[gram], symbol[gram], total[gram]
+        value = np.zeros(len(context))
+        for (ends, prefix, *_), mine, bit, chance in _forest(context, symbol, train[gram]):
+            at = np.searchsorted(node, (ends << 8) | prefix)[mine]
+            value += np.log10(np.where(bit == 0, above[at], 1.0 - weight[at] - above[at]) + weight[at] * chance)
+        return pa.record_batch([pa.array(gram_keys(context.view(np.uint64), symbol)), pa.array(total), pa.array(value)], ["key", "total", "value"])
+
+    return _by_group(rows, ["last", "grade", "key", "symbol"], values, "key long, total long, value double")
 
 
 class Table:
@@ -268,9 +344,7 @@ def scored(docs: DataFrame, apart, frequent: int = FREQUENT) -> DataFrame:
     facts = seen.filter(F.col("kind") == WORD).agg(F.coalesce(F.sum("train"), F.lit(0)).alias("n"), F.count_if(F.col("train") > 0).alias("v")).first()
     bottom = facts.n + (facts.v + 1)
     words = seen.filter(F.col("kind") == WORD).withColumn("value", F.log10((F.col("train") + 1) / F.lit(float(bottom))))
-    grams = seen.filter(F.col("kind") == GRAM)
-    values = written(gram_values(grams), "gram-values")
-    grams = grams.join(values, "key").select("kind", "key", "train", "total", "value")
+    grams = gram_values(seen.filter(F.col("kind") == GRAM)).select(F.lit(GRAM).alias("kind"), "key", F.lit(0).cast("long").alias("train"), "total", "value")
     terms = written(words.select("kind", "key", "train", "total", "value").union(grams), "values")
     shared = docs.sparkSession.sparkContext.broadcast({k: _frequent(terms, k, frequent) for k in (WORD, GRAM)})
     unseen = math.log10(1.5 / bottom)  # above the value of a word that training texts lack
@@ -281,7 +355,7 @@ def scored(docs: DataFrame, apart, frequent: int = FREQUENT) -> DataFrame:
         for batch in batches:
             buf, off = text_bytes(batch.column(1))
             for i, j in row_chunks(off, 1 << 20):
-                words, word_row, grams, gram_row, mark = _terms(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                words, word_row, (*_, grams), gram_row, mark = _terms(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 rows = j - i
                 sums, rest = {}, []
                 for kind, keys, row in ((WORD, words, word_row), (GRAM, grams, gram_row)):

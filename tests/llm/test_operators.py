@@ -210,6 +210,13 @@ def test_context_tree(docs, rows, frequent):
     assert len(got[3]) == 2
 
 
+def test_context_tree_learns_from_eight_bytes_before(spark):
+    apart = [d for d in range(900) if zlib.crc32(str(d).encode()) % 7 == 2]
+    rows = [(d, ("1-------x", "2-------y")[i % 2]) for i, d in enumerate(x for x in range(240) if x not in apart)] + [(apart[0], "1-------x"), (apart[1], "1-------y")]
+    got = {r["doc_id"]: r["score"] for r in context_tree.scored(spark.createDataFrame(rows, "doc_id long, text string"), language.held_out(7, 2)).collect()}
+    assert got[apart[0]] > got[apart[1]] + 1
+
+
 def test_context_tree_empty(empty):
     assert context_tree.scored(empty, language.held_out(7, 2)).count() == 0
 
