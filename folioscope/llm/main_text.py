@@ -35,11 +35,19 @@ SWITCH = 1.0  # what it costs to begin or cut out a part
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|title|textarea|noscript|template|svg|iframe|select|button|head)\b.*?(?:</\1\s*>|\Z)"
+    r"|<(?:script|style|title|textarea)(?=[\s/>])[^>]*\Z"
     r"|<(/?)([a-z][a-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']+)*+|[^>]*)>"
     r"|<[!?/][^>]*>",
     re.S | re.I,
 )
+#: Elements whose content is no text: these run to the end of the page if no end tag follows, the others only hide their tag then.
+TO_END = frozenset("script style title textarea".split())
+_RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>", re.I) for n in [*sorted(TO_END), "noscript", "template", "svg", "iframe", "select", "button"]}
+#: What ends these before an end tag: they can't hold it.
+_BREAKS = {n: re.compile(rf"<{n}(?=[\s/>])", re.I) for n in ("select", "button")}
+_BREAKS["svg"] = re.compile(r"<(?:p|div|article|section|h[1-6]|ul|ol|li|table|blockquote|pre|body|img|span)(?=[\s/>])", re.I)
+_FOREIGN = re.compile(r"<foreignobject", re.I)
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 _ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -54,6 +62,34 @@ ENDS = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "
 ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.items()}
 
 
+def _tokens(html: str):
+    """Start, end, slash, name and attributes of each tag or comment; elements without text are one token without a name."""
+    at, none, head = 0, set(), False
+    while m := _TOKEN.search(html, at):
+        at, name = m.end(), (m.group(2) or "").lower()
+        if name == "head" or head and (name in IN_HEAD or not name):
+            head, hidden = name != "head" or not m.group(1), True
+        else:
+            head = head and not name
+            hidden = False
+        if name in _RAW_END and not m.group(1):
+            if name == "svg" and m.group(3).rstrip().endswith("/"):
+                hidden = True
+            else:
+                end = None if name in none else _RAW_END[name].search(html, at)
+                if end is None:
+                    none.add(name)
+                    at = len(html) if name in TO_END else at
+                else:
+                    stop = _BREAKS[name].search(html, at, end.start()) if name in _BREAKS else None
+                    if stop is None or name == "svg" and _FOREIGN.search(html, at, stop.start()):
+                        at = end.end()
+                    else:
+                        at = stop.start() if name == "svg" else at
+                hidden = True
+        yield m.start(), at, m.group(1), "" if hidden else name, m.group(3)
+
+
 class Page:
     """Block elements in document order (parents first) and the text blocks that they own."""
 
@@ -70,27 +106,25 @@ class Page:
                 if whole:
                     self.blocks.append((stack[-1], whole))
 
-        for m in _TOKEN.finditer(html):
-            if m.start() > at:
-                part = html[at : m.start()]
+        for start, end, slash, name, attributes in _tokens(html):
+            if start > at:
+                part = html[at:start]
                 text.append(part)
                 if link:
                     self.links[stack[-1]] += len(part)
-            at = m.end()
-            name = m.group(3)
+            at = end
             if not name:
                 continue
-            name = name.lower()
             if name not in BLOCK:
                 self.tags[stack[-1]] += 1
                 if name == "a":
-                    link = not m.group(2)
+                    link = not slash
                 elif name in ("br", "hr", "img"):
                     text.append(" ")
                 continue
             flush()
             link = 0
-            if m.group(2):
+            if slash:
                 if name in names[1:]:
                     while names[-1] != name:
                         names.pop()
@@ -110,8 +144,8 @@ class Page:
                         del names[k:], stack[k:]
                         break
             own = ["tag:" + name]
-            if m.group(4):
-                for a in _ATTRIBUTE.findall(m.group(4)):
+            if attributes:
+                for a in _ATTRIBUTE.findall(attributes):
                     own += _PART.findall((a[0] or a[1] or a[2]).lower())
             self.tag.append(name)
             self.tokens.append(tuple(own))

@@ -138,6 +138,15 @@ def test_main_text(spark):
     assert main_text.Model(60).extract([deep])[0] in ([], ["x"])
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<article><p>One</p><svg class=i /><p>Two</p></article>", "One Two"), ("<p>One<svg><path d='x'><p>Two<svg>x</svg>", "One Two"), ("<p>One</p><button-group><p>Two</p>", "One Two"),
+    ("<html><head><title>T</title><meta name=x><body><p>One", "One"), ("<head><title>T</title><p>One", "One"), ("<head><title>T</title></head><p>One", "One"), ("<p>One</p><button><p>Two", "One Two"),
+    ("<p>One</p><button>x</button><p>Two", "One Two"), ("<p>One</p><script>x<p>Two", "One"), ("<p>One</p><svg><g>x</g></svg><p>Two", "One Two"), ("<p>One</p><script src=x", "One"),
+])
+def test_main_text_reads_on_after_elements_without_end(html, want):
+    assert " ".join(t for _, t in main_text.Page(html).blocks) == want
+
+
 def test_main_text_on_held_out_pages():
     model, right, both = main_text.Model(), 0, 0
     for seed in range(9000, 9060):
