@@ -342,7 +342,7 @@ def features(media: DataFrame) -> DataFrame:
                 for value, images in zip(part, thumbnails(part), strict=True):
                     payload = b"".join(t.tobytes() for _, t in images)
                     head = images[0][0]
-                    rows.append((head["length"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(value), hashlib.sha256(value).hexdigest(), f"{head['width']}x{head['height']}:{thumbnail_hash(images[0][1])}", len(images)))
+                    rows.append((head["length"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(value), hashlib.sha256(value).hexdigest(), f"{head['width']}x{sum(x['height'] for x, _ in images)}:{thumbnail_hash(np.vstack([t for _, t in images]))}", len(images)))
                 columns = list(zip(*rows, strict=True))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                 yield pa.record_batch([batch.column(0).slice(i, j - i), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names)

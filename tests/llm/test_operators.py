@@ -70,6 +70,14 @@ def test_media_round_trip(docs, rows, empty):
     assert copies.count() == 1
 
 
+def test_media_feature_of_several_images(spark):
+    head = "a" * (media.TILE_ROWS * 192)
+    docs = spark.createDataFrame([(1, head + "b" * 500_000), (2, head + "~" * 900_000)], "doc_id long, text string")
+    a, b = media.features(media.stored(docs)).orderBy("doc_id").collect()
+    assert a["n_images"] > 1 and a["feature"] != b["feature"]
+    assert int(a["feature"].split(":")[0].split("x")[1]) * int(a["feature"].split("x")[0]) >= 64 * len(head)
+
+
 def test_media_reads_other_jpegs():
     """Two components, AC coefficients, no restarts: written bit by bit here."""
     codes = {0: "00", 3: "01", 5: "10"}
