@@ -305,6 +305,24 @@ def test_licenses(spark, docs):
     assert row["probability"].toArray() == pytest.approx(np.exp(margin - margin.max()) / np.exp(margin - margin.max()).sum())
 
 
+def test_licenses_in_wrapped_notices_tags_and_headings(spark, docs):
+    gpl = "This program is free software: you can redistribute it\nand/or modify it under the terms of the GNU General\nPublic License as published by the Free Software Foundation."
+    bsd = "// Redistribution and use in source and binary forms, with or without\n// modification, are permitted provided that the following conditions\n// are met:"
+    isc = "/*\n * Permission to use, copy, modify, and/or distribute this software for any\n * purpose with or without fee is hereby granted.\n */"
+    texts = {"GPL": gpl, "BSD": bsd, "ISC": isc, "MIT": "MIT License", "Apache-2.0": "# SPDX-License-Identifier: Apache-2.0", "": "We chose\nthe MIT license\nas it is short.\n\nApache"}
+    planted = spark.createDataFrame([(200 + i, f"some words\n\n{t}\n\nmore words") for i, t in enumerate(texts.values())], "doc_id long, text string")
+    every = docs.select("doc_id", "text").union(planted)
+    got = collections.Counter((r["doc_id"], r["family"]) for r in licenses.scan(every, *licenses.fit(every)).collect())
+    assert got == {(200 + i, f): 1 for i, f in enumerate(texts) if f}
+
+
+def test_license_anchors_lose_no_template():
+    for t in [t for ts in licenses.TEMPLATES.values() for t in ts]:
+        pairs = set(licenses._template_pairs(t))
+        assert sum(any(a in p for a in licenses.ANCHORS) for p in pairs) > (1 - licenses.COVERED) * len(pairs), t
+    assert all(any(a in t for a in licenses.ANCHORS) for ts in licenses.HEADINGS.values() for t in ts)
+
+
 def test_token_files(docs, rows, empty):
     got = token_files.token_table(docs).orderBy("start").collect()
     path = token_files.default_tokenizer()
