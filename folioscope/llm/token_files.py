@@ -1,8 +1,9 @@
 """Token ids in binary blocks, coded by an adaptive context-mixing range coder.
 
-**Ids.**  Texts are cut at single spaces between other characters, where byte-level BPE
-never joins tokens, and each distinct piece is encoded once per worker by the tokenizers
-library; the ids of a text are those of its pieces in order, and an end id.
+**Ids.**  Texts are cut where byte-level BPE never joins tokens, whatever follows: where a run
+of letters, digits or punctuation ends.  Each distinct piece is encoded once per worker
+by the tokenizers library; the ids of a text are those of its pieces in order, and an end id.
+Texts that hold a special token, and all texts if the tokenizer's first step is another, stay whole.
 
 **Blocks.**  Documents are sorted by ``doc_id``; whole documents are packed into blocks of
 about ``BLOCK_IDS`` ids.  A block is self-contained: magic, counts, the documents' ids
@@ -23,6 +24,7 @@ block raises ``ValueError``.
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -33,16 +35,27 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import row_chunks, shared_dir, table, text_bytes
+from .common import mix64, row_chunks, shared_dir, table, text_bytes
 
 BLOCK_IDS = 1 << 21
 LANES, LANE_IDS = 8192, 64  # at most so many lanes, of at least so many ids
-PIECES_KEPT = 600_000
 MAGIC = b"IDMX1\n"
-
-_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: A space beside other white space, where the pieces would depend on each other.
-_ODD = f" {_WHITE}|{_WHITE} "
+#: Pieces of at most PIECE_BYTES bytes are kept by a worker, PIECES_KEPT at most, and LONG_KEPT longer ones.
+PIECE_BYTES, PIECES_KEPT, LONG_KEPT = 16, 1 << 20, 1 << 16
+
+# Classes of bytes.  Bytes of letters from U+00C0 to U+027F count as letters; all other bytes beyond ASCII, and controls, as OTHER.
+OTHER, LETTER, DIGIT, MARK, BLANK, BREAK, QUOTE = range(7)
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[33:127] = MARK
+_CLASS[[*range(65, 91), *range(97, 123)]] = LETTER
+_CLASS[48:58], _CLASS[32], _CLASS[9:14], _CLASS[39] = DIGIT, BLANK, BREAK, QUOTE
+#: Between which classes a token always ends: where a run of letters, digits or marks ends.  A quote may begin a suffix.
+_ENDS = np.zeros((8, 8), bool)
+for _c in (LETTER, DIGIT, MARK):
+    _ENDS[_c] = [d not in (OTHER, _c) for d in range(8)]
+_ENDS[MARK, QUOTE] = False
+_ENDS[QUOTE, [DIGIT, BLANK, BREAK]] = True
+_KNOWN = np.array([c in (LETTER, DIGIT, MARK, QUOTE) for c in range(8)])
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -52,8 +65,54 @@ def default_tokenizer() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+class Pieces:
+    """Ids of pieces of at most PIECE_BYTES bytes, by these bytes and their number: open addressing, all queries at a time."""
+
+    def __init__(self):
+        slots = 2 * PIECES_KEPT
+        self.shift = np.uint64(65 - slots.bit_length())
+        self.low, self.high = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.size, self.n, self.at = np.zeros(slots, np.uint8), np.zeros(slots, np.uint8), np.zeros(slots, np.int32)
+        self.ids, self.used, self.count = np.zeros(1 << 16, np.uint16), 0, 0
+
+    def slots(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (mix64(low ^ mix64(high + np.uint64(0x9E3779B97F4A7C15))) >> self.shift).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The slot of each piece, or -1."""
+        at = self.slots(low, high)
+        out = np.where((self.low[at] == low) & (self.high[at] == high) & (self.size[at] == size), at, -1)
+        left = np.flatnonzero((out < 0) & (self.size[at] > 0))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & (len(self.size) - 1)
+            hit = (self.low[at] == low[left]) & (self.high[at] == high[left]) & (self.size[at] == size[left])
+            out[left[hit]] = at[hit]
+            stay = ~hit & (self.size[at] > 0)
+            left, at = left[stay], at[stay]
+        return out
+
+    def add(self, low: np.ndarray, high: np.ndarray, size: np.ndarray, ids: np.ndarray, begin: np.ndarray, n: np.ndarray) -> None:
+        """New pieces; each has n of the ids from where it begins."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint16)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        begin = self.used + begin
+        self.used, self.count = self.used + len(ids), self.count + len(n)
+        left, at = np.arange(len(n)), self.slots(low, high)
+        while len(left):
+            free = self.size[at] == 0
+            slot, first = np.unique(at[free], return_index=True)
+            chosen = left[free][first]
+            self.low[slot], self.high[slot], self.size[slot], self.n[slot], self.at[slot] = low[chosen], high[chosen], size[chosen], n[chosen], begin[chosen]
+            stay = np.ones(len(left), bool)
+            stay[np.flatnonzero(free)[first]] = False
+            left, at = left[stay], at[stay]
+            at = np.where(self.size[at] > 0, (at + 1) & (len(self.size) - 1), at)
+
+
 def _loaded(path: str) -> tuple:
-    """The tokenizer, the byte length of each id, and the pieces known so far: at a text's start, after a space, and before the last clearing."""
+    """The tokenizer, the byte length of each id, whether texts may be cut, patterns of special tokens, and the pieces known so far."""
     if path not in _tokenizers:
         import os
 
@@ -68,64 +127,127 @@ def _loaded(path: str) -> tuple:
         length = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             length[i] = len(token.encode()) if token in special else len(token)
-        _tokenizers[path] = tokenizer, length, {}, {}, {}
+        with open(path, encoding="utf-8") as f:
+            plan = json.load(f)
+        first = plan.get("pre_tokenizer") or {}
+        cuts = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space") and not plan.get("normalizer")
+        _tokenizers[path] = tokenizer, length, cuts, sorted(special), Pieces(), {}
     return _tokenizers[path]
 
 
-def _known(pieces: list[str], first: bool, path: str) -> list[bytes]:
-    """The ids of distinct pieces, at a text's start or after a space."""
-    tokenizer, length, firsts, after, older = _loaded(path)
-    known = firsts if first else after
-    found = list(map(known.get, pieces))
-    new = [w for w, ids in zip(pieces, found, strict=True) if ids is None]
-    if not first and older and new:
-        again = [(w, older[w]) for w in new if w in older]
-        after.update(again)
-        new = [w for w in new if w not in after]
-    if new and first:
-        for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            firsts[w] = np.array(e.ids, "<u2").tobytes()
-    elif new:
-        for i in range(0, len(new), 2000):  # one after another they are a text whose pieces they are again
-            some = new[i : i + 2000]
-            ids = np.array(tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u2")
-            ends = np.searchsorted(np.cumsum(length[ids]), np.cumsum([len(w.encode()) + 1 for w in some])) + 1
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(some, (2 * ends).tolist(), strict=True):
-                after[w] = raw[at:end]
-                at = end
-    if new:
-        found = list(map(known.__getitem__, pieces))
-    if len(firsts) > PIECES_KEPT // 4:
-        firsts.clear()
-    if len(after) > PIECES_KEPT:  # two generations: what is used again stays known
-        older.clear()
-        older.update(after)
-        after.clear()
-    return found
+def _kinds(buf: np.ndarray) -> np.ndarray:
+    kind = _CLASS[buf]
+    wide = np.flatnonzero((buf >= 0xC3) & (buf <= 0xC9))
+    wide = wide[(buf[wide] > 0xC3) | ((buf[wide + 1] != 0x97) & (buf[wide + 1] != 0xB7))]  # the signs of multiplication and division
+    kind[wide], kind[wide + 1] = LETTER, LETTER
+    return kind
+
+
+def _cut(kind: np.ndarray) -> np.ndarray:
+    """Whether a token always begins at a byte, as those before it end there whatever follows."""
+    cut = np.zeros(len(kind), bool)
+    cut[1:] = _ENDS[kind[:-1], kind[1:]]
+    one = np.flatnonzero(kind[1:-1] == BREAK) + 1  # a break alone is a token
+    cut[one[_KNOWN[kind[one - 1]] & _KNOWN[kind[one + 1]]] + 1] = True
+    return cut
+
+
+def _encoded(buf: np.ndarray, other: np.ndarray, start: np.ndarray, size: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of some pieces of a text in a row, and where each piece's begin and how many they are; other: bytes before each that are no letters."""
+    tokenizer, length, *_ = _loaded(path)
+    blank = buf[start] == 32
+    words = other[start + size] - other[start] == blank
+    begin, count, out, used = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64), [], 0
+
+    def ids_of(texts):
+        return [np.array(e.ids, np.uint16) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    # words one after another are a text whose pieces they are again: each begins with a blank, or a line break is put before it
+    at = np.flatnonzero(words)
+    for i in range(0, len(at), 200):
+        some = at[i : i + 200]
+        gap = (~blank[some]).astype(np.int64)
+        ends = np.cumsum(size[some] + gap)
+        text = np.full(ends[-1], 10, np.uint8)
+        inside = np.arange(size[some].sum()) + np.repeat(np.cumsum(gap), size[some])
+        text[inside] = buf[np.arange(size[some].sum()) + np.repeat(start[some] - (np.cumsum(size[some]) - size[some]), size[some])]
+        (ids,) = ids_of([text.tobytes().decode()])
+        last = np.searchsorted(np.cumsum(length[ids]), ends) + 1
+        first = np.concatenate([[0], last[:-1]]) + gap
+        begin[some], count[some] = used + first, last - first
+        out.append(ids)
+        used += len(ids)
+    at = np.flatnonzero(~words)
+    if len(at):
+        found = ids_of([buf[i : i + n].tobytes().decode() for i, n in zip(start[at].tolist(), size[at].tolist(), strict=True)])
+        count[at] = list(map(len, found))
+        begin[at] = used + np.cumsum(count[at]) - count[at]
+        out += found
+    return np.concatenate(out) if out else np.zeros(0, np.uint16), begin, count
 
 
 def encoded(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """The 16-bit ids of all texts, without end ids, and the texts' offsets in them; null is empty."""
-    texts = pc.fill_null(texts, "")
-    if not len(texts):
-        return np.zeros(0, np.uint16), np.zeros(1, np.int64)
-    odd = pc.match_substring_regex(texts, _ODD)  # such a text is one piece
-    lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
-    starts = lists.offsets.to_numpy().astype(np.int64)
-    values = lists.values.slice(starts[0], starts[-1] - starts[0]).dictionary_encode()
-    starts = starts - starts[0]
-    heads = pc.if_else(odd, texts, values.take(pa.array(starts[:-1])).cast(texts.type)).dictionary_encode()
-    found = _known(values.dictionary.to_pylist(), False, path)
-    piece = values.indices.to_numpy().astype(np.int64)
-    piece[starts[:-1]] = len(found) + heads.indices.to_numpy()
-    found += _known(heads.dictionary.to_pylist(), True, path)
-    size = np.fromiter(map(len, found), np.int64, len(found)) // 2
-    begin, ids = np.cumsum(size) - size, np.frombuffer(b"".join(found), "<u2")
-    n = size[piece]
-    ends = np.cumsum(n)
-    ids = ids[np.arange(ends[-1]) + np.repeat(begin[piece] - (ends - n), n)]
-    return ids, np.concatenate([[0], ends[starts[1:] - 1]])
+    _, _, cuts, special, known, longs = _loaded(path)
+    buf, off = text_bytes(texts)
+    if not len(buf):
+        return np.zeros(0, np.uint16), np.zeros(len(off), np.int64)
+    whole = np.full(len(off) - 1, not cuts)
+    for token in special:  # a text that holds one is a piece of its own
+        whole |= pc.fill_null(pc.match_substring(texts, token), False).to_numpy(zero_copy_only=False)
+    kind = _kinds(buf)
+    cut = _cut(kind) if cuts else np.zeros(len(buf), bool)
+    other = np.zeros(len(buf) + 1, np.int32 if len(buf) < 1 << 31 else np.int64)
+    np.cumsum(kind != LETTER, out=other[1:])
+    for r in np.flatnonzero(whole):
+        cut[off[r] : off[r + 1]] = False
+    cut[off[:-1][np.diff(off) > 0]] = True
+    start = np.flatnonzero(cut)
+    size = np.diff(np.append(start, len(buf)))
+    padded = np.concatenate([buf, np.zeros(PIECE_BYTES, np.uint8)])
+    words = np.ndarray(len(buf) + 8, "<u8", padded, strides=(1,))
+    low, high = words[start] & _MASK[np.minimum(size, 8)], words[start + 8] & _MASK[np.clip(size - 8, 0, 8)]
+    apart = size > PIECE_BYTES
+    if whole.any():
+        apart |= whole[np.searchsorted(off, start, "right") - 1]
+    slot = known.find(low, high, size)
+    slot[apart] = 0
+    count, begin = known.n[slot].astype(np.int64), known.at[slot].astype(np.int64)
+    pool = [known.ids[: known.used]]
+    used = known.used
+    new = np.flatnonzero(slot < 0)
+    if len(new):
+        new = new[np.argsort(mix64(low[new] ^ mix64(high[new])), kind="stable")]
+        first = np.ones(len(new), bool)
+        first[1:] = (low[new][1:] != low[new][:-1]) | (high[new][1:] != high[new][:-1]) | (size[new][1:] != size[new][:-1])
+        one, each = new[first], np.cumsum(first) - 1
+        ids, at, n = _encoded(buf, other, start[one], size[one], path)
+        begin[new], count[new] = used + at[each], n[each]
+        pool.append(ids)
+        used += len(ids)
+        if known.count + len(one) <= PIECES_KEPT:  # once full, those known stay
+            known.add(low[one], high[one], size[one], ids, at, n)
+    at = np.flatnonzero(apart)
+    if len(at):
+        keys = [buf[i : i + n].tobytes() for i, n in zip(start[at].tolist(), size[at].tolist(), strict=True)]
+        fresh = {k: i for i, k in zip(at.tolist(), keys, strict=True) if k not in longs}
+        where = np.fromiter(fresh.values(), np.int64, len(fresh))
+        ids, b, n = _encoded(buf, other, start[where], size[where], path)
+        mine = {k: ids[i : i + m] for k, i, m in zip(fresh, b.tolist(), n.tolist(), strict=True)}
+        found = [longs[k] if k in longs else mine[k] for k in keys]
+        if len(longs) > LONG_KEPT:
+            longs.clear()
+        longs.update((k, v.copy()) for k, v in mine.items() if len(k) <= 8 * PIECE_BYTES)
+        count[at] = list(map(len, found))
+        begin[at] = used + np.cumsum(count[at]) - count[at]
+        pool += found
+    pool = np.concatenate(pool)
+    ends = np.cumsum(count)
+    ids = pool[np.arange(ends[-1]) + np.repeat(begin - (ends - count), count)]
+    return ids, np.concatenate([[0], ends])[np.searchsorted(start, off)]
+
+
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 # --- the coder -----------------------------------------------------------------------
@@ -293,7 +415,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
             return out
 
         for batch in batches:
-            for i, j in row_chunks(text_bytes(batch.column(1))[1], 8 << 20):
+            for i, j in row_chunks(text_bytes(batch.column(1))[1]):
                 ids, at = encoded(batch.column(1).slice(i, j - i), tokenizer)
                 raw, at = ids.tobytes(), (2 * at).tolist()
                 for k, doc_id in enumerate(batch.column(0).slice(i, j - i).to_pylist()):

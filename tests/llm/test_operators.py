@@ -353,7 +353,8 @@ def test_pieces_equal_whole_texts():
     path = token_files.default_tokenizer()
     tokenizer = token_files._loaded(path)[0]
     r = random.Random(6)
-    texts = ["".join(r.choices(["a", "B", " ", " ", "\n", "é", "'s", "12", "\xa0", "\x1c", "日", "<|endoftext|>", "..."], k=r.randrange(0, 25))) for _ in range(400)]
+    parts = ["a", "B", " ", " ", "\n", "\t", "\r\n", "é", "×", "÷", "ß", "'s", "'", "'ll", "12", "½", "\xa0", "\x1c", "\x00", "日", "Ж", "ɿʀ", "\u0301", "—", "%", "<|endoftext|>", "...", "abcdefghijklmnopqrs"]
+    texts = ["".join(r.choices(parts, k=r.randrange(0, 25))) for _ in range(4000)]
     ids, at = token_files.encoded(pa.array(texts), path)
     for k, t in enumerate(texts):
         assert ids[at[k] : at[k + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
