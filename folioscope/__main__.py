@@ -21,6 +21,7 @@ from folioscope.operators import classify, diffing, layout, report
 from folioscope.plans import compare
 from folioscope.shipping import ship
 from folioscope.sources import readers, writers
+from folioscope.storage import written
 
 
 def parser() -> argparse.ArgumentParser:
@@ -71,17 +72,21 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         if args.dump_intermediate:
             cleaned = layout.clean_lines(lines, pages, config(args))
             cleaned.filter("reason is not null").write.mode("overwrite").json(f"{args.output}/removed_lines")
-            layout.extraction_summary(cleaned).write.mode("overwrite").json(f"{args.output}/debug")
+            layout.extraction_summary(cleaned, pages).write.mode("overwrite").json(f"{args.output}/debug")
     elif args.command == "diff":
         sides = [x for path in (args.layout_a, args.layout_b) for x in readers.extract(spark, path, args.backend)]
         found = compare.compare(*sides, config(args))
-        writers.write_json(found["diffs"], diffing.summary(found["diffs"]), f"{args.output}/reports")
+        diffs = written(found["diffs"], "diffs")
+        writers.write_json(diffs, diffing.summary(diffs, found["pairs"]), f"{args.output}/reports")
         if args.dump_intermediate:
             found["matches"].write.mode("overwrite").json(f"{args.output}/matches")
+            for s, (lines, pages) in zip("ab", (sides[:2], sides[2:]), strict=True):
+                cleaned = layout.clean_lines(lines, pages, config(args))
+                layout.extraction_summary(cleaned, pages).write.mode("overwrite").json(f"{args.output}/debug_{s}")
     elif args.command == "classify":
         rows = classify.classified(readers.reports(spark, args.report))
         rows.write.mode("overwrite").json(f"{args.output}/classifications")
-        classify.summary(rows).write.mode("overwrite").json(f"{args.output}/summary")
+        classify.summary(rows, readers.reports(spark, args.report)).write.mode("overwrite").json(f"{args.output}/summary")
     elif args.command == "export":
         rows = export_of(spark, args.report)
         if args.csv:
@@ -94,7 +99,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         entries = report.imported(rows, readers.labels(spark, args.classified, pair), args.source).withColumn("updated_at", F.current_timestamp())
         n = entries.count()
         if n:
-            writers.append_log(report.numbered(entries), args.log)
+            writers.append_log(entries, args.log)
         print(f"imported={n}")
 
 

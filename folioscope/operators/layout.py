@@ -6,6 +6,9 @@ page, x0, y0, x1, y1, text) and pages(doc_id, page, height).
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,24 +25,32 @@ def lines_from_spans(spans: DataFrame, cfg: LayoutConfig = LayoutConfig()) -> Da
     spans = spans.withColumn("_new", new).withColumn("_line", F.sum("_new").over(order))
     by_x = F.array_sort(F.collect_list(F.struct("x0", "span_no", "text", "block")))
     lines = spans.groupBy("doc_id", "page", "_line").agg(by_x.alias("_s"), *[f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))])
-    joined = F.array_join(F.transform("_s", lambda s: F.trim(s["text"])), " ")
+    joined = F.array_join(F.transform("_s", lambda s: T.collapse(s["text"])), " ")
     place = Window.partitionBy("doc_id").orderBy("page", "y0", "x0", "_line")
     return lines.select("doc_id", (F.row_number().over(place) - 1).cast("long").alias("line_no"), "page", "x0", "y0", "x1", "y1", joined.alias("text"), F.col("_s")[0]["block"].alias("source_block"))
 
 
 def lines_from_elements(elements: DataFrame, cfg: LayoutConfig = LayoutConfig()) -> tuple[DataFrame, DataFrame]:
-    """Lines of elements(doc_id, element_no, page, text, points array<struct<x,y>>, height), and per document whether positions can be relied on."""
+    """Lines and pages(doc_id, page, height, reliable) of elements(doc_id, element_no, page, text, points array<struct<x,y>>, height).
+
+    A page is as high as its highest element says; the fallback counts too if its first element says nothing.
+    reliable: whether enough of the document's elements have coordinates.
+    """
     has = F.col("points").isNotNull() & (F.size("points") > 0)
-    row = (F.row_number().over(Window.partitionBy("doc_id", F.coalesce("page", F.lit(1))).orderBy("element_no")) - 1).cast("double")
-    e = elements.filter(T.collapse(F.col("text")) != "").withColumn("_row", row).withColumn("page", F.coalesce("page", F.lit(1)))
+    e = elements.withColumn("text", T.collapse(F.col("text"))).filter(F.col("text") != "").withColumn("page", F.coalesce("page", F.lit(1)))
+    row = (F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("element_no")) - 1).cast("double")
+    e = e.withColumn("_row", row).withColumn("_has", has).withColumn("_height", F.when(has & (F.col("height") > 0), F.col("height")))
     x, y = F.transform("points", lambda p: p["x"]), F.transform("points", lambda p: p["y"])
     boxes = {"x0": (F.array_min(x), F.lit(0.0)), "y0": (F.array_min(y), F.col("_row")), "x1": (F.array_max(x), F.length("text").cast("double")), "y1": (F.array_max(y), F.col("_row") + 1)}
     for name, (real, other) in boxes.items():
         e = e.withColumn(name, F.when(has, real).otherwise(other))
     place = Window.partitionBy("doc_id").orderBy("page", "y0", "x0", "element_no")
     lines = e.withColumn("line_no", (F.row_number().over(place) - 1).cast("long")).select("doc_id", "line_no", "page", "x0", "y0", "x1", "y1", "text")
-    facts = e.groupBy("doc_id").agg((F.avg(has.cast("double")) >= cfg.reliable_share).alias("reliable"), F.coalesce(F.max("height"), F.lit(cfg.fallback_height)).alias("height"))
-    return lines, facts
+    fallback = F.lit(cfg.fallback_height)
+    first = F.max(F.when(F.col("_row") == 0, F.coalesce("_height", fallback)))
+    pages = e.groupBy("doc_id", "page").agg(F.greatest(first, F.max("_height")).alias("height"))
+    facts = e.groupBy("doc_id").agg((F.avg(F.col("_has").cast("double")) >= cfg.reliable_share).alias("reliable"))
+    return lines, pages.join(facts, "doc_id")
 
 
 def edge_candidates(lines: DataFrame, pages: DataFrame, cfg: LayoutConfig = LayoutConfig()) -> DataFrame:
@@ -56,50 +67,98 @@ def running_title(c) -> F.Column:
     return (F.length(t) >= 20) & t.rlike(r"(?<![\p{L}\p{N}_])\d{1,4}$") & (F.length(F.regexp_replace(t, r"[^\p{L}]", "")) >= 12) & T.header_footer_norm(c).rlike("[a-z]")
 
 
+#: Why an edge line goes, the first that holds.
+REASONS = ("page_number", "repeat", "cluster", "running_title")
+
+
 def _clusters(cfg: LayoutConfig, metric: str):
-    measure = METRICS[metric]
-
-    def run(rows):
-        """Leader clustering in page and line order: the first cluster whose first member is close enough."""
-        rows = rows.sort_values(["page", "line_no"])
-        leaders, found = [], []
-        for norm in rows["norm"]:
-            for k, leader in enumerate(leaders):
-                if leader == norm or leader and norm and measure(leader, norm) >= cfg.fuzzy_threshold:
-                    found.append(k)
-                    break
-            else:
-                leaders.append(norm)
-                found.append(len(leaders) - 1)
-        return rows.assign(cluster=found)[["doc_id", "page", "line_no", "region", "text", "cluster"]]
+    """Adds ``pages``, the distinct pages of each line's cluster, to edge lines sorted by document, band, page and line."""
+    least = cfg.fuzzy_threshold
+
+    def close(norm: str, leader: str) -> bool:
+        if not norm or not leader:
+            return False
+        if norm == leader:
+            return True
+        if metric != "sequence":
+            return METRICS[metric](norm, leader) >= least
+        matcher = difflib.SequenceMatcher(None, norm, leader)
+        return matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least and matcher.ratio() >= least
+
+    def counted(norms, pages):
+        """Leader clustering: each line joins the first cluster whose first member is close enough."""
+        leaders: list[str] = []
+        known: dict[str, int] = {}
+        found = []
+        for norm in norms:
+            if norm not in known or not norm:  # an empty form is close to nothing
+                known[norm] = next((k for k, leader in enumerate(leaders) if close(norm, leader)), len(leaders))
+                if known[norm] == len(leaders):
+                    leaders.append(norm)
+            found.append(known[norm])
+        seen: dict[int, set] = {}
+        for k, page in zip(found, pages, strict=True):
+            seen.setdefault(k, set()).add(page)
+        # a band of one line is no cluster
+        return [len(seen[k]) if len(found) > 1 else 0 for k in found]
+
+    def run(batches):
+        held = None
+        for rows in batches:
+            rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
+            where = (rows["doc_id"] != rows["doc_id"].shift()) | (rows["region"] != rows["region"].shift())
+            starts = [*where.to_numpy().nonzero()[0].tolist()]
+            held = rows.iloc[starts[-1] :] if starts else rows
+            if len(starts) > 1:
+                yield done(rows.iloc[: starts[-1]], starts)
+        if held is not None and len(held):
+            yield done(held, [0, len(held)])
+
+    def done(rows, starts):
+        norms, pages = rows["norm"].tolist(), rows["page"].tolist()
+        out = []
+        for i, j in zip(starts, starts[1:], strict=False):
+            out += counted(norms[i:j], pages[i:j])
+        return rows.assign(pages=out)
 
     return run
 
 
 def removable(lines: DataFrame, pages: DataFrame, cfg: LayoutConfig = LayoutConfig(), fuzzy: bool = True, metric: str = "sequence") -> DataFrame:
-    """Distinct doc_id, page, text (single-spaced) of repeated edge lines, and why."""
-    edge = edge_candidates(lines, pages, cfg)
+    """Distinct doc_id, page, text (single-spaced) of edge lines that go, and the first of REASONS.
+
+    Documents whose ``pages`` say that positions can't be relied on (``reliable`` false) have none.
+    One shuffle brings the edge lines of a document together; they are bounded by its pages.
+    """
     n_pages = pages.groupBy("doc_id").agg(F.greatest(F.countDistinct("page"), F.lit(1)).alias("n_pages"))
-    counts = edge.groupBy("doc_id", "region", "norm").agg(F.count("*").alias("n")).join(n_pages, "doc_id")
-    often = counts.filter(F.col("n") / F.col("n_pages") >= cfg.repeat_ratio).select("doc_id", "region", "norm")
-    text = T.collapse(F.col("text")).alias("text")
-    exact = edge.join(often, ["doc_id", "region", "norm"], "left_semi").select("doc_id", "page", text, F.lit("repeat").alias("reason"))
-    number = edge.filter(T.is_page_number(F.col("text"))).select("doc_id", "page", text, F.lit("page_number").alias("reason"))
-    found = exact.union(number)
+    if "reliable" in pages.columns:
+        pages = pages.filter(F.coalesce("reliable", F.lit(True)))
+    edge = edge_candidates(lines, pages, cfg).select("doc_id", "page", "line_no", "region", "norm", T.collapse(F.col("text")).alias("text"))
+    edge = edge.withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "region", "norm")))
     if fuzzy:
-        # the edge lines of one document and band: bounded by its pages
-        kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
-        schema = f"doc_id {kinds['doc_id']}, page {kinds['page']}, line_no {kinds['line_no']}, region string, text string, cluster int"
-        clusters = edge.select("doc_id", "page", "line_no", "region", "norm", "text").groupBy("doc_id", "region").applyInPandas(_clusters(cfg, metric), schema)
-        size = clusters.groupBy("doc_id", "region", "cluster").agg(F.countDistinct("page").alias("pages"), F.count("*").alias("members"))
-        near = clusters.join(size, ["doc_id", "region", "cluster"]).join(n_pages, "doc_id")
-        near = near.filter((F.col("pages") / F.col("n_pages") >= cfg.repeat_ratio) | (F.col("pages") >= 2) & running_title(F.col("text")))
-        found = found.union(near.select("doc_id", "page", text, F.lit("cluster").alias("reason")))
-    return found.groupBy("doc_id", "page", "text").agg(F.min("reason").alias("reason"))
+        edge = edge.repartition("doc_id").sortWithinPartitions("doc_id", "region", "page", "line_no")
+        edge = edge.mapInPandas(_clusters(cfg, metric), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edge.schema) + ", pages long")
+    else:
+        edge = edge.withColumn("pages", F.lit(0).cast("long"))
+    edge = edge.join(n_pages, "doc_id")
+    tests = (
+        T.is_page_number(F.col("text")),
+        F.col("n") / F.col("n_pages") >= cfg.repeat_ratio,
+        F.col("pages") / F.col("n_pages") >= cfg.repeat_ratio,
+        (F.col("pages") >= 2) & running_title(F.col("text")),
+    )
+    rank = F.lit(None).cast("int")
+    for k in reversed(range(len(tests))):
+        rank = F.when(tests[k], k).otherwise(rank)
+    found = edge.withColumn("_rank", rank).filter("_rank is not null").groupBy("doc_id", "page", "text").agg(F.min("_rank").alias("_rank"))
+    return found.select("doc_id", "page", "text", F.element_at(F.array(*map(F.lit, REASONS)), F.col("_rank") + 1).alias("reason"))
 
 
 def clean_lines(lines: DataFrame, pages: DataFrame, cfg: LayoutConfig = LayoutConfig(), fuzzy: bool = True, positions: bool = True) -> DataFrame:
-    """All lines with ``reason`` (null for those kept); a removable text goes wherever it stands on its page."""
+    """All lines with ``reason``: null for those kept, ``blank`` for blank ones, which are neither kept nor removed.
+
+    A removable text goes wherever it stands on its page.
+    """
     lines = lines.withColumn("_t", T.collapse(F.col("text")))
     if positions:
         gone = removable(lines, pages, cfg, fuzzy).withColumnsRenamed({"text": "_t", "reason": "_r"})
@@ -109,10 +168,17 @@ def clean_lines(lines: DataFrame, pages: DataFrame, cfg: LayoutConfig = LayoutCo
     reason = F.col("_r")
     manual = F.lit(False)
     for p in (*cfg.header_patterns, *cfg.footer_patterns):
-        manual = manual | F.col("text").rlike("(?iu)" + p)
-    reason = F.coalesce(reason, F.when(manual, "pattern"), F.when(T.is_page_number(F.col("text")), "page_number"), F.when(T.is_noise(F.col("text"), cfg.ignore_patterns), "noise"))
+        manual = manual | F.col("_t").rlike("(?iu)" + p)
+    reason = F.coalesce(F.when(F.col("_t") == "", "blank"), reason, F.when(manual, "pattern"), F.when(T.is_page_number(F.col("text")), "page_number"), F.when(T.is_noise(F.col("_t"), cfg.ignore_patterns), "noise"))
     return lines.withColumn("reason", reason).drop("_t", "_r")
 
 
-def extraction_summary(cleaned: DataFrame) -> DataFrame:
-    return cleaned.groupBy("doc_id").agg(F.countDistinct("page").alias("pages"), F.count("*").alias("lines"), F.count_if(F.col("reason").isNotNull()).alias("removed"), F.count_if(F.col("reason").isNull()).alias("remaining"))
+def extraction_summary(cleaned: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Per document: pages (with ``pages`` also those without lines), lines, removed and remaining ones; blank lines are neither."""
+    gone, blank = F.col("reason").isNotNull(), F.coalesce(F.col("reason") == "blank", F.lit(False))
+    counts = cleaned.groupBy("doc_id").agg(F.countDistinct("page").alias("pages"), F.count("*").alias("lines"), F.count_if(gone & ~blank).alias("removed"), F.count_if(~gone).alias("remaining"))
+    if pages is None:
+        return counts
+    every = pages.groupBy("doc_id").agg(F.countDistinct("page").alias("pages"))
+    zero = F.lit(0).cast("long")
+    return every.join(counts.drop("pages"), "doc_id", "left").select("doc_id", "pages", *[F.coalesce(c, zero).alias(c) for c in ("lines", "removed", "remaining")])

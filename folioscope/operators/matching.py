@@ -1,20 +1,19 @@
 """Alignment of the sections of two versions: candidates, scores, one-to-one assignment.
 
-Tables: sides A and B are sections with ``pair_id``.  Candidates meet by ``pair_id`` only.
-A candidate can reach the low threshold only if its title similarity is high enough, as
-the other terms are bounded, so bodies are compared for those alone; similarities of
-titles are computed once for each distinct pair of titles.
+Tables: sides A and B are sections with ``pair_id``.  Candidates meet by ``pair_id`` only,
+in one shuffle that the assignment uses again.  A candidate can reach the low threshold
+only if its title similarity is high enough, as the other terms are bounded: titles are
+measured as far as that is still possible, and bodies for those that remain.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.config import MatchConfig
 from folioscope.functions import text as T
-from folioscope.functions.similarity import similarity
+from folioscope.functions.similarity import similarity, title_scores
 
 
 def pool(sections: DataFrame) -> DataFrame:
@@ -43,35 +42,43 @@ def plain_terms(c: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
 def scored(a: DataFrame, b: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
     """pair_id, both ids and positions, score and reason, of candidates that reach the low threshold."""
     c = plain_terms(candidates(a, b), cfg)
-    names = ["title_normalized_a", "title_normalized_b", "core_a", "core_b"]
-    titles = c.select(*names).distinct()
     share = cfg.title_norm_share
-    titles = titles.withColumn("title_raw", similarity(F.col(names[0]), F.col(names[1]), cfg.metric)).withColumn("title_core", similarity(F.col(names[2]), F.col(names[3]), cfg.metric))
-    titles = titles.withColumn("title_score", share * F.col("title_raw") + (1 - share) * F.col("title_core"))
-    rest = cfg.body_weight + cfg.anchor_weight + cfg.order_weight
-    titles = titles.filter(F.col("title_score") >= (cfg.low - rest) / cfg.title_weight - 1e-4)
-    c = c.join(titles, names).withColumn("body_score", similarity(F.col("prefix_a"), F.col("prefix_b"), cfg.metric))
+    others = cfg.body_weight + cfg.anchor_weight * F.col("anchor_score") + cfg.order_weight * F.col("order_score")
+    c = c.withColumn("_least", (F.lit(cfg.low) - others) / cfg.title_weight - 1e-4)
+    c = c.withColumn("_t", title_scores(*[F.col(n) for n in ("title_normalized_a", "title_normalized_b", "core_a", "core_b", "_least")], share, cfg.metric)).filter("_t is not null")
+    c = c.withColumn("title_raw", F.col("_t.raw")).withColumn("title_core", F.col("_t.core")).withColumn("title_score", share * F.col("title_raw") + (1 - share) * F.col("title_core"))
+    c = c.withColumn("body_score", similarity(F.col("prefix_a"), F.col("prefix_b"), cfg.metric))
     score = cfg.title_weight * F.col("title_score") + cfg.body_weight * F.col("body_score") + cfg.anchor_weight * F.col("anchor_score") + cfg.order_weight * F.col("order_score")
     reason = F.format_string("title_raw=%.3f, title_core=%.3f, title=%.3f, body=%.3f, anchor=%.3f, order=%.3f", "title_raw", "title_core", "title_score", "body_score", "anchor_score", "order_score")
     return c.withColumn("score", score).filter(F.col("score") >= cfg.low).select("pair_id", "i_a", "i_b", "section_id_a", "section_id_b", "score", reason.alias("reason"))
 
 
 def assigned(scores: DataFrame) -> DataFrame:
-    """Greedy one-to-one assignment by score, ties by position; adds match_no."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "i_a", "i_b"], ascending=[False, True, True], kind="stable")
-        used_a, used_b, keep = set(), set(), []
-        for k, (i, j) in enumerate(zip(rows["i_a"], rows["i_b"], strict=True)):
-            if i not in used_a and j not in used_b:
-                used_a.add(i)
-                used_b.add(j)
-                keep.append(k)
-        rows = rows.iloc[keep]
-        return rows.assign(match_no=range(len(rows)))
+    """Greedy one-to-one assignment by score, ties by position; adds match_no.
+
+    Spark sorts each pair's candidates; a task walks through many pairs and holds the
+    positions taken in the one at hand.
+    """
+
+    def run(batches):
+        pair, used_a, used_b, no = None, set(), set(), 0
+        for rows in batches:
+            keep, numbers = [], []
+            for k, (p, i, j) in enumerate(zip(rows["pair_id"], rows["i_a"], rows["i_b"], strict=True)):
+                if p != pair:
+                    pair, used_a, used_b, no = p, set(), set(), 0
+                if i not in used_a and j not in used_b:
+                    used_a.add(i)
+                    used_b.add(j)
+                    keep.append(k)
+                    numbers.append(no)
+                    no += 1
+            yield rows.iloc[keep].assign(match_no=numbers)
 
     kind = dict(scores.dtypes)["pair_id"]
-    return scores.groupBy("pair_id").applyInPandas(run, f"pair_id {kind}, i_a long, i_b long, section_id_a string, section_id_b string, score double, reason string, match_no long")
+    scores = scores.filter("pair_id is not null").select("pair_id", "i_a", "i_b", "section_id_a", "section_id_b", "score", "reason")
+    ordered = scores.repartition("pair_id").sortWithinPartitions("pair_id", F.desc("score"), "i_a", "i_b")
+    return ordered.mapInPandas(run, f"pair_id {kind}, i_a long, i_b long, section_id_a string, section_id_b string, score double, reason string, match_no long")
 
 
 def matches(a: DataFrame, b: DataFrame, found: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:

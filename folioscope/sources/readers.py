@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REPORT = (
-    "pdf_a string, pdf_b string, diffs array<struct<section_id_a:string,section_id_b:string,title_a:string,title_b:string,semantic_text_a:string,semantic_text_b:string,"
+    "pair_id string, pdf_a string, pdf_b string, diffs array<struct<section_id_a:string,section_id_b:string,title_a:string,title_b:string,semantic_text_a:string,semantic_text_b:string,"
     "section_lines_a:array<string>,section_lines_b:array<string>,page_no_in_a:int,page_no_in_b:int,match_score:double,status:string,semantic_status:string,anchor_type:string,"
     "low_confidence:boolean,unified_diff:string,semantic_unified_diff:string,change_classification:string>>"
 )
@@ -41,8 +41,7 @@ def _tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def _elements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     from folioscope.operators.layout import lines_from_elements
 
-    lines, facts = lines_from_elements(spark.read.parquet(f"{path}/elements"))
-    return lines, lines.select("doc_id", "page").distinct().join(facts, "doc_id")
+    return lines_from_elements(spark.read.parquet(f"{path}/elements"))
 
 
 register_extractor("tables", _tables)
@@ -54,11 +53,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def reports(spark: SparkSession, path: str) -> DataFrame:
-    """Diff reports as rows: pair_id (the file), diff_no and the fields of each diff."""
+def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One document in a ``.json`` file, printed in any way, or a folder of files with a document a line."""
     if not _exists(spark, path):
         raise FileNotFoundError(path)
-    rows = spark.read.schema(REPORT).option("multiLine", True).json(path).select(F.input_file_name().alias("pair_id"), F.posexplode("diffs").alias("diff_no", "d"))
+    return spark.read.schema(schema).option("multiLine", path.lower().rstrip("/").endswith(".json")).json(path)
+
+
+def reports(spark: SparkSession, path: str) -> DataFrame:
+    """Diff reports as rows: pair_id (the report's own, else its file), diff_no and the fields of each diff."""
+    rows = _json(spark, path, REPORT).select(F.coalesce("pair_id", F.input_file_name()).alias("pair_id"), F.posexplode("diffs").alias("diff_no", "d"))
     return rows.select("pair_id", F.col("diff_no").cast("long").alias("diff_no"), "d.*")
 
 
@@ -68,7 +72,7 @@ def labels(spark: SparkSession, path: str, pair_id: str) -> DataFrame:
 
     if not _exists(spark, path):
         return spark.createDataFrame([], "pair_id string, section_id string, label string")
-    rows = spark.read.schema(CLASSIFIED).option("multiLine", True).json(path).select(F.lit(pair_id).alias("pair_id"), F.posexplode("classifications").alias("pos", "c"))
+    rows = _json(spark, path, CLASSIFIED).select(F.lit(pair_id).alias("pair_id"), F.posexplode("classifications").alias("pos", "c"))
     return last_labels(rows.select("pair_id", "pos", "c.*"))
 
 

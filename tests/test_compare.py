@@ -1,7 +1,9 @@
 """Matching, differences, classification, annotations, sources and sinks."""
 
+import collections
 import difflib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,7 +58,49 @@ def test_difflib_parity(spark):
     df = spark.createDataFrame(texts, "a string, b string").withColumn("x", S.change_ratio(F.col("a"), F.col("b")))
     for a, b, x in df.collect():
         assert x == pytest.approx(round(1 - difflib.SequenceMatcher(None, a, b).ratio(), 6), abs=1e-6)
-    assert S._spans("a b", "a c")["right"][-1] == {"op": "add", "token": "c"}
+
+
+def plain_inline(a, b):
+    """Common subsequences by the whole table of lengths; of two equally good ways the old token goes first."""
+    x, y = re.findall(r"\s+|\S+", a), re.findall(r"\s+|\S+", b)
+    best = collections.defaultdict(int)
+    for i in reversed(range(len(x))):
+        for j in reversed(range(len(y))):
+            best[i, j] = 1 + best[i + 1, j + 1] if x[i] == y[j] else max(best[i + 1, j], best[i, j + 1])
+    left, right, i, j = [], [], 0, 0
+    while i < len(x) or j < len(y):
+        if i < len(x) and j < len(y) and x[i] == y[j]:
+            left.append(("same", x[i]))
+            right.append(("same", y[j]))
+            i, j = i + 1, j + 1
+        elif j == len(y) or i < len(x) and best[i + 1, j] >= best[i, j + 1]:
+            left.append(("del", x[i]))
+            i += 1
+        else:
+            right.append(("add", y[j]))
+            j += 1
+    return left, right
+
+
+def test_inline_diffs_equal_the_whole_table(spark):
+    r = random.Random(6)
+    texts = [("".join(r.choices(["a", "b", "cc", " ", "  "], k=r.randrange(0, 60))), "".join(r.choices(["a", "b", "cc", " ", "  "], k=r.randrange(0, 60)))) for _ in range(300)]
+    texts += [("", ""), ("a b c", "a b c"), (None, "x"), (" ".join(f"w{i}" for i in range(900)), " ".join(f"w{i}" for i in range(0, 900, 3)))]
+    rows = spark.createDataFrame(texts, "a string, b string").withColumn("d", S.inline_diff(F.col("a"), F.col("b"))).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        left, right = plain_inline(r["a"] or "", r["b"] or "")
+        assert [tuple(x) for x in r["d"]["left"]] == left and [tuple(x) for x in r["d"]["right"]] == right
+
+
+def test_line_changes(spark):
+    rows = [("a\nb\r\nc", "a\nx\ny\nc\n"), ("", "a"), (None, None), ("a\n\n", "a\n"), ("x\u2028y", "x\x0cz"), ("\n", "")]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", S.line_changes(F.col("a"), F.col("b")).alias("c"), S.splitlines(F.col("a")).alias("l")).collect()
+    for r in got:
+        x, y = (r["a"] or "").splitlines(), (r["b"] or "").splitlines()
+        codes = [c for c in difflib.SequenceMatcher(None, x, y).get_opcodes() if c[0] != "equal"]
+        assert r["l"] == x
+        assert tuple(r["c"]) == (sum(c[4] - c[3] for c in codes), sum(c[2] - c[1] for c in codes), sum(max(c[2] - c[1], c[4] - c[3]) for c in codes if c[0] == "replace"))
 
 
 def test_classification(spark):
