@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioscope.config import LayoutConfig
 from folioscope.functions import similarity as S
 from folioscope.functions import text as T
 from folioscope.operators import classify, diffing, layout, matching, report, sections
@@ -354,8 +355,10 @@ def diff_rows(spark, sf_dir):
 
 
 #: Lengths of common subsequences, a row of the table after the other; each next row is a running maximum.
-_LCS = """tok AS (SELECT pair_id, (line_no // 4 + 1) * 10 + 1 + line_no % 4 AS diff_no, regexp_extract_all(ta, '\\s+|\\S+') AS x, regexp_extract_all(tb, '\\s+|\\S+') AS y FROM (
- SELECT a.doc_id AS pair_id, a.line_no, a.text AS ta, b.text AS tb FROM body_a a JOIN body_b b ON a.doc_id = b.doc_id AND a.line_no = b.line_no WHERE a.text <> b.text)),
+#: Equal tokens at the beginning add nothing to either side.
+_LCS = """tok AS (SELECT pair_id, diff_no, x[p + 1:] AS x, y[p + 1:] AS y FROM (SELECT *, coalesce(list_min(list_filter(range(1, least(len(x), len(y)) + 1), lambda k: x[k] <> y[k])), least(len(x), len(y)) + 1) - 1 AS p FROM (
+ SELECT pair_id, (line_no // 4 + 1) * 10 + 1 + line_no % 4 AS diff_no, regexp_extract_all(ta, '\\s+|\\S+') AS x, regexp_extract_all(tb, '\\s+|\\S+') AS y FROM (
+ SELECT a.doc_id AS pair_id, a.line_no, a.text AS ta, b.text AS tb FROM body_a a JOIN body_b b ON a.doc_id = b.doc_id AND a.line_no = b.line_no WHERE a.text <> b.text)))),
 lcs AS (SELECT pair_id, diff_no, x, y, 0 AS i, list_transform(range(len(y) + 1), lambda k: 0) AS r FROM tok
  UNION ALL SELECT pair_id, diff_no, x, y, i + 1, list_transform(range(1, len(y) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN k > 1 AND y[k - 1] = x[i + 1] THEN r[k - 1] + 1 ELSE r[k] END))) FROM lcs WHERE i < len(x))"""
 
@@ -376,3 +379,288 @@ def change_classification(spark, sf_dir):
 def classification_summary(spark, sf_dir):
     found = compare.corpus_comparison(spark, sf_dir)
     return classify.summary(classify.classified(found["texts"]), found["pairs"])
+
+
+# --- single operators ------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, left({_collapse('lower(' + _TEXT + ')')}, 240) AS prefix FROM documents")
+def body_prefixes(spark, sf_dir):
+    return corpus.documents(spark, sf_dir).select("doc_id", T.body_prefix(F.coalesce("text", F.lit(""))).alias("prefix"))
+
+
+_NAMED = r"'(?i)^(principle|article|section|chapter|standard|rule)\s+\d+[a-z]?\s*[:.-]?\s*'"
+
+
+def _core(c: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace({_norm(c)}, '^(?:[ivxlcdm]+|\d+|[a-z])\s*', ''), {_NAMED}, ''))"
+
+
+@query(_with(_sections("a")) + rf"SELECT doc_id, ordinal::BIGINT AS ordinal, {_collapse(rf"regexp_replace(regexp_replace(title, '(?i)^([ivxlcdm]+|\d+|[a-z])\s*[.)-]\s*', ''), {_NAMED}, '')")} AS stripped, {_core('title')} AS core FROM sec_a WHERE ordinal > 0")
+def title_cores(spark, sf_dir):
+    heads = sections.leveled(_body(spark, sf_dir)).filter("level is not null")
+    return heads.select("doc_id", "ordinal", T.strip_heading(F.col("text")).alias("stripped"), T.title_core(F.col("text")).alias("core"))
+
+
+@query(_with(_lines("a"), _EDGES) + rf"""SELECT doc_id, reason, count(*) AS n FROM (SELECT t.doc_id, CASE WHEN t.text = '' THEN 'blank' WHEN gone.reason IS NOT NULL THEN gone.reason WHEN regexp_matches(t.text, '(?i)^principle 2|usd 1[02],000') THEN 'pattern'
+ WHEN {_NUMBER.format('t.text')} THEN 'page_number' WHEN regexp_matches(t.text, '(?i)^b\. ') THEN 'noise' ELSE 'kept' END AS reason
+ FROM t_a t LEFT JOIN gone ON t.doc_id = gone.doc_id AND t.page = gone.page AND t.text = gone.text) GROUP BY ALL""")
+def removal_reasons(spark, sf_dir):
+    lines, pages = corpus.layout(corpus.documents(spark, sf_dir))
+    cfg = LayoutConfig(header_patterns=("^principle 2",), footer_patterns=("usd 1[02],000",), ignore_patterns=(r"^b\. ",))
+    return layout.clean_lines(lines, pages, cfg).groupBy("doc_id", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(rf"SELECT doc_id, len(u)::BIGINT AS n, sha256(array_to_string(u, chr(10))) AS units FROM (SELECT doc_id, list_filter(string_split(regexp_replace({_collapse(_TEXT)}, '([.?!])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') AS u FROM documents)")
+def semantic_units(spark, sf_dir):
+    u = T.semantic_units(F.col("text"))
+    return corpus.documents(spark, sf_dir).select("doc_id", F.size(u).cast("long").alias("n"), F.sha2(F.array_join(u, "\n"), 256).alias("units"))
+
+
+_WRAPS = r"""w AS (SELECT doc_id, line_no, text, lag(text) OVER (PARTITION BY doc_id ORDER BY line_no) AS last FROM body_a WHERE trim(text) <> ''),
+p AS (SELECT doc_id, line_no, trim(text) AS text, last IS NULL OR regexp_matches(trim(last), '[.?!:;]$') OR regexp_matches(trim(text), '^\d+[.)]\s+') OR regexp_matches(trim(text), '^[A-Z][A-Z0-9\s-]{3,}$')
+ OR NOT (regexp_matches(trim(text), '^[a-z(,;]') OR regexp_matches(trim(last), '(?i)(^|[^\p{L}\p{N}_])(and|or|to|of|in|for|with|on|at|by|from|under|within)$')) AS fresh FROM w)"""
+
+
+@query(_with(_WRAPS) + "SELECT doc_id, count(*) FILTER (fresh) AS n, sha256(substr(string_agg(CASE WHEN fresh THEN chr(10) ELSE ' ' END || text, '' ORDER BY line_no), 2)) AS paragraphs FROM p GROUP BY doc_id")
+def soft_wraps(spark, sf_dir):
+    """The lines of each document with soft wraps joined."""
+    lines = _body(spark, sf_dir).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]).alias("lines"))
+    u = diffing.unwrapped(F.col("lines"))
+    return lines.withColumn("u", u).filter(F.size("u") > 0).select("doc_id", F.size("u").cast("long").alias("n"), F.sha2(F.array_join("u", "\n"), 256).alias("paragraphs"))
+
+
+#: Word ends follow Unicode in Spark and ASCII in SQL; letters beyond ASCII become x there.
+_ASCII = "regexp_replace({}, '[\u00c0-\u024f]', 'x', 'g')"
+
+
+def _set_changes(pattern: str) -> str:
+    a, b = (f"list_distinct(list_transform(regexp_extract_all({_ASCII.format(c)}, '{pattern}'), lambda v: lower(v)))" for c in ("ta", "tb"))
+    return f"sum(len(list_filter({a}, lambda v: NOT list_contains({b}, v))) + len(list_filter({b}, lambda v: NOT list_contains({a}, v))))::BIGINT"
+
+
+@query(_with(_VERSIONS) + "SELECT pair_id, " + ", ".join(f"{_set_changes(p.replace('(?U)', '').replace('(?iU)', '(?i)'))} AS {n}" for n, p in (("numbers", classify.NUMBERS), ("percents", classify.PERCENTS), ("currencies", classify.CURRENCIES), ("dates", classify.DATES))) + " FROM v GROUP BY pair_id")
+def value_changes(spark, sf_dir):
+    f = classify.value_features(_versions(spark, sf_dir))
+    total = lambda c: F.sum(c).cast("long")
+    return f.groupBy("pair_id").agg(total("numeric_changes_count").alias("numbers"), total("percentages_changed").alias("percents"), total("currency_changed").alias("currencies"), total("dates_changed").alias("dates"))
+
+
+def _sentences(c: str) -> str:
+    return rf"list_distinct(list_filter(string_split(regexp_replace(lower({_collapse(c)}), '([.?!])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> ''))"
+
+
+@query(_with(_VERSIONS, f"t AS (SELECT pair_id, {_sentences('ta')} AS x, {_sentences('tb')} AS y FROM v)") + "SELECT pair_id, round(sum(CASE WHEN len(x) + len(y) = 0 THEN 1.0 ELSE round(len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))), 6) END), 4) AS overlap FROM t GROUP BY pair_id")
+def sentence_overlap(spark, sf_dir):
+    f = classify.value_features(_versions(spark, sf_dir))
+    return f.groupBy("pair_id").agg(F.round(F.sum("sentence_overlap"), 4).alias("overlap"))
+
+
+@query(_with(_sections("a")) + "SELECT s.doc_id, s.ordinal::BIGINT AS ordinal, min(l.line_no // 4 + 1) AS start_page, max(l.line_no // 4 + 1) AS end_page FROM sec_a s JOIN lev_a l ON s.doc_id = l.doc_id AND s.ordinal = l.ordinal WHERE s.ordinal > 0 GROUP BY ALL")
+def section_pages(spark, sf_dir):
+    return _cut(spark, sf_dir).filter("ordinal > 0").select("doc_id", "ordinal", F.col("start_page").cast("long").alias("start_page"), F.col("end_page").cast("long").alias("end_page"))
+
+
+def _whole(v: str) -> str:
+    """Sections with their first page, titles with a line that they go on in, and that line no more in the body."""
+    wrapped = f"(label IN ('major_heading', 'named_numbered_heading') AND len(string_split(t, ' ')) >= 8 AND len(body) > 0 AND regexp_matches(body[1], '^[a-z(,;]') AND NOT regexp_matches(t, '[.?!]$'))"
+    return (
+        f"full_{v} AS (SELECT doc_id, ordinal, page, CASE WHEN {wrapped} THEN t || ' ' || body[1] ELSE t END AS title, CASE WHEN {wrapped} THEN body[2:] ELSE body END AS body"
+        f" FROM (SELECT s.doc_id, s.ordinal, {_toc('s.title')} AS t, s.label, s.body, min(l.line_no // 4 + 1) AS page FROM sec_{v} s JOIN lev_{v} l ON s.doc_id = l.doc_id AND s.ordinal = l.ordinal WHERE s.ordinal > 0 GROUP BY ALL))"
+    )
+
+
+_STATUS = rf"""{_whole('a')}, {_whole('b')},
+k AS (SELECT a.doc_id AS pair_id, a.title AS ta, b.title AS tb, {_norm('a.title')} = {_norm('b.title')} AS t, lower(array_to_string(a.body, ' ')) = lower(array_to_string(b.body, ' ')) AS same, {_norm('a.title')} <> {_norm('b.title')} AND {_core('a.title')} = {_core('b.title')} AS renumbered,
+ lower(a.title || ' ' || array_to_string(a.body, ' ')) = lower(b.title || ' ' || array_to_string(b.body, ' ')) AS whole FROM full_a a JOIN full_b b ON a.doc_id = b.doc_id AND a.ordinal = b.ordinal)"""
+
+
+@query(
+    _with(_sections("a"), _sections("b"), _STATUS)
+    + "SELECT CASE WHEN t AND same THEN 'unchanged' WHEN same AND renumbered THEN 'renumbering_only' ELSE 'modified' END AS status, CASE WHEN whole THEN 'unchanged' WHEN same AND renumbered THEN 'renumbering_only' ELSE 'modified' END AS semantic_status,"
+    " CASE WHEN t THEN 'unchanged' ELSE 'modified' END AS title_status, count(*) AS n, sum(length(CASE WHEN ta = tb THEN '' ELSE '--- a' || chr(10) || '+++ b' || chr(10) || '@@ -1 +1 @@' || chr(10) || '-' || ta || chr(10) || '+' || tb END))::BIGINT AS n_chars FROM k GROUP BY ALL"
+)
+def section_statuses(spark, sf_dir):
+    rows = diffing.statuses(_keyed(spark, sf_dir).filter("diff_no > 0"))
+    rows = rows.withColumn("d", diffing.title_diffs(F.col("title_a"), F.col("title_b"), F.lit("a"), F.lit("b")))
+    return rows.groupBy("status", "semantic_status", F.col("d.status").alias("title_status")).agg(F.count("*").alias("n"), F.sum(F.length("d.unified_diff")).alias("n_chars"))
+
+
+@query(
+    _with(_sections("a"), _sections("b"), _whole("a"), _whole("b"))
+    + r"""SELECT a.doc_id AS pair_id, a.ordinal::BIGINT AS diff_no, a.page::VARCHAR AS page_number_file_a, b.page::VARCHAR AS page_number_file_b, sha256(a.title || CASE WHEN len(a.body) > 0 THEN chr(10) || array_to_string(list_filter(a.body, lambda x: x <> ''), chr(10)) ELSE '' END) AS text_file_a, sha256(b.title) AS text_file_b, 0.5::DOUBLE AS diff_score
+ FROM full_a a JOIN full_b b ON a.doc_id = b.doc_id AND a.ordinal = b.ordinal"""
+)
+def export_columns(spark, sf_dir):
+    """The tabular export: A with its lines, B with nothing but its title; texts as hashes."""
+    rows = _keyed(spark, sf_dir).filter("diff_no > 0").withColumn("score", F.lit(0.5))
+    none = F.expr("cast(array() as array<string>)")
+    rows = rows.withColumn("section_lines_a", diffing.section_lines(F.col("title_a"), F.col("body_lines_a"))).withColumn("section_lines_b", none)
+    rows = report.export_rows(rows.withColumn("semantic_text_a", F.lit(" ")).withColumn("semantic_text_b", F.lit(None).cast("string")))
+    rows = rows.withColumn("text_file_a", F.sha2("text_file_a", 256)).withColumn("text_file_b", F.sha2("text_file_b", 256))
+    return rows.drop("section_number_file_a", "section_number_file_b")
+
+
+# --- assignment, rules and summaries over plain tables ----------------------------------
+
+_SIDES = """sides AS (SELECT l_orderkey AS pair_id, l_linenumber - 1 AS i, l_partkey, l_suppkey FROM lineitem),
+scores AS (SELECT a.pair_id, a.i AS i_a, b.i AS i_b, (40 + (a.l_partkey * 7 + b.l_suppkey * 13 + a.i * b.i) % 60) / 100 AS score FROM sides a JOIN sides b ON a.pair_id = b.pair_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY score DESC, i_a, i_b) AS k FROM scores WHERE score >= 0.55),
+taken AS (SELECT pair_id, k, [i_a] AS used_a, [i_b] AS used_b, i_a, i_b, score, true AS ok FROM ranked WHERE k = 1
+ UNION ALL SELECT r.pair_id, r.k, CASE WHEN list_contains(t.used_a, r.i_a) OR list_contains(t.used_b, r.i_b) THEN t.used_a ELSE list_append(t.used_a, r.i_a) END, CASE WHEN list_contains(t.used_a, r.i_a) OR list_contains(t.used_b, r.i_b) THEN t.used_b ELSE list_append(t.used_b, r.i_b) END,
+ r.i_a, r.i_b, r.score, NOT (list_contains(t.used_a, r.i_a) OR list_contains(t.used_b, r.i_b)) FROM taken t JOIN ranked r ON t.pair_id = r.pair_id AND r.k = t.k + 1),
+hit AS (SELECT pair_id, k, i_a, i_b, score FROM taken WHERE ok),
+every AS (SELECT pair_id, 0 AS kind, k, i_a, i_b, score FROM hit UNION ALL SELECT pair_id, 1, i, i, NULL, 0 FROM sides s WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.pair_id = s.pair_id AND hit.i_a = s.i)
+ UNION ALL SELECT pair_id, 2, i, NULL, i, 0 FROM sides s WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.pair_id = s.pair_id AND hit.i_b = s.i))"""
+
+
+@query(f"WITH RECURSIVE {_SIDES} SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY kind, k) - 1 AS match_no, 'a' || i_a AS section_id_a, 'b' || i_b AS section_id_b, round(score, 4) AS score, CASE WHEN i_a IS NULL OR i_b IS NULL THEN 'unmatched' WHEN score >= 0.78 THEN 'matched' ELSE 'low-confidence matched' END AS confidence FROM every")
+def greedy_assignment(spark, sf_dir):
+    """One-to-one assignment, confidence bands and outer rows over the lines of orders, with scores by arithmetic."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("pair_id"), (F.col("l_linenumber") - 1).cast("long").alias("i"), "l_partkey", "l_suppkey")
+    a, b = (items.withColumn("section_id", F.concat(F.lit(s), F.col("i").cast("string"))) for s in "ab")
+    side = lambda df, s: df.select("pair_id", *[F.col(c).alias(f"{c}_{s}") for c in ("i", "section_id", "l_partkey", "l_suppkey")])
+    c = side(a, "a").join(side(b, "b"), "pair_id")
+    c = c.withColumn("score", (40 + (F.col("l_partkey_a") * 7 + F.col("l_suppkey_b") * 13 + F.col("i_a") * F.col("i_b")) % 60) / 100).filter("score >= 0.55").withColumn("reason", F.lit(""))
+    return matching.matches(a, b, matching.assigned(c)).drop("reason")
+
+
+@query(
+    """WITH f AS (SELECT l_discount AS change_ratio, 1 - l_tax AS token_jaccard, 1 - l_discount AS sentence_overlap, l_quantity > 48 AS ob, l_shipdate < '1993-01-01' AS ne, l_linenumber = 7 AS sc, CASE WHEN l_partkey % 29 = 0 THEN 1 ELSE 0 END AS nu, CASE WHEN l_suppkey % 31 = 0 THEN 2 ELSE 0 END AS da,
+ CASE l_returnflag WHEN 'A' THEN 'editorial' WHEN 'N' THEN 'slight' ELSE 'significant' END AS model_label FROM lineitem),
+r AS (SELECT *, array_to_string(list_filter([CASE WHEN ob THEN 'obligation_change' END, CASE WHEN ne THEN 'negation_change' END, CASE WHEN sc THEN 'scope_change_cues' END, CASE WHEN nu > 0 THEN 'numeric_changes' END, CASE WHEN da > 0 THEN 'date_changes' END], lambda x: x IS NOT NULL), ',') AS hard FROM f),
+l AS (SELECT *, CASE WHEN hard <> '' THEN 'significant' WHEN change_ratio <= 0.03 AND token_jaccard >= 0.97 AND sentence_overlap >= 0.95 THEN 'editorial' WHEN change_ratio >= 0.45 OR token_jaccard < 0.5 THEN 'significant' ELSE 'slight' END AS rule_label,
+ CASE WHEN hard <> '' THEN hard WHEN change_ratio <= 0.03 AND token_jaccard >= 0.97 AND sentence_overlap >= 0.95 THEN 'high_similarity_low_change_ratio' WHEN change_ratio >= 0.45 OR token_jaccard < 0.5 THEN 'large_change_surface' ELSE 'default_small_semantic_change' END AS rules FROM r)
+SELECT rule_label, rules, model_label, model_label <> rule_label AS disagreement, CASE WHEN hard <> '' AND model_label IN ('editorial', 'slight') THEN 'significant' ELSE 'none' END AS override_candidate, nu + da > 0 AS numeric_or_value_changes, model_label AS final_classification, count(*) AS n FROM l GROUP BY ALL"""
+)
+def rule_labels(spark, sf_dir):
+    """Rules, the stub of the model hook with given labels, and arbitration over the lines of orders."""
+    flag = lambda c, n: F.when(c, n).otherwise(0)
+    f = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.col("l_discount").alias("change_ratio"), (1 - F.col("l_tax")).alias("token_jaccard"), (1 - F.col("l_discount")).alias("sentence_overlap"), (F.col("l_quantity") > 48).alias("obligation_change"), (F.col("l_shipdate") < "1993-01-01").alias("negation_change"), (F.col("l_linenumber") == 7).alias("scope_change_cues"),
+        flag(F.col("l_partkey") % 29 == 0, 1).alias("numeric_changes_count"), flag(F.col("l_suppkey") % 31 == 0, 2).alias("dates_changed"), F.lit(0).alias("percentages_changed"), F.lit(0).alias("currency_changed"),
+        F.when(F.col("l_returnflag") == "A", "editorial").when(F.col("l_returnflag") == "N", "slight").otherwise("significant").alias("llm_mock_label"),
+    )
+    rows = classify.arbitrated(classify.modelled(classify.ruled(f)))
+    return rows.groupBy("rule_label", F.array_join("triggered_rules", ",").alias("rules"), "model_label", "disagreement", F.coalesce("override_candidate", F.lit("none")).alias("override_candidate"), F.col("hard_signal_flags.numeric_or_value_changes").alias("numeric_or_value_changes"), "final_classification").agg(F.count("*").alias("n"))
+
+
+_EVENT_DIFFS = """d AS (SELECT user_id AS pair_id, CASE event_id % 5 WHEN 0 THEN 'modified' WHEN 1 THEN 'unchanged' WHEN 2 THEN 'added' WHEN 3 THEN 'removed' ELSE 'renumbering_only' END AS status, CASE WHEN event_id % 7 = 0 THEN '' WHEN event_id % 7 = 1 THEN 'modified' END AS semantic FROM events)"""
+
+
+def _event_diffs(spark, sf_dir):
+    """Events as diffs: a status by number, ids of the sides that it has, and a semantic status of some."""
+    e, k = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id") % 5
+    status = F.when(k == 0, "modified").when(k == 1, "unchanged").when(k == 2, "added").when(k == 3, "removed").otherwise("renumbering_only")
+    has = lambda other: F.when(F.col("status") != other, "s")
+    rows = e.select(F.col("user_id").alias("pair_id"), "event_id", status.alias("status"), F.when(F.col("event_id") % 7 == 0, "").when(F.col("event_id") % 7 == 1, "modified").alias("semantic_status"))
+    return rows.withColumn("section_id_a", has("added")).withColumn("section_id_b", has("removed"))
+
+
+@query(f"WITH {_EVENT_DIFFS} SELECT pair_id, " + ", ".join(f"count(*) FILTER (coalesce(nullif(semantic, ''), status) = '{k}') AS {k}" for k in ("modified", "unchanged", "added", "removed", "renumbering_only")) + " FROM d GROUP BY pair_id")
+def status_histogram(spark, sf_dir):
+    return report.status_histogram(_event_diffs(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_EVENT_DIFFS}, s AS (SELECT pair_id, count(*) FILTER (status <> 'added') AS total_sections_a, count(*) FILTER (status <> 'removed') AS total_sections_b, count(*) FILTER (status NOT IN ('added', 'removed')) AS matched, count(*) FILTER (status = 'removed') AS removed,
+ count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'unchanged') AS unchanged, count(*) FILTER (status IN ('modified', 'renumbering_only')) AS modified FROM d GROUP BY pair_id),
+every AS (SELECT c_custkey AS pair_id FROM customer UNION SELECT pair_id FROM d)
+SELECT every.pair_id, coalesce(total_sections_a, 0) AS total_sections_a, coalesce(total_sections_b, 0) AS total_sections_b, coalesce(matched, 0) AS matched, coalesce(removed, 0) AS removed, coalesce(added, 0) AS added, coalesce(unchanged, 0) AS unchanged, coalesce(modified, 0) AS modified,
+ round(coalesce(modified, 0) / greatest(1, coalesce(matched, 0)), 4) AS modified_ratio_in_matches, round(coalesce(unchanged, 0) / greatest(1, coalesce(matched, 0)), 4) AS unchanged_ratio_in_matches FROM every LEFT JOIN s ON every.pair_id = s.pair_id"""
+)
+def diff_totals(spark, sf_dir):
+    """Summary and quality ratios of events as diffs, with a row for each customer that has none."""
+    d = _event_diffs(spark, sf_dir)
+    pairs = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("pair_id")).union(d.select("pair_id"))
+    return diffing.quality(diffing.summary(d, pairs))
+
+
+_TURNS = "c AS (SELECT conv_id AS pair_id, turn AS diff_no, role, coalesce(text, '') AS text, CASE WHEN turn % 2 = 0 THEN 's' || turn ELSE '' END AS sb FROM conversations)"
+
+
+@query(f"WITH {_TURNS} SELECT pair_id, diff_no, coalesce(nullif(sb, ''), role) AS section_id, CASE WHEN turn3 THEN role ELSE 'T' END AS section_title, sha256(CASE WHEN turn3 THEN text ELSE 'x' || chr(10) || 'y' END) AS before_text, '' AS after_text FROM (SELECT *, diff_no % 3 = 0 AS turn3 FROM c)")
+def payloads(spark, sf_dir):
+    """What classification reads, from turns as diffs: empty ids, titles and texts count as missing."""
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    third = F.col("turn") % 3 == 0
+    rows = t.select(
+        F.col("conv_id").alias("pair_id"), F.col("turn").alias("diff_no"), F.col("role").alias("section_id_a"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("s"), F.col("turn").cast("string"))).otherwise("").alias("section_id_b"),
+        F.when(third, F.col("role")).otherwise("T").alias("title_a"), F.lit("").alias("title_b"), F.when(third, F.coalesce("text", F.lit(""))).alias("semantic_text_a"), F.lit("").alias("semantic_text_b"),
+        F.when(third, F.expr("cast(array() as array<string>)")).otherwise(F.array(F.lit("x"), F.lit("y"))).alias("section_lines_a"), F.lit(None).cast("array<string>").alias("section_lines_b"),
+    )
+    p = classify.payload(rows)
+    return p.select("pair_id", "diff_no", "section_id", "section_title", F.sha2("before_text", 256).alias("before_text"), "after_text")
+
+
+_CHUNKS = """w AS (SELECT pair_id, diff_no, diff_no % 4 AS k, string_split(text, ' ') AS x FROM c),
+ch AS (SELECT pair_id, diff_no, ['equal', 'replace', 'delete', 'insert'][k + 1] AS tag, CASE WHEN k = 3 THEN [] ELSE x[1:5] END AS a, CASE k WHEN 2 THEN [] WHEN 0 THEN x[1:5] ELSE x[3:9] END AS b FROM w),
+r AS (SELECT pair_id, diff_no, tag, unnest(range(greatest(len(a), len(b), 1))) AS row, a, b FROM ch)"""
+
+
+def _chunk_rows(spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    k, x = F.col("turn") % 4, F.split(F.coalesce("text", F.lit("")), " ")
+    none = F.expr("cast(array() as array<string>)")
+    tag = F.element_at(F.array(*map(F.lit, ("equal", "replace", "delete", "insert"))), (k + 1).cast("int"))
+    a, b = F.when(k == 3, none).otherwise(F.slice(x, 1, 5)), F.when(k == 2, none).when(k == 0, F.slice(x, 1, 5)).otherwise(F.slice(x, 3, 7))
+    rows = t.select(F.col("conv_id").alias("pair_id"), F.col("turn").alias("diff_no"), F.array(F.struct(tag.alias("tag"), a.alias("lines_a"), b.alias("lines_b"))).alias("section_diff"))
+    return diffing.row_pairs(rows)
+
+
+@query(f"WITH {_TURNS}, {_CHUNKS} SELECT pair_id, diff_no, tag, row, coalesce(a[row + 1], '') AS old, coalesce(b[row + 1], '') AS new FROM r")
+def row_pairs(spark, sf_dir):
+    return _chunk_rows(spark, sf_dir).drop("chunk").withColumn("row", F.col("row").cast("long"))
+
+
+@query(f"WITH {_TURNS}, {_CHUNKS} SELECT 'left' AS side, pair_id, count(*) FILTER (tag <> 'insert') AS shown, count(*) FILTER (tag NOT IN ('insert', 'equal')) AS changed FROM r GROUP BY pair_id UNION ALL SELECT 'right', pair_id, count(*) FILTER (tag <> 'delete'), count(*) FILTER (tag NOT IN ('delete', 'equal')) FROM r GROUP BY pair_id")
+def shown_sides(spark, sf_dir):
+    rows = _chunk_rows(spark, sf_dir)
+    out = None
+    for name, left in (("left", True), ("right", False)):
+        shown, changed = diffing.side(rows, left), diffing.side(rows, left, changed_only=True)
+        n = shown.withColumn("c", F.lit(0)).unionByName(changed.withColumn("c", F.lit(1))).groupBy("pair_id").agg(F.count_if(F.col("c") == 0).alias("shown"), F.count_if(F.col("c") == 1).alias("changed"))
+        n = diffing.of_all(n, rows).select(F.lit(name).alias("side"), "pair_id", "shown", "changed")
+        out = n if out is None else out.union(n)
+    return out
+
+
+@query(f"WITH {_TURNS} SELECT pair_id, diff_no || ':' || role || '->' || coalesce(nullif(sb, ''), 'none') AS diff_id, sha256(text) AS text FROM c WHERE pair_id = (SELECT max(pair_id) FROM c) AND diff_id = '0:user->s0'")
+def point_lookup(spark, sf_dir):
+    """One diff by its id."""
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows = t.select(F.col("conv_id").alias("pair_id"), F.col("turn").alias("diff_no"), F.col("role").alias("section_id_a"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("s"), F.col("turn").cast("string"))).otherwise("").alias("section_id_b"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text"))
+    return report.point(rows, rows.agg(F.max("pair_id")).first()[0], "0:user->s0").select("pair_id", "diff_id", "text")
+
+
+@query(
+    """WITH x AS (SELECT user_id AS pair_id, event_type AS section_id, arg_max(CASE event_id % 3 WHEN 0 THEN 'editorial' WHEN 1 THEN 'slight' ELSE 'significant' END, event_id) AS label FROM events WHERE event_id % 4 > 0 AND event_type <> 'view' GROUP BY ALL),
+d AS (SELECT user_id AS pair_id, event_id AS diff_no, event_type AS a, CASE WHEN event_id % 2 = 0 THEN 'purchase' ELSE '' END AS b FROM events)
+SELECT d.pair_id, diff_no || ':' || a || '->' || coalesce(nullif(b, ''), 'none') AS diff_id, coalesce(xb.label, xa.label) AS classification, 'import' AS source FROM d LEFT JOIN x xb ON d.pair_id = xb.pair_id AND d.b = xb.section_id LEFT JOIN x xa ON d.pair_id = xa.pair_id AND d.a = xa.section_id WHERE coalesce(xb.label, xa.label) IS NOT NULL"""
+)
+def imported_labels(spark, sf_dir):
+    """The last label of each section from a log of labels, imported for all diffs: by B's section, else by A's."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    k = F.col("event_id") % 3
+    given = e.select(F.col("user_id").alias("pair_id"), F.col("event_id").alias("pos"), F.when(F.col("event_type") != "view", F.col("event_type")).otherwise("").alias("section_id"), F.when(F.col("event_id") % 4 == 0, "").when(k == 0, "editorial").when(k == 1, "slight").otherwise("significant").alias("final_classification"))
+    d = e.select(F.col("user_id").alias("pair_id"), F.col("event_id").alias("diff_no"), F.col("event_type").alias("section_id_a"), F.when(F.col("event_id") % 2 == 0, "purchase").otherwise("").alias("section_id_b"))
+    return report.imported(d, report.last_labels(given), "import")
+
+
+@query(
+    _with(
+        "e AS (SELECT doc_id, line_no, text, line_no // 6 + 1 AS page, (doc_id + line_no) % 9 <> 0 AND doc_id % 3 > 0 AS has, CASE WHEN (doc_id + line_no) % 4 > 0 THEN 700 + line_no % 5 END AS h FROM body_a WHERE trim(text) <> '')",
+        "o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) - 1 AS row FROM e)",
+        "p AS (SELECT doc_id, page, greatest(max(CASE WHEN row = 0 THEN CASE WHEN has AND h IS NOT NULL THEN h ELSE 1000 END END), max(CASE WHEN has THEN h END)) AS height FROM o GROUP BY ALL)",
+    )
+    + f"SELECT o.doc_id, count(*) AS n_lines, sum(CASE WHEN has THEN 10.0 * line_no ELSE row END) AS y0, sum(CASE WHEN has THEN 50.0 ELSE length({_collapse('text')}) END) AS x1, avg(CASE WHEN has THEN 1.0 ELSE 0.0 END) >= 0.8 AS reliable, any_value(s.height) AS height FROM o JOIN (SELECT doc_id, sum(height)::DOUBLE AS height FROM p GROUP BY doc_id) s ON o.doc_id = s.doc_id GROUP BY o.doc_id"
+)
+def element_lines(spark, sf_dir):
+    """Lines as elements, some without coordinates or height, turned back into lines and pages."""
+    body = corpus.version(corpus.body_lines(corpus.documents(spark, sf_dir)), "a")
+    k, n = F.col("doc_id") + F.col("line_no"), F.col("line_no").cast("double")
+    box = F.array(*[F.struct(F.lit(x).alias("x"), (10 * n + y).alias("y")) for x, y in ((50.0, 0), (5.0, 8))])
+    e = body.select("doc_id", F.col("line_no").alias("element_no"), (F.floor(F.col("line_no") / 6) + 1).cast("int").alias("page"), "text", F.when((k % 9 != 0) & (F.col("doc_id") % 3 > 0), box).alias("points"), F.when(k % 4 > 0, (700 + F.col("line_no") % 5).cast("double")).alias("height"))
+    lines, pages = layout.lines_from_elements(e)
+    heights = pages.groupBy("doc_id").agg(F.sum("height").alias("height"), F.first("reliable").alias("reliable"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum("y0").alias("y0"), F.sum("x1").alias("x1")).join(heights, "doc_id").select("doc_id", "n_lines", "y0", "x1", "reliable", "height")

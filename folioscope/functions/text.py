@@ -108,7 +108,7 @@ def sentences(c: Column) -> Column:
 
 
 def semantic_units(c: Column) -> Column:
-    parts = F.filter(F.transform(F.split(collapse(F.coalesce(c, F.lit(""))), r"(?<=[.?!])\s+"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(collapse(F.coalesce(c, F.lit(""))), r"(?<=[.?!])\s+"), lambda s: F.trim(s)), lambda s: s != "")
     return parts
 
 
