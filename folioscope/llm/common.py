@@ -7,19 +7,39 @@ survives the loss of any executor.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope import storage
+from folioscope.storage import shared_dir  # noqa: F401
+
 #: Bytes of text that a Python worker turns into arrays at a time.
 CHUNK_BYTES = 4 << 20
 BATCH_BYTES = 8 << 20
+#: Arrays from this size on have memory of their own, which goes back when they do.
+MAPPED = 4 << 20
+
+
+
+def released(run):
+    """``run`` for ``mapInArrow``, with freed memory given back: that of large arrays at once, the rest after the task, as the worker stays for the next."""
 
-_own_dir: dict[str, str] = {}
+    def whole(batches):
+        library = ctypes.CDLL(None)
+        if hasattr(library, "mallopt"):
+            library.mallopt(-3, MAPPED)  # M_MMAP_THRESHOLD
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(library, "malloc_trim"):
+                library.malloc_trim(0)
+
+    return whole
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -32,25 +52,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of our own only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dir:
-        _own_dir[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(_own_dir[app])
-    return _own_dir[app]
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, read back; readers see one fixed state."""
-    spark = df.sparkSession
-    small_batches(spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    small_batches(df.sparkSession)
+    return storage.written(df, name)
 
 
 def ascii_lower(col):

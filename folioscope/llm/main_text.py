@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import released, table
 
 TRAINING_PAGES, TREES, DEPTH, RATE, BINS = 400, 40, 3, 0.3, 32
 SWITCH = 1.0  # what it costs to begin or cut out a part
@@ -393,7 +393,7 @@ def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
                 text = ["\n\n".join(b) for b in blocks]
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64()), pa.array([len(b) for b in blocks], pa.int64())], ["page_id", "url", "text", "n_chars", "n_blocks"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long, n_blocks long")
+    return pages.select("page_id", "url", "html").mapInArrow(released(run), "page_id long, url string, text string, n_chars long, n_blocks long")
 
 
 def op3_main_text(spark, sf_dir):

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import row_chunks, table, text_bytes
+from .common import released, row_chunks, table, text_bytes
 
 ROW = 192
 TILE_ROWS = 8191  # 8 pixels each; a JPEG has at most 65,535
@@ -302,7 +302,7 @@ def stored(docs: DataFrame) -> DataFrame:
                 media = encode(payload, rows.tolist(), size.tolist())
                 yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(size), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, n_bytes long, media binary")
 
 
 def thumbnails(media: list[bytes]) -> list[list[tuple[dict, np.ndarray]]]:
@@ -347,7 +347,7 @@ def features(media: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                 yield pa.record_batch([batch.column(0).slice(i, j - i), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_images long")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(released(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_images long")
 
 
 def op1_media(spark, sf_dir):

@@ -1,24 +1,31 @@
 """Repeated passages: bytes covered by a string of ``LENGTH`` bytes that starts elsewhere too.
 
 **Method.**  Bucket-pointer refinement, on sampled suffixes.  Every position has an
-initial bucket, the fingerprint of the ``Q`` bytes that start there.  The bucket of
-``LENGTH`` bytes is the pair (bucket here, bucket ``LENGTH - Q`` bytes later): sorting on
-bucket identifiers of later offsets refines the initial buckets, with no byte compared
-again.  Only buckets that can still split are refined:
-
-1. Each window of LENGTH bytes picks the position in it whose Q-byte bucket has the
-   smallest fingerprint (its anchor).  Equal windows pick equal anchors at equal
+initial bucket, the fingerprint of the ``Q`` bytes that start there.  A window of
+``LENGTH`` bytes is told apart by the bucket identifiers at later offsets; only buckets
+that can still split are refined.  Unlike a full suffix sort, identifiers are
+fingerprints of content, so that those of later offsets need no table, and one round is
+enough, as two of them and what lies between them cover a window:
+
+1. Each string of SHARED bytes picks the position in it whose Q-byte bucket has the
+   smallest fingerprint (its anchor).  Equal strings pick equal anchors at equal
    offsets, so neighbours that pick the same anchor form a run, and a window can repeat
-   only within its anchor's bucket.  There are about ``2 / (LENGTH - Q)`` runs a byte.
-2. Runs are grouped by anchor bucket and by the fingerprint of all bytes that their
+   only within its anchor's bucket.  There are about ``2 / (SHARED - Q)`` runs a byte.
+2. A window is a candidate only if the buckets of all anchors in it, those at later
+   offsets too, hold several.  Runs are grouped by anchor bucket and by the fingerprint of all bytes that their
    windows cover.  A run alone in its bucket has no repeat; runs with the same cover
    repeat wholly.
 3. Where one bucket holds different covers, each cover's windows are refined one by one:
-   their pairs of buckets are sorted and counted.
+   their bucket identifiers are sorted and counted.
+
+``n_shared`` counts the bytes of all anchors (Q bytes each) that also occur elsewhere.
+It is above 0 wherever a passage of SHARED bytes or more repeats, also where it is too
+short for a window: a passage of 50 words has some 240 to 350 bytes.
 
-Covers to refine are marked in a bitmap of ``BITMAP_BITS`` bits, built by Spark; a false
-mark costs rows, never results.  A fingerprint is 64 bits; of a cover's, the last 8 bits
-give way to a window's place in its run, which is below LENGTH - Q + 1 <= 256.
+Buckets, covers and rows with several runs are marked in bitmaps built by Spark, of LOAD bits a key and at
+most ``MOST_BITS`` (32 MB, beyond which more and more marks are false); a false mark costs rows, never results.  Equality is that of fingerprints of 64 bits within
+one anchor bucket, itself of 64 bits; of a cover's, the last 8 bits give way to a
+window's place in its run, which is below SHARED - Q + 1 <= 256.
 
 Defined cases: null text is empty; texts below LENGTH bytes keep everything; matches
 never cross rows; equal rows, even with one ``doc_id``, are each other's copies.  A null
@@ -31,95 +38,110 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as WindowSpec
 from pyspark.sql import functions as F
 
-from .common import mix64, prefix_hash, row_chunks, span_hash, table, text_bytes, written
+from .common import mix64, prefix_hash, released, row_chunks, span_hash, table, text_bytes, written
 
-LENGTH, Q = 400, 256
-BITMAP_BITS = 1 << 25
+LENGTH, SHARED, Q = 400, 240, 140
+#: Bits of a bitmap: LOAD for each key, between these bounds.
+LOAD, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
 _CHUNK = 2 << 20
 _INDEX = np.uint64(0xFFFFFFFF)
 
 
-def runs(buf: np.ndarray, off: np.ndarray, length: int, q: int):
-    """Per run of windows: row, first window, number of windows, bucket and cover; and the prefix hash."""
+def runs(buf: np.ndarray, off: np.ndarray, length: int, shared: int, q: int, bitmap: np.ndarray | None = None):
+    """Per run: row, first window, number of windows of ``length`` that can repeat, anchor, bucket and cover; and the prefix hash.
+
+    bitmap: the buckets that hold several.  A window can repeat only if all anchors of the
+    strings of ``shared`` bytes in it are in such buckets: of each run, the first so many.
+    """
     none = np.zeros(0, np.int64)
     prefix = prefix_hash(buf)
     count = len(buf) - q + 1
-    if len(buf) < length:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64), prefix
+    if len(buf) < shared:
+        return none, none, none, none, none.view(np.uint64), none.view(np.uint64), prefix
     at = np.arange(count)
     bucket = span_hash(prefix, at, at + q)
     least = (bucket & ~_INDEX) | at.astype(np.uint64)
-    wide, have = length - q + 1, 1
+    wide, have = shared - q + 1, 1
     while have < wide:
         step = min(have, wide - have)
         least = np.minimum(least[: len(least) - step], least[step:])
         have += step
     row = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    inside = row[: len(least)] == row[length - 1 :]
+    inside = row[: len(least)] == row[shared - 1 :]
     anchor = np.where(inside, (least & _INDEX).astype(np.int64), -1)
     first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     size = np.diff(np.append(first, len(anchor)))
     real = anchor[first] >= 0
     first, size = first[real], size[real]
-    anchor = anchor[first]
-    cover = span_hash(prefix, first, first + size + length - 1)
-    return row[first], first, size, bucket[anchor], mix64(cover ^ (anchor - first).astype(np.uint64)), prefix
-
-
-def _rows(batch: pa.RecordBatch, length: int, q: int):
-    """For chunks of a batch: first row, then what :func:`runs` gives with buckets and classes as signed integers."""
+    anchor, row = anchor[first], row[first]
+    size = np.clip(off[row + 1] - length - first + 1, 0, size)
+    if bitmap is not None:
+        alone = first[~marked(bitmap, bucket[anchor].view(np.int64))]
+        following = np.append(alone, len(buf) + length)[np.searchsorted(alone, first)]
+        size = np.clip(following - (length - shared) - first, 0, size)
+    cover = span_hash(prefix, first, np.where(size > 0, first + size + length - 1, first))
+    return row, first, size, anchor, bucket[anchor], mix64(cover ^ (anchor - first).astype(np.uint64)), prefix
+
+
+def _rows(batch: pa.RecordBatch, length: int, shared: int, q: int, bitmap: np.ndarray | None = None):
+    """For chunks of a batch: first row, then what :func:`runs` gives with buckets and classes as signed integers; class 0: no window."""
     buf, off = text_bytes(batch.column(batch.schema.get_field_index("text")))
     for i, j in row_chunks(off, _CHUNK):
-        row, first, size, bucket, cover, prefix = runs(buf[off[i] : off[j]], off[i : j + 1] - off[i], length, q)
-        yield i, off[i:j] - off[i], row, first, size, bucket.view(np.int64), (mix64(cover + bucket) & ~np.uint64(0xFF)).view(np.int64), prefix
+        row, first, size, anchor, bucket, cover, prefix = runs(buf[off[i] : off[j]], off[i : j + 1] - off[i], length, shared, q, bitmap)
+        class_ = np.where(size > 0, mix64(cover + bucket) & ~np.uint64(0xFF), np.uint64(0)).view(np.int64)
+        yield i, off[i:j] - off[i], row, first, size, anchor, bucket.view(np.int64), class_, prefix
 
 
 def marks(keys: DataFrame) -> np.ndarray:
-    """A bitmap of BITMAP_BITS bits in which every ``key`` is marked; only its blocks come to the driver."""
-    bit = F.pmod("key", F.lit(BITMAP_BITS))
-    blocks = keys.select(F.expr("0").alias("_"), bit.alias("bit")).select(F.expr("bit div 32768").alias("block"), (F.col("bit") % 32768).alias("at"))
-    blocks = blocks.groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
-    out = np.zeros(BITMAP_BITS // 8, np.uint8)
-    for b in blocks:
+    """A bitmap in which every ``key`` is marked; only its blocks come to the driver."""
+    keys = written(keys, "marked")
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (LOAD * keys.count()).bit_length()))
+    bit = F.pmod("key", F.lit(bits))
+    blocks = keys.select(bit.alias("bit")).select(F.expr("bit div 32768").alias("block"), (F.col("bit") % 32768).alias("at"))
+    blocks = blocks.groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for b in blocks.toLocalIterator():
         out[b["block"] * 4096 : (b["block"] + 1) * 4096] = np.frombuffer(b["bits"], np.uint8)
     return out
 
 
 def marked(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    bit = keys & (BITMAP_BITS - 1)
+    bit = keys & (8 * len(bitmap) - 1)
     return ((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def repeated_runs(docs: DataFrame, length: int, q: int) -> DataFrame:
-    """doc_id, mark, first, size, bucket and class of the runs whose bucket holds several (and a few others)."""
+def repeated_runs(docs: DataFrame, length: int, shared: int, q: int) -> tuple[DataFrame, Broadcast]:
+    """doc_id, mark, first, size, anchor, bucket and class of the runs whose bucket holds several (and a few others); and the bitmap of buckets."""
 
     def count(batches):
         for batch in batches:
-            for *_, bucket, _, _ in _rows(batch, length, q):
+            for *_, bucket, _, _ in _rows(batch, length, shared, q):
                 key, n = np.unique(bucket, return_counts=True)
                 yield pa.record_batch([pa.array(key), pa.array(n)], ["key", "n"])
 
-    buckets = docs.select("text").mapInArrow(count, "key long, n long")
+    buckets = docs.select("text").mapInArrow(released(count), "key long, n long")
     several = buckets.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
     bitmap = docs.sparkSession.sparkContext.broadcast(marks(several.select("key")))
 
     def run(batches):
         for batch in batches:
-            for i, start, row, first, size, bucket, class_, _ in _rows(batch, length, q):
+            for i, start, row, first, size, anchor, bucket, class_, _ in _rows(batch, length, shared, q, bitmap.value):
                 keep = marked(bitmap.value, bucket)
-                row, first, size = row[keep], first[keep], size[keep]
+                row, first, size, anchor = row[keep], first[keep], size[keep], anchor[keep]
                 take = pa.array(row + i)
-                yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array((first - start[row])), pa.array(size), pa.array(bucket[keep]), pa.array(class_[keep])], ["doc_id", "mark", "first", "size", "bucket", "class"])
+                columns = [pa.array(first - start[row]), pa.array(size), pa.array(anchor - start[row]), pa.array(bucket[keep]), pa.array(class_[keep])]
+                yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), *columns], ["doc_id", "mark", "first", "size", "anchor", "bucket", "class"])
 
-    return docs.select("doc_id", "mark", "text").mapInArrow(run, "doc_id long, mark long, first long, size long, bucket long, class long")
+    return docs.select("doc_id", "mark", "text").mapInArrow(released(run), "doc_id long, mark long, first long, size long, anchor long, bucket long, class long"), bitmap
 
 
-def refined(docs: DataFrame, classes: DataFrame, length: int, q: int) -> DataFrame:
-    """class and offsets: the windows that also start elsewhere, of classes marked for refinement."""
+def refined(docs: DataFrame, classes: DataFrame, buckets: Broadcast, length: int, shared: int, q: int) -> DataFrame:
+    """bucket, class and offsets: the windows that also start elsewhere, of classes marked for refinement."""
     # one run of a class is enough: that of its smallest mark
     key = F.col("class").bitwiseXOR(F.col("mark")).alias("key")
     bitmap = docs.sparkSession.sparkContext.broadcast(marks(classes.select(key)))
@@ -127,50 +149,64 @@ def refined(docs: DataFrame, classes: DataFrame, length: int, q: int) -> DataFra
     def run(batches):
         for batch in batches:
             mark = batch.column(0).to_numpy()
-            for i, _, row, first, size, _, class_, prefix in _rows(batch, length, q):
-                at = np.flatnonzero(marked(bitmap.value, class_ ^ mark[row + i]))
+            for i, _, row, first, size, _, bucket, class_, prefix in _rows(batch, length, shared, q, buckets.value):
+                at = np.flatnonzero(marked(bitmap.value, class_ ^ mark[row + i]) & (size > 0))
                 n = size[at]
                 offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 start = np.repeat(first[at], n) + offset
-                here, later = span_hash(prefix, start, start + q), span_hash(prefix, start + (length - q), start + length)
-                pair = mix64(here ^ (later * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
-                yield pa.record_batch([pa.array(pair), pa.array(np.repeat(class_[at], n) | offset)], ["pair", "window"])
+                here, later = span_hash(prefix, start, start + q), span_hash(prefix, start + (length - shared), start + length)
+                between = span_hash(prefix, start + q, start + (length - shared)) if length - shared > q else np.uint64(0)
+                pair = mix64(here ^ mix64(later * np.uint64(0x9E3779B97F4A7C15) + between)).view(np.int64)
+                yield pa.record_batch([pa.array(np.repeat(bucket[at], n)), pa.array(pair), pa.array(np.repeat(class_[at], n) | offset)], ["bucket", "pair", "window"])
 
     # dealt out by pair once, counted where they are; equal rows may send the same window twice
-    same = WindowSpec.partitionBy("pair")
-    pairs = docs.select("mark", "text").mapInArrow(run, "pair long, window long")
-    pairs = pairs.select("window", F.min("window").over(same).alias("low"), F.max("window").over(same).alias("high"))
+    same = WindowSpec.partitionBy("bucket", "pair")
+    pairs = docs.select("mark", "text").mapInArrow(released(run), "bucket long, pair long, window long")
+    pairs = pairs.select("bucket", "window", F.min("window").over(same).alias("low"), F.max("window").over(same).alias("high"))
     windows = pairs.filter("low <> high")
     offset = F.col("window").bitwiseAND(F.lit(255)).cast("int")
-    return windows.groupBy((F.col("window") - offset).alias("class")).agg(F.array_sort(F.collect_set(offset)).alias("offsets"))
+    return windows.groupBy("bucket", (F.col("window") - offset).alias("class")).agg(F.array_sort(F.collect_set(offset)).alias("offsets"))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, texts: bool = True) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay, if ``texts``) and spans (start, end)."""
+def without_repeats(docs: DataFrame, length: int = LENGTH, shared: int = SHARED, q: int = Q, texts: bool = True) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared, kept (the bytes that stay, if ``texts``) and spans (start, end)."""
     docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("mark"), "text")
-    found = written(repeated_runs(docs, length, q), "runs")
-    classes = written(found.groupBy("bucket", "class").agg(F.count("*").alias("n"), F.min("mark").alias("mark")), "classes")
-    mixed = classes.groupBy("bucket").agg(F.count("*").alias("covers")).filter("covers > 1").select("bucket")
-    part = refined(docs, classes.join(mixed, "bucket", "left_semi"), length, q)
-    whole = classes.filter("n > 1").select("class", F.lit(True).alias("all"))
-    # classes repeat wholly or in some of their windows
-    verdict = part.join(whole, "class", "full")
-    windows = found.select("doc_id", "mark", "first", "size", "class").join(verdict, "class")
-    windows = windows.select("doc_id", "mark", "first", F.when(F.col("all"), F.col("size")).otherwise(F.lit(0)).alias("size"), F.when(F.col("all").isNull(), F.col("offsets")).alias("offsets"))
-    per = windows.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "size", "offsets")).alias("windows"))
-    per = per.withColumnsRenamed({"doc_id": "_d", "mark": "_m"})
-    joined = docs.join(per, docs["doc_id"].eqNullSafe(F.col("_d")) & (docs["mark"] == F.col("_m")), "left").select("doc_id", "text", "windows")
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
+    found, anchors = repeated_runs(docs, length, shared, q)
+    found = written(found, "runs")
+    key = ["bucket", "class"]
+    classes = written(found.groupBy(*key).agg(F.count("*").alias("n"), F.min("mark").alias("mark")), "classes")
+    buckets = classes.groupBy("bucket").agg(F.sum("n").alias("all"), F.count_if(F.col("class") != 0).alias("covers")).filter("all > 1")
+    several = written(classes.join(buckets, "bucket"), "shared-classes")
+    part = refined(docs, several.filter("covers > 1 and class != 0"), anchors, length, shared, q)
+    # all runs of a bucket of several share their anchor; classes repeat wholly or in some of their windows
+    verdict = several.select(*key, ((F.col("n") > 1) & (F.col("class") != 0)).alias("whole")).join(part, key, "left")
+    verdict = written(verdict, "verdict")  # so that the next join stands alone, and Spark can split a class of many copies
+    windows = found.join(verdict, key)
+    windows = windows.select("doc_id", "mark", "anchor", "first", F.when(F.col("whole"), F.col("size")).otherwise(F.lit(0)).alias("size"), F.when(~F.col("whole"), F.col("offsets")).alias("offsets"))
+    per = windows.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "size", "offsets", "anchor")).alias("windows"))
+    per = written(per.withColumnsRenamed({"doc_id": "_d", "mark": "_m"}), "windows")
+    # rows without any shared anchor need no shuffle of their texts
+    bitmap = docs.sparkSession.sparkContext.broadcast(marks(per.select(F.col("_m").alias("key"))))
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared", "kept", "spans"]
 
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
+    def held(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(marked(bitmap.value, batch.column(1).to_numpy())))
+
+    some = docs.mapInArrow(released(held), "doc_id long, mark long, text string")
+    joined = some.join(per, some["doc_id"].eqNullSafe(F.col("_d")) & (some["mark"] == F.col("_m")), "left").select("doc_id", "text", "windows")
+
     def judged(data, windows):
-        step = np.zeros(len(data) + 1, np.int64)
+        step, near = np.zeros(len(data) + 1, np.int64), np.zeros(len(data) + 1, np.int64)
         for w in windows or ():
+            near[w["anchor"]] += 1
+            near[w["anchor"] + q] -= 1
             if w["size"]:
                 step[w["first"]] += 1
                 step[w["first"] + w["size"] + length - 1] -= 1
-            else:
+            elif w["offsets"]:
                 at = w["first"] + np.array(w["offsets"])
                 np.add.at(step, at, 1)
                 np.add.at(step, at + length, -1)
@@ -178,19 +214,27 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, texts: bo
         edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
         kept = data[~gone].tobytes() if len(edge) else data.tobytes()
         spans = [{"start": a, "end": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
-        return len(data), int(gone.sum()), len(spans), hashlib.sha256(kept).hexdigest(), kept if texts else None, spans
+        return len(data), int(gone.sum()), len(spans), hashlib.sha256(kept).hexdigest(), int((np.cumsum(near[:-1]) > 0).sum()), kept if texts else None, spans
 
     def run(batches):
         for batch in batches:
             buf, off = text_bytes(batch.column(1))
+            given = batch.column(2) if batch.num_columns > 2 else None
             for i, j in row_chunks(off):
-                rows = [judged(buf[off[r] : off[r + 1]], batch.column(2)[r].as_py()) for r in range(i, j)]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), kind]
+                rows = [judged(buf[off[r] : off[r + 1]], given and given[r].as_py()) for r in range(i, j)]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), kind]
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.record_batch([batch.column(0).slice(i, j - i), *columns], names)
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>")
+    def alone(batches):
+        for batch in batches:
+            own = marked(bitmap.value, batch.column(1).to_numpy())
+            batch = batch.filter(pa.array(~own)).select([0, 2])
+            yield from run([batch] if batch.num_rows else [])
+
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long, kept binary, spans array<struct<start:long,end:long>>"
+    return joined.mapInArrow(released(run), schema).union(docs.mapInArrow(released(alone), schema))
 
 
 def op7_repeats(spark, sf_dir):
-    return without_repeats(table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return without_repeats(table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared")

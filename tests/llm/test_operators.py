@@ -227,9 +227,9 @@ def test_context_tree(docs, rows, frequent):
     assert len(got[3]) == 2
 
 
-def test_context_tree_learns_from_eight_bytes_before(spark):
+def test_context_tree_learns_from_five_bytes_before(spark):
     apart = [d for d in range(900) if zlib.crc32(str(d).encode()) % 7 == 2]
-    rows = [(d, ("1-------x", "2-------y")[i % 2]) for i, d in enumerate(x for x in range(240) if x not in apart)] + [(apart[0], "1-------x"), (apart[1], "1-------y")]
+    rows = [(d, ("1----x", "2----y")[i % 2]) for i, d in enumerate(x for x in range(240) if x not in apart)] + [(apart[0], "1----x"), (apart[1], "1----y")]
     got = {r["doc_id"]: r["score"] for r in context_tree.scored(spark.createDataFrame(rows, "doc_id long, text string"), language.held_out(7, 2)).collect()}
     assert got[apart[0]] > got[apart[1]] + 1
 
@@ -258,7 +258,8 @@ def test_decontaminate(spark, docs, rows, empty):
                     found |= windows[tuple(w[k : k + size])]
         want[doc_id, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)] += 1
     columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    assert counted(decontaminate.contamination(docs, bench), *columns) == want
+    for marked, broadcast in ((decontaminate.MARKED, decontaminate.BROADCAST_BYTES), (decontaminate.MARKED, 0), (3, 0), (0, 1 << 20)):
+        assert counted(decontaminate.contamination(docs, bench, marked, broadcast), *columns) == want
     assert decontaminate.contamination(empty, bench).count() == 0
     assert decontaminate.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
 
@@ -272,26 +273,67 @@ def test_language(docs, rows, empty):
         assert got[doc_id][0]["lang_pred"] == lang
     for i in (44, 45, 46):
         assert got[i][0]["lang_pred"] == "und" and got[i][0]["score"] == 0
+    assert not any(r["told"] for i in (44, 45, 46) for r in got[i]) and all(r["told"] for i in range(40) for r in got[i])
     assert language.predicted(empty, language.fit(empty, F.lit(True))).count() == 0
     assert {r["lang_pred"] for r in language.predicted(docs, language.fit(empty, F.lit(True))).collect()} == {"und"}
 
 
+def test_language_of_many_labels_and_of_none(spark):
+    """Every label is learned, also the 201st; and a text in a script that none of them uses is told by none."""
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    r = random.Random(4)
+    rows = []
+    for k in range(230):
+        own = r.sample([x + y + z for x in alphabet[k % 26] for y in alphabet for z in alphabet], 30)
+        rows += [(10 * k + i, " ".join(r.choices(own, k=25)), f"l{k:03}") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, F.col("doc_id") % 10 < 3)
+    assert len(model.names) == 230
+    got = language.predicted(docs.filter("doc_id % 10 = 3"), model).collect()
+    assert sum(rows[4 * (g["doc_id"] // 10)][2] == g["lang_pred"] for g in got) > 200
+    other = language.predicted(spark.createDataFrame([(1, "и в не на что он как это по но", None)], "doc_id long, text string, lang string"), model).first()
+    assert not other["told"] and other["lang_pred"] in model.names
+
+
 def test_repeats(docs, rows, empty):
     data = [(r[1] or "").encode() for r in rows]
-    for length, q in ((400, 256), (40, 17)):
-        seen = collections.Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+    for length, shared, q in ((400, 240, 140), (40, 28, 17), (40, 40, 20)):
+        times = lambda k: collections.Counter(d[i : i + k] for d in data for i in range(len(d) - k + 1))
+        seen, passages, anchors = times(length), times(shared), times(q)
+        got = repeats.without_repeats(docs, length, shared, q)
         want = collections.Counter()
+        most, some = collections.defaultdict(list), collections.defaultdict(list)
         for (doc_id, *_), d in zip(rows, data, strict=True):
-            gone = np.zeros(len(d), bool)
+            gone, near = np.zeros(len(d), bool), np.zeros(len(d), bool)
             for i in range(len(d) - length + 1):
                 if seen[d[i : i + length]] > 1:
                     gone[i : i + length] = True
+            for i in range(len(d) - q + 1):
+                if anchors[d[i : i + q]] > 1:
+                    near[i : i + q] = True
             spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
             want[doc_id, len(d), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(d, np.uint8)[~gone].tobytes()).hexdigest()] += 1
-        assert counted(repeats.without_repeats(docs, length, q), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+            most[doc_id].append(int(near.sum()))
+            some[doc_id].append(any(passages[d[i : i + shared]] > 1 for i in range(len(d) - shared + 1)))
+        assert counted(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+        for r in got.collect():
+            assert r["n_shared"] <= max(most[r["doc_id"]]) and (r["n_shared"] >= q or not any(some[r["doc_id"]]))
     assert repeats.without_repeats(empty).count() == 0
 
 
+def test_repeats_of_passages_too_short_for_a_window(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=r.randrange(3, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passages = [text(n) for n in (51, 60, 75, 120)]
+    planted = [(4 * i + k, f"{text(40)} {p} {text(40)}") for i, p in enumerate(passages) for k in range(4)]
+    docs = spark.createDataFrame(planted + [(100 + i, text(150)) for i in range(20)], "doc_id long, text string")
+    for row in repeats.without_repeats(docs).collect():
+        size = len(passages[row["doc_id"] // 4]) if row["doc_id"] < 100 else 0
+        assert (row["n_shared"] > 0) == (row["doc_id"] < 100) and (row["n_removed"] > 0) == (size >= 398)
+        assert row["n_removed"] in ((0,) if size < 398 else range(size, size + 8))
+
+
 def test_licenses(spark, docs):
     lines = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "A driver has a license.", "the apache license plate fell off", None, ""]
     planted = spark.createDataFrame([(100 + i, t and f"some words\n{t}\nmore words") for i, t in enumerate(lines)], "doc_id long, text string")
@@ -367,6 +409,7 @@ def test_mixing(docs, rows, empty):
     assert got.columns[-3:] == ["copy", "n_copies", "shuffle_key"]
     keys = [r["shuffle_key"] for r in got.collect()]
     assert keys == sorted(keys)
+    assert {r["doc_id"]: r["text"] for r in got.collect()}.items() <= {r[0]: r[1] for r in rows}.items()
     one = mixing.replicated(docs.select("doc_id", "source"))
     assert counted(one, *one.columns) == counted(mixing.replicated(docs.select("doc_id", "source").repartition(7)), *one.columns)
     heavy = mixing.replicated(docs.filter("doc_id = 1").select("doc_id", "source"), total=3000.0).count()
