@@ -17,8 +17,8 @@ Missed links: two sets with similarity s share no band with probability
 
 Defined cases: null or empty text has no shingles, is linked with nothing, and is kept.
 A null ``doc_id`` is linked with nothing and kept, with a null ``component_id``.  Rows
-that repeat a ``doc_id`` are one document and all carry its component.  Other columns
-are not read, so their names cannot clash.
+that repeat a ``doc_id`` with the same text all carry its component; with another text
+they are judged by their own.  Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, row_chunks, table, text_bytes, word_hashes, written
+from .common import mix64, released, row_chunks, table, text_bytes, word_hashes, written
 
 PERMUTATIONS, BAND_ROWS = 48, 4
 BANDS = 2 * PERMUTATIONS // BAND_ROWS
@@ -106,12 +106,12 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, key_1, key_2, bands and parity of each document."""
+    """doc_id, key (hash of the text), n_shingles, key_1, key_2, bands and parity of each document."""
 
     def run(batches):
         for batch in batches:
             buf, off = text_bytes(batch.column(1))
-            for i, j in row_chunks(off, 2 << 20):
+            for i, j in row_chunks(off, 1 << 20):
                 h, at = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k)
                 size = np.diff(at)
                 has = np.flatnonzero(size)
@@ -123,9 +123,9 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), _signed(flat))
                 words = PARITY_BITS // 64
                 parity = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * words, pa.int32()), pa.array(parities(h, at).ravel()))
-                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(size), _signed(one), _signed(two), lists, parity], ["doc_id", "n_shingles", "key_1", "key_2", "bands", "parity"])
+                yield pa.record_batch([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(size), _signed(one), _signed(two), lists, parity], ["doc_id", "key", "n_shingles", "key_1", "key_2", "bands", "parity"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key_1 long, key_2 long, bands array<long>, parity array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(released(run), "doc_id long, key long, n_shingles long, key_1 long, key_2 long, bands array<long>, parity array<long>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -135,7 +135,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
         for batch in batches:
             left, right = (text_bytes(batch.column(c)) for c in (2, 3))
             keep = np.zeros(batch.num_rows, bool)
-            for i, j in row_chunks(left[1] + right[1], 2 << 20):
+            for i, j in row_chunks(left[1] + right[1], 1 << 20):
                 (h, at), (g, bt) = (shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k) for buf, off in (left, right))
                 for r in range(j - i):
                     x, y = h[at[r] : at[r + 1]], g[bt[r] : bt[r + 1]]
@@ -149,7 +149,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
         .join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         .select("a", "b", "text_a", "text_b")
     )
-    return whole.mapInArrow(run, "a long, b long").distinct()
+    return whole.mapInArrow(released(run), "a long, b long").distinct()
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -179,7 +179,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of ``docs``."""
+    """doc_id, key (hash of the text), n_shingles, component_id and kept for each row of ``docs``."""
     sketches = written(sketch(docs, k), "sketch")
     key = ["key_1", "key_2", "n_shingles"]
     real = sketches.filter("n_shingles > 0 and doc_id is not null")
@@ -224,11 +224,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
         label = classes.limit(0).select(F.col("class_id").alias("u"), F.col("class_id").alias("v"))
     rows = rows.join(label.select(F.col("u").alias("class_id"), F.col("v").alias("found")), "class_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "class_id", "doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return rows.select("doc_id", "key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def op2_near_dup(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+    return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80).drop("key")
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
