@@ -9,10 +9,15 @@ sets' sizes.  The features are the n-grams of the landmarks, so K needs nothing
 one-versus-rest ridge regression on that map gives a score for each language.  Scoring
 is two matrix products a batch.
 
-**Training rows** are a bounded sample: at most ``SAMPLE`` documents for each of at most
-``LANGUAGES`` languages, those with the smallest hash in each of SAMPLE hash classes, the
-same whatever the partitioning; of them the first ``LANDMARKS`` for each language are
-landmarks.  Only text and lang are learned from, never source or doc_id.
+**Training rows** are a bounded sample of every language: at most ``SAMPLE`` documents for
+each (fewer where there are over 200 languages, so that there are about ``SAMPLED`` in
+all), those with the smallest hash in each hash class, the same whatever the
+partitioning; of them the first ``LANDMARKS`` for each language are landmarks.  Executors
+turn their texts into n-gram codes; those alone come to the driver, which sums the
+normal equations by chunks.  Only text and lang are learned from, never source or doc_id.
+
+``told`` is false for texts without letters, and for those to which every one-versus-rest
+answer is a clear no, such as other scripts where four languages or more are known.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0.  Training
 rows need a non-null lang and a letter; without any, every text is ``und``.  Rows are
@@ -25,11 +30,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import LOWER, row_chunks, table, text_bytes, written
+from .common import LOWER, released, row_chunks, table, text_bytes, written
 
-SAMPLE, LANGUAGES, LANDMARKS, RIDGE = 192, 200, 48, 1e-2
+#: Training rows: at most SAMPLE a language and SAMPLED in all; landmarks likewise; at least one of each for each language.
+SAMPLE, SAMPLED, LANDMARKS, ALL_LANDMARKS, RIDGE = 192, 38_400, 48, 768, 1e-2
+#: The best one-versus-rest answer (1 yes, -1 no) that a text needs to be told.
+MARGIN = -0.3
 #: A letter in the sense of Unicode.
 LETTER = r"\p{L}"
 
@@ -67,33 +75,44 @@ def _kernel(x: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
 class Model:
     """Landmark features, and the matrix from kernel values to language scores."""
 
-    def __init__(self, texts: list[str], langs: list[str]):
+    def __init__(self, codes: list[np.ndarray], langs: list[str]):
+        """codes: the distinct n-gram codes of each training text."""
         self.names = sorted(set(langs))
         self.grams = np.zeros(0, np.int32)
         if not self.names:
             return
-        data = [t.encode() for t in texts]
-        off = np.concatenate([[0], np.cumsum([len(d) for d in data])])
-        codes, rows = _codes(np.frombuffer(b"".join(data), np.uint8), off)
         chosen, seen = [], {}
+        most = max(1, min(LANDMARKS, ALL_LANDMARKS // len(self.names)))
         for i, lang in enumerate(langs):
             seen[lang] = seen.get(lang, 0) + 1
-            if seen[lang] <= LANDMARKS:
+            if seen[lang] <= most:
                 chosen.append(i)
-        self.grams = np.unique(codes[np.isin(rows, chosen)]).astype(np.int32)
-        x = np.zeros((len(texts), len(self.grams) + 1), np.float32)
-        x[rows, self.columns()[codes]] = 1.0
-        x = x[:, :-1]
-        self.landmarks = x[chosen]
+        self.grams = np.unique(np.concatenate([codes[i] for i in chosen])).astype(np.int32)
+
+        def held(some: list[np.ndarray]) -> np.ndarray:
+            out = np.zeros((len(some), len(self.grams)), np.float32)
+            for row, c in zip(out, some, strict=True):
+                at = np.searchsorted(self.grams, c)
+                at[at == len(self.grams)] = 0
+                row[at[self.grams[at] == c]] = 1.0
+            return out
+
+        self.landmarks = held([codes[i] for i in chosen])
         value, vector = np.linalg.eigh(_kernel(self.landmarks, self.landmarks).astype(np.float64))
         keep = value > 1e-6 * value[-1]
         whiten = vector[:, keep] / np.sqrt(value[keep])
-        phi = _kernel(x, self.landmarks) @ whiten
-        phi = np.hstack([phi, np.ones((len(phi), 1))])
-        target = np.where(np.array(langs)[:, None] == np.array(self.names), 1.0, -1.0)
-        # each language weighs the same
-        share = (target > 0) @ (1.0 / (target > 0).sum(axis=0))
-        solved = np.linalg.solve(phi.T @ (phi * share[:, None]) + RIDGE * np.eye(phi.shape[1]) * share.sum() / len(share), phi.T @ (target * share[:, None]))
+        # each language weighs the same; the normal equations are summed over chunks of rows
+        names, number = np.array(self.names), {x: k for k, x in enumerate(self.names)}
+        label = np.array([number[x] for x in langs])
+        share = (1.0 / np.bincount(label))[label]
+        left, right = 0.0, 0.0
+        for i in range(0, len(codes), 256):
+            phi = _kernel(held(codes[i : i + 256]), self.landmarks) @ whiten
+            phi = np.hstack([phi, np.ones((len(phi), 1))])
+            weighted = (phi * share[i : i + 256, None]).T
+            left = left + weighted @ phi
+            right = right + weighted @ np.where(label[i : i + 256, None] == np.arange(len(names)), 1.0, -1.0)
+        solved = np.linalg.solve(left + RIDGE * np.eye(len(left)) * share.sum() / len(share), right)
         self.weights, self.bias = (whiten @ solved[:-1]).astype(np.float32), solved[-1].astype(np.float32)
 
     def columns(self) -> np.ndarray:
@@ -103,61 +122,71 @@ class Model:
         return column
 
     def scores(self, buf: np.ndarray, off: np.ndarray, column: np.ndarray) -> np.ndarray:
-        """Rows x languages, each row a distribution."""
+        """Rows x languages, each row a distribution, and whether any one-versus-rest answer is a yes, by MARGIN."""
         raw = _kernel(presence(buf, off, column, len(self.grams)), self.landmarks) @ self.weights + self.bias
+        told = raw.max(axis=1) > MARGIN
         raw = np.exp(4.0 * (raw - raw.max(axis=1, keepdims=True)))
-        return raw / raw.sum(axis=1, keepdims=True)
+        return raw / raw.sum(axis=1, keepdims=True), told
 
 
 def training_rows(docs: DataFrame, training) -> DataFrame:
-    """text and lang of the bounded sample; training: which rows may be learned from, as a Column of doc_id."""
+    """text, lang, h and doc_id of the bounded sample; training: which rows may be learned from, as a Column of doc_id."""
     rows = docs.filter(F.col("lang").isNotNull() & training)
-    bucket = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(SAMPLE)).alias("bucket")
     letters = rows.filter(F.col("text").rlike(LETTER))
+    langs = rows.agg(F.count_distinct("lang").alias("n")).first()["n"]
+    most = max(1, min(SAMPLE, SAMPLED // max(1, langs)))
+    bucket = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(most)).alias("bucket")
     chosen = letters.groupBy("lang", bucket).agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")).alias("m"))
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    chosen = chosen.join(F.broadcast(langs), "lang").select("lang", F.col("m.h").alias("h"), F.col("m.doc_id").alias("doc_id"))
-    # at most SAMPLE * LANGUAGES rows of three short columns
-    chosen = written(chosen, "language-sample")
+    # at most SAMPLED rows, or one a language, of three short columns
+    chosen = written(chosen.select("lang", F.col("m.h").alias("h"), F.col("m.doc_id").alias("doc_id")), "language-sample")
     text = letters.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
     return text.groupBy("lang", "h", "doc_id").agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, training) -> Model:
-    rows = sorted(training_rows(docs, training).collect(), key=lambda r: (r["lang"], r["h"], r["doc_id"]))
-    return Model([r["text"] for r in rows], [r["lang"] for r in rows])
+    def coded(batches):
+        for batch in batches:
+            buf, off = text_bytes(batch.column(3))
+            for i in range(batch.num_rows):
+                codes = np.unique(_codes(buf[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]))[0])
+                yield pa.record_batch([*batch.slice(i, 1).columns[:3], pa.array([codes], pa.list_(pa.int32()))], ["lang", "h", "doc_id", "codes"])
+
+    rows = training_rows(docs, training).select("lang", "h", "doc_id", "text").mapInArrow(released(coded), "lang string, h long, doc_id long, codes array<int>")
+    rows = sorted(rows.collect(), key=lambda r: (r["lang"], r["h"], r["doc_id"]))
+    return Model([np.array(r["codes"], np.int32) for r in rows], [r["lang"] for r in rows])
 
 
 def predicted(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The named columns of ``docs`` with has_letter, lang_pred and score."""
+    """The named columns of ``docs`` with told, lang_pred and score; without a language to learn all texts with letters are told."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     letter = F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("has_letter")
     given = docs.select(*columns, *([] if "text" in columns else [F.col("text").alias("_text")]), letter)
     passed = len(columns)
     at = columns.index("text") if "text" in columns else passed
-    names = [*columns, "has_letter", "lang_pred", "score"]
+    names = [*columns, "told", "lang_pred", "score"]
 
     def run(batches):
         model, column = shared.value, None
         for batch in batches:
             buf, off = text_bytes(batch.column(at))
             letter = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
-            best, score = np.zeros(len(letter), np.int64), np.zeros(len(letter))
+            best, score, told = np.zeros(len(letter), np.int64), np.zeros(len(letter)), letter.copy()
             if model.names:
                 if column is None:
                     column = model.columns()
                 for i, j in row_chunks(off, 1 << 20):
                     for k in range(i, j, 256):
                         m = min(j, k + 256)
-                        s = model.scores(buf[off[k] : off[m]], off[k : m + 1] - off[k], column)
+                        s, yes = model.scores(buf[off[k] : off[m]], off[k : m + 1] - off[k], column)
+                        told[k:m] &= yes
                         best[k:m], score[k:m] = s.argmax(axis=1), s.max(axis=1)
             letter &= bool(model.names)
             lang = np.array([*model.names, "und"], object)[np.where(letter, best, len(model.names))]
-            new = [batch.column(batch.num_columns - 1), pa.array(lang, pa.string()), pa.array(np.where(letter, np.clip(score, 0, 1), 0.0))]
+            new = [pa.array(told), pa.array(lang, pa.string()), pa.array(np.where(letter, np.clip(score, 0, 1), 0.0))]
             yield pa.record_batch([*batch.columns[:passed], *new], names)
 
-    schema = StructType([*given.schema.fields[:passed], given.schema["has_letter"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return given.mapInArrow(run, schema)
+    schema = StructType([*given.schema.fields[:passed], StructField("told", BooleanType()), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return given.mapInArrow(released(run), schema)
 
 
 def held_out(divisor: int, remainder: int):
