@@ -3,13 +3,15 @@
 Words are hashed, K consecutive hashes make a k-gram, and the smallest k-gram hash of
 every ``WINDOW - K + 1`` consecutive k-grams is kept as the fingerprint of those WINDOW
 words.  A shared span of WINDOW words has equal k-grams, hence equal fingerprints, so
-none is missed.  Fingerprints of the benchmark mark a bitmap of fixed size; document
-windows whose fingerprint is marked are joined with the benchmark's windows on
-fingerprint and words, and consecutive hits extend to whole spans.
+none is missed.  Fingerprints that documents and benchmark share select the documents'
+windows; these are joined with the benchmark's on fingerprint and words, and consecutive
+hits extend to whole spans.
 
-The bitmap is at most ``BITMAP_MAX`` bytes whatever the benchmark's size; more marks only
-let more windows through to the exact join.  The benchmark's windows are broadcast if
-their text is at most ``BROADCAST_BYTES``, otherwise Spark shuffles both sides.
+Up to ``MARKED`` fingerprints of the benchmark (of one window size) make a bitmap of 32
+cells each, so that documents are sifted in the scan.  More are joined: the distinct
+fingerprints of each document, some two of every WINDOW - K + 2 words, meet those of the benchmark
+by shuffle.  The benchmark's windows are broadcast if their text is at most ``BROADCAST_BYTES``,
+otherwise Spark shuffles both sides.
 
 Defined cases: null or empty text, or text without words, has no words and no hits, and
 a benchmark item without words, or with a null ``item_id``, has no window.  An item of
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, table
 
 K, WINDOW = 5, 10
-BITMAP_MAX, BROADCAST_BYTES = 1 << 22, 32 << 20
+MARKED, BROADCAST_BYTES = 1 << 17, 32 << 20
 #: Everything but digits, a-z and characters outside ASCII parts words.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -79,7 +81,7 @@ def benchmark_windows(bench: DataFrame) -> DataFrame:
 def _marked(prints: list[int], least: int = 1 << 16):
     """A Column function that tells whether a fingerprint's cell of the bitmap is marked."""
     size = least
-    while size < min(32 * len(prints), BITMAP_MAX):
+    while size < 32 * len(prints):
         size *= 2
     cells = bytearray(size)
     for p in prints:
@@ -88,35 +90,57 @@ def _marked(prints: list[int], least: int = 1 << 16):
     return lambda p: F.substring(bitmap, F.pmod(p, F.lit(size)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
 
 
-def hits(docs: DataFrame, bench: DataFrame) -> DataFrame:
+def shared_prints(found: DataFrame, prints: DataFrame) -> DataFrame:
+    """``found`` with ``_own``: the fingerprints of each document that the benchmark holds too, by a join of fingerprints."""
+    key = ["doc_id", "key"]
+    own = found.select(*key, F.explode(F.array_distinct("_f")).alias("print")).distinct().join(prints, "print", "left_semi")
+    own = own.groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.collect_set("print").alias("_own"))
+    joined = found.join(own, found["doc_id"].eqNullSafe(F.col("_d")) & (found["key"] == F.col("_k")), "left")
+    return joined.drop("_d", "_k").withColumn("_own", F.coalesce("_own", F.expr("cast(array() as array<bigint>)")))
+
+
+def hits(docs: DataFrame, bench: DataFrame, marked_prints: int = MARKED, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, key (hash of the text), n_words, and at, size and item_id: a row for each hit, and one of at -1 for the document itself."""
     bench_windows = benchmark_windows(bench)
-    facts = bench_windows.groupBy("size").agg(F.sum(F.octet_length("text")).alias("n"), F.collect_set(F.pmod("print", F.lit(BITMAP_MAX))).alias("cells")).collect()
-    if sum(f.n for f in facts) <= BROADCAST_BYTES:
-        bench_windows = F.broadcast(bench_windows)
+    facts = bench_windows.groupBy("size").agg(F.sum(F.octet_length("text")).alias("n"), F.count_distinct("print").alias("prints")).collect()
+    cells = {}
+    few = [f["size"] for f in facts if f["prints"] <= marked_prints]
+    if few:
+        cells = {r["size"]: r["cells"] for r in bench_windows.filter(F.col("size").isin(few)).groupBy("size").agg(F.collect_set("print").alias("cells")).collect()}
+    small = sum(f["n"] for f in facts) <= broadcast_bytes
     found = docs.select("doc_id", F.xxhash64("text").alias("key"), words(F.col("text")).alias("_words")).withColumn("n_words", F.size("_words").cast("long"))
     found = with_fingerprints(found)
+    if WINDOW not in cells and any(f["size"] == WINDOW for f in facts):
+        found = shared_prints(found, bench_windows.filter(F.col("size") == WINDOW).select("print").distinct())
+
+    def sifted(col, name, test):
+        return F.filter(col, lambda s: test(s[name]))
+
     parts = []
     for f in sorted(facts, key=lambda f: f["size"]):
-        marked, n = _marked(f.cells), f["size"]
+        n = f["size"]
+        marked = _marked(cells[n]) if n in cells else None
         if n == WINDOW:
-            at = F.filter(F.transform("_f", lambda p, i: F.when(marked(p), i)), lambda i: i.isNotNull())
+            test = marked or (lambda p: F.array_contains("_own", p))
+            at = sifted(F.transform("_f", lambda p, i: F.struct(i.alias("at"), p.alias("print"))), "print", test)
             found = found.withColumn(f"_at{n}", at)
-            parts.append(F.expr(f"transform(_at{n}, i -> named_struct('at', i, 'size', {n}, 'text', {_text('i', n)}))"))
+            parts.append(F.expr(f"transform(_at{n}, w -> named_struct('at', w.at, 'size', {n}, 'print', w.print, 'text', {_text('w.at', n)}))"))
         else:
-            every = F.expr(f"transform(sequence(0, size(_words) - {n}), i -> named_struct('at', i, 'size', {n}, 'text', {_text('i', n)}))")
-            kept = F.filter(F.when(F.size("_words") >= n, every), lambda s: marked(F.xxhash64(s["text"])))
-            parts.append(F.coalesce(kept, F.expr("array()").cast("array<struct<at:int,size:int,text:string>>")))
-    itself = F.expr("array(named_struct('at', -1, 'size', 0, 'text', cast(null as string)))")
+            every = F.expr(f"transform(transform(sequence(0, size(_words) - {n}), i -> named_struct('at', i, 'text', {_text('i', n)})), w -> named_struct('at', w.at, 'size', {n}, 'print', xxhash64(w.text), 'text', w.text))")
+            kept = F.when(F.size("_words") >= n, every)
+            kept = sifted(kept, "print", marked) if marked else kept
+            parts.append(F.coalesce(kept, F.expr("array()").cast("array<struct<at:int,size:int,print:bigint,text:string>>")))
+    # the document itself has its own key for a fingerprint, and so meets no one and goes anywhere
+    itself = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("size"), F.col("key").alias("print"), F.lit("").alias("text")))
     # the outer form, since from the inner one Catalyst infers a filter that repeats all of _w
     rows = found.withColumn("_w", F.concat(itself, *parts)).select("doc_id", "key", "n_words", F.explode_outer("_w").alias("w"))
-    rows = rows.select("doc_id", "key", "n_words", F.col("w.at").alias("at"), F.col("w.size").alias("size"), F.col("w.text").alias("text"))
-    return rows.join(bench_windows.select("size", "text", "item_id"), ["size", "text"], "left").select("doc_id", "key", "n_words", "at", "size", "item_id")
+    rows = rows.select("doc_id", "key", "n_words", "w.at", "w.size", "w.print", "w.text")
+    return rows.join(F.broadcast(bench_windows) if small else bench_windows, ["size", "print", "text"], "left").select("doc_id", "key", "n_words", "at", "size", "item_id")
 
 
-def contamination(docs: DataFrame, bench: DataFrame) -> DataFrame:
+def contamination(docs: DataFrame, bench: DataFrame, marked_prints: int = MARKED, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; also spans (starts and lengths of the hit runs) and key."""
-    found = hits(docs, bench)
+    found = hits(docs, bench, marked_prints, broadcast_bytes)
     hit = F.when(F.col("item_id").isNotNull(), F.struct("at", "size"))
     per = found.groupBy("doc_id", "key", "n_words").agg(F.collect_set(hit).alias("_s"), F.collect_set(F.col("item_id").cast("string")).alias("_items"), F.count_if(F.col("at") < 0).alias("_n"))
     # of windows sorted by start, each adds what reaches beyond all before it
