@@ -82,8 +82,7 @@ def replicated(docs: DataFrame, weights: dict[str, float] | None = None, total:
 
 
 def op10_mix_sources(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
-    return replicated(docs)
+    return replicated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 ORACLE = {
@@ -92,8 +91,8 @@ WITH RECURSIVE n AS (SELECT source, count(*) AS n, pow(count(*), 0.5) AS w FROM
 r AS (SELECT source, (SELECT sum(n)::DOUBLE FROM n) / (SELECT sum(w) FROM n) * w / n AS rate FROM n),
 c AS (SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS cdf FROM r
       UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), cdf + p * rate / (k + 1) FROM c WHERE k < ceil(rate + 12 * sqrt(rate) + 20)),
-d AS (SELECT doc_id, source, ('0x' || substr(md5('{SEED}|1|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents),
-m AS (SELECT d.doc_id, d.source, count(*) FILTER (c.cdf <= d.u) AS n_copies FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source GROUP BY d.doc_id, d.source, d.u)
-SELECT doc_id, source, x.copy AS copy, n_copies, md5('{SEED}|at|' || x.copy || '|' || coalesce(doc_id::VARCHAR, '')) AS shuffle_key
+d AS (SELECT *, ('0x' || substr(md5('{SEED}|1|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents),
+m AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, count(*) FILTER (c.cdf <= d.u) AS n_copies FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source GROUP BY d.doc_id, d.text, d.lang, d.source, d.n_chars, d.u)
+SELECT doc_id, text, lang, source, n_chars, x.copy AS copy, n_copies, md5('{SEED}|at|' || x.copy || '|' || coalesce(doc_id::VARCHAR, '')) AS shuffle_key
 FROM m, unnest(generate_series(1, n_copies)) AS x(copy)""",
 }
