@@ -5,7 +5,7 @@ of letters, digits or punctuation ends.  Each distinct piece is encoded once per
 by the tokenizers library; the ids of a text are those of its pieces in order, and an end id.
 Texts that hold a special token, and all texts if the tokenizer's first step is another, stay whole.
 
-**Blocks.**  Documents are sorted by ``doc_id``; whole documents are packed into blocks of
+**Blocks.**  Documents are sorted by ``doc_id``, or as the caller says; whole documents are packed into blocks of
 about ``BLOCK_IDS`` ids.  A block is self-contained: magic, counts, the documents' ids
 and lengths, checksums of the coded bytes and of the ids, then the code streams.
 
@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, row_chunks, shared_dir, table, text_bytes
+from .common import mix64, released, row_chunks, shared_dir, table, text_bytes
 
 BLOCK_IDS = 1 << 21
 LANES, LANE_IDS = 8192, 64  # at most so many lanes, of at least so many ids
@@ -397,8 +397,8 @@ def unpack(block: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 # --- tables of blocks ----------------------------------------------------------------
 
 
-def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2) -> None:
-    """The ids of all texts, ascending in doc_id, as a table of blocks at ``path``: part, first (ids before it in its part), n_ids, block."""
+def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, order: tuple = ("doc_id",)) -> None:
+    """The ids of all texts, ascending in ``order``, as a table of blocks at ``path``: part, first (ids before it in its part), n_ids, block."""
     tokenizer = tokenizer or default_tokenizer()
     end = struct.pack("<H", end_id)
 
@@ -427,8 +427,11 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
         if doc_ids:
             yield block()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(run, "part int, first long, n_ids long, block binary").write.parquet(path)
+    by = [F.col(c) if isinstance(c, str) else c for c in order]
+    docs = docs.select("doc_id", "text", *[c.alias(f"_by{k}") for k, c in enumerate(by)])
+    names = docs.columns[2:]
+    ordered = docs.repartitionByRange(*names).sortWithinPartitions(*names).select("doc_id", "text")
+    ordered.mapInArrow(released(run), "part int, first long, n_ids long, block binary").write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -449,15 +452,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(wide.view(np.int32)))
                 yield pa.record_batch([pa.array([part] * len(crc), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(at[:-1] + first), pa.array(length), pa.array(crc, pa.int64()), lists], ["part", "doc_id", "at", "n_tokens", "ids_crc32", "ids"])
 
-    rows = blocks.select("part", "first", "block").mapInArrow(run, "part int, doc_id long, at long, n_tokens long, ids_crc32 long, ids array<int>")
+    rows = blocks.select("part", "first", "block").mapInArrow(released(run), "part int, doc_id long, at long, n_tokens long, ids_crc32 long, ids array<int>")
     return rows.join(bases, "part").select("doc_id", (F.col("at") + F.col("base")).alias("start"), "n_tokens", "ids_crc32", "ids")
 
 
-def token_table(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def token_table(docs: DataFrame, tokenizer: str | None = None, order: tuple = ("doc_id",)) -> DataFrame:
     """Writes ``docs`` as blocks in the shared folder and reads them back."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
-    write(docs, path, tokenizer)
+    write(docs, path, tokenizer, order=order)
     return read(spark, path)
 
 
