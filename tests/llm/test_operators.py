@@ -358,6 +358,69 @@ def test_licenses_in_wrapped_notices_tags_and_headings(spark, docs):
     assert got == {(200 + i, f): 1 for i, f in enumerate(texts) if f}
 
 
+def plain_notices(spark, rows, model, least):
+    """(doc_id, block, at, family) by loops; the classifier's probabilities are its own."""
+    candidates = []
+    for doc_id, text in rows:
+        clean = re.sub(licenses.MARKS, "", re.sub(licenses.CLOSING, "", text or ""))
+        for b, block in enumerate(re.split(r"\n[\x00-\x20]*\n", clean)):
+            lines = [x for x in block.split("\n") if re.search(r"[^\x00-\x20]", x)]
+            candidates += [(doc_id, b, k, x) for k, x in enumerate(lines)] + [(doc_id, b, -1, " ".join(lines))] * (len(lines) > 1)
+    given = licenses.hashed(spark.createDataFrame([(i, c[3]) for i, c in enumerate(candidates)], "i long, paragraph string"))
+    chance = {r["i"]: r["probability"].toArray() for r in model.transform(given).select("i", "probability").collect()}
+    names, found = ["unknown", *sorted(licenses.TEMPLATES)], set()
+    for i, (doc_id, b, at, text) in enumerate(candidates):
+        best = chance[i][1:].max()
+        family = names[list(chance[i]).index(best)]
+        words = [w for w in re.split(r"[\x00-\x2D\x2F\x3A-\x60\x7B-\x7F]+", re.sub(r"\.(?![0-9])", " ", text.lower())) if w]
+        pairs, covered = {f"{x} {y}" for x, y in zip(words, words[1:], strict=False)}, 0.0
+        for template in licenses.TEMPLATES[family]:
+            w = template.replace("-", " ").split()
+            own = {f"{x} {y}" for x, y in zip(w, w[1:], strict=False)} or set(w)
+            share = len(own & pairs) / len(own)
+            covered = max(covered, share if share == 1 or not template.startswith("spdx ") else 0.0)
+        if at <= 0 and " ".join(words) in licenses.HEADINGS.get(family, []):
+            covered = 1.0
+        if best >= least and covered >= licenses.COVERED:
+            found.add((doc_id, b, at, family))
+    return found
+
+
+def wrapped(text, width, mark):
+    out, line = [], ""
+    for w in text.split():
+        if len(line) + len(w) > width:
+            out.append(line)
+            line = ""
+        line = f"{line} {w}".strip()
+    return "\n".join(f"{mark}{x}" for x in [*out, line])
+
+
+def test_licenses_of_all_families_against_loops(spark, rows):
+    """Every template and heading, wrapped and behind comment marks, among all texts of the fixture."""
+    r = random.Random(13)
+    planted, plain = [], [(d, t) for d, t, *_ in rows if d is not None]
+    for family, templates in sorted(licenses.TEMPLATES.items()):
+        for t in templates:
+            planted.append((1000 + len(planted), family, "Some words come first.\n\n" + wrapped(t if t.startswith("spdx") else t.capitalize() + ".", r.choice([40, 60, 76]), r.choice(["", "# ", "// ", " * "])) + "\n\nOther words follow."))
+    every = spark.createDataFrame(plain + [(i, t) for i, _, t in planted], "doc_id long, text string")
+    model, least = licenses.fit(every)
+    got = {(x["doc_id"], x["block"], x["at"], x["family"]) for x in licenses.scan(every, model, least).collect()}
+    assert got == plain_notices(spark, [(x["doc_id"], x["text"]) for x in every.collect()], model, least)
+    assert not any(d < 1000 for d, *_ in got)
+    right = sum(any(d == i and f == family for d, _, _, f in got) for i, family, _ in planted)
+    assert right >= 0.9 * len(planted)
+
+
+def test_license_query(spark, tmp_path):
+    rows = [(1, "Released under the MIT License."), (1, "Released under the MIT License."), (1, "nothing"), (None, "Licensed under the Apache License, Version 2.0."), (2, None), (3, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = collections.Counter((r["doc_id"], r["n_notices"], r["families"], r["licensed"]) for r in licenses.op8_licenses(spark, str(tmp_path)).collect())
+    assert got == {(1, 1, "MIT", True): 2, (1, 0, "", False): 1, (None, 1, "Apache-2.0", True): 1, (2, 0, "", False): 1, (3, 0, "", False): 1}
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert licenses.op8_licenses(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_license_anchors_lose_no_template():
     for t in [t for ts in licenses.TEMPLATES.values() for t in ts]:
         pairs = set(licenses._template_pairs(t))
