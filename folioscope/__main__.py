@@ -21,7 +21,7 @@ from folioscope.operators import classify, diffing, layout, report
 from folioscope.plans import compare
 from folioscope.shipping import ship
 from folioscope.sources import readers, writers
-from folioscope.storage import written
+from folioscope.storage import release, written
 
 
 def parser() -> argparse.ArgumentParser:
@@ -101,6 +101,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         if n:
             writers.append_log(entries, args.log)
         print(f"imported={n}")
+    release(spark)
 
 
 if __name__ == "__main__":

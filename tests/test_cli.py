@@ -2,6 +2,7 @@
 
 import pytest
 
+from folioscope import storage
 from folioscope.__main__ import main
 
 REPORT = '{"diffs": [{"section_id_a": "a1", "section_id_b": "b1", "title_a": "3. T", "title_b": "3. T", "semantic_text_a": "Pay 5 now.", "semantic_text_b": "Pay 6 now.", "match_score": 0.9, "semantic_status": "modified"}]}'
@@ -35,4 +36,6 @@ def test_layouts(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "x/sections")).count() == 2
     main(["diff", str(tmp_path / "a"), str(tmp_path / "b"), "--output", str(tmp_path / "y"), "--dump-intermediate"], spark)
     got = spark.read.json(str(tmp_path / "y/reports")).first()
+    assert storage.release(spark) == 0  # the command has cleaned up
+    assert spark.read.json(str(tmp_path / "y/debug_b")).first()["remaining"] == 4
     assert got["summary"]["modified"] == 1 and [d["status"] for d in got["diffs"]] == ["unchanged", "modified"]
