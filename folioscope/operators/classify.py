@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
@@ -154,8 +154,17 @@ def arbitrated(rows: DataFrame) -> DataFrame:
     return rows.withColumn("final_classification", F.when(told, F.col("model_label")).otherwise(F.col("rule_label")))
 
 
-def classified(diffs: DataFrame, hook: Hook | None = None) -> DataFrame:
-    return arbitrated(modelled(ruled(features(payload(diffs))), hook))
+def classified(diffs: DataFrame, hook: Hook | None = None, progress: Observation | None = None) -> DataFrame:
+    """Features, rules, the model's answer and what counts of both.
+
+    progress: told, once the rows have been written or counted, how many there are, how many a
+    model answered and how many of each label came out, without another pass.
+    """
+    rows = arbitrated(modelled(ruled(features(payload(diffs))), hook))
+    if progress is None:
+        return rows
+    labels = [F.count_if(F.col("final_classification") == label).alias(label) for label in LABELS]
+    return rows.observe(progress, F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("stub")).alias("answered"), *labels)
 
 
 def summary(rows: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
