@@ -9,14 +9,14 @@ weights that context-tree weighting gives after the training data.  ``score`` is
 of log10 probabilities; code length per byte follows from it.
 
 **Scale.**  Counts are sums over all training documents, by Spark, for each distinct
-gram (``DEPTH`` bytes and the next) and word; grams that occur only in held-out texts are
+gram (``DEPTH`` bytes and the next, seven at most, as they are half of the positive longs) and word; grams that occur only in held-out texts are
 carried with zero counts, so each gram that is asked for has a value.  Trees below the
 last ``SPLIT`` bytes are built in the tasks that hold all grams with these bytes, the
 depths from there to 2 in tasks by the two last bytes; only the sums for shorter
 contexts (at most 256 x 255 nodes) come to the driver.  Values of the most frequent terms,
-``FREQUENT`` of a kind at most, go to the scoring tasks as a hash table; the other terms
-are joined by shuffle, where no key can be hot any more.  Words and grams are looked up
-by 64-bit hashes; trees are built on the grams' own bytes.
+``FREQUENT`` grams and half as many words at most, go to the scoring tasks as a hash table; the other terms
+are joined by shuffle, where no key can be hot any more.  Words are looked up by hashes of 62
+bits, grams by their own bytes.
 
 Defined cases: null or empty text is one end token and one end symbol.  Without training
 rows every count is zero.  A null ``doc_id`` counts as the empty text in crc32.  Rows
@@ -32,86 +32,79 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix64, prefix_hash, row_chunks, span_hash, table, text_bytes, word_spans, written
+from .common import LOWER, mix64, prefix_hash, released, row_chunks, span_hash, table, text_bytes, word_spans, written
 from .language import held_out
 
-DEPTH, SPLIT = 8, 4
-FREQUENT = 1 << 20
+DEPTH, SPLIT = 5, 4
+FREQUENT = (1 << 21) - 1
+#: Bytes of text at a time; words and grams that a task gathers before it passes their sums on.
+CHUNK, HELD = 1 << 20, 4 << 20
 WORD, GRAM, DOCUMENT = 0, 1, 2
-END_WORD = np.array([0x656E64], np.uint64).view(np.int64)[0]
+#: A gram is one long: its context, the last byte on top, and above it the symbol.  Words' keys are from _WORDS to 2**63.
+_CONTEXT, _GRAM, _WORDS = np.uint64((1 << 8 * DEPTH) - 1), np.uint64((1 << 8 * (DEPTH + 1)) - 1), np.uint64(1 << 62)
+END_WORD = np.int64(0x656E64 | int(_WORDS))
 
 
 def _terms(buf: np.ndarray, off: np.ndarray):
-    """Word keys with their rows, contexts, symbols and keys of grams with their rows, and hashes of the whole rows."""
+    """Word keys with their rows, grams with their rows, and hashes of the whole rows."""
     low = LOWER[buf]
     rows = len(off) - 1
     size = np.diff(off)
     prefix = prefix_hash(low)
     start, end, word_row = word_spans(low, off)
-    words = np.concatenate([span_hash(prefix, start, end).view(np.int64), np.full(rows, END_WORD)])
+    words = np.concatenate([((span_hash(prefix, start, end) >> np.uint64(2)) | _WORDS).view(np.int64), np.full(rows, END_WORD)])
     word_row = np.concatenate([word_row, np.arange(rows)])
     # DEPTH end symbols, the text, an end symbol
-    padded = np.full(len(low) + (DEPTH + 1) * rows, 255, np.uint8)
+    padded = np.full(len(low) + (DEPTH + 1) * rows + 8, 255, np.uint8)
     row = np.repeat(np.arange(rows), size)
     at = np.arange(len(low)) + (DEPTH + 1) * row + DEPTH
     padded[at] = low
     ends = off[1:] + (DEPTH + 1) * np.arange(rows) + DEPTH
     at, gram_row = np.concatenate([at, ends]), np.concatenate([row, np.arange(rows)])
-    # eight bytes at a time, the last byte on top, as the tree branches
-    context = np.ndarray(max(len(padded) - 7, 0), "<u8", padded, strides=(1,))[at - DEPTH] if len(at) else np.zeros(0, np.uint64)
-    symbol = padded[at]
-    return words, word_row, (context, symbol, gram_keys(context, symbol)), gram_row, span_hash(prefix_hash(buf), off[:-1], off[1:]).view(np.int64)
+    grams = (np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))[at - DEPTH] & _GRAM).view(np.int64)
+    return words, word_row, grams, gram_row, span_hash(prefix_hash(buf), off[:-1], off[1:]).view(np.int64)
 
 
-def gram_keys(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    return mix64(mix64(context) + symbol.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-
-
-def _summed(keys: list[np.ndarray], *counts: list[np.ndarray]):
-    key = np.concatenate(keys)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return key[new], *[np.add.reduceat(np.concatenate(c)[order], new) if len(key) else np.zeros(0, np.int64) for c in counts]
+def _summed(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys with their numbers in training texts and in all; each entry is a key and, as last bit, whether it is from a training text."""
+    entries = np.concatenate(held)
+    held.clear()
+    entries.sort()
+    new = np.flatnonzero(_runs(entries))
+    n, entries = np.diff(np.append(new, len(entries))), entries[new]
+    key = entries >> np.uint64(1)
+    first = np.flatnonzero(_runs(key))
+    return key[first].view(np.int64), np.add.reduceat(np.where(entries & np.uint64(1), n, 0), first), np.add.reduceat(n, first)
 
 
 def counts(docs: DataFrame, apart) -> DataFrame:
-    """kind, key, symbol, train (occurrences in training texts) and total of each word and gram; a gram's key is its context."""
-
-    def rows(kind, key, symbol, train, total):
-        for i in range(0, len(key), 1 << 16):
-            part = slice(i, i + (1 << 16))
-            yield pa.record_batch([pa.array(np.full(len(key[part]), kind, np.int32)), pa.array(key[part]), pa.array(symbol[part].astype(np.int32)), pa.array(train[part]), pa.array(total[part])], ["kind", "key", "symbol", "train", "total"])
+    """kind, key, train (occurrences in training texts) and total of each word and gram."""
 
     def run(batches):
-        held: tuple[list, list, list] = ([], [], [])
+        held: list[np.ndarray] = []
 
         def flush():
-            key, train, total = _summed(*held)
-            for part in held:
-                part.clear()
-            yield from rows(WORD, key, np.zeros(len(key), np.int32), train, total)
+            key, train, total = _summed(held)
+            for i in range(0, len(key), 1 << 16):
+                part = slice(i, i + (1 << 16))
+                yield pa.record_batch([pa.array(key[part]), pa.array(train[part]), pa.array(total[part])], ["key", "train", "total"])
 
         for batch in batches:
             buf, off = text_bytes(batch.column(0))
             learn = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for i, j in row_chunks(off, 2 << 20):
-                words, word_row, (context, symbol, key), gram_row, _ = _terms(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                known = learn[i:j].astype(np.int64)
-                for part, new in zip(held, _summed([words], [known[word_row]], [np.ones(len(words), np.int64)]), strict=True):
-                    part.append(new)
-                if sum(map(len, held[0])) > 2_000_000:
+            for i, j in row_chunks(off, CHUNK):
+                words, word_row, grams, gram_row, _ = _terms(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                known = learn[i:j].astype(np.uint64)
+                for key, row in ((words, word_row), (grams, gram_row)):
+                    held.append((key.view(np.uint64) << np.uint64(1)) | known[row])
+                if sum(map(len, held)) > HELD:
                     yield from flush()
-                order = np.argsort(key)
-                key = key[order]
-                new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                first = order[new]
-                yield from rows(GRAM, context[first].view(np.int64), symbol[first], np.add.reduceat(known[gram_row[order]], new), np.diff(np.append(new, len(key))))
-        if held[0]:
+        if held:
             yield from flush()
 
-    found = docs.select("text", apart.alias("apart")).mapInArrow(run, "kind int, key long, symbol int, train long, total long")
-    return found.groupBy("kind", "key", "symbol").agg(F.sum("train").alias("train"), F.sum("total").alias("total"))
+    found = docs.select("text", apart.alias("apart")).mapInArrow(released(run), "key long, train long, total long")
+    found = found.groupBy("key").agg(F.sum("train").alias("train"), F.sum("total").alias("total"))
+    return found.select(F.when(F.col("key") < int(_WORDS), GRAM).otherwise(WORD).alias("kind"), "key", "train", "total")
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -214,12 +207,14 @@ def _by_group(rows: DataFrame, order: list[str], function, schema: str) -> DataF
         if held:
             yield function(*(np.concatenate(c) for c in zip(*parts, strict=True)))
 
-    return rows.repartition(rows.columns[0]).sortWithinPartitions(*order).mapInArrow(run, schema)
+    return rows.repartition(rows.columns[0]).sortWithinPartitions(*order).mapInArrow(released(run), schema)
 
 
 def gram_values(grams: DataFrame) -> DataFrame:
-    """key (a hash), total and value: the log10 probability of each gram's last byte after the others."""
+    """key, total and value: the log10 probability of each gram's last byte after the others."""
     names = ["pair", "last", "prefix", "zeros", "ones", "below"]
+    key = F.col("key").bitwiseAND(F.lit(int(_CONTEXT)))
+    grams = grams.select(key.alias("key"), F.shiftrightunsigned("key", 8 * DEPTH).cast("int").alias("symbol"), "train", "total")
     last = F.shiftrightunsigned("key", 8 * (DEPTH - SPLIT)).alias("last")
 
     def summary(last, context, symbol, train):
@@ -283,7 +278,7 @@ def gram_values(grams: DataFrame) -> DataFrame:
         for (ends, prefix, *_), mine, bit, chance in _forest(context, symbol, train[gram]):
             at = np.searchsorted(node, (ends << 8) | prefix)[mine]
             value += np.log10(np.where(bit == 0, above[at], 1.0 - weight[at] - above[at]) + weight[at] * chance)
-        return pa.record_batch([pa.array(gram_keys(context.view(np.uint64), symbol)), pa.array(total), pa.array(value)], ["key", "total", "value"])
+        return pa.record_batch([pa.array(context | (symbol.astype(np.int64) << 8 * DEPTH)), pa.array(total), pa.array(value)], ["key", "total", "value"])
 
     return _by_group(rows, ["last", "grade", "key", "symbol"], values, "key long, total long, value double")
 
@@ -293,7 +288,7 @@ class Table:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.bits = max(4, int(2 * len(keys)).bit_length())
-        self.key, self.value = np.zeros(1 << self.bits, np.int64), np.zeros(1 << self.bits)
+        self.key, self.value = np.zeros(1 << self.bits, np.int64), np.zeros(1 << self.bits, values.dtype)
         self.full = np.zeros(1 << self.bits, bool)
         left, at = np.arange(len(keys)), self._slot(keys)
         while len(left):
@@ -313,7 +308,7 @@ class Table:
         """Values, and which keys are known."""
         at = self._slot(keys)
         hit = self.full[at] & (self.key[at] == keys)
-        value, known = np.where(hit, self.value[at], 0.0), hit
+        value, known = np.where(hit, self.value[at], 0.0).astype(np.float64), hit
         left = np.flatnonzero(~hit & self.full[at])
         at = at[left]
         while len(left):
@@ -335,7 +330,8 @@ def _frequent(terms: DataFrame, kind: int, most: int) -> Table:
             break
         found, least = found + row["count"], row["level"]
     some = own.filter(F.lit(False) if least is None else F.floor(F.log2("total") * 16) >= least).select("key", "value").toArrow()
-    return Table(some["key"].to_numpy(), some["value"].to_numpy())
+    # a gram's value in single precision, as their table is the larger one; words' values make up base_score
+    return Table(some["key"].to_numpy(), some["value"].to_numpy().astype(np.float32 if kind == GRAM else np.float64))
 
 
 def scored(docs: DataFrame, apart, frequent: int = FREQUENT) -> DataFrame:
@@ -344,9 +340,9 @@ def scored(docs: DataFrame, apart, frequent: int = FREQUENT) -> DataFrame:
     facts = seen.filter(F.col("kind") == WORD).agg(F.coalesce(F.sum("train"), F.lit(0)).alias("n"), F.count_if(F.col("train") > 0).alias("v")).first()
     bottom = facts.n + (facts.v + 1)
     words = seen.filter(F.col("kind") == WORD).withColumn("value", F.log10((F.col("train") + 1) / F.lit(float(bottom))))
-    grams = gram_values(seen.filter(F.col("kind") == GRAM)).select(F.lit(GRAM).alias("kind"), "key", F.lit(0).cast("long").alias("train"), "total", "value")
+    grams = gram_values(seen.filter(F.col("kind") == GRAM).drop("kind")).select(F.lit(GRAM).alias("kind"), "key", F.lit(0).cast("long").alias("train"), "total", "value")
     terms = written(words.select("kind", "key", "train", "total", "value").union(grams), "values")
-    shared = docs.sparkSession.sparkContext.broadcast({k: _frequent(terms, k, frequent) for k in (WORD, GRAM)})
+    shared = docs.sparkSession.sparkContext.broadcast({k: _frequent(terms, k, frequent // 2 if k == WORD else frequent) for k in (WORD, GRAM)})
     unseen = math.log10(1.5 / bottom)  # above the value of a word that training texts lack
     names = ["kind", "key", "doc_id", "mark", "held", "times", "tokens", "known", "base", "score"]
 
@@ -354,8 +350,8 @@ def scored(docs: DataFrame, apart, frequent: int = FREQUENT) -> DataFrame:
         tables = shared.value
         for batch in batches:
             buf, off = text_bytes(batch.column(1))
-            for i, j in row_chunks(off, 1 << 20):
-                words, word_row, (*_, grams), gram_row, mark = _terms(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+            for i, j in row_chunks(off, CHUNK):
+                words, word_row, grams, gram_row, mark = _terms(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 rows = j - i
                 sums, rest = {}, []
                 for kind, keys, row in ((WORD, words, word_row), (GRAM, grams, gram_row)):
@@ -377,7 +373,7 @@ def scored(docs: DataFrame, apart, frequent: int = FREQUENT) -> DataFrame:
                     yield pa.record_batch([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), doc.take(take), pa.array(mark[at]), held.take(take), pa.array(times), pa.array(tokens), pa.array(familiar), pa.array(base), pa.array(score)], names)
 
     schema = "kind int, key long, doc_id long, mark long, held boolean, times long, tokens long, known long, base double, score double"
-    parts = docs.select("doc_id", "text", apart.alias("held")).mapInArrow(run, schema)
+    parts = docs.select("doc_id", "text", apart.alias("held")).mapInArrow(released(run), schema)
     parts = parts.join(terms.select("kind", "key", "train", "value"), ["kind", "key"], "left")
     add = F.col("times") * F.coalesce("value", F.lit(0.0))
     own = F.col("kind") == DOCUMENT
@@ -399,4 +395,5 @@ def scored(docs: DataFrame, apart, frequent: int = FREQUENT) -> DataFrame:
 
 
 def op4_context_tree(spark, sf_dir):
-    return scored(table(spark, sf_dir, "documents"), held_out(7, 2))
+    found = scored(table(spark, sf_dir, "documents"), held_out(7, 2))
+    return found.withColumn("bits_per_byte", -F.col("score") / F.lit(math.log10(2)) / F.col("n_symbols"))
