@@ -6,6 +6,8 @@ hold them against plain Python over whole tables.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from folioscope.config import LayoutConfig
@@ -13,6 +15,8 @@ from folioscope.functions import similarity as S
 from folioscope.functions import text as T
 from folioscope.operators import classify, diffing, layout, matching, report, sections
 from folioscope.plans import compare, corpus
+from folioscope.sources import readers, writers
+from folioscope.storage import shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -525,26 +529,48 @@ def greedy_assignment(spark, sf_dir):
     return matching.matches(a, b, matching.assigned(c)).drop("reason")
 
 
-@query(
-    """WITH f AS (SELECT l_discount AS change_ratio, 1 - l_tax AS token_jaccard, 1 - l_discount AS sentence_overlap, l_quantity > 48 AS ob, l_shipdate < '1993-01-01' AS ne, l_linenumber = 7 AS sc, CASE WHEN l_partkey % 29 = 0 THEN 1 ELSE 0 END AS nu, CASE WHEN l_suppkey % 31 = 0 THEN 2 ELSE 0 END AS da,
+_RULES = """f AS (SELECT l_suppkey AS pair_id, l_discount AS change_ratio, 1 - l_tax AS token_jaccard, 1 - l_discount AS sentence_overlap, l_quantity > 48 AS ob, l_shipdate < '1993-01-01' AS ne, l_linenumber = 7 AS sc, CASE WHEN l_partkey % 29 = 0 THEN 1 ELSE 0 END AS nu, CASE WHEN l_suppkey % 31 = 0 THEN 2 ELSE 0 END AS da,
  CASE l_returnflag WHEN 'A' THEN 'editorial' WHEN 'N' THEN 'slight' ELSE 'significant' END AS model_label FROM lineitem),
 r AS (SELECT *, array_to_string(list_filter([CASE WHEN ob THEN 'obligation_change' END, CASE WHEN ne THEN 'negation_change' END, CASE WHEN sc THEN 'scope_change_cues' END, CASE WHEN nu > 0 THEN 'numeric_changes' END, CASE WHEN da > 0 THEN 'date_changes' END], lambda x: x IS NOT NULL), ',') AS hard FROM f),
 l AS (SELECT *, CASE WHEN hard <> '' THEN 'significant' WHEN change_ratio <= 0.03 AND token_jaccard >= 0.97 AND sentence_overlap >= 0.95 THEN 'editorial' WHEN change_ratio >= 0.45 OR token_jaccard < 0.5 THEN 'significant' ELSE 'slight' END AS rule_label,
- CASE WHEN hard <> '' THEN hard WHEN change_ratio <= 0.03 AND token_jaccard >= 0.97 AND sentence_overlap >= 0.95 THEN 'high_similarity_low_change_ratio' WHEN change_ratio >= 0.45 OR token_jaccard < 0.5 THEN 'large_change_surface' ELSE 'default_small_semantic_change' END AS rules FROM r)
-SELECT rule_label, rules, model_label, model_label <> rule_label AS disagreement, CASE WHEN hard <> '' AND model_label IN ('editorial', 'slight') THEN 'significant' ELSE 'none' END AS override_candidate, nu + da > 0 AS numeric_or_value_changes, model_label AS final_classification, count(*) AS n FROM l GROUP BY ALL"""
-)
-def rule_labels(spark, sf_dir):
+ CASE WHEN hard <> '' THEN hard WHEN change_ratio <= 0.03 AND token_jaccard >= 0.97 AND sentence_overlap >= 0.95 THEN 'high_similarity_low_change_ratio' WHEN change_ratio >= 0.45 OR token_jaccard < 0.5 THEN 'large_change_surface' ELSE 'default_small_semantic_change' END AS rules FROM r)"""
+
+
+def _ruled(spark, sf_dir):
     """Rules, the stub of the model hook with given labels, and arbitration over the lines of orders."""
     flag = lambda c, n: F.when(c, n).otherwise(0)
     f = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        F.col("l_discount").alias("change_ratio"), (1 - F.col("l_tax")).alias("token_jaccard"), (1 - F.col("l_discount")).alias("sentence_overlap"), (F.col("l_quantity") > 48).alias("obligation_change"), (F.col("l_shipdate") < "1993-01-01").alias("negation_change"), (F.col("l_linenumber") == 7).alias("scope_change_cues"),
+        F.col("l_suppkey").alias("pair_id"), F.col("l_discount").alias("change_ratio"), (1 - F.col("l_tax")).alias("token_jaccard"), (1 - F.col("l_discount")).alias("sentence_overlap"), (F.col("l_quantity") > 48).alias("obligation_change"), (F.col("l_shipdate") < "1993-01-01").alias("negation_change"), (F.col("l_linenumber") == 7).alias("scope_change_cues"),
         flag(F.col("l_partkey") % 29 == 0, 1).alias("numeric_changes_count"), flag(F.col("l_suppkey") % 31 == 0, 2).alias("dates_changed"), F.lit(0).alias("percentages_changed"), F.lit(0).alias("currency_changed"),
         F.when(F.col("l_returnflag") == "A", "editorial").when(F.col("l_returnflag") == "N", "slight").otherwise("significant").alias("llm_mock_label"),
     )
-    rows = classify.arbitrated(classify.modelled(classify.ruled(f)))
+    return classify.arbitrated(classify.modelled(classify.ruled(f)))
+
+
+@query(f"WITH {_RULES} SELECT rule_label, rules, model_label, model_label <> rule_label AS disagreement, CASE WHEN hard <> '' AND model_label IN ('editorial', 'slight') THEN 'significant' ELSE 'none' END AS override_candidate, nu + da > 0 AS numeric_or_value_changes, model_label AS final_classification, count(*) AS n FROM l GROUP BY ALL")
+def rule_labels(spark, sf_dir):
+    rows = _ruled(spark, sf_dir)
     return rows.groupBy("rule_label", F.array_join("triggered_rules", ",").alias("rules"), "model_label", "disagreement", F.coalesce("override_candidate", F.lit("none")).alias("override_candidate"), F.col("hard_signal_flags.numeric_or_value_changes").alias("numeric_or_value_changes"), "final_classification").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {_RULES} SELECT pair_id, count(*) AS total, " + ", ".join(f"count(*) FILTER (model_label = '{k}') AS {k}" for k in classify.LABELS) + ", count(*) FILTER (model_label <> rule_label) AS disagreements FROM l GROUP BY pair_id")
+def label_totals(spark, sf_dir):
+    return classify.summary(_ruled(spark, sf_dir))
+
+
+@query(
+    """WITH a AS (SELECT event_id, CASE WHEN event_id % 3 > 0 THEN event_type END AS label, (event_id % 150) / 100 AS confidence FROM events)
+SELECT event_id, label, CASE WHEN label IS NOT NULL OR event_id % 3 = 0 THEN confidence END AS confidence FROM a"""
+)
+def model_answers(spark, sf_dir):
+    """Labels read from a model's answers: bare JSON, JSON with words around it, and JSON without a label."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    k, given = F.col("event_id") % 3, (F.col("event_id") % 150) / 100
+    json = F.when(k > 0, F.to_json(F.struct(F.col("event_type").alias("label"), given.alias("confidence")))).otherwise(F.to_json(F.struct(given.alias("confidence"))))
+    told = classify.parse_label(F.when(k == 2, F.concat(F.lit("Well:\n"), json, F.lit(" and no more"))).otherwise(json))
+    return e.select("event_id", told["label"].alias("label"), told["confidence"].alias("confidence"))
+
+
 _EVENT_DIFFS = """d AS (SELECT user_id AS pair_id, CASE event_id % 5 WHEN 0 THEN 'modified' WHEN 1 THEN 'unchanged' WHEN 2 THEN 'added' WHEN 3 THEN 'removed' ELSE 'renumbering_only' END AS status, CASE WHEN event_id % 7 = 0 THEN '' WHEN event_id % 7 = 1 THEN 'modified' END AS semantic FROM events)"""
 
 
@@ -664,3 +690,48 @@ def element_lines(spark, sf_dir):
     lines, pages = layout.lines_from_elements(e)
     heights = pages.groupBy("doc_id").agg(F.sum("height").alias("height"), F.first("reliable").alias("reliable"))
     return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum("y0").alias("y0"), F.sum("x1").alias("x1")).join(heights, "doc_id").select("doc_id", "n_lines", "y0", "x1", "reliable", "height")
+
+
+# --- sinks, read back --------------------------------------------------------------------
+
+
+def _turn_diffs(spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    even = F.col("turn") % 2 == 0
+    return t.select(
+        F.col("conv_id").cast("string").alias("pair_id"), F.col("turn").alias("diff_no"), F.col("role").alias("section_id_a"), F.when(even, F.concat(F.lit("s"), F.col("turn").cast("string"))).alias("section_id_b"), F.lit("2. T").alias("title_a"), F.lit("").alias("title_b"),
+        F.coalesce("text", F.lit("")).alias("semantic_text_a"), F.lit(None).cast("string").alias("semantic_text_b"), F.lit(None).cast("array<string>").alias("section_lines_a"), F.array(F.lit('say "x"'), F.lit("y, z")).alias("section_lines_b"),
+        (F.col("turn") / 4).alias("score"), F.col("turn").cast("int").alias("start_page_a"), F.lit(None).cast("int").alias("start_page_b"), F.when(even, "modified").otherwise("unchanged").alias("status"),
+    )
+
+
+@query("SELECT conv_id::VARCHAR AS pair_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS diff_no, role AS section_id_a, CASE WHEN turn % 2 = 0 THEN 's' || turn END AS section_id_b, sha256(coalesce(text, '')) AS text, turn / 4 AS match_score, turn::INTEGER AS page_no_in_a, true AS no_page_b, CASE WHEN turn % 2 = 0 THEN 'modified' ELSE 'unchanged' END AS status FROM conversations")
+def stored_reports(spark, sf_dir):
+    """Reports of all conversations, written as JSON and read back."""
+    diffs = _turn_diffs(spark, sf_dir)
+    path = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
+    writers.write_json(diffs, diffing.summary(diffs), path)
+    return readers.reports(spark, path).select("pair_id", "diff_no", "section_id_a", "section_id_b", F.sha2("semantic_text_a", 256).alias("text"), "match_score", "page_no_in_a", F.col("page_no_in_b").isNull().alias("no_page_b"), "status")
+
+
+@query("""SELECT conv_id::VARCHAR AS pair_id, turn::VARCHAR AS page_number_file_a, '2' AS section_number_file_a, sha256(CASE WHEN trim(coalesce(text, '')) = '' THEN '2. T' ELSE text END) AS text_file_a, sha256('say "x"' || chr(10) || 'y, z') AS text_file_b, turn / 4 AS diff_score FROM conversations""")
+def stored_exports(spark, sf_dir):
+    """The tabular export as CSV, with quotes, commas and line breaks in its cells, read back."""
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    writers.write_csv(report.export_rows(_turn_diffs(spark, sf_dir)), path)
+    kinds = ", ".join(f"{c} {'double' if c == 'diff_score' else 'string'}" for c in [*writers.EXPORT, "pair_id"])
+    rows = spark.read.schema(kinds).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return rows.select("pair_id", "page_number_file_a", "section_number_file_a", F.sha2("text_file_a", 256).alias("text_file_a"), F.sha2("text_file_b", 256).alias("text_file_b"), "diff_score")
+
+
+@query("SELECT user_id AS pair_id, event_type AS diff_id, max(event_id) AS event_id, count(*) AS seq FROM events WHERE event_id % 3 = (SELECT max(e.event_id % 3) FROM events e WHERE e.user_id = events.user_id AND e.event_type = events.event_type) GROUP BY ALL")
+def stored_annotations(spark, sf_dir):
+    """An append log written in three calls, each with its own entries of the same moment: the last call with a key wins."""
+    path = f"{shared_dir(spark)}/annotations-{uuid.uuid4().hex}"
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("pair_id"), F.col("event_type").alias("diff_id"), "event_id", F.lit("2026-01-01").cast("timestamp").alias("updated_at"))
+    for k in range(3):
+        writers.append_log(e.filter(F.col("event_id") % 3 == k), path)
+    last = report.latest(spark.read.parquet(path), ["pair_id", "diff_id"])
+    size = e.groupBy("pair_id", "diff_id", (F.col("event_id") % 3).alias("k")).agg(F.count("*").alias("seq"))
+    size = size.groupBy("pair_id", "diff_id").agg(F.max_by("seq", "k").alias("seq"))
+    return last.drop("seq").join(size, ["pair_id", "diff_id"]).select("pair_id", "diff_id", "event_id", "seq")
