@@ -273,8 +273,9 @@ def section_status(spark, sf_dir):
 
 def _versions(spark, sf_dir):
     """Lines of both versions side by side: pair_id, diff_no, before_text, after_text."""
-    a, b = (_body(spark, sf_dir, v).select(F.col("doc_id").alias("pair_id"), F.col("line_no").alias("diff_no"), F.col("text").alias(n)) for v, n in (("a", "before_text"), ("b", "after_text")))
-    return a.join(b, ["pair_id", "diff_no"])
+    rows = corpus.both_versions(corpus.body_lines(corpus.documents(spark, sf_dir)))
+    place = (F.floor(F.col("line_no") / 4) + 1) * 10 + 1 + F.col("line_no") % 4  # as in a layout
+    return rows.select(F.col("doc_id").alias("pair_id"), place.alias("diff_no"), F.col("text_a").alias("before_text"), F.col("text_b").alias("after_text"))
 
 
 _VERSIONS = "v AS (SELECT a.doc_id AS pair_id, a.text AS ta, b.text AS tb FROM body_a a JOIN body_b b ON a.doc_id = b.doc_id AND a.line_no = b.line_no)"

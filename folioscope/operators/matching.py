@@ -41,7 +41,9 @@ def plain_terms(c: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
 
 def scored(a: DataFrame, b: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
     """pair_id, both ids and positions, score and reason, of candidates that reach the low threshold."""
-    c = plain_terms(candidates(a, b), cfg)
+    # few bytes and much work: as many tasks as the session says, not as many as the bytes fill
+    tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    c = plain_terms(candidates(a.repartition(tasks, "pair_id"), b.repartition(tasks, "pair_id")), cfg)
     share = cfg.title_norm_share
     others = cfg.body_weight + cfg.anchor_weight * F.col("anchor_score") + cfg.order_weight * F.col("order_score")
     c = c.withColumn("_least", (F.lit(cfg.low) - others) / cfg.title_weight - 1e-4)

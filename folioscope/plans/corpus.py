@@ -18,11 +18,17 @@ from folioscope.functions import text as T
 EDIT_A = " The bank must not exceed USD 10,000 or 5% by 2025-01-01."
 EDIT_B = " The bank may exceed USD 12,000 or 6% by 2026-01-01."
 HEIGHT = 800.0
+#: Which lines version B has.
+IN_B = "(doc_id + line_no) % 23 != 0"
 
 
 def body_lines(documents: DataFrame) -> DataFrame:
-    """doc_id, source, line_no and text with headings injected."""
-    raw = documents.select("doc_id", "source", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "raw"))
+    """doc_id, source, line_no and text with headings injected.
+
+    Documents are dealt out by doc_id while they are whole: all that follows groups, orders
+    and joins lines by document, and would shuffle the longer rows of lines.
+    """
+    raw = documents.repartition("doc_id").select("doc_id", "source", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "raw"))
     t, n, k = T.collapse(F.col("raw")), F.col("line_no"), F.col("doc_id") + F.col("line_no")
     phase = F.when(F.col("doc_id") % 4 == 0, 1).otherwise(0)
     text = (
@@ -36,15 +42,23 @@ def body_lines(documents: DataFrame) -> DataFrame:
     return raw.select("doc_id", "source", F.col("line_no").cast("long").alias("line_no"), text.alias("text"))
 
 
-def version(lines: DataFrame, which: str) -> DataFrame:
+def _text(which: str):
+    """The text of a line in a version."""
     k = F.col("doc_id") + F.col("line_no")
-    edit = F.when(k % 7 == 0, F.lit(EDIT_A if which == "a" else EDIT_B)).otherwise("")
-    lines = lines.withColumn("text", F.concat(F.col("text"), edit))
+    text = F.concat(F.col("text"), F.when(k % 7 == 0, F.lit(EDIT_A if which == "a" else EDIT_B)).otherwise(""))
+    renumbered = (F.col("doc_id") % 2 == 0) & F.col("text").startswith("IV. ") & F.lit(which == "b")
+    return F.when(renumbered, F.concat(F.lit("V. "), F.substr(text, F.lit(5)))).otherwise(text)
+
+
+def version(lines: DataFrame, which: str) -> DataFrame:
     if which == "b":
-        lines = lines.filter(k % 23 != 0)
-        renumbered = (F.col("doc_id") % 2 == 0) & F.col("text").startswith("IV. ")
-        lines = lines.withColumn("text", F.when(renumbered, F.concat(F.lit("V. "), F.expr("substr(text, 5)"))).otherwise(F.col("text")))
-    return lines
+        lines = lines.filter(IN_B)
+    return lines.withColumn("text", _text(which))
+
+
+def both_versions(lines: DataFrame) -> DataFrame:
+    """The lines that both versions have, side by side without a join: doc_id, line_no, text_a and text_b."""
+    return lines.filter(IN_B).select("doc_id", "line_no", _text("a").alias("text_a"), _text("b").alias("text_b"))
 
 
 def positioned(lines: DataFrame) -> DataFrame:
