@@ -78,6 +78,16 @@ def _bounds(a: str, b: str):
         yield matcher.ratio()
 
 
+def measure(a: str, b: str, metric: str = "sequence") -> float:
+    """0 if either side is empty or null, 1 if equal, else the metric."""
+    return 0.0 if not a or not b else 1.0 if a == b else METRICS[metric](a, b)
+
+
+def ceiling(a: str, b: str) -> float:
+    """An upper bound of the sequence measure by lengths."""
+    return 2.0 * min(len(a), len(b)) / (len(a) + len(b)) if a and b else 0.0
+
+
 def _titles(x: tuple, least: float, share: float, metric: str):
     """raw and core of (title a, title b, core a, core b), or nothing once ``least`` is out of reach."""
     if metric != "sequence":

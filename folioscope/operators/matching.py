@@ -1,19 +1,23 @@
 """Alignment of the sections of two versions: candidates, scores, one-to-one assignment.
 
 Tables: sides A and B are sections with ``pair_id``.  Candidates meet by ``pair_id`` only,
-in one shuffle that the assignment uses again.  A candidate can reach the low threshold
-only if its title similarity is high enough, as the other terms are bounded: titles are
-measured as far as that is still possible, and bodies for those that remain.
+and a candidate can reach the low threshold only if its title similarity is high enough,
+as the other terms are bounded.  Scores of all candidates measure titles as far as that is
+still possible, and bodies for those that remain; the assignment alone measures lazily.
 """
 
 from __future__ import annotations
 
+import heapq
+import itertools
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.config import MatchConfig
 from folioscope.functions import text as T
-from folioscope.functions.similarity import similarity, title_scores
+from folioscope.functions.similarity import ceiling, measure, similarity, title_scores
 
 
 def pool(sections: DataFrame) -> DataFrame:
@@ -83,6 +87,76 @@ def assigned(scores: DataFrame) -> DataFrame:
     return ordered.mapInPandas(run, f"pair_id {kind}, i_a long, i_b long, section_id_a string, section_id_b string, score double, reason string, match_no long")
 
 
+def _ceiling(a: str, b: str) -> F.Column:
+    """The sequence measure's largest value for texts of these lengths."""
+    x, y = F.length(a), F.length(b)
+    return F.when((x == 0) | (y == 0) | x.isNull() | y.isNull(), 0.0).otherwise(F.lit(2.0) * F.least(x, y) / (x + y))
+
+
+def assigned_lazily(a: DataFrame, b: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
+    """What ``assigned(scored(a, b))`` gives, with few texts compared.
+
+    Candidates come sorted by a bound of their score that takes lengths alone.  A task
+    measures titles, then bodies, only of the candidate whose bound is the highest and
+    whose sections are both free: once it is exact and still the highest, it is accepted.
+    It holds the candidates of one pair that were measured and are not decided yet.
+    """
+    exact = cfg.metric == "sequence"
+    share = cfg.title_norm_share
+    c = plain_terms(candidates(a, b), cfg)
+    titles = [("title_normalized_a", "title_normalized_b"), ("core_a", "core_b"), ("prefix_a", "prefix_b")]
+    raw, core, body = (_ceiling(*n) if exact else F.lit(1.0) for n in titles)
+    bound = cfg.title_weight * (share * raw + (1 - share) * core) + cfg.body_weight * body + cfg.anchor_weight * F.col("anchor_score") + cfg.order_weight * F.col("order_score")
+    names = ["pair_id", "i_a", "i_b", "section_id_a", "section_id_b", *[n for t in titles for n in t], "anchor_score", "order_score"]
+    c = c.withColumn("bound", bound).filter((F.col("bound") >= cfg.low) & F.col("pair_id").isNotNull()).select(*names, "bound")
+    columns = ["pair_id", "i_a", "i_b", "section_id_a", "section_id_b", "score", "reason", "match_no"]
+
+    def decided(rows):
+        """Accepted rows of one pair, from rows by falling bound."""
+        heap, taken_a, taken_b, accepted = [], set(), set(), []
+        following = next(rows, None)
+        while heap or following is not None:
+            while following is not None and (not heap or following[-1] >= -heap[0][0]):
+                if following[1] not in taken_a and following[2] not in taken_b:
+                    heapq.heappush(heap, (-following[-1], 0, following[1], following[2], following, None))
+                following = next(rows, None)
+            if not heap:
+                break
+            value, step, i, j, row, known = heapq.heappop(heap)
+            if i in taken_a or j in taken_b:
+                continue
+            if step == 2:
+                taken_a.add(i)
+                taken_b.add(j)
+                raw, core, body = known
+                title = share * raw + (1 - share) * core
+                reason = f"title_raw={raw:.3f}, title_core={core:.3f}, title={title:.3f}, body={body:.3f}, anchor={row[11]:.3f}, order={row[12]:.3f}"
+                accepted.append((*row[:5], -value, reason, len(accepted)))
+                continue
+            if step == 0:
+                known = measure(row[5], row[6], cfg.metric), measure(row[7], row[8], cfg.metric), ceiling(row[9], row[10]) if exact else 1.0
+            else:
+                known = *known[:2], measure(row[9], row[10], cfg.metric)
+            score = cfg.title_weight * (share * known[0] + (1 - share) * known[1]) + cfg.body_weight * known[2] + cfg.anchor_weight * row[11] + cfg.order_weight * row[12]
+            if score >= cfg.low:
+                heapq.heappush(heap, (-score, step + 1, i, j, row, known))
+        return accepted
+
+    def run(batches):
+        rows = (row for batch in batches for row in zip(*(batch[n].tolist() for n in batch.columns), strict=True))
+        out = []
+        for _, group in itertools.groupby(rows, key=lambda row: row[0]):
+            out += decided(group)
+            if len(out) > 10_000:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=columns)
+
+    ordered = c.repartition("pair_id").sortWithinPartitions("pair_id", F.desc("bound"), "i_a", "i_b")
+    return ordered.mapInPandas(run, f"pair_id {dict(c.dtypes)['pair_id']}, i_a long, i_b long, section_id_a string, section_id_b string, score double, reason string, match_no long")
+
+
 def matches(a: DataFrame, b: DataFrame, found: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
     """Matched rows in order of acceptance, then unmatched A, then unmatched B, each in its order."""
     band = F.when(F.col("score") >= cfg.matched, "matched").otherwise("low-confidence matched")
@@ -101,4 +175,4 @@ def matches(a: DataFrame, b: DataFrame, found: DataFrame, cfg: MatchConfig = Mat
 
 def match(sections_a: DataFrame, sections_b: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
     a, b = pool(sections_a), pool(sections_b)
-    return matches(a, b, assigned(scored(a, b, cfg)), cfg)
+    return matches(a, b, assigned_lazily(a, b, cfg), cfg)

@@ -34,7 +34,7 @@ def compare(lines_a: DataFrame, pages_a: DataFrame, lines_b: DataFrame, pages_b:
     b = written(sections_of(lines_b, pages_b, cfg, fuzzy), "sections-b")
     timed("sectionize")
     pool_a, pool_b = written(matching.pool(a), "pool-a"), written(matching.pool(b), "pool-b")
-    accepted = written(matching.assigned(matching.scored(pool_a, pool_b, match_cfg)), "accepted")
+    accepted = written(matching.assigned_lazily(pool_a, pool_b, match_cfg), "accepted")
     found = written(matching.matches(pool_a, pool_b, accepted, match_cfg), "matches")
     timed("match")
     pairs = pages_a.select(F.col("doc_id").alias("pair_id")).union(pages_b.select("doc_id")).distinct()

@@ -8,6 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope.config import MatchConfig
 from folioscope.functions import similarity as S
 from folioscope.operators import classify, diffing, matching, report
 from folioscope.sources import readers, writers
@@ -47,6 +48,21 @@ def test_greedy_equals_loop(spark):
         assert [(g["i_a"], g["i_b"]) for g in sorted((g for g in got if g["pair_id"] == p), key=lambda g: g["match_no"])] == want
 
 
+def test_lazy_assignment_equals_that_of_all_scores(spark):
+    """With ties, equal titles, empty bodies and every metric."""
+    r = random.Random(8)
+    words = ["risk", "credit", "bank", "plan", "act", "note"]
+    row = lambda p, s, i: (p, f"{s}{i}", r.choice(["major_heading", "named_numbered_heading"]), t := " ".join(r.choices(words[:3], k=r.randrange(0, 3))), t, " ".join(r.choices(words, k=r.choice([0, 3, 40]))), i)
+    cols = "pair_id long, section_id string, anchor_type string, title_normalized string, core string, prefix string, i long, n long"
+    side = lambda s: spark.createDataFrame([(*row(p, s, i), n) for p in range(12) for n in [r.randrange(1, 9)] for i in range(n)], cols)
+    a, b = side("a"), side("b")
+    for metric in ("sequence", "token_set"):
+        cfg = MatchConfig(metric=metric)
+        want = {(x["pair_id"], x["match_no"], x["i_a"], x["i_b"]): x["score"] for x in matching.assigned(matching.scored(a, b, cfg)).collect()}
+        got = {(x["pair_id"], x["match_no"], x["i_a"], x["i_b"]): x["score"] for x in matching.assigned_lazily(a, b, cfg).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want) and len(want) > 20
+
+
 def test_soft_wraps(spark):
     row = spark.range(1).select(diffing.unwrapped(F.array(*map(F.lit, ["Banks must", "report to", "The board.", "", "1. Next", "HEADING", "and on"]))).alias("x")).first()
     assert row.x == ["Banks must report to The board.", "1. Next", "HEADING and on"]
