@@ -54,7 +54,7 @@ def test_lazy_assignment_equals_that_of_all_scores(spark):
     words = ["risk", "credit", "bank", "plan", "act", "note"]
     row = lambda p, s, i: (p, f"{s}{i}", r.choice(["major_heading", "named_numbered_heading"]), t := " ".join(r.choices(words[:3], k=r.randrange(0, 3))), t, " ".join(r.choices(words, k=r.choice([0, 3, 40]))), i)
     cols = "pair_id long, section_id string, anchor_type string, title_normalized string, core string, prefix string, i long, n long"
-    side = lambda s: spark.createDataFrame([(*row(p, s, i), n) for p in range(12) for n in [r.randrange(1, 9)] for i in range(n)], cols)
+    side = lambda s: spark.createDataFrame([(*row(p, s, i), n) for p in range(40) for n in [r.randrange(1, 9)] for i in range(n)], cols)
     a, b = side("a"), side("b")
     for metric in ("sequence", "token_set"):
         cfg = MatchConfig(metric=metric)
