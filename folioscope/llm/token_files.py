@@ -225,8 +225,10 @@ def encoded(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
         begin[new], count[new] = used + at[each], n[each]
         pool.append(ids)
         used += len(ids)
-        if known.count + len(one) <= PIECES_KEPT:  # once full, those known stay
-            known.add(low[one], high[one], size[one], ids, at, n)
+        room = PIECES_KEPT - known.count
+        if room > 0:  # once full, those known stay
+            one = one[:room]
+            known.add(low[one], high[one], size[one], ids, at[:room], n[:room])
     at = np.flatnonzero(apart)
     if len(at):
         keys = [buf[i : i + n].tobytes() for i, n in zip(start[at].tolist(), size[at].tolist(), strict=True)]

@@ -136,6 +136,26 @@ def test_near_duplicates_of_many_variants(spark):
     assert set(got.values()) == {0, 60}
 
 
+def test_near_duplicates_find_links_just_above_the_threshold(spark):
+    """Pairs of similarity 0.80 to 0.85, none of which shares words with another, and pairs just below."""
+    r = random.Random(17)
+    rows, want = [], {}
+    for i in range(400):
+        words = [f"{i}x{r.random()}" for _ in range(r.randrange(60, 160))]
+        other = list(words)
+        while True:
+            other[r.randrange(1, len(words) - 1)] = f"{i}y{r.random()}"
+            x, y = shingles(" ".join(words), 2), shingles(" ".join(other), 2)
+            share = len(x & y) / len(x | y)
+            if share < 0.85:
+                break
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        want[2 * i], want[2 * i + 1] = 2 * i, 2 * i if share >= 0.8 else 2 * i + 1
+    assert sum(want[2 * i + 1] == 2 * i for i in range(400)) > 300
+    got = {x["doc_id"]: x["component_id"] for x in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()}
+    assert got == want
+
+
 def test_main_text(spark):
     page = "<html><head><title>T</title></head><body><nav><a href=x>Home</a></nav><div class='cookie'>We use cookies.</div><article><h1>Head &amp; line</h1><p>One\n two.<p>Three.</p><aside class=ad>Buy this now!</aside></article><form>Mail me</form><div id=comments><p>Nice!</p></div><footer>&copy; x</footer></body></html>"
     pages = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "v", ""), (None, "w", "<p>"), (1, "u", page)], "page_id long, url string, html string")
@@ -146,6 +166,12 @@ def test_main_text(spark):
     assert main_text.Model(60).extract([deep])[0] in ([], ["x"])
 
 
+def test_main_text_of_empty_tables_and_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>One", "x", 5, "y")], "page_id long, url string, html string, text string, n_chars long, n_blocks string")
+    assert [(r["page_id"], r["text"], r["n_chars"]) for r in main_text.main_text(pages).collect()] == [(1, "One", 3)]
+    assert main_text.main_text(pages.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("html, want", [
     ("<article><p>One</p><svg class=i /><p>Two</p></article>", "One Two"), ("<p>One<svg><path d='x'><p>Two<svg>x</svg>", "One Two"), ("<p>One</p><button-group><p>Two</p>", "One Two"),
     ("<html><head><title>T</title><meta name=x><body><p>One", "One"), ("<head><title>T</title><p>One", "One"), ("<head><title>T</title></head><p>One", "One"), ("<p>One</p><button><p>Two", "One Two"),
@@ -465,6 +491,21 @@ def test_pieces_equal_whole_texts():
         assert ids[at[k] : at[k + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_pieces_beyond_what_a_worker_keeps(monkeypatch):
+    path = token_files.default_tokenizer()
+    monkeypatch.setattr(token_files, "PIECES_KEPT", 64)
+    monkeypatch.setattr(token_files, "LONG_KEPT", 3)
+    monkeypatch.setattr(token_files, "_tokenizers", {})
+    tokenizer, known = token_files._loaded(path)[0], token_files._loaded(path)[4]
+    r = random.Random(7)
+    for _ in range(12):
+        texts = [" ".join("".join(r.choices("abcdeé", k=r.choice([2, 5, 20]))) for _ in range(r.randrange(0, 12))) for _ in range(30)]
+        ids, at = token_files.encoded(pa.array([*texts, None]), path)
+        for k, t in enumerate(texts):
+            assert ids[at[k] : at[k + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    assert 0 < known.count <= 64 and at[-1] == at[-2]
+
+
 def test_mixing(docs, rows, empty):
     got = mixing.replicated(docs.drop("key"), weights={"src0": 3.0, "s1": 1.0}, total=4000.0)
     n = collections.Counter(r["source"] for r in got.collect())
