@@ -9,7 +9,7 @@ Steps: (1) documents with equal shingle sets become one class; (2) per band buck
 members are compared with one representative, never with each other; (3) links make
 components; (4) buckets that still hold several components get another
 representative, and then (5) whatever pairs across components are left in a bucket are
-compared outright, unless sizes or parity bitmaps of the sets rule a link out.  Pairs inside a component need no comparison, so a bucket of n near
+compared outright, by tiers of set sizes, unless sizes or parity bitmaps of the sets rule a link out.  Pairs inside a component need no comparison, so a bucket of n near
 copies costs about n comparisons, and no cap applies.
 
 Missed links: two sets with similarity s share no band with probability
@@ -23,6 +23,8 @@ they are judged by their own.  Other columns are not read, so their names cannot
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import mix64, released, row_chunks, table, text_bytes, word_hashes, written
 
 PERMUTATIONS, BAND_ROWS = 48, 4
+#: Tiers of set sizes are wider than the sizes of linked sets can differ, by this factor.
+TIER = 1.04
 BANDS = 2 * PERMUTATIONS // BAND_ROWS
 #: Bits of the parity bitmap.  Two bitmaps differ in at most as many bits as their sets
 #: differ in elements, so a larger distance rules a link out, exactly.
@@ -202,13 +206,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
         else:
             # each pair once, in the first band that it shares, and only if sizes and parities allow a link
             member = member.join(classes.select("class_id", "bands", "n_shingles", "parity"), "class_id")
-            other = member.select("band", *[F.col(c).alias(new) for c, new in (("class_id", "b"), ("comp", "comp_b"), ("bands", "bands_b"), ("n_shingles", "n_b"), ("parity", "parity_b"))])
+            # sizes of a link lie in one tier or in neighbouring ones, so buckets are split by tiers
+            member = member.withColumn("tier", F.floor(F.log("n_shingles") / F.lit(math.log(TIER * 100 / percent))))
+            other = member.select("band", F.explode(F.array("tier", F.col("tier") - 1)).alias("tier"), *[F.col(c).alias(new) for c, new in (("tier", "tier_b"), ("class_id", "b"), ("comp", "comp_b"), ("bands", "bands_b"), ("n_shingles", "n_b"), ("parity", "parity_b"))])
             first = "element_at(bands, cast(array_position(zip_with(bands, bands_b, (x, y) -> x = y), true) as int)) = band"
             sizes = f"100 * least(n_shingles, n_b) >= {percent} * greatest(n_shingles, n_b)"
             # similarity s: the sets differ in (|a| + |b|) (1 - s) / (1 + s) elements at most
             distance = "aggregate(zip_with(parity, parity_b, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)"
             near = f"{100 + percent} * {distance} <= {100 - percent} * (n_shingles + n_b)"
-            pairs = member.join(other, "band").filter(f"comp <> comp_b and class_id < b and {sizes} and {near} and {first}")
+            pairs = member.join(other, ["band", "tier"]).filter(f"comp <> comp_b and (tier < tier_b or class_id < b) and {sizes} and {near} and {first}")
         pairs = pairs.select(F.greatest("class_id", "b").alias("a"), F.least("class_id", "b").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
