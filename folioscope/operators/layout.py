@@ -7,6 +7,7 @@ page, x0, y0, x1, y1, text) and pages(doc_id, page, height).
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -72,7 +73,8 @@ REASONS = ("page_number", "repeat", "cluster", "running_title")
 
 
 def _clusters(cfg: LayoutConfig, metric: str):
-    """Adds ``pages``, the distinct pages of each line's cluster, to edge lines sorted by document, band, page and line."""
+    """Adds ``n``, how many lines of the band have the normal form, and ``pages``, the distinct pages of the line's
+    cluster, to edge lines sorted by document, band, page and line."""
     least = cfg.fuzzy_threshold
 
     def close(norm: str, leader: str) -> bool:
@@ -116,10 +118,12 @@ def _clusters(cfg: LayoutConfig, metric: str):
 
     def done(rows, starts):
         norms, pages = rows["norm"].tolist(), rows["page"].tolist()
-        out = []
+        times, out = [], []
         for i, j in zip(starts, starts[1:], strict=False):
+            forms = Counter(norms[i:j])
+            times += [forms[norm] for norm in norms[i:j]]
             out += counted(norms[i:j], pages[i:j])
-        return rows.assign(pages=out)
+        return rows.drop(columns="_k").assign(n=times, pages=out)
 
     return run
 
@@ -134,12 +138,13 @@ def removable(lines: DataFrame, pages: DataFrame, cfg: LayoutConfig = LayoutConf
     if "reliable" in pages.columns:
         pages = pages.filter(F.coalesce("reliable", F.lit(True)))
     edge = edge_candidates(lines, pages, cfg).select("doc_id", "page", "line_no", "region", "norm", T.collapse(F.col("text")).alias("text"))
-    edge = edge.withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "region", "norm")))
     if fuzzy:
-        edge = edge.repartition("doc_id").sortWithinPartitions("doc_id", "region", "page", "line_no")
-        edge = edge.mapInPandas(_clusters(cfg, metric), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edge.schema) + ", pages long")
+        # a window brings a document's lines together in order, and keeps them so
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy("region", "page", "line_no")).alias("_k")
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edge.schema)
+        edge = edge.select("*", place).mapInPandas(_clusters(cfg, metric), kinds + ", n long, pages long")
     else:
-        edge = edge.withColumn("pages", F.lit(0).cast("long"))
+        edge = edge.withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "region", "norm"))).withColumn("pages", F.lit(0).cast("long"))
     edge = edge.join(n_pages, "doc_id")
     tests = (
         T.is_page_number(F.col("text")),

@@ -59,6 +59,14 @@ def scored(a: DataFrame, b: DataFrame, cfg: MatchConfig = MatchConfig()) -> Data
     return c.withColumn("score", score).filter(F.col("score") >= cfg.low).select("pair_id", "i_a", "i_b", "section_id_a", "section_id_b", "score", reason.alias("reason"))
 
 
+def _by_pair(rows: DataFrame, by: str) -> DataFrame:
+    """Each pair's rows in one partition, one after another by falling ``by``: a window asks for just that.
+
+    After a join by pair no other shuffle is needed, and none can part a pair again.
+    """
+    return rows.withColumn("_k", F.row_number().over(Window.partitionBy("pair_id").orderBy(F.desc(by), "i_a", "i_b")))
+
+
 def assigned(scores: DataFrame) -> DataFrame:
     """Greedy one-to-one assignment by score, ties by position; adds match_no.
 
@@ -79,12 +87,11 @@ def assigned(scores: DataFrame) -> DataFrame:
                     keep.append(k)
                     numbers.append(no)
                     no += 1
-            yield rows.iloc[keep].assign(match_no=numbers)
+            yield rows.iloc[keep].drop(columns="_k").assign(match_no=numbers)
 
     kind = dict(scores.dtypes)["pair_id"]
     scores = scores.filter("pair_id is not null").select("pair_id", "i_a", "i_b", "section_id_a", "section_id_b", "score", "reason")
-    ordered = scores.repartition("pair_id").sortWithinPartitions("pair_id", F.desc("score"), "i_a", "i_b")
-    return ordered.mapInPandas(run, f"pair_id {kind}, i_a long, i_b long, section_id_a string, section_id_b string, score double, reason string, match_no long")
+    return _by_pair(scores, "score").mapInPandas(run, f"pair_id {kind}, i_a long, i_b long, section_id_a string, section_id_b string, score double, reason string, match_no long")
 
 
 def _ceiling(a: str, b: str) -> F.Column:
@@ -116,9 +123,9 @@ def assigned_lazily(a: DataFrame, b: DataFrame, cfg: MatchConfig = MatchConfig()
         heap, taken_a, taken_b, accepted = [], set(), set(), []
         following = next(rows, None)
         while heap or following is not None:
-            while following is not None and (not heap or following[-1] >= -heap[0][0]):
+            while following is not None and (not heap or following[13] >= -heap[0][0]):
                 if following[1] not in taken_a and following[2] not in taken_b:
-                    heapq.heappush(heap, (-following[-1], 0, following[1], following[2], following, None))
+                    heapq.heappush(heap, (-following[13], 0, following[1], following[2], following, None))
                 following = next(rows, None)
             if not heap:
                 break
@@ -153,8 +160,7 @@ def assigned_lazily(a: DataFrame, b: DataFrame, cfg: MatchConfig = MatchConfig()
         if out:
             yield pd.DataFrame(out, columns=columns)
 
-    ordered = c.repartition("pair_id").sortWithinPartitions("pair_id", F.desc("bound"), "i_a", "i_b")
-    return ordered.mapInPandas(run, f"pair_id {dict(c.dtypes)['pair_id']}, i_a long, i_b long, section_id_a string, section_id_b string, score double, reason string, match_no long")
+    return _by_pair(c, "bound").mapInPandas(run, f"pair_id {dict(c.dtypes)['pair_id']}, i_a long, i_b long, section_id_a string, section_id_b string, score double, reason string, match_no long")
 
 
 def matches(a: DataFrame, b: DataFrame, found: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
