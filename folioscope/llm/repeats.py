@@ -48,7 +48,7 @@ from .common import mix64, prefix_hash, released, row_chunks, span_hash, table,
 LENGTH, SHARED, Q = 400, 240, 140
 #: Bits of a bitmap: LOAD for each key, between these bounds.
 LOAD, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
-_CHUNK = 2 << 20
+_CHUNK = 1 << 18
 _INDEX = np.uint64(0xFFFFFFFF)
 
 
