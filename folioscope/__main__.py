@@ -2,17 +2,22 @@
 
     python -m folioscope extract LAYOUT --output OUT [--backend tables|elements] [--numeric-primary] [--header-pattern P] [--footer-pattern P]
     python -m folioscope diff LAYOUT_A LAYOUT_B --output OUT [--dump-intermediate]
-    python -m folioscope classify REPORT --output OUT
+    python -m folioscope classify REPORT --output OUT [--hook MODULE:FUNCTION] [--model NAME] [--answers TABLE] [--events]
     python -m folioscope export REPORT [--csv OUT] [--excel FILE]
     python -m folioscope import-labels REPORT CLASSIFIED --log LOG [--source NAME]
 
-LAYOUT is a folder of Parquet tables (spans and pages, or elements); REPORT a JSON file.
+LAYOUT is a folder of Parquet tables (spans and pages, or elements); REPORT a JSON file, or a folder of
+files with a report a line, as ``diff`` writes them (OUT/reports).  ``classify`` writes classified reports to
+OUT/reports, a line a pair, and ``import-labels`` takes them for all pairs.  A hook is a function of
+``classify.modelled``; with a table of answers a later run asks only for what is missing.
 """
 
 from __future__ import annotations
 
 import argparse
+import importlib
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +45,10 @@ def parser() -> argparse.ArgumentParser:
     s = sub.add_parser("classify")
     s.add_argument("report")
     s.add_argument("--output", required=True)
+    s.add_argument("--hook")
+    s.add_argument("--model", default="hook")
+    s.add_argument("--answers")
+    s.add_argument("--events", action="store_true")
     s = sub.add_parser("export")
     s.add_argument("report")
     s.add_argument("--csv")
@@ -56,6 +65,16 @@ def config(args) -> LayoutConfig:
     return LayoutConfig(numeric_is_primary=args.numeric_primary, header_patterns=tuple(args.header_pattern), footer_patterns=tuple(args.footer_pattern))
 
 
+def hook_of(name: str | None):
+    """The function that ``MODULE:FUNCTION`` names; its module is sent to the workers."""
+    if not name:
+        return None
+    module, _, function = name.partition(":")
+    found = importlib.import_module(module)
+    cloudpickle.register_pickle_by_value(found)
+    return getattr(found, function)
+
+
 def export_of(spark: SparkSession, path: str):
     return report.export_rows(readers.reports(spark, path).withColumnsRenamed({"match_score": "score", "page_no_in_a": "start_page_a", "page_no_in_b": "start_page_b"}))
 
@@ -84,9 +103,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
                 cleaned = layout.clean_lines(lines, pages, config(args))
                 layout.extraction_summary(cleaned, pages).write.mode("overwrite").json(f"{args.output}/debug_{s}")
     elif args.command == "classify":
-        rows = classify.classified(readers.reports(spark, args.report))
+        sources = readers.report_sources(spark, args.report)
+        listener = (lambda name, told: print(name, *(f"{k}={v}" for k, v in told.items()), flush=True)) if args.events else None
+        rows = classify.classified(readers.reports(spark, args.report), hook_of(args.hook), model=args.model, store=args.answers, listener=listener)
+        rows = written(rows, "classified")  # read three times; a model is asked once
         rows.write.mode("overwrite").json(f"{args.output}/classifications")
-        classify.summary(rows, readers.reports(spark, args.report)).write.mode("overwrite").json(f"{args.output}/summary")
+        classify.summary(rows, sources).write.mode("overwrite").json(f"{args.output}/summary")
+        writers.write_classified(rows, f"{args.output}/reports", sources)
     elif args.command == "export":
         rows = export_of(spark, args.report)
         if args.csv:
@@ -94,9 +117,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         if args.excel:
             writers.write_xlsx(rows, args.excel)
     else:
-        rows = readers.reports(spark, args.report)
-        pair = rows.select("pair_id").first()["pair_id"] if not rows.isEmpty() else ""
-        entries = report.imported(rows, readers.labels(spark, args.classified, pair), args.source).withColumn("updated_at", F.current_timestamp())
+        labels = readers.all_labels(spark, args.classified, readers.report_sources(spark, args.report))
+        entries = report.imported(readers.reports(spark, args.report), labels, args.source)
+        entries = written(entries.withColumn("updated_at", F.current_timestamp()), "entries")
         n = entries.count()
         if n:
             writers.append_log(entries, args.log)

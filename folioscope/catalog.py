@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioscope.config import LayoutConfig
@@ -537,11 +538,11 @@ l AS (SELECT *, CASE WHEN hard <> '' THEN 'significant' WHEN change_ratio <= 0.0
  CASE WHEN hard <> '' THEN hard WHEN change_ratio <= 0.03 AND token_jaccard >= 0.97 AND sentence_overlap >= 0.95 THEN 'high_similarity_low_change_ratio' WHEN change_ratio >= 0.45 OR token_jaccard < 0.5 THEN 'large_change_surface' ELSE 'default_small_semantic_change' END AS rules FROM r)"""
 
 
-def _ruled(spark, sf_dir):
-    """Rules, the stub of the model hook with given labels, and arbitration over the lines of orders."""
+def _ruled(spark, sf_dir, *more):
+    """Rules, the stub of the model hook with given labels, and arbitration over the lines of orders; ``more``: columns in place of the pair."""
     flag = lambda c, n: F.when(c, n).otherwise(0)
     f = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        F.col("l_suppkey").alias("pair_id"), F.col("l_discount").alias("change_ratio"), (1 - F.col("l_tax")).alias("token_jaccard"), (1 - F.col("l_discount")).alias("sentence_overlap"), (F.col("l_quantity") > 48).alias("obligation_change"), (F.col("l_shipdate") < "1993-01-01").alias("negation_change"), (F.col("l_linenumber") == 7).alias("scope_change_cues"),
+        *(more or [F.col("l_suppkey").alias("pair_id")]), F.col("l_discount").alias("change_ratio"), (1 - F.col("l_tax")).alias("token_jaccard"), (1 - F.col("l_discount")).alias("sentence_overlap"), (F.col("l_quantity") > 48).alias("obligation_change"), (F.col("l_shipdate") < "1993-01-01").alias("negation_change"), (F.col("l_linenumber") == 7).alias("scope_change_cues"),
         flag(F.col("l_partkey") % 29 == 0, 1).alias("numeric_changes_count"), flag(F.col("l_suppkey") % 31 == 0, 2).alias("dates_changed"), F.lit(0).alias("percentages_changed"), F.lit(0).alias("currency_changed"),
         F.when(F.col("l_returnflag") == "A", "editorial").when(F.col("l_returnflag") == "N", "slight").otherwise("significant").alias("llm_mock_label"),
     )
@@ -559,6 +560,75 @@ def label_totals(spark, sf_dir):
     return classify.summary(_ruled(spark, sf_dir))
 
 
+def _by_order(spark, sf_dir):
+    """The lines of orders as the classified sections of pairs of documents."""
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus"]
+    no = (F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)) - 1).cast("long")
+    return _ruled(spark, sf_dir, F.col("l_orderkey").cast("string").alias("pair_id"), no.alias("diff_no"), F.concat(F.lit("s"), (no % 5).cast("string")).alias("section_id"), F.col("l_linestatus").alias("section_title"))
+
+
+_BY_ORDER = _RULES.replace("SELECT l_suppkey AS pair_id,", "SELECT l_orderkey::VARCHAR AS pair_id, no AS diff_no, 's' || (no % 5) AS section_id, l_linestatus AS section_title,").replace(
+    "FROM lineitem)", "FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) - 1 AS no FROM lineitem))"
+)
+
+
+@query(f"WITH {_BY_ORDER} SELECT pair_id, diff_no, section_id, section_title, rule_label, rules, model_label, model_label <> rule_label AS disagreement, CASE WHEN hard <> '' AND model_label IN ('editorial', 'slight') THEN 'significant' ELSE 'none' END AS override_candidate FROM l")
+def stored_classifications(spark, sf_dir):
+    """Classified reports of all orders, a JSON line each, written and read back."""
+    path = f"{shared_dir(spark)}/classified-{uuid.uuid4().hex}"
+    writers.write_classified(_by_order(spark, sf_dir), path)
+    rows = readers.classifications(spark, path)
+    rules = F.array_join("rule_classification.triggered_rules", ",").alias("rules")
+    return rows.select("pair_id", F.col("pos").cast("long").alias("diff_no"), "section_id", "section_title", F.col("rule_classification.label").alias("rule_label"), rules, F.col("llm_classification.label").alias("model_label"), F.col("disagreement_flag").alias("disagreement"), F.coalesce("override_candidate", F.lit("none")).alias("override_candidate"))
+
+
+@query(
+    f"""WITH {_BY_ORDER}, x AS (SELECT pair_id, section_id, arg_max(model_label, diff_no) AS label FROM l GROUP BY ALL),
+d AS (SELECT o_orderkey::VARCHAR AS pair_id, k AS diff_no, 's' || k AS a, CASE WHEN k % 2 = 0 THEN 's' || (k + 1) END AS b FROM orders, range(6) t(k))
+SELECT d.pair_id, diff_no || ':' || a || '->' || coalesce(b, 'none') AS diff_id, coalesce(xb.label, xa.label) AS classification FROM d LEFT JOIN x xb ON d.pair_id = xb.pair_id AND d.b = xb.section_id LEFT JOIN x xa ON d.pair_id = xa.pair_id AND d.a = xa.section_id
+WHERE coalesce(xb.label, xa.label) IS NOT NULL"""
+)
+def imported_reports(spark, sf_dir):
+    """Diff reports and classified reports of all orders, both stored: the labels of all pairs imported into the log, and the log read."""
+    folder = f"{shared_dir(spark)}/imports-{uuid.uuid4().hex}"
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("pair_id"))
+    k = F.col("diff_no").cast("string")
+    diffs = orders.withColumn("diff_no", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("section_id_a", F.concat(F.lit("s"), k)).withColumn("section_id_b", F.when(F.col("diff_no") % 2 == 0, F.concat(F.lit("s"), (F.col("diff_no") + 1).cast("string"))))
+    writers.write_json(diffs, orders.withColumn("total", F.lit(6)), f"{folder}/reports")
+    writers.write_classified(_by_order(spark, sf_dir), f"{folder}/classified")
+    reports = readers.reports(spark, f"{folder}/reports")
+    labels = readers.all_labels(spark, f"{folder}/classified", readers.report_sources(spark, f"{folder}/reports"))
+    writers.append_log(report.imported(reports, labels).withColumn("updated_at", F.current_timestamp()), f"{folder}/log")
+    return report.latest(spark.read.parquet(f"{folder}/log"), ["pair_id", "diff_id"]).select("pair_id", "diff_id", "classification")
+
+
+def _first_model(frame):
+    """Labels in any case with spaces around them; a confidence for some."""
+    size = frame["before_text"].str.len()
+    label = (size % 3).map({0: " Editorial", 1: "SLIGHT\n", 2: "other"})
+    return frame.assign(label=label, confidence=(size % 5).map(lambda k: None if k == 4 else k / 2), rationale="by " + frame["section_title"])[["label", "confidence", "rationale"]]
+
+
+def _second_model(frame):
+    return frame.assign(text='So: {"label": "significant", "confidence": 0.75}')[["text"]]
+
+
+@query(
+    """WITH r AS (SELECT conv_id AS pair_id, turn AS diff_no, role, coalesce(text, '') AS t, turn % 2 = 0 AS early FROM conversations),
+f AS (SELECT *, bool_or(early) OVER (PARTITION BY role, t) AS first FROM r)
+SELECT pair_id, diff_no, CASE WHEN NOT first THEN 'significant' WHEN length(t) % 3 = 0 THEN 'editorial' ELSE 'slight' END AS label,
+  CASE WHEN NOT first THEN 0.75 WHEN length(t) % 5 = 4 THEN 0.6 ELSE least(1.0, length(t) % 5 / 2) END AS confidence, CASE WHEN first THEN 'by ' || role ELSE 'Model classification.' END AS rationale, false AS stub FROM f"""
+)
+def stored_answers(spark, sf_dir):
+    """A model's answers kept in a table: a first run asks for half of the turns, a second one, with another model, only for what the table lacks."""
+    store = f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}"
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows = t.select(F.col("conv_id").alias("pair_id"), F.col("turn").alias("diff_no"), F.col("role").alias("section_title"), F.coalesce("text", F.lit("")).alias("before_text"))
+    classify.answered(rows.filter("diff_no % 2 = 0"), _first_model, store, "model", "v1")
+    found = classify.modelled(rows, _second_model, model="model", store=store)
+    return found.select("pair_id", "diff_no", F.col("model_label").alias("label"), F.col("model_confidence").alias("confidence"), "rationale", "stub")
+
+
 @query(
     """WITH a AS (SELECT event_id, CASE WHEN event_id % 3 > 0 THEN event_type END AS label, (event_id % 150) / 100 AS confidence FROM events)
 SELECT event_id, label, CASE WHEN label IS NOT NULL OR event_id % 3 = 0 THEN confidence END AS confidence FROM a"""

@@ -50,9 +50,10 @@ def overlay(diffs: DataFrame, reviews: DataFrame, labels: DataFrame, external: D
 
 
 def last_labels(classifications: DataFrame) -> DataFrame:
-    """pair_id, section_id and label of classified rows(pair_id, pos, section_id, final_classification); the last one counts."""
+    """pair_id, section_id and label of classified rows(pair_id, pos, section_id, final_classification and, of many files, file); the last one counts."""
     rows = classifications.filter((F.col("section_id") != "") & (F.col("final_classification") != ""))
-    return rows.groupBy("pair_id", "section_id").agg(F.max_by("final_classification", "pos").alias("label"))
+    at = F.struct("file", "pos") if "file" in classifications.columns else F.col("pos")
+    return rows.groupBy("pair_id", "section_id").agg(F.max_by("final_classification", at).alias("label"))
 
 
 def imported(diffs: DataFrame, external: DataFrame, source: str = "classified_import") -> DataFrame:

@@ -8,12 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.storage import exists
+
 REPORT = (
     "pair_id string, pdf_a string, pdf_b string, diffs array<struct<section_id_a:string,section_id_b:string,title_a:string,title_b:string,semantic_text_a:string,semantic_text_b:string,"
     "section_lines_a:array<string>,section_lines_b:array<string>,page_no_in_a:int,page_no_in_b:int,match_score:double,status:string,semantic_status:string,anchor_type:string,"
     "low_confidence:boolean,unified_diff:string,semantic_unified_diff:string,change_classification:string>>"
 )
-CLASSIFIED = "classifications array<struct<section_id:string,final_classification:string>>"
+CLASSIFIED = (
+    "pair_id string, source_pdf_a string, source_pdf_b string, classifications array<struct<section_id:string,section_title:string,rule_classification:struct<label:string,confidence:double,triggered_rules:array<string>>,"
+    "llm_classification:struct<label:string,confidence:double,rationale:string,model:string,prompt_version:string,stub:boolean>,disagreement_flag:boolean,override_candidate:string,final_classification:string>>"
+)
 
 Extractor = Callable[[SparkSession, str], tuple[DataFrame, DataFrame]]
 _extractors: dict[str, Extractor] = {}
@@ -48,14 +53,9 @@ register_extractor("tables", _tables)
 register_extractor("elements", _elements)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One document in a ``.json`` file, printed in any way, or a folder of files with a document a line."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         raise FileNotFoundError(path)
     return spark.read.schema(schema).option("multiLine", path.lower().rstrip("/").endswith(".json")).json(path)
 
@@ -66,14 +66,49 @@ def reports(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("pair_id", F.col("diff_no").cast("long").alias("diff_no"), "d.*")
 
 
+def report_sources(spark: SparkSession, path: str) -> DataFrame:
+    """pair_id, pdf_a and pdf_b of each report, those without any diff too."""
+    return _json(spark, path, REPORT).select(F.coalesce("pair_id", F.input_file_name()).alias("pair_id"), "pdf_a", "pdf_b")
+
+
+def classifications(spark: SparkSession, path: str) -> DataFrame:
+    """Classified reports as rows: pair_id (null where a report names none), the documents compared, file, pos and the fields of each classification."""
+    rows = _json(spark, path, CLASSIFIED).select("pair_id", "source_pdf_a", "source_pdf_b", F.input_file_name().alias("file"), F.posexplode("classifications").alias("pos", "c"))
+    return rows.select("pair_id", "source_pdf_a", "source_pdf_b", "file", "pos", "c.*")
+
+
+_LABELS = "pair_id string, section_id string, label string"
+
+
 def labels(spark: SparkSession, path: str, pair_id: str) -> DataFrame:
-    """Labels of a classified report; empty if the file is missing; the last of a section counts."""
+    """Labels of a classified report of one pair; empty if the file is missing; the last of a section counts."""
+    from folioscope.operators.report import last_labels
+
+    if not exists(spark, path):
+        return spark.createDataFrame([], _LABELS)
+    return last_labels(classifications(spark, path).withColumn("pair_id", F.lit(pair_id)))
+
+
+def all_labels(spark: SparkSession, path: str, sources: DataFrame) -> DataFrame:
+    """Labels of classified reports of many pairs; empty if there is no such file; the last of a section counts.
+
+    sources: pair_id, pdf_a and pdf_b of the reports that the labels are for.  A classified report belongs to the pair
+    that it names; one that names none, to the only pair of its two documents, or to the only
+    report there is.  Where that leaves a choice, nothing is guessed: ValueError.
+    """
     from folioscope.operators.report import last_labels
 
-    if not _exists(spark, path):
-        return spark.createDataFrame([], "pair_id string, section_id string, label string")
-    rows = _json(spark, path, CLASSIFIED).select(F.lit(pair_id).alias("pair_id"), F.posexplode("classifications").alias("pos", "c"))
-    return last_labels(rows.select("pair_id", "pos", "c.*"))
+    if not exists(spark, path):
+        return spark.createDataFrame([], _LABELS)
+    rows = classifications(spark, path)
+    named = sources.groupBy(F.col("pdf_a").alias("source_pdf_a"), F.col("pdf_b").alias("source_pdf_b")).agg(F.min("pair_id").alias("_named"), F.count("*").alias("_n")).filter("_n = 1")
+    rows = rows.join(named, ["source_pdf_a", "source_pdf_b"], "left")
+    only = sources.select("pair_id").limit(2).collect()
+    rows = rows.withColumn("pair_id", F.coalesce("pair_id", "_named", F.lit(only[0]["pair_id"] if len(only) == 1 else None)))
+    lost = rows.filter("pair_id is null").select("file").distinct().limit(3).collect()
+    if lost and only:
+        raise ValueError(f"no pair is named, and there are several reports: {', '.join(r['file'] for r in lost)}")
+    return last_labels(rows)
 
 
 def sibling_candidates(report: str) -> list[str]:

@@ -25,6 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, read back; readers see one fixed state."""
     spark = df.sparkSession
