@@ -17,7 +17,7 @@ from folioscope.functions import text as T
 from folioscope.operators import classify, diffing, layout, matching, report, sections
 from folioscope.plans import compare, corpus
 from folioscope.sources import readers, writers
-from folioscope.storage import shared_dir
+from folioscope.storage import shared_dir, written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -531,6 +531,43 @@ def greedy_assignment(spark, sf_dir):
     return matching.matches(a, b, matching.assigned(c)).drop("reason")
 
 
+_LETTERS = """items AS (SELECT l_orderkey AS pair_id, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n, l_linestatus AS anchor, l_partkey AS p, l_suppkey AS s, l_linenumber AS l FROM lineitem
+ WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus)),
+sides AS (SELECT pair_id, i FROM items),
+scores AS (SELECT a.pair_id, a.i AS i_a, b.i AS i_b, 0.65::DOUBLE * (0.35::DOUBLE * (a.p % 3 = b.s % 3)::INT + 0.65::DOUBLE * (a.s % 4 = b.s % 4)::INT) + 0.25::DOUBLE * (a.p % 5 > 0 AND a.l % 2 = b.p % 2)::INT
+ + 0.05::DOUBLE * (CASE WHEN a.anchor = b.anchor THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END) + 0.05::DOUBLE * (1 - abs(a.i - b.i)::DOUBLE / greatest(1, a.n - 1)) AS score FROM items a JOIN items b ON a.pair_id = b.pair_id),
+ranked AS""" + _SIDES.split("ranked AS", 1)[1]
+
+
+def _letters(spark, sf_dir):
+    """The lines of orders as sections of one letter, of which the similarity is 1 or 0."""
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus"]
+    own = Window.partitionBy("l_orderkey")
+    at = (F.row_number().over(own.orderBy(*order)) - 1).cast("long")
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("pair_id"), at.alias("i"), F.count("*").over(own).alias("n"), F.col("l_linestatus").alias("anchor_type"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("l"))
+    letter = lambda c, k: F.element_at(F.array(*map(F.lit, "xyzéq")), (F.pmod(c, F.lit(k)) + 1).cast("int"))
+    a = rows.withColumn("title_normalized", letter("p", 3)).withColumn("core", letter("s", 4)).withColumn("prefix", F.when(F.col("p") % 5 > 0, letter("l", 2)).otherwise(""))
+    b = rows.withColumn("title_normalized", letter("s", 3)).withColumn("core", letter("s", 4)).withColumn("prefix", letter("p", 2))
+    return [written(side.withColumn("section_id", F.concat(F.lit(v), F.col("i").cast("string"))), "letters") for v, side in (("a", a), ("b", b))]
+
+
+_ASSIGNED = "SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY kind, k) - 1 AS match_no, 'a' || i_a AS section_id_a, 'b' || i_b AS section_id_b, round(score, 4) AS score, CASE WHEN i_a IS NULL OR i_b IS NULL THEN 'unmatched' WHEN score >= 0.78 THEN 'matched' ELSE 'low-confidence matched' END AS confidence FROM every"
+
+
+@query(f"WITH RECURSIVE {_LETTERS} {_ASSIGNED}")
+def lazy_assignment(spark, sf_dir):
+    """The assignment that plans use, over sections of one letter."""
+    a, b = _letters(spark, sf_dir)
+    return matching.matches(a, b, matching.assigned_lazily(a, b)).drop("reason")
+
+
+@query(f"WITH RECURSIVE {_LETTERS} {_ASSIGNED}")
+def spread_assignment(spark, sf_dir):
+    """The same in rounds over all tasks, as for pairs too large for one."""
+    a, b = _letters(spark, sf_dir)
+    return matching.matches(a, b, matching.assigned_widely(a, b)).drop("reason")
+
+
 _RULES = """f AS (SELECT l_suppkey AS pair_id, l_discount AS change_ratio, 1 - l_tax AS token_jaccard, 1 - l_discount AS sentence_overlap, l_quantity > 48 AS ob, l_shipdate < '1993-01-01' AS ne, l_linenumber = 7 AS sc, CASE WHEN l_partkey % 29 = 0 THEN 1 ELSE 0 END AS nu, CASE WHEN l_suppkey % 31 = 0 THEN 2 ELSE 0 END AS da,
  CASE l_returnflag WHEN 'A' THEN 'editorial' WHEN 'N' THEN 'slight' ELSE 'significant' END AS model_label FROM lineitem),
 r AS (SELECT *, array_to_string(list_filter([CASE WHEN ob THEN 'obligation_change' END, CASE WHEN ne THEN 'negation_change' END, CASE WHEN sc THEN 'scope_change_cues' END, CASE WHEN nu > 0 THEN 'numeric_changes' END, CASE WHEN da > 0 THEN 'date_changes' END], lambda x: x IS NOT NULL), ',') AS hard FROM f),

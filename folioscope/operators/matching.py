@@ -1,9 +1,10 @@
 """Alignment of the sections of two versions: candidates, scores, one-to-one assignment.
 
-Tables: sides A and B are sections with ``pair_id``.  Candidates meet by ``pair_id`` only,
-and a candidate can reach the low threshold only if its title similarity is high enough,
-as the other terms are bounded.  Scores of all candidates measure titles as far as that is
-still possible, and bodies for those that remain; the assignment alone measures lazily.
+Tables: sides A and B are sections with ``pair_id``.  Candidates meet by ``pair_id`` only, as
+numbers: bags of characters bound every score.  Plans assign lazily: texts
+are measured only where a bound leaves a candidate the best, in one task a pair, or in
+rounds over all tasks for a pair that is too large for one.  ``scored`` and ``assigned`` measure
+all candidates; they are the plain form, and for scores that are given.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import heapq
 import itertools
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from folioscope.config import MatchConfig
 from folioscope.functions import text as T
 from folioscope.functions.similarity import ceiling, measure, similarity, title_scores
+from folioscope.storage import written
 
 
 def pool(sections: DataFrame) -> DataFrame:
@@ -94,73 +97,244 @@ def assigned(scores: DataFrame) -> DataFrame:
     return _by_pair(scores, "score").mapInPandas(run, f"pair_id {kind}, i_a long, i_b long, section_id_a string, section_id_b string, score double, reason string, match_no long")
 
 
-def _ceiling(a: str, b: str) -> F.Column:
-    """The sequence measure's largest value for texts of these lengths."""
-    x, y = F.length(a), F.length(b)
-    return F.when((x == 0) | (y == 0) | x.isNull() | y.isNull(), 0.0).otherwise(F.lit(2.0) * F.least(x, y) / (x + y))
+#: Characters that a bag counts one by one; all others are counted together.
+COUNTED = " etaoinsrhld"
+#: Candidates of a pair up to which one task takes the pair; larger ones are spread.
+LARGE = 4_000_000
+#: Of a large pair: candidates in a block, and how many of the best of a section are measured in a round.
+BLOCK, RANKED = 1_000_000, 4
+TEXTS = ("title_normalized", "core", "prefix")
+
+
+def _bag(c: str) -> F.Column:
+    """How often a text has each of COUNTED, how many other characters, and how many in all; nothing of null."""
+    text = F.coalesce(F.col(c), F.lit(""))
+    own = [F.length(text) - F.length(F.translate(text, ch, "")) for ch in COUNTED]
+    rest = F.length(text)
+    for n in own:
+        rest = rest - n
+    return F.array(*own, rest, F.length(text))
+
+
+def _ceiling(a: F.Column, b: F.Column) -> F.Column:
+    """The sequence measure's largest value for texts of these bags: matching blocks have no character that the other side lacks."""
+
+    size = a[len(COUNTED) + 1] + b[len(COUNTED) + 1]
+    # the last place holds the length, of which the smaller comes in as well
+    both = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x) - F.least(a[len(COUNTED) + 1], b[len(COUNTED) + 1])
+    return F.when(size > 0, F.lit(2.0) * both / size).otherwise(0.0)
+
+
+def _total(cfg: MatchConfig, raw, core, body, anchor, order):
+    """The score of a candidate; of Columns or of numbers, with the same rounding."""
+    share = cfg.title_norm_share
+    return cfg.title_weight * (share * raw + (1 - share) * core) + cfg.body_weight * body + cfg.anchor_weight * anchor + cfg.order_weight * order
+
+
+def bounded(a: DataFrame, b: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
+    """pair_id, i_a, i_b, anchor_score, order_score and bound of the candidates that may reach the low threshold; no texts.
+
+    bound: at least the score; by bags of characters for the sequence measure.  Inside the JVM.
+    Blocks of side A meet side B, so that no task has more than some BLOCK candidates of one pair.
+    """
+    exact = cfg.metric == "sequence"
+    light = lambda df: df.filter("pair_id is not null").select("pair_id", "i", "n", "anchor_type", *[_bag(c).alias(c) for c in TEXTS if exact])
+    a, b = light(a), light(b)
+    sizes = a.select("pair_id", F.col("n").alias("_n")).distinct().join(b.select("pair_id", F.col("n").alias("_m")).distinct(), "pair_id")
+    sizes = sizes.select("pair_id", F.ceil(F.col("_n") * F.col("_m") / BLOCK).alias("_blocks"))
+    a = a.join(sizes, "pair_id").withColumn("_at", F.pmod("i", "_blocks")).drop("_blocks")
+    b = b.join(sizes, "pair_id").withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).drop("_blocks")
+    side = lambda df, s: df.select(*[F.col(c) if c in ("pair_id", "_at") else F.col(c).alias(f"{c}_{s}") for c in df.columns])
+    c = plain_terms(side(a, "a").join(side(b, "b"), ["pair_id", "_at"]), cfg)
+    terms = [_ceiling(F.col(f"{t}_a"), F.col(f"{t}_b")) if exact else F.lit(1.0) for t in TEXTS]
+    c = c.withColumn("bound", _total(cfg, *terms, F.col("anchor_score"), F.col("order_score")))
+    return c.filter(F.col("bound") >= cfg.low).select("pair_id", "i_a", "i_b", "anchor_score", "order_score", "bound")
+
+
+ASSIGNED = "i_a long, i_b long, section_id_a string, section_id_b string, score double, reason string, match_no long"
+
+
+def _reason(raw, core, body, anchor, order, cfg: MatchConfig) -> str:
+    title = cfg.title_norm_share * raw + (1 - cfg.title_norm_share) * core
+    return f"title_raw={raw:.3f}, title_core={core:.3f}, title={title:.3f}, body={body:.3f}, anchor={anchor:.3f}, order={order:.3f}"
 
 
 def assigned_lazily(a: DataFrame, b: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
     """What ``assigned(scored(a, b))`` gives, with few texts compared.
 
-    Candidates come sorted by a bound of their score that takes lengths alone.  A task
-    measures titles, then bodies, only of the candidate whose bound is the highest and
-    whose sections are both free: once it is exact and still the highest, it is accepted.
-    It holds the candidates of one pair that were measured and are not decided yet.
+    A task walks through many pairs.  Only sections are shuffled: the candidates of a pair
+    arise in the task, as matrices of bounds of their scores by bags of characters.  It measures
+    titles, then bodies, only of the candidate whose bound is the highest and whose
+    sections are both free: once it is exact and still the highest, it is accepted.
+    Pairs of more than LARGE candidates are taken by :func:`assigned_widely`.
     """
+    sizes = a.select("pair_id", "n").distinct().join(b.select("pair_id", F.col("n").alias("m")).distinct(), "pair_id")
+    large = sizes.filter(F.col("n") * F.col("m") > LARGE).select("pair_id")
+    if large.isEmpty():
+        return _assigned_by_task(a, b, cfg)
+    few = [side.join(large, "pair_id", "left_anti") for side in (a, b)]
+    many = [side.join(large, "pair_id", "left_semi") for side in (a, b)]
+    return _assigned_by_task(*few, cfg).unionByName(assigned_widely(*many, cfg))
+
+
+def _bags(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """How often each text has the characters of each of 64 classes, and its length."""
+    out = np.zeros((len(texts), 64), np.int32)
+    for k, text in enumerate(texts):
+        if text:
+            out[k] = np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) % 64, minlength=64)
+    return out, out.sum(axis=1)
+
+
+def _ceilings(x: list, y: list) -> np.ndarray:
+    """The sequence measure's largest values for two lists of texts: matching blocks have no character that the other side lacks."""
+    (a, size_a), (b, size_b) = _bags(x), _bags(y)
+    if a.size * len(b) <= 1 << 18:
+        both = np.minimum(a[:, None], b[None]).sum(axis=2)
+    else:
+        both = np.zeros((len(a), len(b)), np.int32)
+        for k in np.flatnonzero(a.any(axis=0) & b.any(axis=0)):
+            both += np.minimum.outer(a[:, k], b[:, k])
+    return 2.0 * both / np.maximum(size_a[:, None] + size_b, 1)
+
+
+def _assigned_by_task(a: DataFrame, b: DataFrame, cfg: MatchConfig) -> DataFrame:
     exact = cfg.metric == "sequence"
-    share = cfg.title_norm_share
-    c = plain_terms(candidates(a, b), cfg)
-    titles = [("title_normalized_a", "title_normalized_b"), ("core_a", "core_b"), ("prefix_a", "prefix_b")]
-    raw, core, body = (_ceiling(*n) if exact else F.lit(1.0) for n in titles)
-    bound = cfg.title_weight * (share * raw + (1 - share) * core) + cfg.body_weight * body + cfg.anchor_weight * F.col("anchor_score") + cfg.order_weight * F.col("order_score")
-    names = ["pair_id", "i_a", "i_b", "section_id_a", "section_id_b", *[n for t in titles for n in t], "anchor_score", "order_score"]
-    c = c.withColumn("bound", bound).filter((F.col("bound") >= cfg.low) & F.col("pair_id").isNotNull()).select(*names, "bound")
-    columns = ["pair_id", "i_a", "i_b", "section_id_a", "section_id_b", "score", "reason", "match_no"]
-
-    def decided(rows):
-        """Accepted rows of one pair, from rows by falling bound."""
-        heap, taken_a, taken_b, accepted = [], set(), set(), []
-        following = next(rows, None)
-        while heap or following is not None:
-            while following is not None and (not heap or following[13] >= -heap[0][0]):
-                if following[1] not in taken_a and following[2] not in taken_b:
-                    heapq.heappush(heap, (-following[13], 0, following[1], following[2], following, None))
-                following = next(rows, None)
+    names = ["i", "n", "section_id", "anchor_type", *TEXTS]
+    side = lambda df, kind: df.filter("pair_id is not null").select("pair_id", F.lit(kind).alias("kind"), *names)
+    order = F.row_number().over(Window.partitionBy("pair_id").orderBy("kind", "i"))
+    rows = side(a, 0).unionByName(side(b, 1)).withColumn("_k", order)  # a window asks for just this order
+    columns = ["pair_id", *(c.split()[0] for c in ASSIGNED.split(", "))]
+
+    def bounds(x, y):
+        """Of the rows of both sides: anchor and order scores, and bounds."""
+        kind, at = ([np.array([row[c] for row in rows], dtype) for rows in (x, y)] for c, dtype in ((3, object), (0, np.int64)))
+        anchor = np.where(kind[0][:, None] == kind[1], 1.0, cfg.anchor_mismatch)
+        place = np.maximum(0.0, 1 - np.abs(at[0][:, None] - at[1]) / max(1, x[0][1] - 1, y[0][1] - 1))
+        terms = [_ceilings([row[c] for row in x], [row[c] for row in y]) if exact else 1.0 for c in (4, 5, 6)]
+        return anchor, place, _total(cfg, *terms, anchor, place)
+
+    def decided(x, y):
+        """Accepted candidates of one pair."""
+        anchor, place, bound = bounds(x, y)
+        flat = bound.ravel()
+        order = np.flatnonzero(flat >= cfg.low)
+        order = order[np.argsort(-flat[order], kind="stable")]
+        values = flat[order]
+        heap, taken_a, taken_b, accepted, at = [], set(), set(), [], 0
+        while heap or at < len(order):
+            while at < len(order) and (not heap or values[at] >= -heap[0][0]):
+                i, j = divmod(int(order[at]), len(y))
+                if i not in taken_a and j not in taken_b:
+                    heapq.heappush(heap, (-float(values[at]), 0, i, j, None))
+                at += 1
             if not heap:
                 break
-            value, step, i, j, row, known = heapq.heappop(heap)
+            value, step, i, j, known = heapq.heappop(heap)
             if i in taken_a or j in taken_b:
                 continue
+            plain = float(anchor[i, j]), float(place[i, j])
             if step == 2:
                 taken_a.add(i)
                 taken_b.add(j)
-                raw, core, body = known
-                title = share * raw + (1 - share) * core
-                reason = f"title_raw={raw:.3f}, title_core={core:.3f}, title={title:.3f}, body={body:.3f}, anchor={row[11]:.3f}, order={row[12]:.3f}"
-                accepted.append((*row[:5], -value, reason, len(accepted)))
+                accepted.append((x[i][0], y[j][0], x[i][2], y[j][2], -value, _reason(*known, *plain, cfg), len(accepted)))
                 continue
             if step == 0:
-                known = measure(row[5], row[6], cfg.metric), measure(row[7], row[8], cfg.metric), ceiling(row[9], row[10]) if exact else 1.0
+                known = measure(x[i][4], y[j][4], cfg.metric), measure(x[i][5], y[j][5], cfg.metric), ceiling(x[i][6], y[j][6]) if exact else 1.0
             else:
-                known = *known[:2], measure(row[9], row[10], cfg.metric)
-            score = cfg.title_weight * (share * known[0] + (1 - share) * known[1]) + cfg.body_weight * known[2] + cfg.anchor_weight * row[11] + cfg.order_weight * row[12]
+                known = *known[:2], measure(x[i][6], y[j][6], cfg.metric)
+            score = _total(cfg, *known, *plain)
             if score >= cfg.low:
-                heapq.heappush(heap, (-score, step + 1, i, j, row, known))
+                heapq.heappush(heap, (-score, step + 1, i, j, known))
         return accepted
 
     def run(batches):
-        rows = (row for batch in batches for row in zip(*(batch[n].tolist() for n in batch.columns), strict=True))
+        rows = (row for batch in batches for row in zip(*(batch[n].tolist() for n in ["pair_id", "kind", *names]), strict=True))
         out = []
-        for _, group in itertools.groupby(rows, key=lambda row: row[0]):
-            out += decided(group)
+        for pair, group in itertools.groupby(rows, key=lambda row: row[0]):
+            sides = [], []
+            for row in group:
+                sides[row[1]].append(row[2:])
+            if all(sides):
+                out += [(pair, *row) for row in decided(*sides)]
             if len(out) > 10_000:
                 yield pd.DataFrame(out, columns=columns)
                 out = []
         if out:
             yield pd.DataFrame(out, columns=columns)
 
-    return _by_pair(c, "bound").mapInPandas(run, f"pair_id {dict(c.dtypes)['pair_id']}, i_a long, i_b long, section_id_a string, section_id_b string, score double, reason string, match_no long")
+    return rows.mapInPandas(run, f"pair_id {dict(a.dtypes)['pair_id']}, {ASSIGNED}")
+
+
+def measured(rows: DataFrame, cfg: MatchConfig) -> DataFrame:
+    """Adds ``_m`` (raw, core, body and score) to candidates with both sides' texts; score is null where it is below the low threshold."""
+    exact = cfg.metric == "sequence"
+
+    @F.pandas_udf("struct<raw:double,core:double,body:double,score:double>")
+    def udf(t: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for raw_a, raw_b, core_a, core_b, body_a, body_b, anchor, order in t.itertuples(index=False):
+            known = measure(raw_a, raw_b, cfg.metric), measure(core_a, core_b, cfg.metric)
+            body = ceiling(body_a, body_b) if exact else 1.0
+            if _total(cfg, *known, body, anchor, order) >= cfg.low:
+                body = measure(body_a, body_b, cfg.metric)
+            score = _total(cfg, *known, body, anchor, order)
+            out.append((*known, body, score if score >= cfg.low else None))
+        return pd.DataFrame(out, columns=["raw", "core", "body", "score"], dtype="float64")
+
+    return rows.withColumn("_m", udf(F.struct(*[f"{t}_{s}" for t in TEXTS for s in "ab"], "anchor_score", "order_score")))
+
+
+def assigned_widely(a: DataFrame, b: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
+    """What :func:`assigned_lazily` gives, for pairs too large for a task: a fixpoint of mutual bests, each round a plan over all candidates.
+
+    In a round the RANKED best candidates of each section are measured, if they are not
+    yet.  A candidate that is measured and the best of both its sections, where one that is not
+    measured counts by its bound and goes first among equals, would be the next of the greedy order for
+    them, whatever else happens: it is accepted, and all others of its sections go.  The highest candidate of all is
+    measured or accepted in each round, so the rounds end; what is left shrinks with each.
+    """
+    spark = a.sparkSession
+    pair = f"pair_id {dict(a.dtypes)['pair_id']}"
+    left = bounded(a, b, cfg).withColumn("known", F.lit(None).cast("struct<raw:double,core:double,body:double,score:double>"))
+    texts = lambda df, s: df.select("pair_id", F.col("i").alias(f"i_{s}"), *[F.col(t).alias(f"{t}_{s}") for t in TEXTS])
+    ids = lambda df, s: df.select("pair_id", F.col("i").alias(f"i_{s}"), F.col("section_id").alias(f"section_id_{s}"))
+    key = ["pair_id", "i_a", "i_b"]
+    accepted = spark.createDataFrame([], f"{pair}, i_a long, i_b long, anchor_score double, order_score double, known struct<raw:double,core:double,body:double,score:double>")
+    while True:
+        left = written(left.withColumn("value", F.coalesce("known.score", "bound")), "candidates")
+        if left.isEmpty():
+            break
+        # best first, of equals those not measured first
+        best = lambda s: Window.partitionBy("pair_id", f"i_{s}").orderBy(F.desc("value"), F.col("known").isNotNull(), "i_a", "i_b")
+        front = None
+        for s in "ab":
+            top = left.withColumn("_r", F.row_number().over(best(s))).filter((F.col("_r") <= RANKED) & F.col("known").isNull())
+            top = top.select(*key, "anchor_score", "order_score")
+            front = top if front is None else front.unionByName(top)
+        front = front.distinct().join(texts(a, "a"), ["pair_id", "i_a"]).join(texts(b, "b"), ["pair_id", "i_b"])
+        # as many tasks as the session says: few bytes and much work
+        front = measured(front.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key), cfg)
+        left = left.drop("value").join(front.select(*key, "_m"), key, "left").withColumn("known", F.coalesce("known", "_m")).drop("_m")
+        left = left.filter(F.col("known").isNull() | F.col("known.score").isNotNull())
+        left = written(left.withColumn("value", F.coalesce("known.score", "bound")), "measured")
+        place = F.struct("value", F.col("known").isNull(), (-F.col("i_a")).alias("a"), (-F.col("i_b")).alias("b"))
+        first = [left.groupBy("pair_id", f"i_{s}").agg(F.max_by(F.struct("i_a", "i_b", "anchor_score", "order_score", "known"), place).alias("t")).select("pair_id", "t.*") for s in "ab"]
+        chosen = first[0].filter("known is not null").join(first[1].select(*key), key)
+        chosen = written(chosen.select(*accepted.columns), "chosen")
+        accepted = accepted.unionByName(chosen)
+        for s in "ab":
+            left = left.join(chosen.select("pair_id", f"i_{s}"), ["pair_id", f"i_{s}"], "left_anti")
+        left = left.drop("value")
+
+    @F.pandas_udf("string")
+    def reason(t: pd.DataFrame) -> pd.Series:
+        return pd.Series([_reason(*row, cfg) for row in t.itertuples(index=False)], dtype=object)
+
+    accepted = accepted.join(ids(a, "a"), ["pair_id", "i_a"]).join(ids(b, "b"), ["pair_id", "i_b"])
+    order = Window.partitionBy("pair_id").orderBy(F.desc("score"), "i_a", "i_b")
+    found = accepted.select("pair_id", "i_a", "i_b", "section_id_a", "section_id_b", F.col("known.score").alias("score"), reason(F.struct("known.raw", "known.core", "known.body", "anchor_score", "order_score")).alias("reason"))
+    return found.withColumn("match_no", (F.row_number().over(order) - 1).cast("long"))
 
 
 def matches(a: DataFrame, b: DataFrame, found: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:

@@ -61,6 +61,42 @@ def test_lazy_assignment_equals_that_of_all_scores(spark):
         want = {(x["pair_id"], x["match_no"], x["i_a"], x["i_b"]): x["score"] for x in matching.assigned(matching.scored(a, b, cfg)).collect()}
         got = {(x["pair_id"], x["match_no"], x["i_a"], x["i_b"]): x["score"] for x in matching.assigned_lazily(a, b, cfg).collect()}
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want) and len(want) > 20
+        wide = {(x["pair_id"], x["match_no"], x["i_a"], x["i_b"]): x["score"] for x in matching.assigned_widely(a, b, cfg).collect()}
+        assert wide == got
+
+
+def test_large_pairs_are_spread(spark, monkeypatch):
+    """A pair of 300 sections by rounds equals the task's form; small pairs beside it stay with their tasks."""
+    r = random.Random(4)
+    words = ["risk", "credit", "bank", "plan", "act", "note", "liquidity", "board", "audit"]
+    cols = "pair_id string, section_id string, anchor_type string, title_normalized string, core string, prefix string, i long, n long"
+    texts = lambda: [(" ".join(r.choices(words, k=3)), " ".join(r.choices(words, k=25))) for _ in range(300)]
+    one = texts()
+    two = [(t if r.random() < 0.7 else t + " new", b) for t, b in one[5:]] + texts()[:40]
+    side = lambda rows, s: [("big", f"{s}{i}", "m", t, t, b, i, len(rows)) for i, (t, b) in enumerate(rows)] + [("small", f"{s}{i}", "m", t, t, "", i, 3) for i, (t, _) in enumerate(rows[:3])] + [(None, "x", "m", "t", "t", "", 0, 1)]
+    a, b = spark.createDataFrame(side(one, "a"), cols), spark.createDataFrame(side(two, "b"), cols)
+    want = {tuple(x) for x in matching.assigned_lazily(a, b).collect()}
+    assert len(want) > 290
+    monkeypatch.setattr(matching, "LARGE", 1000)
+    monkeypatch.setattr(matching, "BLOCK", 7000)
+    assert {tuple(x) for x in matching.assigned_lazily(a, b).collect()} == want
+
+
+def test_bounds_hold(spark, monkeypatch):
+    """The bound is at least the score, of texts with characters that bags count together, and exact for anagrams."""
+    r = random.Random(6)
+    cols = "pair_id long, section_id string, anchor_type string, title_normalized string, core string, prefix string, i long, n long"
+    text = lambda: "".join(r.choices("etaoz éß1 ", k=r.randrange(0, 12)))
+    side = lambda s: spark.createDataFrame([(p, f"{s}{i}", r.choice("xy"), text(), text(), r.choice([None, text()]), i, 6) for p in range(30) for i in range(6)], cols)
+    a, b = side("a"), side("b")
+    cfg = MatchConfig(low=0.0)
+    bound = {(x["pair_id"], x["i_a"], x["i_b"]): x["bound"] for x in matching.bounded(a, b, cfg).collect()}
+    score = {(x["pair_id"], x["i_a"], x["i_b"]): x["score"] for x in matching.scored(a, b, cfg).collect()}
+    assert len(score) == 1080 and all(bound[k] >= score[k] - 1e-12 for k in score)
+    assert sum(bound[k] < 1.02 * score[k] for k in score) > 20
+    monkeypatch.setattr(matching, "BLOCK", 10)
+    assert {(x["pair_id"], x["i_a"], x["i_b"]): x["bound"] for x in matching.bounded(a, b, cfg).collect()} == bound
+    assert not {"title_normalized_a", "prefix_a", "core_a"} & set(matching.bounded(a, b).columns)
 
 
 def test_soft_wraps(spark):
