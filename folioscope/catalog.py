@@ -23,6 +23,10 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
+#: A footer, and forms of it with one character misread.
+_CLEAN, _NOISY = "corpus review footer", ("co#pus review footer", "corpus r#view footer", "corpus review foot#r")
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -781,6 +785,23 @@ def imported_labels(spark, sf_dir):
     return report.imported(d, report.last_labels(given), "import")
 
 
+@query(
+    f"""WITH p AS (SELECT DISTINCT doc_id, k // 4 + 1 AS page FROM (SELECT doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS k FROM documents)),
+f AS (SELECT *, CASE (doc_id + 7 * page) % 5 WHEN 2 THEN '{_NOISY[0]}' WHEN 3 THEN '{_NOISY[1]}' WHEN 4 THEN '{_NOISY[2]}' ELSE '{_CLEAN}' END AS text FROM p),
+c AS (SELECT *, arg_min(text, page) OVER (PARTITION BY doc_id) AS leader, count(*) OVER (PARTITION BY doc_id) AS n_pages, count(*) OVER (PARTITION BY doc_id, text) AS n FROM f),
+-- one changed character is close, two are not: what does not join the first form stands alone, but for the clean form
+k AS (SELECT *, CASE WHEN n_pages = 1 THEN 0 ELSE count(*) OVER (PARTITION BY doc_id, CASE WHEN leader = '{_CLEAN}' THEN leader WHEN text = '{_CLEAN}' THEN leader ELSE text END) END AS pages FROM c)
+SELECT doc_id, page, text, CASE WHEN n / n_pages >= 0.6 THEN 'repeat' ELSE 'cluster' END AS reason FROM k WHERE n / n_pages >= 0.6 OR pages / n_pages >= 0.6"""
+)
+def noisy_furniture(spark, sf_dir):
+    """Footers of which some have one character misread: clusters where equality finds none."""
+    pages = corpus.layout(corpus.documents(spark, sf_dir))[1]
+    k = F.pmod(F.col("doc_id") + 7 * F.col("page"), F.lit(5))
+    text = F.when(k == 2, _NOISY[0]).when(k == 3, _NOISY[1]).when(k == 4, _NOISY[2]).otherwise(_CLEAN)
+    lines = pages.select("doc_id", F.col("page").cast("long").alias("line_no"), "page", F.lit(50.0).alias("x0"), F.lit(760.0).alias("y0"), F.lit(200.0).alias("x1"), F.lit(780.0).alias("y1"), text.alias("text"))
+    return layout.removable(lines, pages)
+
+
 @query(
     _with(
         "e AS (SELECT doc_id, line_no, text, line_no // 6 + 1 AS page, (doc_id + line_no) % 9 <> 0 AND doc_id % 3 > 0 AS has, CASE WHEN (doc_id + line_no) % 4 > 0 THEN 700 + line_no % 5 END AS h FROM body_a WHERE trim(text) <> '')",

@@ -10,11 +10,14 @@ import difflib
 import math
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+#: Classes of characters in a bag: code points modulo this.
+CLASSES = 64
 CHUNKS = "array<struct<tag:string,lines_a:array<string>,lines_b:array<string>>>"
 
 
@@ -115,6 +118,65 @@ def title_scores(title_a: Column, title_b: Column, core_a: Column, core_b: Colum
     return F.when(told["raw"].isNotNull(), told)
 
 
+class Leaders:
+    """Texts in the order of their coming, asked for the first to which another has a sequence measure of ``least``.
+
+    The measure counts characters of a common subsequence, so two texts that are close
+    differ by at most ``(1 - least) * (la + lb)`` dropped and added characters.  A leader
+    of length n, cut into one piece more than that can be at any length that is close, has a piece that the other
+    text holds unbroken: leaders are indexed by their pieces.  Leaders with such a piece and
+    a fitting length must then have enough characters in common, tested for all of them at a time;
+    only what remains is aligned.  No text is compared with all leaders.
+    """
+
+    def __init__(self, least: float):
+        self.least, self.texts = least, []
+        self.pieces: dict[int, dict[str, list[int]]] = {}  # by size
+        self.short: list[int] = []  # those that may be close without a piece in common
+        self.bags, self.sizes = np.zeros((64, CLASSES), np.int32), np.zeros(64, np.int64)
+
+    @staticmethod
+    def bag(text: str) -> np.ndarray:
+        return np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) % CLASSES, minlength=CLASSES)
+
+    def add(self, text: str) -> int:
+        k, n = len(self.texts), len(text)
+        self.texts.append(text)
+        if k == len(self.sizes):
+            self.bags, self.sizes = np.concatenate([self.bags, np.zeros_like(self.bags)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        self.bags[k], self.sizes[k] = self.bag(text), n
+        # a close text has at most n * (2 - least) / least characters; a little more for rounding
+        cuts = int(n * 2 * (1 - self.least) / self.least + 1e-6) + 1 if self.least > 0 else n + 1
+        size = n // cuts
+        if size == 0:
+            self.short.append(k)
+        else:
+            own = self.pieces.setdefault(size, {})
+            for at in range(cuts):
+                own.setdefault(text[at * size : (at + 1) * size], []).append(k)
+        return k
+
+    def first(self, text: str) -> int | None:
+        found: set[int] = set(self.short)
+        for size, own in self.pieces.items():
+            for at in range(len(text) - size + 1):
+                found.update(own.get(text[at : at + size], ()))
+        if not found:
+            return None
+        some = np.fromiter(found, np.int64, len(found))
+        some.sort()
+        whole = np.maximum(self.sizes[some] + len(text), 1)
+        some, whole = some[keep := 2.0 * np.minimum(self.sizes[some], len(text)) / whole >= self.least], whole[keep]
+        both = np.minimum(self.bags[some], self.bag(text).astype(np.int32)).sum(axis=1)
+        for k in some[2.0 * both / whole >= self.least].tolist():
+            if text == self.texts[k]:
+                return k
+            matcher = difflib.SequenceMatcher(None, text, self.texts[k])
+            if matcher.quick_ratio() >= self.least and matcher.ratio() >= self.least:
+                return k
+        return None
+
+
 def chunks(a: list[str], b: list[str], equal: bool) -> list[dict]:
     codes = difflib.SequenceMatcher(None, a, b).get_opcodes()
     return [{"tag": t, "lines_a": a[i:j], "lines_b": b[k:m]} for t, i, j, k, m in codes if equal or t != "equal"]

@@ -6,7 +6,6 @@ page, x0, y0, x1, y1, text) and pages(doc_id, page, height).
 
 from __future__ import annotations
 
-import difflib
 from collections import Counter
 
 import pandas as pd
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from folioscope.config import LayoutConfig
 from folioscope.functions import text as T
-from folioscope.functions.similarity import METRICS
+from folioscope.functions.similarity import METRICS, Leaders
 
 
 def lines_from_spans(spans: DataFrame, cfg: LayoutConfig = LayoutConfig()) -> DataFrame:
@@ -77,26 +76,33 @@ def _clusters(cfg: LayoutConfig, metric: str):
     cluster, to edge lines sorted by document, band, page and line."""
     least = cfg.fuzzy_threshold
 
-    def close(norm: str, leader: str) -> bool:
-        if not norm or not leader:
-            return False
-        if norm == leader:
-            return True
-        if metric != "sequence":
-            return METRICS[metric](norm, leader) >= least
-        matcher = difflib.SequenceMatcher(None, norm, leader)
-        return matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least and matcher.ratio() >= least
+    class Plain:
+        """Leaders for a measure of which nothing is known: each is tried."""
+
+        def __init__(self):
+            self.texts = []
+
+        def add(self, text):
+            self.texts.append(text)
+            return len(self.texts) - 1
+
+        def first(self, text):
+            return next((k for k, leader in enumerate(self.texts) if leader == text or METRICS[metric](text, leader) >= least), None)
 
     def counted(norms, pages):
         """Leader clustering: each line joins the first cluster whose first member is close enough."""
-        leaders: list[str] = []
+        leaders = Leaders(least) if metric == "sequence" else Plain()
         known: dict[str, int] = {}
-        found = []
+        found, clusters, ids = [], 0, []  # ids: the cluster of each leader
         for norm in norms:
             if norm not in known or not norm:  # an empty form is close to nothing
-                known[norm] = next((k for k, leader in enumerate(leaders) if close(norm, leader)), len(leaders))
-                if known[norm] == len(leaders):
-                    leaders.append(norm)
+                at = leaders.first(norm) if norm else None
+                known[norm] = ids[at] if at is not None else clusters
+                if at is None:
+                    clusters += 1
+                    if norm:
+                        leaders.add(norm)
+                        ids.append(known[norm])
             found.append(known[norm])
         seen: dict[int, set] = {}
         for k, page in zip(found, pages, strict=True):

@@ -259,6 +259,50 @@ def test_clusters_of_noisy_furniture(spark):
     assert layout.clean_lines(frame, heights, LayoutConfig(), fuzzy=False).count() == len(lines)
 
 
+@pytest.mark.parametrize("least", [0.92, 0.8, 0.5, 1.0, 0.0])
+def test_leaders_by_index_equal_those_by_loop(least):
+    import difflib
+    import random
+
+    from folioscope.functions.similarity import Leaders
+
+    r = random.Random(9)
+    words = ["page", "report", "annual", "ß", "2024", "of", "the", "board", "<num>"]
+    lines = [" ".join(r.choices(words, k=r.randrange(1, 9))) for _ in range(150)]
+    for _ in range(150):  # misread, cut and grown forms
+        text = list(r.choice(lines))
+        for _ in range(r.randrange(1, 4)):
+            at = r.randrange(len(text) + 1)
+            text[at : at + r.randrange(2)] = r.choice(["", "x", "yy"])
+        lines.append("".join(text) or "z")
+    lines += ["a" * 250, "a" * 240 + "b" * 10, "ab" * 120]
+    leaders, plain = Leaders(least), []
+    for line in lines:
+        want = next((k for k, leader in enumerate(plain) if line == leader or difflib.SequenceMatcher(None, line, leader).ratio() >= least), None)
+        assert leaders.first(line) == want
+        if want is None:
+            plain.append(line)
+            assert leaders.add(line) == len(plain) - 1
+
+
+def test_band_of_very_many_distinct_lines(spark):
+    """20,000 lines in one band, all different: no line meets all leaders."""
+    import random
+    import time
+
+    r = random.Random(3)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randrange(3, 9))) for _ in range(3000)]
+    texts = list(dict.fromkeys(" ".join(r.choices(words, k=6)) for _ in range(20_000)))
+    # near copies of early lines, one character off, on pages of their own
+    texts += [t[:5] + "~" + t[6:] for t in texts[:50]]
+    lines = spark.createDataFrame([(1, k, k + 1, 0.0, 5.0, 9.0, 10.0, t) for k, t in enumerate(texts)], "doc_id long, line_no long, page int, x0 double, y0 double, x1 double, y1 double, text string")
+    pages = spark.range(1, len(texts) + 1).selectExpr("1L AS doc_id", "cast(id AS int) AS page", "1000.0D AS height")
+    begun = time.time()
+    # at two pages of a cluster the running titles of it would go; here none ends in a number
+    assert layout.removable(lines, pages, LayoutConfig(repeat_ratio=1.5 / len(texts))).filter("reason = 'cluster'").count() == 100
+    assert time.time() - begun < 60
+
+
 def test_hooks(spark):
     """A classifier of modified sections only; a model that fails for one row."""
     cols = "pair_id long, ordinal long, section_id string, parent_id string, level int, anchor_type string, title string, title_normalized string, start_page int, end_page int, body string, body_lines array<string>"
