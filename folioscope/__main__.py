@@ -3,7 +3,7 @@
     python -m folioscope extract LAYOUT --output OUT [--backend tables|elements] [--numeric-primary] [--header-pattern P] [--footer-pattern P]
     python -m folioscope diff LAYOUT_A LAYOUT_B --output OUT [--dump-intermediate]
     python -m folioscope classify REPORT --output OUT [--hook MODULE:FUNCTION] [--model NAME] [--answers TABLE] [--events]
-    python -m folioscope export REPORT [--csv OUT] [--excel FILE]
+    python -m folioscope export REPORT [--csv OUT] [--excel OUT]
     python -m folioscope import-labels REPORT CLASSIFIED --log LOG [--source NAME]
 
 LAYOUT is a folder of Parquet tables (spans and pages, or elements); REPORT a JSON file, or a folder of
@@ -25,7 +25,7 @@ from folioscope.config import LayoutConfig
 from folioscope.operators import classify, diffing, layout, report
 from folioscope.plans import compare
 from folioscope.shipping import ship
-from folioscope.sources import readers, writers
+from folioscope.sources import readers, sheets, writers
 from folioscope.storage import release, written
 
 
@@ -115,7 +115,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         if args.csv:
             writers.write_csv(rows, args.csv)
         if args.excel:
-            writers.write_xlsx(rows, args.excel)
+            sheets.write_sheets(rows, args.excel)
     else:
         labels = readers.all_labels(spark, args.classified, readers.report_sources(spark, args.report))
         entries = report.imported(readers.reports(spark, args.report), labels, args.source)

@@ -16,7 +16,7 @@ from folioscope.functions import similarity as S
 from folioscope.functions import text as T
 from folioscope.operators import classify, diffing, layout, matching, report, sections
 from folioscope.plans import compare, corpus
-from folioscope.sources import readers, writers
+from folioscope.sources import readers, sheets, writers
 from folioscope.storage import shared_dir, written
 
 QUERIES: dict = {}
@@ -324,6 +324,15 @@ def filtered_list(spark, sf_dir):
 # --- annotations (events as an append log) ---------------------------------------------
 
 
+@query("""SELECT conv_id::VARCHAR AS pair_id, turn::VARCHAR AS page_number_file_a, '2' AS section_number_file_a, sha256(CASE WHEN trim(coalesce(text, '')) = '' THEN '2. T' ELSE text END) AS text_file_a, sha256('say "x"' || chr(10) || 'y, z') AS text_file_b, turn / 4 AS diff_score FROM conversations""")
+def stored_sheets(spark, sf_dir):
+    """The same as workbooks, a file a pair, read back from their parts."""
+    path = f"{shared_dir(spark)}/sheets-{uuid.uuid4().hex}"
+    sheets.write_sheets(report.export_rows(_turn_diffs(spark, sf_dir)), path)
+    rows = sheets.read_sheets(spark, path)
+    return rows.select("pair_id", "page_number_file_a", "section_number_file_a", F.sha2("text_file_a", 256).alias("text_file_a"), F.sha2("text_file_b", 256).alias("text_file_b"), "diff_score")
+
+
 @query("SELECT user_id AS pair_id, event_type AS diff_id, max(event_id) AS seq, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type")
 def latest_annotations(spark, sf_dir):
     log = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("pair_id"), F.col("event_type").alias("diff_id"), F.col("event_id").alias("seq"), "value")
@@ -860,7 +869,8 @@ def stored_annotations(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("pair_id"), F.col("event_type").alias("diff_id"), "event_id", F.lit("2026-01-01").cast("timestamp").alias("updated_at"))
     for k in range(3):
         writers.append_log(e.filter(F.col("event_id") % 3 == k), path)
-    last = report.latest(spark.read.parquet(path), ["pair_id", "diff_id"])
+    writers.compact_log(spark, path)
+    last = report.latest(writers.read_log(spark, path), ["pair_id", "diff_id"]).drop("call", "batch")
     size = e.groupBy("pair_id", "diff_id", (F.col("event_id") % 3).alias("k")).agg(F.count("*").alias("seq"))
     size = size.groupBy("pair_id", "diff_id").agg(F.max_by("seq", "k").alias("seq"))
     return last.drop("seq").join(size, ["pair_id", "diff_id"]).select("pair_id", "diff_id", "event_id", "seq")

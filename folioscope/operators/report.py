@@ -18,9 +18,10 @@ def with_diff_id(diffs: DataFrame) -> DataFrame:
 
 
 def latest(log: DataFrame, keys: list[str]) -> DataFrame:
-    """The last entry (by ``seq``, then time, then content) of each key of an append log: an upsert without updates."""
+    """The last entry (by call and its name, if there are any, ``seq``, then time, then content) of each key of an append log: an upsert without updates."""
     columns = [c for c in log.columns if c not in keys]
-    order = ["seq", *(c for c in ("updated_at",) if c in columns), *(c for c in columns if c not in ("seq", "updated_at"))]
+    first = [c for c in ("call", "batch", "seq", "updated_at") if c in columns]
+    order = [*first, *(c for c in columns if c not in first)]
     last = log.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_l"))
     return last.select(*keys, *[F.col(f"_l.{c}").alias(c) for c in columns])
 
@@ -95,7 +96,7 @@ def export_rows(diffs: DataFrame) -> DataFrame:
     return diffs.select(*cols, F.col("score").alias("diff_score"))
 
 
-def numbered(log: DataFrame, after: int = 0) -> DataFrame:
-    """Entries of an append log in the order of their time, numbered from ``after``."""
+def numbered(log: DataFrame) -> DataFrame:
+    """Entries of an append log in the order of their time, numbered by key."""
     rest = [c for c in log.columns if c not in ("pair_id", "diff_id", "updated_at", "seq")]
-    return log.withColumn("seq", F.row_number().over(Window.partitionBy("pair_id", "diff_id").orderBy("updated_at", *rest)).cast("long") + F.lit(after).cast("long"))
+    return log.withColumn("seq", F.row_number().over(Window.partitionBy("pair_id", "diff_id").orderBy("updated_at", *rest)).cast("long"))

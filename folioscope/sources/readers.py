@@ -128,20 +128,46 @@ def sibling_labels(spark: SparkSession, report: str, pair_id: str) -> DataFrame:
     return labels(spark, os.path.join(os.path.dirname(report), "-none-"), pair_id)
 
 
+def _system(path: str):
+    """A path as Hadoop sees it, and its file system."""
+    spark = SparkSession.active()
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(p), system
+
+
 def listing(folder: str, suffix: str = ".json") -> list[str]:
-    return sorted(n for n in os.listdir(folder) if n.endswith(suffix))
+    """The names in a folder of any store that Spark reads, sorted."""
+    path, system = _system(folder)
+    return sorted(name for status in system.listStatus(path) if (name := status.getPath().getName()).endswith(suffix))
+
+
+def _resolved(path: str) -> str:
+    """A full path without ``..``; on this machine's disks also without links."""
+    p, system = _system(path)
+    if p.toUri().getScheme() == "file":
+        return "file:" + os.path.realpath(p.toUri().getPath())
+    steps: list[str] = []
+    for step in p.toUri().getPath().split("/"):
+        if step == ".." and steps:
+            steps.pop()
+        elif step not in ("", ".", ".."):
+            steps.append(step)
+    return f"{p.toUri().getScheme()}://{p.toUri().getAuthority() or ''}/" + "/".join(steps)
 
 
 def safe_path(base: str, requested: str, suffix: str, current: str = "") -> str:
-    """A path of a suffix that exists below ``base``; an empty request is the current one."""
+    """A path of a suffix that exists below ``base``, in any store that Spark reads; an empty request is the current one."""
     if not requested:
         return current
-    root, path = os.path.realpath(base), os.path.realpath(os.path.join(base, requested))
-    if os.path.commonpath([root, path]) != root:
+    named = ":" in requested.split("/")[0] or requested.startswith("/")
+    root, path = _resolved(base), _resolved(requested if named else f"{base.rstrip('/')}/{requested}")
+    if not path.startswith(root.rstrip("/") + "/"):
         raise FileNotFoundError(f"outside of {base}: {requested}")
-    if not os.path.exists(path) or not path.lower().endswith(suffix):
+    p, system = _system(path)
+    if not system.exists(p) or not path.lower().endswith(suffix):
         raise FileNotFoundError(requested)
-    return path
+    return path.removeprefix("file:")
 
 
 def load_env(path: str, env=os.environ) -> None:

@@ -362,23 +362,12 @@ def test_reports_read_back(spark, tmp_path):
     assert report.latest(spark.read.parquet(str(tmp_path / "log")), ["pair_id", "diff_id"]).first()["classification"] == "significant"
 
 
-def test_progress_and_sheets(spark, tmp_path):
+def test_progress(spark):
     from pyspark.sql import Observation
 
-    from folioscope.sources import writers
-
     cols = "pair_id long, diff_no long, section_id_a string, section_id_b string, title_a string, title_b string, semantic_text_a string, semantic_text_b string, section_lines_a array<string>, section_lines_b array<string>, score double, start_page_a int, start_page_b int"
     rows = spark.createDataFrame([(1, i, "a", "b", "T", "T", "x", "x y" * i, [], [], 0.5, 1, 2) for i in range(5)], cols)
     seen = Observation()
     assert classify.classified(rows, None, seen).count() == 5
     assert seen.get == {"rows": 5, "answered": 0, "editorial": 0, "slight": 5, "significant": 0}
-    path = tmp_path / "x.xlsx"
-    try:
-        import openpyxl
-    except ImportError:
-        with pytest.raises(RuntimeError, match="openpyxl"):
-            writers.write_xlsx(report.export_rows(rows), str(path))
-    else:
-        writers.write_xlsx(report.export_rows(rows), str(path))
-        sheet = openpyxl.load_workbook(path)["diff_sections"]
-        assert [c.value for c in sheet[1]] == writers.EXPORT and sheet.max_row == 6
+
