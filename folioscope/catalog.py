@@ -6,8 +6,10 @@ hold them against plain Python over whole tables.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,8 @@ from folioscope.functions import similarity as S
 from folioscope.functions import text as T
 from folioscope.operators import classify, diffing, layout, matching, report, sections
 from folioscope.plans import compare, corpus
-from folioscope.sources import readers, sheets, writers
+from folioscope.sources import pdf, readers, sheets, writers
+from folioscope.sources.files import write_files
 from folioscope.storage import shared_dir, written
 
 QUERIES: dict = {}
@@ -794,6 +797,29 @@ def imported_labels(spark, sf_dir):
     return report.imported(d, report.last_labels(given), "import")
 
 
+@query(
+    _with(_lines("a"), f"n AS (SELECT doc_id, page, count(*) FILTER (trim(text) <> '') AS n_lines, sum(length({_collapse('text')})) FILTER (trim(text) <> '')::BIGINT AS n_chars FROM lines_a GROUP BY doc_id, page)")
+    + "SELECT (doc_id // 500)::VARCHAR AS volume, row_number() OVER (PARTITION BY doc_id // 500 ORDER BY doc_id, page) AS page, n_lines, n_chars FROM n"
+)
+def pdf_lines(spark, sf_dir):
+    """Volumes of 500 documents written as PDF files, read back as spans, and put together as lines."""
+    lines, pages = corpus.layout(corpus.documents(spark, sf_dir))
+    volume = F.floor(F.col("doc_id") / 500).cast("long").cast("string").alias("volume")
+    own = Window.partitionBy("volume").orderBy("doc_id", "page")
+    lines = lines.select(volume, "doc_id", "page", "line_no", "x0", "y0", "text").withColumn("no", F.dense_rank().over(own)).withColumn("_k", F.row_number().over(Window.partitionBy("volume").orderBy("doc_id", "page", "line_no")))
+
+    def files(batches):
+        every = (row for batch in batches for row in zip(*(batch[c].tolist() for c in ("volume", "no", "x0", "y0", "text")), strict=True))
+        for name, rows in itertools.groupby(every, key=lambda row: row[0]):
+            made = [(corpus.HEIGHT, [row[2:] for row in page]) for _, page in itertools.groupby(rows, key=lambda row: row[1])]
+            yield pd.DataFrame({"name": [f"{name}.pdf"], "content": [pdf.made(made)]})
+
+    path = f"{shared_dir(spark)}/pdf-{uuid.uuid4().hex}"
+    write_files(lines.mapInPandas(files, "name string, content binary"), path)
+    got = readers.extract(spark, path, "pdf")[0]
+    return got.groupBy(F.col("doc_id").alias("volume"), F.col("page").cast("long").alias("page")).agg(F.count("*").alias("n_lines"), F.sum(F.length("text")).alias("n_chars"))
+
+
 @query(
     f"""WITH p AS (SELECT DISTINCT doc_id, k // 4 + 1 AS page FROM (SELECT doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS k FROM documents)),
 f AS (SELECT *, CASE (doc_id + 7 * page) % 5 WHEN 2 THEN '{_NOISY[0]}' WHEN 3 THEN '{_NOISY[1]}' WHEN 4 THEN '{_NOISY[2]}' ELSE '{_CLEAN}' END AS text FROM p),

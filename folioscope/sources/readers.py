@@ -49,6 +49,14 @@ def _elements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return lines_from_elements(spark.read.parquet(f"{path}/elements"))
 
 
+def _pdf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """PDF files in a folder."""
+    from folioscope.sources.pdf import extractor
+
+    return extractor(spark, path)
+
+
+register_extractor("pdf", _pdf)
 register_extractor("tables", _tables)
 register_extractor("elements", _elements)
 
