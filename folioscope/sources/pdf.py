@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -70,7 +71,8 @@ def values(data: bytes, at: int = 0, end: int | None = None) -> Iterator[tuple[o
         elif word == b"(":
             value, at = _string(data, at)
         elif word[:1] == b"<":
-            value = bytes.fromhex((lambda h: h + "0" * (len(h) % 2))(re.sub(r"[^0-9A-Fa-f]", "", word.decode())))
+            digits = word[1:-1].translate(None, b"\x00\t\n\x0c\r ").decode()
+            value = bytes.fromhex(digits + "0" * (len(digits) % 2))
         elif word[:1] == b"/":
             value = Name(re.sub(rb"#([0-9A-Fa-f]{2})", lambda h: bytes([int(h.group(1), 16)]), word[1:]).decode("latin-1"))
         else:
@@ -191,6 +193,7 @@ class Font:
                     k += 3
         else:
             self.widths = {of(inner.get("FirstChar", 0)) + j: of(w) / 1000 for j, w in enumerate(of(inner.get("Widths")) or [])}
+        self.known: dict[int, tuple[bytes, tuple[int, float]]] = {}
         self.units: dict[int, bytes] = {}  # UTF-16 by code
         self.ranges: list[tuple[int, int, int, bytes]] = []
         encoding = of(font.get("Encoding"))
@@ -225,16 +228,20 @@ class Font:
 
     def read(self, codes: bytes) -> tuple[bytes, list[tuple[int, float]]]:
         """UTF-16 of codes, and each code with its width."""
-        step = 2 if self.wide else 1
-        units, advances = [], []
-        for k in range(0, len(codes) - step + 1, step):
-            code = int.from_bytes(codes[k : k + step])
-            unit = self.units.get(code)
-            if unit is None:
-                unit = next((head + (to + code - low & 0xFFFF).to_bytes(2) for low, high, to, head in self.ranges if low <= code <= high), None)
-            units.append(bytes([code]).decode("cp1252", "replace").encode("utf-16-be") if unit is None and not self.wide else unit or b"\xff\xfd")
-            advances.append((code, self.widths.get(code, self.other)))
-        return b"".join(units), advances
+        each = memoryview(codes[: len(codes) // 2 * 2]).cast("H") if self.wide else codes
+        found = [self.known.get(code) or self._looked(code) for code in each]
+        return b"".join([unit for unit, _ in found]), [advance for _, advance in found]
+
+    def _looked(self, given: int) -> tuple[bytes, tuple[int, float]]:
+        """What a code stands for; ``given`` has the byte order of this machine."""
+        code = int.from_bytes(given.to_bytes(2, sys.byteorder)) if self.wide else given
+        unit = self.units.get(code)
+        if unit is None:
+            unit = next((head + (to + code - low & 0xFFFF).to_bytes(2) for low, high, to, head in self.ranges if low <= code <= high), None)
+        if unit is None:
+            unit = b"\xff\xfd" if self.wide else bytes([code]).decode("cp1252", "replace").encode("utf-16-be")
+        self.known[given] = unit, (code, self.widths.get(code, self.other))
+        return self.known[given]
 
 
 def _times(m, n):
@@ -258,7 +265,9 @@ def texts(file: File, content: bytes, resources: dict, ctm=(1, 0, 0, 1, 0, 0), d
             if isinstance(part, bytes):
                 units, advances = font.read(part)
                 text += units
-                step = sum(w * size + state["Tc"] + (state["Tw"] if code == 32 and not font.wide else 0) for code, w in advances)
+                step = sum([w for _, w in advances]) * size + len(advances) * state["Tc"]
+                if state["Tw"] and not font.wide:
+                    step += state["Tw"] * sum(code == 32 for code, _ in advances)
             else:
                 step = -part / 1000 * size
                 text += " ".encode("utf-16-be") if part < -GAP else b""
