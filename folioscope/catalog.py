@@ -744,7 +744,7 @@ def payloads(spark, sf_dir):
 
 
 _CHUNKS = """w AS (SELECT pair_id, diff_no, diff_no % 4 AS k, string_split(text, ' ') AS x FROM c),
-ch AS (SELECT pair_id, diff_no, ['equal', 'replace', 'delete', 'insert'][k + 1] AS tag, CASE WHEN k = 3 THEN [] ELSE x[1:5] END AS a, CASE k WHEN 2 THEN [] WHEN 0 THEN x[1:5] ELSE x[3:9] END AS b FROM w),
+ch AS (SELECT pair_id, diff_no, ['equal', 'replace', 'delete', 'insert'][k + 1] AS tag, CASE WHEN k = 3 THEN [] ELSE x END AS a, CASE k WHEN 2 THEN [] WHEN 0 THEN x ELSE x[3:] END AS b FROM w),
 r AS (SELECT pair_id, diff_no, tag, unnest(range(greatest(len(a), len(b), 1))) AS row, a, b FROM ch)"""
 
 
@@ -753,7 +753,7 @@ def _chunk_rows(spark, sf_dir):
     k, x = F.col("turn") % 4, F.split(F.coalesce("text", F.lit("")), " ")
     none = F.expr("cast(array() as array<string>)")
     tag = F.element_at(F.array(*map(F.lit, ("equal", "replace", "delete", "insert"))), (k + 1).cast("int"))
-    a, b = F.when(k == 3, none).otherwise(F.slice(x, 1, 5)), F.when(k == 2, none).when(k == 0, F.slice(x, 1, 5)).otherwise(F.slice(x, 3, 7))
+    a, b = F.when(k == 3, none).otherwise(x), F.when(k == 2, none).when(k == 0, x).otherwise(F.slice(x, F.lit(3), F.size(x)))
     rows = t.select(F.col("conv_id").alias("pair_id"), F.col("turn").alias("diff_no"), F.array(F.struct(tag.alias("tag"), a.alias("lines_a"), b.alias("lines_b"))).alias("section_diff"))
     return diffing.row_pairs(rows)
 
