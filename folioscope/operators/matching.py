@@ -101,7 +101,7 @@ def assigned(scores: DataFrame) -> DataFrame:
 COUNTED = " etaoinsrhld"
 #: Candidates of a pair up to which one task takes the pair; larger ones are spread.
 LARGE = 4_000_000
-#: Of a large pair: candidates in a block, and how many of the best of a section are measured in a round.
+#: Of a large pair: candidates in a block, and how many of the best of a section are measured in the first round.
 BLOCK, RANKED = 1_000_000, 4
 TEXTS = ("title_normalized", "core", "prefix")
 
@@ -288,8 +288,8 @@ def measured(rows: DataFrame, cfg: MatchConfig) -> DataFrame:
 def assigned_widely(a: DataFrame, b: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
     """What :func:`assigned_lazily` gives, for pairs too large for a task: a fixpoint of mutual bests, each round a plan over all candidates.
 
-    In a round the RANKED best candidates of each section are measured, if they are not
-    yet.  A candidate that is measured and the best of both its sections, where one that is not
+    In the first round the RANKED best candidates of each section are measured, in each further one four times as many, if they are not
+    yet: by then few are left.  A candidate that is measured and the best of both its sections, where one that is not
     measured counts by its bound and goes first among equals, would be the next of the greedy order for
     them, whatever else happens: it is accepted, and all others of its sections go.  The highest candidate of all is
     measured or accepted in each round, so the rounds end; what is left shrinks with each.
@@ -301,7 +301,7 @@ def assigned_widely(a: DataFrame, b: DataFrame, cfg: MatchConfig = MatchConfig()
     ids = lambda df, s: df.select("pair_id", F.col("i").alias(f"i_{s}"), F.col("section_id").alias(f"section_id_{s}"))
     key = ["pair_id", "i_a", "i_b"]
     accepted = spark.createDataFrame([], f"{pair}, i_a long, i_b long, anchor_score double, order_score double, known struct<raw:double,core:double,body:double,score:double>")
-    while True:
+    for ranked in (RANKED * 4**k for k in itertools.count()):
         left = written(left.withColumn("value", F.coalesce("known.score", "bound")), "candidates")
         if left.isEmpty():
             break
@@ -309,7 +309,7 @@ def assigned_widely(a: DataFrame, b: DataFrame, cfg: MatchConfig = MatchConfig()
         best = lambda s: Window.partitionBy("pair_id", f"i_{s}").orderBy(F.desc("value"), F.col("known").isNotNull(), "i_a", "i_b")
         front = None
         for s in "ab":
-            top = left.withColumn("_r", F.row_number().over(best(s))).filter((F.col("_r") <= RANKED) & F.col("known").isNull())
+            top = left.withColumn("_r", F.row_number().over(best(s))).filter((F.col("_r") <= F.lit(float(ranked))) & F.col("known").isNull())
             top = top.select(*key, "anchor_score", "order_score")
             front = top if front is None else front.unionByName(top)
         front = front.distinct().join(texts(a, "a"), ["pair_id", "i_a"]).join(texts(b, "b"), ["pair_id", "i_b"])
