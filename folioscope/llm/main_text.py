@@ -10,16 +10,19 @@ article may begin, below ``in`` a part may be cut out, and below that all stays
 
 The trees are fitted on ``TRAINING_PAGES`` generated pages (articles of invented words
 with menus, headers, footers, sidebars, notices, adverts, forms and comments around and
-within); no page of the input is used, so equal pages give equal text anywhere.
+within, in named and unnamed containers, in the body itself, as bare text); no page of the
+input is used, so equal pages give equal text anywhere.
 
 Defined cases: null or empty html gives an empty text; pages of any length and depth are
-read in one pass; unclosed elements end with their parent or, for paragraphs and list
+read in time that grows with their length; a tag whose quotes never close ends at its
+first ``>``; references to numbers beyond all code points are U+FFFD; unclosed elements end with their parent or, for paragraphs and list
 items, where the next begins.  ``page_id`` and ``url`` are passed through, null or not;
 no other column is read.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import random
 import re
@@ -33,16 +36,13 @@ from .common import released, table
 TRAINING_PAGES, TREES, DEPTH, RATE, BINS = 400, 40, 3, 0.3, 32
 SWITCH = 1.0  # what it costs to begin or cut out a part
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?:script|style|title|textarea)(?=[\s/>])[^>]*\Z"
-    r"|<(/?)([a-z][a-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']+)*+|[^>]*)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_OPEN = re.compile(r"<(?:(!--)|(/?)([a-z][a-z0-9:-]*)|[!?/])", re.I)
+#: Attributes up to the end of a tag, quoted values as one.
+_INSIDE = re.compile(r"(?:\"[^\"]*\"|'[^']*'|[^>\"']+)*+>")
+_MARK = re.compile("[\"'>]")
 #: Elements whose content is no text: these run to the end of the page if no end tag follows, the others only hide their tag then.
 TO_END = frozenset("script style title textarea".split())
-_RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>", re.I) for n in [*sorted(TO_END), "noscript", "template", "svg", "iframe", "select", "button"]}
+_RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])", re.I) for n in [*sorted(TO_END), "noscript", "template", "svg", "iframe", "select", "button"]}
 #: What ends these before an end tag: they can't hold it.
 _BREAKS = {n: re.compile(rf"<{n}(?=[\s/>])", re.I) for n in ("select", "button")}
 _BREAKS["svg"] = re.compile(r"<(?:p|div|article|section|h[1-6]|ul|ol|li|table|blockquote|pre|body|img|span)(?=[\s/>])", re.I)
@@ -50,8 +50,12 @@ _FOREIGN = re.compile(r"<foreignobject", re.I)
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 _ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
+_HUMP = re.compile(r"([a-z])([A-Z])")
 _SPACE = re.compile(r"\s+")
+_BLANKS = tuple(" \t\n\r\f\v")
 _SENTENCE = re.compile(r"[.!?,;:]")
+#: References to numbers beyond all code points, which need not be read as numbers.
+_LONG = re.compile(r"&#0*[1-9][0-9]{8,};?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset"
@@ -62,32 +66,92 @@ ENDS = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "
 ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.items()}
 
 
+class _Ahead:
+    """The next match of a pattern at or after a place, for places that never fall: each is looked for once."""
+
+    def __init__(self, pattern: re.Pattern, html: str):
+        self.pattern, self.html, self.found, self.over = pattern, html, None, False
+
+    def __call__(self, at: int) -> re.Match | None:
+        while not self.over and (self.found is None or self.found.start() < at):
+            self.found = self.pattern.search(self.html, at)
+            self.over = self.found is None
+        return None if self.over else self.found
+
+
+class _Ends:
+    """Where tags end: at the first ``>`` outside quotes or, if there is none up to the end of the page, at the first of all."""
+
+    def __init__(self, html: str):
+        self.html, self.marks, self.ends, self.last = html, None, None, html.rfind(">")
+
+    def __call__(self, at: int) -> int:
+        """The end of the tag whose name ends at ``at``; 0 if the page has none."""
+        if at > self.last:
+            return 0
+        if self.marks is None:
+            if m := _INSIDE.match(self.html, at):
+                return m.end()
+            self._mark(at)
+        return self.ends[bisect.bisect_left(self.marks, at)] or self.html.find(">", at) + 1
+
+    def _mark(self, at: int):
+        """Where a tag would end from each quote or ``>`` on, from the last of them to the first."""
+        kinds = [(m.start(), m.group()) for m in _MARK.finditer(self.html, at)]
+        self.marks, self.ends = [i for i, _ in kinds], [0] * (len(kinds) + 1)
+        following = {}
+        for k in range(len(kinds) - 1, -1, -1):
+            i, kind = kinds[k]
+            if kind == ">":
+                self.ends[k] = i + 1
+            else:
+                self.ends[k] = self.ends[following[kind] + 1] if kind in following else 0
+                following[kind] = k
+
+
 def _tokens(html: str):
-    """Start, end, slash, name and attributes of each tag or comment; elements without text are one token without a name."""
-    at, none, head = 0, set(), False
-    while m := _TOKEN.search(html, at):
-        at, name = m.end(), (m.group(2) or "").lower()
+    """Start, end, slash, name and attributes of each tag or comment; elements without text are one token without a name.
+
+    Whatever the page holds, no place is looked at more than a few times.
+    """
+    at, head, tag_end = 0, False, _Ends(html)
+    ahead = {n: _Ahead(r, html) for n, r in _RAW_END.items()}
+    breaks = {n: _Ahead(r, html) for n, r in _BREAKS.items()}
+    foreign = _Ahead(_FOREIGN, html)
+    while m := _OPEN.search(html, at):
+        start, name, slash = m.start(), (m.group(3) or "").lower(), m.group(2)
+        if m.group(1):
+            end = html.find("-->", m.end()) + 3
+            end = end if end > 2 else len(html)
+        elif not (end := tag_end(m.end()) if name else html.find(">", m.end()) + 1):
+            if name in TO_END and not slash and html[m.end() : m.end() + 1] in ("/", *_BLANKS):
+                yield start, len(html), slash, "", ""
+                return
+            if not name and html.find("<!--", start) < 0:  # nothing ends any more
+                return
+            at = start + 1
+            continue
+        attributes, at = html[m.end() : end - 1] if name else "", end
         if name == "head" or head and (name in IN_HEAD or not name):
-            head, hidden = name != "head" or not m.group(1), True
+            head, hidden = name != "head" or not slash, True
         else:
             head = head and not name
             hidden = False
-        if name in _RAW_END and not m.group(1):
-            if name == "svg" and m.group(3).rstrip().endswith("/"):
-                hidden = True
-            else:
-                end = None if name in none else _RAW_END[name].search(html, at)
-                if end is None:
-                    none.add(name)
+        if name in _RAW_END and not slash:
+            hidden = True
+            if not (name == "svg" and attributes.rstrip().endswith("/")):
+                end = ahead[name](at)
+                if end is None or end.end() > tag_end.last:
                     at = len(html) if name in TO_END else at
                 else:
-                    stop = _BREAKS[name].search(html, at, end.start()) if name in _BREAKS else None
-                    if stop is None or name == "svg" and _FOREIGN.search(html, at, stop.start()):
-                        at = end.end()
+                    stop = breaks[name](at) if name in breaks else None
+                    stop = None if stop is None or stop.end() > end.start() else stop.start()
+                    inside = foreign(at) if name == "svg" and stop is not None else None
+                    if stop is None or inside is not None and inside.end() <= stop:
+                        at = html.find(">", end.end()) + 1
                     else:
-                        at = stop.start() if name == "svg" else at
-                hidden = True
-        yield m.start(), at, m.group(1), "" if hidden else name, m.group(3)
+                        at = stop if name == "svg" else at
+        yield start, at, slash, "" if hidden else name, attributes
 
 
 class Page:
@@ -98,14 +162,24 @@ class Page:
         self.links, self.tags = [0], [0]  # link characters and tags inside the element's own blocks
         self.blocks: list[tuple[int, str]] = []
         stack, names, text, at, link = [0], ["#page"], [], 0, 0
+        places: dict[str, list[int]] = {}  # where in the stack elements of each name are open
 
         def flush():
             if text:
-                whole = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
+                whole = _LONG.sub("&#999999999;", "".join(text))
+                whole = _SPACE.sub(" ", entities.unescape(whole)).strip()
                 text.clear()
                 if whole:
                     self.blocks.append((stack[-1], whole))
 
+        def last(of) -> int:
+            return max((places[n][-1] for n in of if places.get(n)), default=0)
+
+        def close(k: int):
+            for n in names[k:]:
+                places[n].pop()
+            del names[k:], stack[k:]
+
         for start, end, slash, name, attributes in _tokens(html):
             if start > at:
                 part = html[at:start]
@@ -125,34 +199,27 @@ class Page:
             flush()
             link = 0
             if slash:
-                if name in names[1:]:
-                    while names[-1] != name:
-                        names.pop()
-                        stack.pop()
-                    names.pop()
-                    stack.pop()
+                if k := last((name,)):
+                    close(k)
                 continue
-            if "p" in names:
-                k = len(names) - 1 - names[::-1].index("p")
-                del names[k:], stack[k:]
+            if k := last(("p",)):
+                close(k)
             if name in ENDS:
-                close, border = ENDS[name]
-                for k in range(len(names) - 1, 0, -1):
-                    if names[k] in border:
-                        break
-                    if names[k] in close:
-                        del names[k:], stack[k:]
-                        break
+                ended, border = ENDS[name]
+                k = last(ended)
+                if k > last(border):
+                    close(k)
             own = ["tag:" + name]
             if attributes:
                 for a in _ATTRIBUTE.findall(attributes):
-                    own += _PART.findall((a[0] or a[1] or a[2]).lower())
+                    own += _PART.findall(_HUMP.sub(r"\1 \2", a[0] or a[1] or a[2]).lower())
             self.tag.append(name)
             self.tokens.append(tuple(own))
             self.parent.append(stack[-1])
             self.depth.append(len(stack))
             self.links.append(0)
             self.tags.append(1)
+            places.setdefault(name, []).append(len(stack))
             stack.append(len(self.tag) - 1)
             names.append(name)
         if at < len(html):
@@ -161,7 +228,7 @@ class Page:
 
 
 #: Names of the columns of :func:`features`.
-FEATURES = ("own tokens", "enclosing tokens", "depth", "text", "link share", "text per tag", "sentence marks", "paragraphs", "place among siblings", "siblings", "text against siblings", "share of page", "place in page", "children", "own text")
+FEATURES = ("own tokens", "enclosing tokens", "worst enclosing tokens", "depth", "text", "link share", "text per tag", "sentence marks", "paragraphs", "place among siblings", "siblings", "text against siblings", "share of page", "place in page", "children", "own text")
 
 
 def features(page: Page, odds: dict[str, float]) -> np.ndarray:
@@ -191,15 +258,16 @@ def features(page: Page, odds: dict[str, float]) -> np.ndarray:
         paras[p] += paras[i]
         first[p] = min(first[p], first[i])
     mine = [min(6.0, max(-6.0, sum(odds.get(t, 0.0) for t in tokens))) for tokens in page.tokens]
-    above = [0.0] * n
+    above, worst = [0.0] * n, [0.0] * n
     for i in range(1, n):
         above[i] = 0.7 * above[parent[i]] + mine[parent[i]]
+        worst[i] = min(worst[parent[i]], mine[parent[i]])
     up = np.array([max(p, 0) for p in parent])
     siblings = np.array(children)[up]
     total = max(1.0, chars[0])
     others = (chars[up] - own[up] - chars) / np.maximum(siblings - 1, 1)
     return np.column_stack([
-        mine, above, page.depth, np.log1p(chars), links / np.maximum(chars, 1), np.log1p(chars / np.maximum(tags, 1)), 100 * marks / np.maximum(chars, 1), np.log1p(paras),
+        mine, above, worst, page.depth, np.log1p(chars), links / np.maximum(chars, 1), np.log1p(chars / np.maximum(tags, 1)), 100 * marks / np.maximum(chars, 1), np.log1p(paras),
         np.array(rank) / np.maximum(siblings, 1), np.log1p(siblings), np.log1p(chars) - np.log1p(np.maximum(others, 0)), chars / total, np.where(np.isfinite(first), first, at) / total, np.log1p(children), np.log1p(own),
     ])
 
@@ -271,15 +339,20 @@ _BAD = {
     "side": "sidebar aside related widget trending recommended more rail".split(),
     "notice": "cookie notice consent gdpr alert popup modal banner disclaimer".split(),
     "ad": "ad ads advert advertisement sponsored promo adsense".split(),
-    "form": "form login subscribe newsletter search signup contact".split(),
+    "form": "form login subscribe subscription newsletter search signup contact register".split(),
     "comments": "comments comment discussion replies responses disqus".split(),
     "share": "share social buttons sharing follow tags".split(),
 }
-_TAGS = {"menu": "nav nav div ul", "header": "header header div", "footer": "footer footer footer div", "side": "aside aside div section", "notice": "div div section aside", "ad": "div div div aside", "form": "form form div", "comments": "section div div ol", "share": "div ul div"}
+_TAGS = {"menu": "nav nav div ul", "header": "header header div", "footer": "footer footer footer div", "side": "aside aside div section", "notice": "div div section aside", "ad": "div div div aside", "form": "form form div div section", "comments": "section div div ol", "share": "div ul div"}
+
 
+def training_page(seed: int) -> str:
+    """A generated page; elements of the article carry the attribute ``data-in``, others none.
 
-def training_page(seed: int) -> tuple[str, str]:
-    """A generated page; elements of the article carry the attribute ``data-in``, others none."""
+    Some articles stand in named elements, some in elements whose names say nothing, some
+    in the body itself; their paragraphs may be ``div`` or lines of bare text.  Some pages
+    are bare text (a comment marks them), some have no article.
+    """
     rng = random.Random(seed)
     syllables = [a + b for a in "b c d f g l m n p r s t v st tr".split() for b in "a e i o u an er".split()]
 
@@ -296,7 +369,7 @@ def training_page(seed: int) -> tuple[str, str]:
     def name(kind, list_):
         if rng.random() < 0.25:
             return ""
-        return f' {rng.choice(["class", "class", "id"])}="{rng.choice(list_)}{rng.choice(["", "", " box", " row", "-1", " wrapper"])}"'
+        return f' {rng.choice(["class", "class", "id"])}="{rng.choice(list_)}{rng.choice(["", "", "", " box", " row", "-1", " wrapper", "-area", "-list", "-section", "-inner", "-" + rng.choice(list_)])}"'
 
     def bad(kind):
         tag = rng.choice(_TAGS[kind].split())
@@ -316,14 +389,24 @@ def training_page(seed: int) -> tuple[str, str]:
             inner = f"<h1>{' '.join(words(2))}</h1>" if rng.random() < 0.4 else f"<p>{sentence(6)}</p>" + link()
         else:
             inner = rng.choice(["{}", "<p>{}</p>", "<div>{}</div>"]).format(" ".join(sentence() for _ in range(int(rng.randrange(1, 4))))) + (link() if rng.random() < 0.3 else "")
-        cls = name(kind, _BAD[kind]) if tag in ("nav", "footer", "header", "form") else f' class="{rng.choice(_BAD[kind])}"'
+        cls = name(kind, _BAD[kind])
+        if not cls and tag not in ("nav", "footer", "header", "form"):
+            cls = f' class="{rng.choice(_BAD[kind])}"'
         return f"<{tag}{cls}>{inner}</{tag}>"
 
+    if rng.random() < 0.06:
+        bare = rng.choice(["\n", "<br>", " "]).join(prose() for _ in range(rng.randrange(1, 12)))
+        return "<!-- data-in -->" + bare if rng.random() < 0.5 else f"<html><head><title>{sentence(8)}</title></head><body data-in>{bare}</body></html>"
+    paragraph = rng.choice(["p"] * 7 + ["div", "div", "br", "div><p", "div><p"])
+    around = name("", ["".join(words(1)) for _ in range(3)]) if "div" in paragraph and rng.random() < 0.5 else ""
     parts = [f"<h1 data-in>{sentence(12)}</h1>"] if rng.random() < 0.85 else []
     for _ in range(rng.choice([1, 2, 4, 8, 16, 30])):
         kind = rng.random()
-        if kind < 0.72:
-            parts.append(f"<p data-in>{prose()}" + ("</p>" if rng.random() < 0.8 else ""))
+        if kind < 0.72 and paragraph == "br":
+            parts.append(prose() + "<br><br>")
+        elif kind < 0.72:
+            begin = f"<div{around} data-in>" + ("<p data-in>" if paragraph != "div" else "") if "div" in paragraph else "<p data-in>"
+            parts.append(begin + prose() + ("</p></div>" if paragraph == "div><p" else f"</{paragraph}>" if paragraph == "div" or rng.random() < 0.8 else ""))
         elif kind < 0.8:
             parts.append(f"<h2 data-in>{sentence(8)}</h2>")
         elif kind < 0.86:
@@ -336,14 +419,28 @@ def training_page(seed: int) -> tuple[str, str]:
             parts.append("<table data-in><tr data-in>" + "".join(f"<td data-in>{words(1)[0]}</td>" for _ in range(4)) + "</tr></table>")
         else:
             parts.append(bad(rng.choice(["ad", "side", "share", "notice", "form"])))
-    if rng.random() < 0.15:
-        parts.append(bad("comments"))
-    tag = rng.choice(["article", "article", "article", "main", "div", "section"])
-    article = f"<{tag}{name('good', _GOOD) if tag in ('article', 'main') else f' class={chr(34)}{rng.choice(_GOOD)}{chr(34)}'} data-in>{''.join(parts)}</{tag}>"
+    for kind, share in (("share", 0.15), ("form", 0.15), ("side", 0.1), ("comments", 0.25)):
+        if rng.random() < share:
+            parts.append(bad(kind))
+    tag = rng.choice(["article", "article", "article", "main", "main", "div", "div", "section", "td", "td", "body", "body"])
+    plain = rng.random() < 0.4  # a name that says nothing, or none
+    cls = name("good", ["".join(words(1)) for _ in range(3)] if plain else _GOOD)
+    if not cls and not plain and tag in ("div", "section", "td"):
+        cls = f' class="{rng.choice(_GOOD)}"'
+    article = "".join(parts)
+    if tag == "td":
+        side = "".join(f"<td>{bad(rng.choice(['menu', 'side', 'ad']))}</td>" for _ in range(rng.randrange(0, 2)))
+        article = f"<table><tr>{side}<td{cls} data-in>{article}</td></tr></table>"
+    elif tag != "body":
+        article = f"<{tag}{cls} data-in>{article}</{tag}>"
+    if rng.random() < 0.03:
+        article = ""
     before = [bad(k) for k in ("header", "menu", "notice", "ad", "form", "side") if rng.random() < 0.5]
     after = [bad(k) for k in ("share", "comments", "side", "ad", "form", "notice", "footer", "menu") if rng.random() < 0.45]
     rng.shuffle(before)
     middle = "".join(before) + article + "".join(after)
+    if tag == "body":
+        return f"<html><head><title>{sentence(8)}</title></head><body{' data-in' if article else ''}>{middle}</body></html>"
     for _ in range(int(rng.randrange(0, 3))):
         middle = f"<div{name('', ['wrapper', 'container', 'page', 'layout', 'row', 'site'])}>{middle}</div>"
     return f"<html><head><title>{sentence(8)}</title></head><body>{middle}</body></html>"
@@ -352,6 +449,7 @@ def training_page(seed: int) -> tuple[str, str]:
 def labels(html: str) -> tuple[Page, np.ndarray]:
     page = Page(html.replace(" data-in", ' itemprop="zzin"'))
     inside = np.array(["zzin" in t for t in page.tokens], float)
+    inside[0] = html.startswith("<!-- data-in -->")
     page.tokens = [tuple(x for x in t if x != "zzin") for t in page.tokens]
     return page, inside
 
