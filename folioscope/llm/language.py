@@ -1,7 +1,7 @@
 """Language identification with string kernels.
 
 **Kernel.**  A text's features are which byte n-grams of 1 to 3 lower-cased bytes it
-holds, presence only (the blended spectrum); white space, digits and ASCII punctuation
+holds, presence only (the blended spectrum); capitals of ASCII and Latin-1 are lower-cased; white space, digits and ASCII punctuation
 count as one blank.  K(x, y) is the number of shared n-grams over the root of the product of the
 sets' sizes.  The features are the n-grams of the landmarks, so K needs nothing else.
 
@@ -16,8 +16,11 @@ partitioning; of them the first ``LANDMARKS`` for each language are landmarks.
 turn their texts into n-gram codes; those alone come to the driver, which sums the
 normal equations by chunks.  Only text and lang are learned from, never source or doc_id.
 
-``told`` is false for texts without letters, and for those to which every one-versus-rest
-answer is a clear no, such as other scripts where four languages or more are known.
+``told`` is false for texts without letters, for those to which every one-versus-rest
+answer is a clear no, and for those whose 3-grams are strange: more of them, counted
+as often as they stand, are outside the landmarks than twice the share in all but ``STRANGE``
+of the training texts that are no landmarks, by more than ``SIGMAS`` deviations of a draw of that many (so
+short texts are seldom strange), and for those with fewer than ``LETTERS`` letters to a byte.  Without ``CALIBRATED`` such texts nothing is strange.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0.  Training
 rows need a non-null lang and a letter; without any, every text is ``und``.  Rows are
@@ -38,17 +41,26 @@ from .common import LOWER, released, row_chunks, table, text_bytes, written
 SAMPLE, SAMPLED, LANDMARKS, ALL_LANDMARKS, RIDGE = 192, 38_400, 48, 768, 1e-2
 #: The best one-versus-rest answer (1 yes, -1 no) that a text needs to be told.
 MARGIN = -0.35
+#: The share of training texts below the least share of known 3-grams, the deviations allowed, and the fewest texts and 3-grams to learn it from.
+STRANGE, SIGMAS, CALIBRATED, LONG = 0.005, 3.0, 40, 50
+#: The least share of letters (ASCII ones, and all bytes beyond ASCII) among bytes that are no white space.
+LETTERS = 0.25
 #: A letter in the sense of Unicode.
 LETTER = r"\p{L}"
 
 _BLANK = LOWER.copy()
 _BLANK[[b for b in range(128) if not chr(b).isalpha()]] = 32
-_GRAMS = 256 + (1 << 16) + (1 << 24)
+_INK = np.array([b > 32 for b in range(256)])
+_TRIGRAMS = 256 + (1 << 16)
+_GRAMS = _TRIGRAMS + (1 << 24)
+_BLANKS = _TRIGRAMS + 0x202020
 
 
 def _codes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the 1-, 2- and 3-grams and their rows; n-grams do not cross rows."""
     low = _BLANK[buf].astype(np.int32)
+    # capitals of Latin-1 in UTF-8
+    low[1:] += 32 * ((low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97))
     row = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off))
     codes, rows, code = [low], [row], low
     for n, base in ((1, 256), (2, 256 + (1 << 16))):
@@ -59,12 +71,25 @@ def _codes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(codes), np.concatenate(rows)
 
 
-def presence(buf: np.ndarray, off: np.ndarray, column: np.ndarray, width: int) -> np.ndarray:
-    """Rows x features, 1.0 where a text holds the n-gram; column: feature by code, or ``width``."""
+def presence(buf: np.ndarray, off: np.ndarray, column: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows x features, 1.0 where a text holds the n-gram, and its known and all 3-grams; column: feature by code, or ``width``."""
     out = np.zeros((len(off) - 1, width + 1), np.float32)
     codes, rows = _codes(buf, off)
-    out[rows, column[codes]] = 1.0
-    return out[:, :width]
+    feature = column[codes]
+    out[rows, feature] = 1.0
+    three = (codes >= _TRIGRAMS) & (codes != _BLANKS)
+    known, total = (np.bincount(rows[of], minlength=len(out)) for of in (three & (feature < width), three))
+    return out[:, :width], known, total
+
+
+def strange(known, total, least: float):
+    """Whether so few of a text's 3-grams are known that no sharing of luck explains it."""
+    return known < least * total - SIGMAS * np.sqrt(least * (1 - least) * np.maximum(total, 1))
+
+
+def _sums(what: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """How many bytes of each row are so."""
+    return np.diff(np.concatenate([[0], np.cumsum(what)])[off - off[0]])
 
 
 def _kernel(x: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
@@ -75,9 +100,10 @@ def _kernel(x: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
 class Model:
     """Landmark features, and the matrix from kernel values to language scores."""
 
-    def __init__(self, codes: list[np.ndarray], langs: list[str]):
-        """codes: the distinct n-gram codes of each training text."""
+    def __init__(self, codes: list[np.ndarray], langs: list[str], counts: list[np.ndarray]):
+        """codes: the distinct n-gram codes of each training text, and how often each stands there."""
         self.names = sorted(set(langs))
+        self.least = 0.0
         self.grams = np.zeros(0, np.int32)
         if not self.names:
             return
@@ -101,6 +127,13 @@ class Model:
         value, vector = np.linalg.eigh(_kernel(self.landmarks, self.landmarks).astype(np.float64))
         keep = value > 1e-6 * value[-1]
         whiten = vector[:, keep] / np.sqrt(value[keep])
+        shares = []
+        for i in set(range(len(codes))) - set(chosen):
+            count = np.where((codes[i] >= _TRIGRAMS) & (codes[i] != _BLANKS), counts[i], 0)
+            if count.sum() >= LONG:
+                shares.append(count[np.isin(codes[i], self.grams, assume_unique=True)].sum() / count.sum())
+        if len(shares) >= CALIBRATED:
+            self.least = max(0.0, 1.0 - 2.0 * (1.0 - float(np.quantile(shares, STRANGE))))
         # each language weighs the same; the normal equations are summed over chunks of rows
         names, number = np.array(self.names), {x: k for k, x in enumerate(self.names)}
         label = np.array([number[x] for x in langs])
@@ -122,9 +155,11 @@ class Model:
         return column
 
     def scores(self, buf: np.ndarray, off: np.ndarray, column: np.ndarray) -> np.ndarray:
-        """Rows x languages, each row a distribution, and whether any one-versus-rest answer is a yes, by MARGIN."""
-        raw = _kernel(presence(buf, off, column, len(self.grams)), self.landmarks) @ self.weights + self.bias
-        told = raw.max(axis=1) > MARGIN
+        """Rows x languages, each row a distribution, and whether any one-versus-rest answer is a yes, by MARGIN, and the text not strange."""
+        held, known, total = presence(buf, off, column, len(self.grams))
+        raw = _kernel(held, self.landmarks) @ self.weights + self.bias
+        told = (raw.max(axis=1) > MARGIN) & ~strange(known, total, self.least)
+        told &= _sums(_BLANK[buf] != 32, off) >= LETTERS * _sums(_INK[buf], off)
         raw = np.exp(4.0 * (raw - raw.max(axis=1, keepdims=True)))
         return raw / raw.sum(axis=1, keepdims=True), told
 
@@ -148,12 +183,12 @@ def fit(docs: DataFrame, training) -> Model:
         for batch in batches:
             buf, off = text_bytes(batch.column(3))
             for i in range(batch.num_rows):
-                codes = np.unique(_codes(buf[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]))[0])
-                yield pa.record_batch([*batch.slice(i, 1).columns[:3], pa.array([codes], pa.list_(pa.int32()))], ["lang", "h", "doc_id", "codes"])
+                codes, counts = np.unique(_codes(buf[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]))[0], return_counts=True)
+                yield pa.record_batch([*batch.slice(i, 1).columns[:3], *(pa.array([x], pa.list_(pa.int32())) for x in (codes, counts.astype(np.int32)))], ["lang", "h", "doc_id", "codes", "counts"])
 
-    rows = training_rows(docs, training).select("lang", "h", "doc_id", "text").mapInArrow(released(coded), "lang string, h long, doc_id long, codes array<int>")
+    rows = training_rows(docs, training).select("lang", "h", "doc_id", "text").mapInArrow(released(coded), "lang string, h long, doc_id long, codes array<int>, counts array<int>")
     rows = sorted(rows.collect(), key=lambda r: (r["lang"], r["h"], r["doc_id"]))
-    return Model([np.array(r["codes"], np.int32) for r in rows], [r["lang"] for r in rows])
+    return Model([np.array(r["codes"], np.int32) for r in rows], [r["lang"] for r in rows], [np.array(r["counts"], np.int64) for r in rows])
 
 
 def predicted(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
