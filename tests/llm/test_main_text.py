@@ -39,6 +39,7 @@ LAYOUTS |= {
 "ad between":(f'<body><main class="story">{"".join(f"<p>{x}</p><div class=ad-slot>Advertisement. Buy a boat now.</div>" for x in P)}</main></body>',P),
 "comments by id only":(f'<body><div id="content"><h1>{T}</h1>'+ps()+'</div><div id="disqus_thread"><div><p>What a story, I could not stop reading it last night.</p></div></div></body>',A),
 "sections":(f'<body><header><a href=/>Home</a></header><section><h2>One</h2><p>{P[0]}</p></section><section><h2>Two</h2><p>{P[1]}</p></section><footer>All the best. &copy; 2020</footer></body>',["One",P[0],"Two",P[1]]),
+"center font":(f'<body bgcolor=white><center><h1>{T}</h1></center><font size=2>{P[0]}<p>{P[1]}<p>{P[2]}</font><hr><a href=index>Back</a></body>',A),
 "breadcrumbs":(f'<body><ul class="breadcrumb"><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul><div class="article-wrapper"><h1>{T}</h1>'+ps()+'<ul class="tags"><li><a href=t>flood</a></li><li><a href=u>rain</a></li></ul></div></body>',A),
 "share and related inside":(f'<article><h1>{T}</h1><div class="share-buttons"><a href=f>Share</a><a href=g>Tweet</a></div><p>{P[0]}</p><aside class="related-stories"><h3>Related</h3><ul><li><a href=x>Drought of 1921</a></li></ul></aside><p>{P[1]}</p><p>{P[2]}</p></article>',A),
 "rail":(f'<body><div class="page-wrap"><div class="col-8"><h2>{T}</h2>'+ps()+'</div><div class="col-4 rail"><div class="widget"><h4>Trending</h4><ul><li><a href=1>Cats</a></li><li><a href=2>Dogs</a></li></ul></div></div></div></body>',A),
