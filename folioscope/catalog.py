@@ -230,7 +230,8 @@ def page_number_lines(spark, sf_dir):
 @query(_with(_lines("a")) + r"SELECT doc_id, count(*) AS n FROM lines_a WHERE length(text) >= 20 AND regexp_matches(text, '(^|[^\p{L}\p{N}_])\d{1,4}$') AND length(regexp_replace(text, '[^\p{L}]', '', 'g')) >= 12 AND regexp_matches(lower(text), '[a-z]') GROUP BY doc_id")
 def running_titles(spark, sf_dir):
     lines, _ = corpus.layout(corpus.documents(spark, sf_dir))
-    return lines.filter(layout.running_title(F.col("text"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    # the normal form of a number has letters of its own; here the line must have some
+    return lines.filter(layout.running_title(F.col("text")) & F.lower("text").rlike("[a-z]")).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query(_with(_lines("a")) + f"SELECT doc_id, page, count(*) FILTER (trim(text) <> '') AS n_lines, sum(length({_collapse('text')})) FILTER (trim(text) <> '')::BIGINT AS n_chars FROM lines_a GROUP BY doc_id, page HAVING count(*) FILTER (trim(text) <> '') > 0")
