@@ -592,11 +592,11 @@ l AS (SELECT *, CASE WHEN hard <> '' THEN 'significant' WHEN change_ratio <= 0.0
  CASE WHEN hard <> '' THEN hard WHEN change_ratio <= 0.03 AND token_jaccard >= 0.97 AND sentence_overlap >= 0.95 THEN 'high_similarity_low_change_ratio' WHEN change_ratio >= 0.45 OR token_jaccard < 0.5 THEN 'large_change_surface' ELSE 'default_small_semantic_change' END AS rules FROM r)"""
 
 
-def _ruled(spark, sf_dir, *more):
+def _ruled(spark, sf_dir, *more, pair=None):
     """Rules, the stub of the model hook with given labels, and arbitration over the lines of orders; ``more``: columns in place of the pair."""
     flag = lambda c, n: F.when(c, n).otherwise(0)
-    f = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        *(more or [F.col("l_suppkey").alias("pair_id")]), F.col("l_discount").alias("change_ratio"), (1 - F.col("l_tax")).alias("token_jaccard"), (1 - F.col("l_discount")).alias("sentence_overlap"), (F.col("l_quantity") > 48).alias("obligation_change"), (F.col("l_shipdate") < "1993-01-01").alias("negation_change"), (F.col("l_linenumber") == 7).alias("scope_change_cues"),
+    f = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("pair_id", F.col("l_suppkey") if pair is None else pair).select(
+        *(more or ["pair_id"]), F.col("l_discount").alias("change_ratio"), (1 - F.col("l_tax")).alias("token_jaccard"), (1 - F.col("l_discount")).alias("sentence_overlap"), (F.col("l_quantity") > 48).alias("obligation_change"), (F.col("l_shipdate") < "1993-01-01").alias("negation_change"), (F.col("l_linenumber") == 7).alias("scope_change_cues"),
         flag(F.col("l_partkey") % 29 == 0, 1).alias("numeric_changes_count"), flag(F.col("l_suppkey") % 31 == 0, 2).alias("dates_changed"), F.lit(0).alias("percentages_changed"), F.lit(0).alias("currency_changed"),
         F.when(F.col("l_returnflag") == "A", "editorial").when(F.col("l_returnflag") == "N", "slight").otherwise("significant").alias("llm_mock_label"),
     )
@@ -617,8 +617,9 @@ def label_totals(spark, sf_dir):
 def _by_order(spark, sf_dir):
     """The lines of orders as the classified sections of pairs of documents."""
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus"]
-    no = (F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)) - 1).cast("long")
-    return _ruled(spark, sf_dir, F.col("l_orderkey").cast("string").alias("pair_id"), no.alias("diff_no"), F.concat(F.lit("s"), (no % 5).cast("string")).alias("section_id"), F.col("l_linestatus").alias("section_title"))
+    # numbered within the pair, so that what groups by it later finds the rows together
+    no = (F.row_number().over(Window.partitionBy("pair_id").orderBy(*order)) - 1).cast("long")
+    return _ruled(spark, sf_dir, "pair_id", no.alias("diff_no"), F.concat(F.lit("s"), (no % 5).cast("string")).alias("section_id"), F.col("l_linestatus").alias("section_title"), pair=F.col("l_orderkey").cast("string"))
 
 
 _BY_ORDER = _RULES.replace("SELECT l_suppkey AS pair_id,", "SELECT l_orderkey::VARCHAR AS pair_id, no AS diff_no, 's' || (no % 5) AS section_id, l_linestatus AS section_title,").replace(

@@ -267,7 +267,12 @@ def classified(diffs: DataFrame, hook: Hook | None = None, progress: Observation
     return rows.observe(progress, F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("stub")).alias("answered"), *labels)
 
 
+def totals() -> dict[str, F.Column]:
+    """The counts of classified rows, by name."""
+    counts = {"total": F.count("*")} | {label: F.count_if(F.col("final_classification") == label) for label in LABELS} | {"disagreements": F.count_if("disagreement")}
+    return {name: count.alias(name) for name, count in counts.items()}
+
+
 def summary(rows: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Counts by pair; ``pairs``: also of those without any row."""
-    counts = [F.count_if(F.col("final_classification") == label).alias(label) for label in LABELS]
-    return of_all(rows.groupBy("pair_id").agg(F.count("*").alias("total"), *counts, F.count_if("disagreement").alias("disagreements")), pairs)
+    return of_all(rows.groupBy("pair_id").agg(*totals().values()), pairs)
