@@ -10,7 +10,8 @@ from folioscope.functions import text as T
 
 def full(c) -> F.Column:
     """Null for the empty string."""
-    return F.when(F.col(c) != "", F.col(c))
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c != "", c)
 
 
 def with_diff_id(diffs: DataFrame) -> DataFrame:
@@ -54,15 +55,20 @@ def last_labels(classifications: DataFrame) -> DataFrame:
     """pair_id, section_id and label of classified rows(pair_id, pos, section_id, final_classification and, of many files, file); the last one counts."""
     rows = classifications.filter((F.col("section_id") != "") & (F.col("final_classification") != ""))
     at = F.struct("file", "pos") if "file" in classifications.columns else F.col("pos")
-    return rows.groupBy("pair_id", "section_id").agg(F.max_by("final_classification", at).alias("label"))
+    # dealt out by pair, so that what groups or joins by pair later needs no other shuffle
+    rows = rows.select("pair_id", "section_id", "final_classification", at.alias("_at")).repartition("pair_id")
+    return rows.groupBy("pair_id", "section_id").agg(F.max_by("final_classification", "_at").alias("label"))
 
 
 def imported(diffs: DataFrame, external: DataFrame, source: str = "classified_import") -> DataFrame:
     """Label log entries for the diffs that an external label covers: by B's section, else by A's."""
     rows = with_diff_id(diffs).select("pair_id", "diff_id", "section_id_a", "section_id_b")
-    for s in "ab":
-        rows = rows.join(external.select("pair_id", F.col("section_id").alias(f"section_id_{s}"), F.col("label").alias(f"_{s}")), ["pair_id", f"section_id_{s}"], "left")
-    rows = rows.withColumn("classification", F.coalesce(full("_b"), full("_a"))).filter(F.col("classification").isNotNull())
+    # a pair's labels, of several of a section the least, meet its diffs in one join by pair
+    own = external.filter("section_id is not null").groupBy("pair_id", "section_id").agg(F.min("label").alias("label"))
+    own = own.groupBy("pair_id").agg(F.map_from_entries(F.collect_list(F.struct("section_id", "label"))).alias("_own"))
+    rows = rows.join(own, "pair_id")
+    told = [full(F.element_at("_own", F.col(f"section_id_{s}"))) for s in "ba"]
+    rows = rows.withColumn("classification", F.coalesce(*told)).filter(F.col("classification").isNotNull())
     return rows.select("pair_id", "diff_id", "classification", F.lit(source).alias("source"))
 
 

@@ -20,6 +20,9 @@ CLASSIFIED = (
     "llm_classification:struct<label:string,confidence:double,rationale:string,model:string,prompt_version:string,stub:boolean>,disagreement_flag:boolean,override_candidate:string,final_classification:string>>"
 )
 
+#: The part of a classified report that labels are read from.
+LABELLED = "pair_id string, source_pdf_a string, source_pdf_b string, classifications array<struct<section_id:string,final_classification:string>>"
+
 Extractor = Callable[[SparkSession, str], tuple[DataFrame, DataFrame]]
 _extractors: dict[str, Extractor] = {}
 
@@ -79,9 +82,9 @@ def report_sources(spark: SparkSession, path: str) -> DataFrame:
     return _json(spark, path, REPORT).select(F.coalesce("pair_id", F.input_file_name()).alias("pair_id"), "pdf_a", "pdf_b")
 
 
-def classifications(spark: SparkSession, path: str) -> DataFrame:
+def classifications(spark: SparkSession, path: str, schema: str = CLASSIFIED) -> DataFrame:
     """Classified reports as rows: pair_id (null where a report names none), the documents compared, file, pos and the fields of each classification."""
-    rows = _json(spark, path, CLASSIFIED).select("pair_id", "source_pdf_a", "source_pdf_b", F.input_file_name().alias("file"), F.posexplode("classifications").alias("pos", "c"))
+    rows = _json(spark, path, schema).select("pair_id", "source_pdf_a", "source_pdf_b", F.input_file_name().alias("file"), F.posexplode("classifications").alias("pos", "c"))
     return rows.select("pair_id", "source_pdf_a", "source_pdf_b", "file", "pos", "c.*")
 
 
@@ -94,7 +97,7 @@ def labels(spark: SparkSession, path: str, pair_id: str) -> DataFrame:
 
     if not exists(spark, path):
         return spark.createDataFrame([], _LABELS)
-    return last_labels(classifications(spark, path).withColumn("pair_id", F.lit(pair_id)))
+    return last_labels(classifications(spark, path, LABELLED).withColumn("pair_id", F.lit(pair_id)))
 
 
 def all_labels(spark: SparkSession, path: str, sources: DataFrame) -> DataFrame:
@@ -108,15 +111,20 @@ def all_labels(spark: SparkSession, path: str, sources: DataFrame) -> DataFrame:
 
     if not exists(spark, path):
         return spark.createDataFrame([], _LABELS)
-    rows = classifications(spark, path)
-    named = sources.groupBy(F.col("pdf_a").alias("source_pdf_a"), F.col("pdf_b").alias("source_pdf_b")).agg(F.min("pair_id").alias("_named"), F.count("*").alias("_n")).filter("_n = 1")
-    rows = rows.join(named, ["source_pdf_a", "source_pdf_b"], "left")
+    rows = classifications(spark, path, LABELLED)
     only = sources.select("pair_id").limit(2).collect()
-    rows = rows.withColumn("pair_id", F.coalesce("pair_id", "_named", F.lit(only[0]["pair_id"] if len(only) == 1 else None)))
-    lost = rows.filter("pair_id is null").select("file").distinct().limit(3).collect()
+    if len(only) == 1:
+        return last_labels(rows.withColumn("pair_id", F.coalesce("pair_id", F.lit(only[0]["pair_id"]))))
+    # most reports name their pair: only the rows of others meet the sources, by documents that may be null
+    unnamed = rows.filter("pair_id is null")
+    if unnamed.isEmpty():
+        return last_labels(rows)
+    documents = ["source_pdf_a", "source_pdf_b"]
+    named = sources.groupBy(F.col("pdf_a").alias("source_pdf_a"), F.col("pdf_b").alias("source_pdf_b")).agg(F.min("pair_id").alias("pair_id"), F.count("*").alias("_n")).filter("_n = 1").drop("_n")
+    lost = unnamed.join(named, documents, "left_anti").select("file").distinct().limit(3).collect()
     if lost and only:
         raise ValueError(f"no pair is named, and there are several reports: {', '.join(r['file'] for r in lost)}")
-    return last_labels(rows)
+    return last_labels(rows.filter("pair_id is not null").unionByName(unnamed.drop("pair_id").join(named, documents, "left")))
 
 
 def sibling_candidates(report: str) -> list[str]:
