@@ -562,10 +562,11 @@ def _letters(spark, sf_dir):
     own = Window.partitionBy("l_orderkey")
     at = (F.row_number().over(own.orderBy(*order)) - 1).cast("long")
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("pair_id"), at.alias("i"), F.count("*").over(own).alias("n"), F.col("l_linestatus").alias("anchor_type"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("l"))
+    rows = written(rows, "letters")  # both sides are these rows
     letter = lambda c, k: F.element_at(F.array(*map(F.lit, "xyzéq")), (F.pmod(c, F.lit(k)) + 1).cast("int"))
     a = rows.withColumn("title_normalized", letter("p", 3)).withColumn("core", letter("s", 4)).withColumn("prefix", F.when(F.col("p") % 5 > 0, letter("l", 2)).otherwise(""))
     b = rows.withColumn("title_normalized", letter("s", 3)).withColumn("core", letter("s", 4)).withColumn("prefix", letter("p", 2))
-    return [written(side.withColumn("section_id", F.concat(F.lit(v), F.col("i").cast("string"))), "letters") for v, side in (("a", a), ("b", b))]
+    return [side.withColumn("section_id", F.concat(F.lit(v), F.col("i").cast("string"))) for v, side in (("a", a), ("b", b))]
 
 
 _ASSIGNED = "SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY kind, k) - 1 AS match_no, 'a' || i_a AS section_id_a, 'b' || i_b AS section_id_b, round(score, 4) AS score, CASE WHEN i_a IS NULL OR i_b IS NULL THEN 'unmatched' WHEN score >= 0.78 THEN 'matched' ELSE 'low-confidence matched' END AS confidence FROM every"
@@ -580,9 +581,9 @@ def lazy_assignment(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_LETTERS} {_ASSIGNED}")
 def spread_assignment(spark, sf_dir):
-    """The same in rounds over all tasks, as for pairs too large for one."""
+    """The same in rounds over all tasks, as for pairs too large for one: blocks of five by five, as orders have few lines."""
     a, b = _letters(spark, sf_dir)
-    return matching.matches(a, b, matching.assigned_widely(a, b)).drop("reason")
+    return matching.matches(a, b, matching.assigned_widely(a, b, block=25)).drop("reason")
 
 
 _RULES = """f AS (SELECT l_suppkey AS pair_id, l_discount AS change_ratio, 1 - l_tax AS token_jaccard, 1 - l_discount AS sentence_overlap, l_quantity > 48 AS ob, l_shipdate < '1993-01-01' AS ne, l_linenumber = 7 AS sc, CASE WHEN l_partkey % 29 = 0 THEN 1 ELSE 0 END AS nu, CASE WHEN l_suppkey % 31 = 0 THEN 2 ELSE 0 END AS da,

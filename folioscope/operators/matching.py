@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
@@ -101,8 +102,8 @@ def assigned(scores: DataFrame) -> DataFrame:
 COUNTED = " etaoinsrhld"
 #: Candidates of a pair up to which one task takes the pair; larger ones are spread.
 LARGE = 4_000_000
-#: Of a large pair: candidates in a block, and how many of the best of a section are measured in the first round.
-BLOCK, RANKED = 1_000_000, 4
+#: Candidates in a block of a large pair.
+BLOCK = 1_000_000
 TEXTS = ("title_normalized", "core", "prefix")
 
 
@@ -198,159 +199,240 @@ def _ceilings(x: list, y: list) -> np.ndarray:
     return 2.0 * both / np.maximum(size_a[:, None] + size_b, 1)
 
 
-def _assigned_by_task(a: DataFrame, b: DataFrame, cfg: MatchConfig) -> DataFrame:
+#: Candidates that a task bounds at a time.
+TOGETHER = 1 << 15
+
+
+def _bounded_groups(groups: list[tuple[list, list]], cfg: MatchConfig):
+    """Of each group of rows of both sides its candidates that may reach the low threshold, best bound first: i, j, bound, anchor and order score, as lists.
+
+    Many small groups are bounded at a time, each text once.
+    """
     exact = cfg.metric == "sequence"
+    x, y = ([row for group in groups for row in group[k]] for k in (0, 1))
+    n, m = (np.array([len(group[k]) for group in groups]) for k in (0, 1))
+    size = n * m
+    g = np.repeat(np.arange(len(groups)), size)
+    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    i, j = place // m[g], place % m[g]
+    p, q = (np.cumsum(n) - n)[g] + i, (np.cumsum(m) - m)[g] + j
+    kinds = pd.factorize(np.array([row[3] for row in itertools.chain(x, y)], object), use_na_sentinel=False)[0]
+    anchor = np.where(kinds[p] == kinds[len(x) + q], 1.0, cfg.anchor_mismatch)
+    (at_a, widest_a), (at_b, widest_b) = (np.array([row[:2] for row in side], np.int64).T for side in (x, y))
+    order = np.maximum(0.0, 1 - np.abs(at_a[p] - at_b[q]) / np.maximum(1, np.maximum(widest_a[p], widest_b[q]) - 1))
+
+    def ceilings(c: int) -> np.ndarray:
+        code, texts = pd.factorize(np.array([row[c] or "" for row in itertools.chain(x, y)], object))
+        bags, sizes = _bags(texts)
+        pairs, back = np.unique(code[p].astype(np.int64) * len(texts) + code[len(x) + q], return_inverse=True)
+        out = np.empty(len(pairs))
+        for k in range(0, len(pairs), TOGETHER):
+            s, t = np.divmod(pairs[k : k + TOGETHER], len(texts))
+            out[k : k + TOGETHER] = 2.0 * np.minimum(bags[s], bags[t]).sum(axis=1) / np.maximum(sizes[s] + sizes[t], 1)
+        return out[back]
+
+    bound = _total(cfg, *[ceilings(c) if exact else 1.0 for c in (4, 5, 6)], anchor, order)
+    kept = np.flatnonzero(bound >= cfg.low)
+    kept = kept[np.lexsort((-bound[kept], g[kept]))]
+    cut = np.searchsorted(g[kept], np.arange(len(groups) + 1)).tolist()
+    lists = [c[kept].tolist() for c in (i, j, bound, anchor, order)]
+    for k in range(len(groups)):
+        yield [c[cut[k] : cut[k + 1]] for c in lists]
+
+
+def _bounded_group(x: list, y: list, cfg: MatchConfig) -> list[list]:
+    """The same of one large group, with matrices."""
+    exact = cfg.metric == "sequence"
+    kind, at = ([np.array([row[c] for row in rows], dtype) for rows in (x, y)] for c, dtype in ((3, object), (0, np.int64)))
+    anchor = np.where(kind[0][:, None] == kind[1], 1.0, cfg.anchor_mismatch)
+    place = np.maximum(0.0, 1 - np.abs(at[0][:, None] - at[1]) / max(1, x[0][1] - 1, y[0][1] - 1))
+    terms = [_ceilings([row[c] for row in x], [row[c] for row in y]) if exact else 1.0 for c in (4, 5, 6)]
+    bound = _total(cfg, *terms, anchor, place).ravel()
+    order = np.flatnonzero(bound >= cfg.low)
+    order = order[np.argsort(-bound[order], kind="stable")]
+    return [c.tolist() for c in (order // len(y), order % len(y), bound[order], anchor.ravel()[order], place.ravel()[order])]
+
+
+def _measured_titles(p: tuple, q: tuple, cfg: MatchConfig) -> tuple[float, float, float]:
+    """raw, core and a ceiling of body of two rows."""
+    return measure(p[4], q[4], cfg.metric), measure(p[5], q[5], cfg.metric), ceiling(p[6], q[6]) if cfg.metric == "sequence" else 1.0
+
+
+def _decided(x: list, y: list, found: list[list], cfg: MatchConfig) -> list[tuple]:
+    """i, j, score, (raw, core, body), anchor and order score of the accepted candidates of a whole pair, in the greedy order."""
+    heap, taken_a, taken_b, accepted, at = [], set(), set(), [], 0
+    rows, columns, values, anchor, place = found
+    while heap or at < len(rows):
+        while at < len(rows) and (not heap or values[at] >= -heap[0][0]):
+            if rows[at] not in taken_a and columns[at] not in taken_b:
+                heapq.heappush(heap, (-values[at], 0, rows[at], columns[at], at, None))
+            at += 1
+        if not heap:
+            break
+        value, step, i, j, k, known = heapq.heappop(heap)
+        if i in taken_a or j in taken_b:
+            continue
+        if step == 2:
+            taken_a.add(i)
+            taken_b.add(j)
+            accepted.append((i, j, -value, known, anchor[k], place[k]))
+            continue
+        known = _measured_titles(x[i], y[j], cfg) if step == 0 else (*known[:2], measure(x[i][6], y[j][6], cfg.metric))
+        score = _total(cfg, *known, anchor[k], place[k])
+        if score >= cfg.low:
+            heapq.heappush(heap, (-score, step + 1, i, j, k, known))
+    return accepted
+
+
+def _bests(x: list, y: list, found: list[list], cfg: MatchConfig) -> list[tuple]:
+    """The same columns of the candidates that are the best of their row or of their column, in a block of a pair."""
+    best_a, best_b, kept = {}, {}, {}
+    for i, j, bound, anchor, place in zip(*found, strict=True):
+        least = min(best_a.get(i, (cfg.low,))[0], best_b.get(j, (cfg.low,))[0])
+        if bound < least:
+            continue
+        known = _measured_titles(x[i], y[j], cfg)
+        if _total(cfg, *known, anchor, place) < least:
+            continue
+        known = *known[:2], measure(x[i][6], y[j][6], cfg.metric)
+        score = _total(cfg, *known, anchor, place)
+        if score < cfg.low:
+            continue
+        rank = score, -x[i][0], -y[j][0]
+        for best, k in ((best_a, i), (best_b, j)):
+            if k not in best or rank > best[k][:3]:
+                best[k] = (*rank, i, j)
+                kept[i, j] = (i, j, score, known, anchor, place)
+    return [kept[k] for k in {best[3:] for best in itertools.chain(best_a.values(), best_b.values())}]
+
+
+def _walk(batches, keys: list[str], names: list[str], cfg: MatchConfig, told):
+    """Rows of ``told(key, x, y, candidates)`` for each group of rows that come by keys, then kind; small groups are bounded together."""
+    held, weight = [], 0
+
+    def done():
+        for (key, x, y), found in zip(held, _bounded_groups([group[1:] for group in held], cfg), strict=True):
+            yield from told(key, x, y, found)
+
+    rows = (row for batch in batches for row in zip(*(batch[n].tolist() for n in [*keys, "kind", *names]), strict=True))
+    width = len(keys)
+    for key, group in itertools.groupby(rows, key=lambda row: row[:width]):
+        sides = [], []
+        for row in group:
+            sides[row[width]].append(row[width + 1 :])
+        size = len(sides[0]) * len(sides[1])
+        if size > TOGETHER:
+            yield from told(key, *sides, _bounded_group(*sides, cfg))
+        elif size:
+            held.append((key, *sides))
+            weight += size
+            if weight > TOGETHER:
+                yield from done()
+                held, weight = [], 0
+    if held:
+        yield from done()
+
+
+def _frames(rows, columns: list[str]):
+    while part := list(itertools.islice(rows, 10_000)):
+        yield pd.DataFrame(part, columns=columns)
+
+
+def _assigned_by_task(a: DataFrame, b: DataFrame, cfg: MatchConfig) -> DataFrame:
     names = ["i", "n", "section_id", "anchor_type", *TEXTS]
     side = lambda df, kind: df.filter("pair_id is not null").select("pair_id", F.lit(kind).alias("kind"), *names)
     order = F.row_number().over(Window.partitionBy("pair_id").orderBy("kind", "i"))
     rows = side(a, 0).unionByName(side(b, 1)).withColumn("_k", order)  # a window asks for just this order
     columns = ["pair_id", *(c.split()[0] for c in ASSIGNED.split(", "))]
 
-    def bounds(x, y):
-        """Of the rows of both sides: anchor and order scores, and bounds."""
-        kind, at = ([np.array([row[c] for row in rows], dtype) for rows in (x, y)] for c, dtype in ((3, object), (0, np.int64)))
-        anchor = np.where(kind[0][:, None] == kind[1], 1.0, cfg.anchor_mismatch)
-        place = np.maximum(0.0, 1 - np.abs(at[0][:, None] - at[1]) / max(1, x[0][1] - 1, y[0][1] - 1))
-        terms = [_ceilings([row[c] for row in x], [row[c] for row in y]) if exact else 1.0 for c in (4, 5, 6)]
-        return anchor, place, _total(cfg, *terms, anchor, place)
-
-    def decided(x, y):
-        """Accepted candidates of one pair."""
-        anchor, place, bound = bounds(x, y)
-        flat = bound.ravel()
-        order = np.flatnonzero(flat >= cfg.low)
-        order = order[np.argsort(-flat[order], kind="stable")]
-        values = flat[order]
-        heap, taken_a, taken_b, accepted, at = [], set(), set(), [], 0
-        while heap or at < len(order):
-            while at < len(order) and (not heap or values[at] >= -heap[0][0]):
-                i, j = divmod(int(order[at]), len(y))
-                if i not in taken_a and j not in taken_b:
-                    heapq.heappush(heap, (-float(values[at]), 0, i, j, None))
-                at += 1
-            if not heap:
-                break
-            value, step, i, j, known = heapq.heappop(heap)
-            if i in taken_a or j in taken_b:
-                continue
-            plain = float(anchor[i, j]), float(place[i, j])
-            if step == 2:
-                taken_a.add(i)
-                taken_b.add(j)
-                accepted.append((x[i][0], y[j][0], x[i][2], y[j][2], -value, _reason(*known, *plain, cfg), len(accepted)))
-                continue
-            if step == 0:
-                known = measure(x[i][4], y[j][4], cfg.metric), measure(x[i][5], y[j][5], cfg.metric), ceiling(x[i][6], y[j][6]) if exact else 1.0
-            else:
-                known = *known[:2], measure(x[i][6], y[j][6], cfg.metric)
-            score = _total(cfg, *known, *plain)
-            if score >= cfg.low:
-                heapq.heappush(heap, (-score, step + 1, i, j, known))
-        return accepted
+    def told(key, x, y, found):
+        for no, (i, j, score, known, anchor, place) in enumerate(_decided(x, y, found, cfg)):
+            yield *key, x[i][0], y[j][0], x[i][2], y[j][2], score, _reason(*known, anchor, place, cfg), no
 
     def run(batches):
-        rows = (row for batch in batches for row in zip(*(batch[n].tolist() for n in ["pair_id", "kind", *names]), strict=True))
-        out = []
-        for pair, group in itertools.groupby(rows, key=lambda row: row[0]):
-            sides = [], []
-            for row in group:
-                sides[row[1]].append(row[2:])
-            if all(sides):
-                out += [(pair, *row) for row in decided(*sides)]
-            if len(out) > 10_000:
-                yield pd.DataFrame(out, columns=columns)
-                out = []
-        if out:
-            yield pd.DataFrame(out, columns=columns)
+        yield from _frames(_walk(batches, ["pair_id"], names, cfg, told), columns)
 
     return rows.mapInPandas(run, f"pair_id {dict(a.dtypes)['pair_id']}, {ASSIGNED}")
 
 
-def measured(rows: DataFrame, cfg: MatchConfig) -> DataFrame:
-    """Adds ``_m`` (raw, core, body and score) to candidates with both sides' texts; score is null where it is below the low threshold."""
-    exact = cfg.metric == "sequence"
+def assigned_widely(a: DataFrame, b: DataFrame, cfg: MatchConfig = MatchConfig(), block: int | None = None) -> DataFrame:
+    """What :func:`assigned_lazily` gives, for pairs too large for a task: a fixpoint of mutual bests.
 
-    @F.pandas_udf("struct<raw:double,core:double,body:double,score:double>")
-    def udf(t: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for raw_a, raw_b, core_a, core_b, body_a, body_b, anchor, order in t.itertuples(index=False):
-            known = measure(raw_a, raw_b, cfg.metric), measure(core_a, core_b, cfg.metric)
-            body = ceiling(body_a, body_b) if exact else 1.0
-            if _total(cfg, *known, body, anchor, order) >= cfg.low:
-                body = measure(body_a, body_b, cfg.metric)
-            score = _total(cfg, *known, body, anchor, order)
-            out.append((*known, body, score if score >= cfg.low else None))
-        return pd.DataFrame(out, columns=["raw", "core", "body", "score"], dtype="float64")
-
-    return rows.withColumn("_m", udf(F.struct(*[f"{t}_{s}" for t in TEXTS for s in "ab"], "anchor_score", "order_score")))
-
-
-def assigned_widely(a: DataFrame, b: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
-    """What :func:`assigned_lazily` gives, for pairs too large for a task: a fixpoint of mutual bests, each round a plan over all candidates.
-
-    In the first round the RANKED best candidates of each section are measured, in each further one four times as many, if they are not
-    yet: by then few are left.  A candidate that is measured and the best of both its sections, where one that is not
-    measured counts by its bound and goes first among equals, would be the next of the greedy order for
-    them, whatever else happens: it is accepted, and all others of its sections go.  The highest candidate of all is
-    measured or accepted in each round, so the rounds end; what is left shrinks with each.
+    In each round free sections alone are shuffled, in blocks of some ``block`` candidates (BLOCK) of a pair.
+    A task measures a block until it knows the best candidate of each section in it, and gives those; no
+    candidate else leaves it.  One that is the best of both its sections over all blocks is the next of the greedy order
+    for them, whatever else happens: it is accepted.  Sections without any candidate are done with, so what is left shrinks.
+    A pair whose rest is one block is decided there.
     """
-    spark = a.sparkSession
+    width = max(1, math.isqrt(BLOCK if block is None else block))
     pair = f"pair_id {dict(a.dtypes)['pair_id']}"
-    left = bounded(a, b, cfg).withColumn("known", F.lit(None).cast("struct<raw:double,core:double,body:double,score:double>"))
-    texts = lambda df, s: df.select("pair_id", F.col("i").alias(f"i_{s}"), *[F.col(t).alias(f"{t}_{s}") for t in TEXTS])
-    ids = lambda df, s: df.select("pair_id", F.col("i").alias(f"i_{s}"), F.col("section_id").alias(f"section_id_{s}"))
-    key = ["pair_id", "i_a", "i_b"]
-    accepted = spark.createDataFrame([], f"{pair}, i_a long, i_b long, anchor_score double, order_score double, known struct<raw:double,core:double,body:double,score:double>")
-    for ranked in (RANKED * 4**k for k in itertools.count()):
-        left = written(left.withColumn("value", F.coalesce("known.score", "bound")), "candidates")
-        if left.isEmpty():
-            break
-        # best first, of equals those not measured first
-        best = lambda s: Window.partitionBy("pair_id", f"i_{s}").orderBy(F.desc("value"), F.col("known").isNotNull(), "i_a", "i_b")
-        front = None
-        for s in "ab":
-            top = left.withColumn("_r", F.row_number().over(best(s))).filter((F.col("_r") <= F.lit(float(ranked))) & F.col("known").isNull())
-            top = top.select(*key, "anchor_score", "order_score")
-            front = top if front is None else front.unionByName(top)
-        front = front.distinct().join(texts(a, "a"), ["pair_id", "i_a"]).join(texts(b, "b"), ["pair_id", "i_b"])
-        # as many tasks as the session says: few bytes and much work
-        front = measured(front.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key), cfg)
-        left = left.drop("value").join(front.select(*key, "_m"), key, "left").withColumn("known", F.coalesce("known", "_m")).drop("_m")
-        left = left.filter(F.col("known").isNull() | F.col("known.score").isNotNull())
-        left = written(left.withColumn("value", F.coalesce("known.score", "bound")), "measured")
-        place = F.struct("value", F.col("known").isNull(), (-F.col("i_a")).alias("a"), (-F.col("i_b")).alias("b"))
-        first = [left.groupBy("pair_id", f"i_{s}").agg(F.max_by(F.struct("i_a", "i_b", "anchor_score", "order_score", "known"), place).alias("t")).select("pair_id", "t.*") for s in "ab"]
-        chosen = first[0].filter("known is not null").join(first[1].select(*key), key)
-        chosen = written(chosen.select(*accepted.columns), "chosen")
-        accepted = accepted.unionByName(chosen)
-        for s in "ab":
-            left = left.join(chosen.select("pair_id", f"i_{s}"), ["pair_id", f"i_{s}"], "left_anti")
-        left = left.drop("value")
+    names = ["i", "n", "section_id", "anchor_type", *TEXTS]
+    free = [side.filter("pair_id is not null").select("pair_id", *names) for side in (a, b)]
+    told = f"{pair}, i_a long, i_b long, section_id_a string, section_id_b string, score double, reason string"
+    columns = [c.split()[0] for c in told.split(", ")]
 
-    @F.pandas_udf("string")
-    def reason(t: pd.DataFrame) -> pd.Series:
-        return pd.Series([_reason(*row, cfg) for row in t.itertuples(index=False)], dtype=object)
+    def best(key, x, y, found):
+        for i, j, score, known, anchor, place in (_decided if key[1] == 0 else _bests)(x, y, found, cfg):
+            yield key[0], x[i][0], y[j][0], x[i][2], y[j][2], score, _reason(*known, anchor, place, cfg)
 
-    accepted = accepted.join(ids(a, "a"), ["pair_id", "i_a"]).join(ids(b, "b"), ["pair_id", "i_b"])
+    def run(batches):
+        yield from _frames(_walk(batches, ["pair_id", "_at"], names, cfg, best), columns)
+
+    accepted = None
+    while True:
+        cuts = [side.groupBy("pair_id").agg(F.ceil(F.count("*") / width).alias(f"_{s}")) for side, s in zip(free, "ab", strict=True)]
+        cuts = cuts[0].join(cuts[1], "pair_id").filter("_a * _b > 1")
+        blocks = []
+        for kind, (side, own, other) in enumerate(zip(free, ("_a", "_b"), ("_b", "_a"), strict=True)):
+            # blocks count from 1; a pair that is in no list of cuts is one block, 0
+            side = side.join(cuts, "pair_id", "left")
+            own_at, other_at = F.pmod("i", own), F.col("_o")
+            side = side.withColumn("_o", F.explode(F.when(F.col(own).isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))))
+            at = (own_at * F.col("_b") + other_at if kind == 0 else other_at * F.col("_b") + own_at) + 1
+            blocks.append(side.select("pair_id", F.coalesce(at, F.lit(0)).alias("_at"), F.lit(kind).alias("kind"), *names))
+        place = F.row_number().over(Window.partitionBy("pair_id", "_at").orderBy("kind", "i"))
+        found = blocks[0].unionByName(blocks[1]).withColumn("_k", place).mapInPandas(run, told).repartition("pair_id")
+        # all bests of a pair are together: windows by section need no other shuffle
+        for s in "ab":
+            found = found.withColumn(f"_{s}", F.row_number().over(Window.partitionBy("pair_id", f"i_{s}").orderBy(F.desc("score"), "i_a", "i_b")) == 1)
+        found = found.withColumn("chosen", F.col("_a") & F.col("_b"))
+        for s in "ab":
+            found = found.withColumn(f"_{s}", F.max("chosen").over(Window.partitionBy("pair_id", f"i_{s}")))
+        found = written(found, "bests")
+        chosen = found.filter("chosen").select(*columns)
+        accepted = chosen if accepted is None else accepted.unionByName(chosen)
+        rest = [found.filter(~F.col(f"_{s}")).select("pair_id", F.col(f"i_{s}").alias("i")).distinct() for s in "ab"]
+        if any(side.isEmpty() for side in rest):
+            break
+        free = [written(side.join(left, ["pair_id", "i"], "left_semi").select("pair_id", *names), "free") for side, left in zip(free, rest, strict=True)]
     order = Window.partitionBy("pair_id").orderBy(F.desc("score"), "i_a", "i_b")
-    found = accepted.select("pair_id", "i_a", "i_b", "section_id_a", "section_id_b", F.col("known.score").alias("score"), reason(F.struct("known.raw", "known.core", "known.body", "anchor_score", "order_score")).alias("reason"))
-    return found.withColumn("match_no", (F.row_number().over(order) - 1).cast("long"))
+    return accepted.withColumn("match_no", (F.row_number().over(order) - 1).cast("long"))
 
 
 def matches(a: DataFrame, b: DataFrame, found: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
     """Matched rows in order of acceptance, then unmatched A, then unmatched B, each in its order."""
     band = F.when(F.col("score") >= cfg.matched, "matched").otherwise("low-confidence matched")
-    hit = found.select("pair_id", F.lit(0).alias("kind"), F.col("match_no").alias("at"), "section_id_a", "section_id_b", F.round("score", 4).alias("score"), band.alias("confidence"), "reason")
-    alone = []
-    for side, kind in ((a, 1), (b, 2)):
-        mine, other = ("section_id_a", "section_id_b") if kind == 1 else ("section_id_b", "section_id_a")
-        position = "i_a" if kind == 1 else "i_b"
-        rest = side.join(found.select("pair_id", F.col(position).alias("i")), ["pair_id", "i"], "left_anti")
-        ids = {mine: F.col("section_id"), other: F.lit(None).cast("string")}
-        alone.append(rest.select("pair_id", F.lit(kind).alias("kind"), F.col("i").alias("at"), ids["section_id_a"].alias("section_id_a"), ids["section_id_b"].alias("section_id_b"), F.lit(0.0).alias("score"), F.lit("unmatched").alias("confidence"), F.lit("No candidate passed threshold").alias("reason")))
-    every = hit.unionByName(alone[0]).unionByName(alone[1])
-    order = Window.partitionBy("pair_id").orderBy("kind", "at")
-    return every.withColumn("match_no", (F.row_number().over(order) - 1).cast("long")).drop("kind", "at")
+    none = F.lit(None).cast("string")
+    # each match marks its place on both sides, of which the first is its row as well; marks and sections are shuffled once, by pair
+    hit = lambda s: F.struct(F.lit(s).alias("side"), F.col(f"i_{s}").alias("i"))
+    marks = found.withColumn("_m", F.explode(F.array(hit("a"), hit("b"))))
+    own = F.col("_m.side") == "a"
+    marks = marks.select(
+        "pair_id", "_m.side", "_m.i", F.lit(True).alias("hit"), F.when(own, F.col("match_no")).alias("at"), *[F.when(own, F.col(c)).alias(c) for c in ("section_id_a", "section_id_b")],
+        F.when(own, F.round("score", 4)).alias("score"), F.when(own, band).alias("confidence"), F.when(own, F.col("reason")).alias("reason"),
+    )
+    every = marks
+    for side, s in ((a, "a"), (b, "b")):
+        ids = [F.col("section_id") if s == c else none for c in "ab"]
+        every = every.unionByName(side.select(
+            "pair_id", F.lit(s).alias("side"), "i", F.lit(False).alias("hit"), F.col("i").alias("at"), *[x.alias(f"section_id_{c}") for c, x in zip("ab", ids, strict=True)],
+            F.lit(0.0).alias("score"), F.lit("unmatched").alias("confidence"), F.lit("No candidate passed threshold").alias("reason"),
+        ))
+    taken = F.max("hit").over(Window.partitionBy("pair_id", "side", "i"))
+    every = every.repartition("pair_id").withColumn("_taken", taken).filter("if(hit, side = 'a', not _taken)")
+    kind = F.when(F.col("hit"), 0).when(F.col("side") == "a", 1).otherwise(2)
+    order = Window.partitionBy("pair_id").orderBy(kind, "at")
+    return every.withColumn("match_no", (F.row_number().over(order) - 1).cast("long")).select("pair_id", "section_id_a", "section_id_b", "score", "confidence", "reason", "match_no")
 
 
 def match(sections_a: DataFrame, sections_b: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
