@@ -20,12 +20,14 @@ from folioscope.operators import classify, diffing, layout, matching, report, se
 from folioscope.plans import compare, corpus
 from folioscope.sources import pdf, readers, sheets, writers
 from folioscope.sources.files import write_files
-from folioscope.storage import shared_dir, written
+from folioscope.storage import shared_dir, size_of, written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Stored bytes of documents whose spans one task sorts.
+SPAN_BYTES = 8 << 20
 #: A footer, and forms of it with one character misread.
 _CLEAN, _NOISY = "corpus review footer", ("co#pus review footer", "corpus r#view footer", "corpus review foot#r")
 
@@ -238,7 +240,9 @@ def running_titles(spark, sf_dir):
 def span_lines(spark, sf_dir):
     """Every line cut into a span per word, then put together again."""
     lines, _ = corpus.layout(corpus.documents(spark, sf_dir))
-    spans = lines.select("doc_id", "page", F.col("line_no").alias("block"), "y0", "y1", F.posexplode(F.split("text", " ")).alias("k", "text"))
+    # few bytes of lines become many of spans to sort: tasks grow in number with the documents, not in size
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size_of(spark, f"{sf_dir}/documents.parquet") // SPAN_BYTES)
+    spans = lines.repartition(tasks, "doc_id").select("doc_id", "page", F.col("line_no").alias("block"), "y0", "y1", F.posexplode(F.split("text", " ")).alias("k", "text"))
     spans = spans.select("doc_id", "page", "block", (F.col("block") * 1000000 + F.col("k")).alias("span_no"), "text", (F.lit(50.0) + F.col("k")).alias("x0"), (F.col("y0") + F.col("k") % 2).alias("y0"), (F.lit(51.0) + F.col("k")).alias("x1"), "y1")
     got = layout.lines_from_spans(spans)
     return got.groupBy("doc_id", F.col("page").cast("long").alias("page")).agg(F.count("*").alias("n_lines"), F.sum(F.length("text")).alias("n_chars"))
