@@ -56,8 +56,21 @@ def normalize_body(c: Column) -> Column:
     return collapse(F.lower(c))
 
 
+def page_number(c: Column) -> Column:
+    """Whether a single-spaced text is a page number."""
+    return c.rlike(r"(?i)^(?:page\s+)?\d+(?:\s*/\s*\d+)?$")
+
+
 def is_page_number(c: Column) -> Column:
-    return collapse(c).rlike(r"(?i)^(?:page\s+)?\d+(?:\s*/\s*\d+)?$")
+    return page_number(collapse(c))
+
+
+def toc_line(c: Column) -> Column:
+    """Whether a single-spaced text is a line of a table of contents; only those that end in a digit are searched."""
+    last = F.lit(False)
+    for digit in "0123456789":
+        last = last | c.endswith(digit)
+    return last & c.rlike(TOC_LINE)
 
 
 def slugify(c: Column) -> Column:

@@ -13,13 +13,13 @@ from folioscope.config import LayoutConfig
 from folioscope.functions import text as T
 
 
-def labelled(lines: DataFrame) -> DataFrame:
-    """Adds label and anchor_type (both by the first rule that fits) to lines."""
-    t = T.collapse(F.col("text"))
+def labelled(lines: DataFrame, single: bool = False) -> DataFrame:
+    """Adds label and anchor_type (both by the first rule that fits) to lines.  single: their texts are single-spaced already."""
+    t = F.col("text") if single else T.collapse(F.col("text"))
     flagged = F.col("is_header_footer") if "is_header_footer" in lines.columns else F.lit(False)
     label = (
         F.when(flagged, "footer_or_header")
-        .when(t.rlike(T.TOC_LINE), "reference_line")
+        .when(T.toc_line(t), "reference_line")
         .when(t.rlike(r"^(\[\d+\]|\d+\)|\d+)\s*$"), "footnote_label")
         .when(t.rlike(r"(?iu)^(references?|source|bibliography|annex|appendix)(?![\p{L}\p{N}_])"), "reference_line")
         .when(t.rlike(T.ROMAN), "major_heading")
@@ -35,36 +35,36 @@ def labelled(lines: DataFrame) -> DataFrame:
     return lines.withColumn("text", t).withColumn("label", label).withColumn("anchor_type", anchor)
 
 
-def leveled(lines: DataFrame, cfg: LayoutConfig = LayoutConfig()) -> DataFrame:
+def leveled(lines: DataFrame, cfg: LayoutConfig = LayoutConfig(), single: bool = False) -> DataFrame:
     """Labelled, non-blank lines with ``level`` (null if not primary) and ``ordinal`` (0 before the first heading)."""
     level = F.when(F.col("label").isin("major_heading", "named_numbered_heading"), 1).when(F.col("label") == "letter_heading", 2)
     if cfg.numeric_is_primary:
         level = level.when(F.col("label") == "numeric_heading", 1)
     so_far = Window.partitionBy("doc_id").orderBy("line_no")
-    lines = labelled(lines).filter(F.col("text") != "").withColumn("level", level)
+    lines = labelled(lines, single).filter(F.col("text") != "").withColumn("level", level)
     lines = lines.withColumn("ordinal", F.sum(F.col("level").isNotNull().cast("long")).over(so_far))
     return lines.filter((F.col("ordinal") > 0) | (F.col("label") != "reference_line"))
 
 
-def sections(lines: DataFrame, cfg: LayoutConfig = LayoutConfig()) -> DataFrame:
+def sections(lines: DataFrame, cfg: LayoutConfig = LayoutConfig(), single: bool = False) -> DataFrame:
     """One row per section: ids, level, titles, pages, body, children, parent and order.
 
     The preamble takes its page from the document's first line, kept or not.
     """
-    first = lines.groupBy("doc_id").agg(F.min_by("page", "line_no").alias("_first_page"))
-    rows = leveled(lines, cfg)
+    # in the one order of the lines, so that they are sorted once and read once
+    every = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = leveled(lines.withColumn("_first_page", F.min_by("page", "line_no").over(every)), cfg, single)
     body = F.col("level").isNull()
     item = F.struct("line_no", "text")
     child = body & (F.col("label") == "numeric_heading")
-    collect = lambda c: F.array_sort(F.collect_list(F.when(c, item)))
+    collect = lambda c: F.sort_array(F.collect_list(F.when(c, item)))
     s = rows.groupBy("doc_id", "ordinal").agg(
         F.max("level").alias("level"), F.max(F.when(~body, F.col("text"))).alias("raw_title"),
         F.max(F.when(~body, F.col("label"))).alias("debug_label"), F.max(F.when(~body, F.col("page"))).alias("start_page"), F.max_by("page", "line_no").alias("end_page"),
-        collect(body).alias("_body"), collect(child & F.lit(not cfg.numeric_is_primary)).alias("_items"),
-    )
-    s = s.join(first, "doc_id")
+        collect(body).alias("_body"), collect(child & F.lit(not cfg.numeric_is_primary)).alias("_items"), F.max("_first_page").alias("_first_page"),
+    ).filter("doc_id is not null")
     preamble = F.col("ordinal") == 0
-    has_preamble = F.max(preamble.cast("long")).over(Window.partitionBy("doc_id"))
+    has_preamble = F.max(preamble.cast("long")).over(Window.partitionBy("doc_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     s = s.withColumn("section_no", F.col("ordinal") + has_preamble).withColumn("body_lines", F.transform("_body", lambda b: b["text"]))
     s = s.withColumn("title", F.when(preamble, "Preamble").otherwise(T.strip_toc(F.col("raw_title"))))
     s = s.withColumn("section_id", F.when(preamble, "preamble").otherwise(F.format_string("s%04d-%s", F.col("section_no"), F.left(T.slugify(F.col("title")), F.lit(40)))))

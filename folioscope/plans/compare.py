@@ -15,8 +15,10 @@ from folioscope.storage import written
 
 def sections_of(lines: DataFrame, pages: DataFrame, cfg: LayoutConfig = LayoutConfig(), fuzzy: bool = True) -> DataFrame:
     """Cleaned and sectioned documents; doc_id doubles as pair_id."""
-    kept = layout.clean_lines(lines, pages, cfg, fuzzy).filter("reason is null")
-    return sections.sections(kept, cfg).withColumn("pair_id", F.col("doc_id"))
+    # lines and pages are dealt out by document: joins by document and more must not deal them out anew
+    lines.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    kept = layout.clean_lines(lines, pages, cfg, fuzzy, single=True).filter("reason is null")
+    return sections.sections(kept, cfg, single=True).withColumn("pair_id", F.col("doc_id"))
 
 
 def compare(lines_a: DataFrame, pages_a: DataFrame, lines_b: DataFrame, pages_b: DataFrame, cfg: LayoutConfig = LayoutConfig(), match_cfg: MatchConfig = MatchConfig(), fuzzy: bool = True, classifier: diffing.Hook | None = None, seconds: dict | None = None) -> dict[str, DataFrame]:

@@ -9,7 +9,7 @@ amounts and dates.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
@@ -22,16 +22,20 @@ HEIGHT = 800.0
 IN_B = "(doc_id + line_no) % 23 != 0"
 
 
-def body_lines(documents: DataFrame) -> DataFrame:
-    """doc_id, source, line_no and text with headings injected.
+def _raw_lines(documents: DataFrame) -> DataFrame:
+    """doc_id, source, line_no and raw: the lines as they are.
 
     Documents are dealt out by doc_id while they are whole: all that follows groups, orders
     and joins lines by document, and would shuffle the longer rows of lines.
     """
-    raw = documents.repartition("doc_id").select("doc_id", "source", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "raw"))
+    return documents.repartition("doc_id").select("doc_id", "source", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "raw"))
+
+
+def _headed():
+    """The text of a raw line, with headings injected."""
     t, n, k = T.collapse(F.col("raw")), F.col("line_no"), F.col("doc_id") + F.col("line_no")
     phase = F.when(F.col("doc_id") % 4 == 0, 1).otherwise(0)
-    text = (
+    return (
         F.when(n % 5 == phase, F.concat(F.lit("Principle "), (F.floor(n / 5) + 1).cast("string"), F.lit(": "), F.left(t, F.lit(40))))
         .when(k % 17 == 0, F.concat(F.lit("IV. "), F.left(t, F.lit(30))))
         .when(k % 13 == 0, F.concat(F.lit("b. "), F.left(t, F.lit(30))))
@@ -39,7 +43,11 @@ def body_lines(documents: DataFrame) -> DataFrame:
         .when(k % 19 == 0, F.lit("References"))
         .otherwise(t)
     )
-    return raw.select("doc_id", "source", F.col("line_no").cast("long").alias("line_no"), text.alias("text"))
+
+
+def body_lines(documents: DataFrame) -> DataFrame:
+    """doc_id, source, line_no and text with headings injected."""
+    return _raw_lines(documents).select("doc_id", "source", F.col("line_no").cast("long").alias("line_no"), _headed().alias("text"))
 
 
 def _text(which: str):
@@ -70,13 +78,30 @@ def positioned(lines: DataFrame) -> DataFrame:
 
 
 def layout(documents: DataFrame, which: str = "a") -> tuple[DataFrame, DataFrame]:
-    """lines (with furniture) and pages of one version."""
-    body = positioned(version(body_lines(documents), which))
-    pages = body.groupBy("doc_id", "page").agg(F.max("source").alias("source"))
-    box = lambda k, y, text: pages.select("doc_id", (F.col("page") * 10 + k).cast("long").alias("line_no"), "page", F.lit(50.0).alias("x0"), F.lit(y).alias("y0"), F.lit(200.0).alias("x1"), F.lit(y + 20).alias("y1"), text.alias("text"))
-    top = box(0, 20.0, F.col("page").cast("string"))
-    foot = box(9, 760.0, F.concat(F.lit("Corpus review "), F.coalesce("source", F.lit("")), F.lit(" page "), F.col("page").cast("string")))
-    return body.drop("source").unionByName(top).unionByName(foot), pages.select("doc_id", "page", F.lit(HEIGHT).alias("height"))
+    """lines (with furniture) and pages of one version.
+
+    The first line of a page brings the page's furniture with it: documents are read once, and
+    lines stay dealt out by doc_id.
+    """
+    raw = _raw_lines(documents)
+    if which == "b":
+        raw = raw.filter(IN_B)
+    own = Window.partitionBy("doc_id", "page")
+    raw = raw.withColumn("line_no", F.col("line_no").cast("long")).withColumn("page", (F.floor(F.col("line_no") / 4) + 1).cast("int"))
+    raw = raw.withColumn("_first", F.row_number().over(own.orderBy("line_no")) == 1)
+    pages = raw.filter("_first").select("doc_id", "page", F.lit(HEIGHT).alias("height"))
+    raw = raw.withColumn("source", F.max("source").over(own.orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    rows = raw.withColumn("kind", F.explode(F.when(F.col("_first"), F.array(*map(F.lit, (0, 1, 2)))).otherwise(F.array(F.lit(0)))))
+    body, top = F.col("kind") == 0, F.col("kind") == 1
+    rows = rows.withColumn("text", F.when(body, _headed())).withColumn("text", F.when(body, _text(which)))
+    foot = F.concat(F.lit("Corpus review "), F.coalesce("source", F.lit("")), F.lit(" page "), F.col("page").cast("string"))
+    text = F.when(body, F.col("text")).when(top, F.col("page").cast("string")).otherwise(foot)
+    row = F.col("line_no") % 4
+    y0 = F.when(body, (100 + 40 * row).cast("double")).when(top, 20.0).otherwise(760.0)
+    place = F.when(body, 1 + row).when(top, 0).otherwise(9)
+    x1 = F.when(body, F.lit(50.0) + F.length("text")).otherwise(200.0)
+    lines = rows.select("doc_id", (F.col("page") * 10 + place).cast("long").alias("line_no"), "page", F.lit(50.0).alias("x0"), y0.alias("y0"), x1.alias("x1"), (y0 + 20).alias("y1"), text.alias("text"))
+    return lines, pages
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
