@@ -7,14 +7,16 @@ itself is called on the workers.
 from __future__ import annotations
 
 import difflib
+import itertools
 import math
 import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 #: Classes of characters in a bag: code points modulo this.
 CLASSES = 64
@@ -292,14 +294,32 @@ def _inline_of(a: str, b: str) -> tuple[list, list]:
     return left, right
 
 
+def _spans(texts: list[list[tuple[str, str]]]) -> pa.Array:
+    """Lists of op and token as an Arrow column."""
+    flat = list(itertools.chain.from_iterable(texts))
+    ends = pa.array(itertools.accumulate(map(len, texts), initial=0), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array([x[k] for x in flat], pa.string()) for k in (0, 1)], ["op", "token"]))
+
+
+#: Rows whose tokens a task holds as Python objects at a time.
+TOKENIZED = 64
+
+
+def inline_spans(x: pa.Array, y: pa.Array) -> pa.Array:
+    """left and right of two columns of texts.  Few rows at a time are tokens in Python; what is done is kept as Arrow columns."""
+    parts = []
+    for k in range(0, max(len(x), 1), TOKENIZED):
+        rows = [_inline_of(p, q) for p, q in zip(x[k : k + TOKENIZED].to_pylist(), y[k : k + TOKENIZED].to_pylist(), strict=True)]
+        parts.append(pa.StructArray.from_arrays([_spans([r[s] for r in rows]) for s in (0, 1)], ["left", "right"]))
+    return pa.concat_arrays(parts)
+
+
 def inline_diff(a: Column, b: Column) -> Column:
     """left and right: tokens (words and white space) of each side with op ``same``, ``del`` or ``add``."""
     spans = "array<struct<op:string,token:string>>"
 
-    @pandas_udf(f"struct<left:{spans},right:{spans}>")
-    def udf(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        rows = [_inline_of(p, q) for p, q in zip(x, y, strict=True)]
-        named = lambda side: [{"op": op, "token": t} for op, t in side]
-        return pd.DataFrame({"left": [named(r[0]) for r in rows], "right": [named(r[1]) for r in rows]})
+    @arrow_udf(f"struct<left:{spans},right:{spans}>")
+    def udf(x: pa.Array, y: pa.Array) -> pa.Array:
+        return inline_spans(x, y)
 
     return udf(a, b)
