@@ -53,13 +53,15 @@ def payload(diffs: DataFrame) -> DataFrame:
 def value_features(rows: DataFrame) -> DataFrame:
     """The features that are sets, counts and tests of before_text and after_text: all inside the JVM."""
     a, b = F.col("before_text"), F.col("after_text")
+    # most texts of a comparison are equal on both sides, and nothing is looked for in these
+    same = F.coalesce(a, F.lit("")) == F.coalesce(b, F.lit(""))
     for name, pattern in (("numeric_changes_count", NUMBERS), ("dates_changed", DATES), ("percentages_changed", PERCENTS), ("currency_changed", CURRENCIES)):
-        rows = rows.withColumn(name, T.set_changes(T.found_in(a, pattern), T.found_in(b, pattern)))
+        rows = rows.withColumn(name, F.when(same, 0).otherwise(T.set_changes(T.found_in(a, pattern), T.found_in(b, pattern))))
     for name, cues in (("obligation_change", OBLIGATION), ("negation_change", NEGATION), ("scope_change_cues", SCOPE)):
-        rows = rows.withColumn(name, _has(a, cues) != _has(b, cues))
-    rows = rows.withColumn("table_change_detected", F.coalesce(a, F.lit("")).rlike(TABLE) != F.coalesce(b, F.lit("")).rlike(TABLE))
-    rows = rows.withColumn("token_jaccard", T.jaccard(F.array_distinct(T.tokens(a)), F.array_distinct(T.tokens(b))))
-    return rows.withColumn("sentence_overlap", T.jaccard(F.array_distinct(T.sentences(a)), F.array_distinct(T.sentences(b))))
+        rows = rows.withColumn(name, ~same & (_has(a, cues) != _has(b, cues)))
+    rows = rows.withColumn("table_change_detected", ~same & (F.coalesce(a, F.lit("")).rlike(TABLE) != F.coalesce(b, F.lit("")).rlike(TABLE)))
+    rows = rows.withColumn("token_jaccard", F.when(same, 1.0).otherwise(T.jaccard(F.array_distinct(T.tokens(a)), F.array_distinct(T.tokens(b)))))
+    return rows.withColumn("sentence_overlap", F.when(same, 1.0).otherwise(T.jaccard(F.array_distinct(T.sentences(a)), F.array_distinct(T.sentences(b)))))
 
 
 def features(rows: DataFrame) -> DataFrame:
