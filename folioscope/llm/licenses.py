@@ -3,11 +3,11 @@
 Paragraphs are blocks between blank lines, with comment marks and line breaks taken out, and
 beside them each of their lines alone.  They are classified by multinomial logistic regression
 on hashed word 1- and 2-grams, fitted here on notices of each licence family in several wordings
-and on ordinary paragraphs as the class ``unknown``: written ones below, and the paragraphs of
-at most ``BACKGROUND`` documents, those with the smallest hash in each hash class, without
-blocks that hold ``NEAR`` of a template.
-The probability that a family needs is calibrated on background paragraphs left out of
-the fit: their ``QUANTILE``, so that a few notices among them don't matter, and ``LEAST`` at least.  A predicted family counts once a
+and on ordinary paragraphs as the class ``unknown``: written ones below, and the background, which is every candidate of
+every document whose block does not hold ``NEAR`` of a template.  Examples of the same words count once; where the background is more than
+the notices, its examples share the weight of as many, so that the balance of the classes does not depend on the size of the table.
+The probability that a family needs is calibrated on the whole background as well, by two fits that each leave out half of it and judge
+that half: the ``QUANTILE`` of all these, so that a few notices among them don't matter, and ``LEAST`` at least.  A predicted family counts once a
 comparison with its templates confirms it: one template must have ``COVERED`` of its
 word 2-grams in the paragraph (SPDX tags: all), or the paragraph is a heading or a manifest's licence field and no more.
 Amid a block a heading must be written as one, with capitals.  Creative Commons families must
@@ -15,8 +15,9 @@ have all of their marks (NC, SA, ND) and no others.  A paragraph has one family:
 licences offered in one paragraph the likelier is told.
 A block counts if no line of it alone is a notice of the same family.
 
-All text is scanned.  Only paragraphs that hold none of ``ANCHORS`` are not classified: more than
-1 - ``COVERED`` of each template's 2-grams hold one, so nothing could confirm a family there.
+All text is scanned, once: fit and scan read the same table of candidates.  Candidates are the paragraphs that hold a word 2-gram
+of a template or heading with one of ``ANCHORS`` in it (``SIGNS``) or begin as a licence field: more than
+1 - ``COVERED`` of each template's 2-grams hold an anchor, so nothing could confirm a family elsewhere.
 
 Defined cases: null or empty text has no paragraphs and no licence; a paragraph without
 words is none; of an empty table the result is empty.  Rows are judged by their own text,
@@ -25,6 +26,9 @@ also if they repeat a ``doc_id``.  No other column than doc_id and text is read.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -33,8 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-BACKGROUND, FEATURES, LEAST, COVERED, NEAR = 256, 1 << 14, 0.5, 0.7, 0.5
-#: The share of the background left out of the fit that stays below the probability a family needs.
+FEATURES, LEAST, COVERED, NEAR = 1 << 14, 0.5, 0.7, 0.5
+#: The share of the background, each paragraph left out of the fit that judges it, that stays below the probability a family needs.
 QUANTILE = 0.995
 UNKNOWN = "unknown"
 
@@ -121,24 +125,37 @@ ORDINARY = [
 ]
 
 
+def _template_pairs(text: str) -> list[str]:
+    w = text.replace("-", " ").split()
+    return [a + " " + b for a, b in zip(w, w[1:], strict=False)] or w
+
+
+#: All word 2-grams of templates and headings, and those that hold an anchor.
+PAIRS = sorted({p for ts in [*TEMPLATES.values(), *HEADINGS.values()] for t in ts for p in _template_pairs(t)})
+SIGNS = [p for p in PAIRS if any(a in p for a in ANCHORS)]
+
+
 def grams(col):
-    """Words of letters, digits and dots within, and pairs of neighbours."""
+    """Words of letters, digits and dots within."""
     words = F.filter(F.split(F.regexp_replace(F.lower(col), r"\.(?![0-9])", " "), r"[\x00-\x2D\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
     return words
 
 
+def _neighbours(w):
+    """Pairs of neighbours among words."""
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
 def with_grams(df: DataFrame) -> DataFrame:
     """Adds ``grams`` (1- and 2-grams), ``pairs`` (2-grams) and ``words`` (joined) of ``paragraph``."""
-    df = df.withColumn("_w", grams(F.col("paragraph")))
-    df = df.withColumn("pairs", F.expr("zip_with(slice(_w, 1, greatest(size(_w) - 1, 0)), slice(_w, 2, greatest(size(_w) - 1, 0)), (a, b) -> concat(a, ' ', b))"))
+    df = df.withColumn("_w", grams(F.col("paragraph"))).withColumn("pairs", _neighbours(F.col("_w")))
     return df.withColumn("grams", F.concat("_w", "pairs")).withColumn("words", F.array_join("_w", " ")).drop("_w")
 
 
 def anchored(col):
-    test = F.lit(False)
-    for a in ANCHORS:
-        test = test | F.lower(col).contains(a)
-    return test
+    """Whether a text holds an anchor; it is lowered once."""
+    return F.exists(F.array(F.lower(col)), lambda x: functools.reduce(operator.or_, [x.contains(a) for a in ANCHORS]))
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -171,20 +188,23 @@ def hashed(df: DataFrame) -> DataFrame:
     return HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features").transform(with_grams(df))
 
 
-def background(docs: DataFrame) -> DataFrame:
-    """fold (0 to fit, 1 to calibrate) and paragraph, of BACKGROUND documents at most; blocks near a notice are none."""
-    bucket = F.pmod(F.xxhash64(F.lit("background"), "doc_id"), F.lit(BACKGROUND)).alias("bucket")
-    chosen = docs.filter("doc_id is not null and text is not null").groupBy(bucket).agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")).alias("m")).select(F.col("m.doc_id").alias("doc_id"), "bucket")
-    chosen = written(chosen, "background-documents")  # BACKGROUND rows at most
-    found = blocks(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
-    near = with_grams(found.withColumn("paragraph", F.array_join("lines", " "))).withColumn("heading", F.lit(True)).filter(F.greatest(*[_share(f) for f in TEMPLATES]) < NEAR)
-    fold = F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("fold")
-    return paragraphs(near.select("doc_id", "lines")).select(fold, "paragraph").distinct()
+def candidates(docs: DataFrame) -> DataFrame:
+    """doc_id, mark, block, near (whether the block holds NEAR of a template), at and paragraph of each paragraph that a family could be confirmed for."""
+    whole = F.array_join("lines", " ")
+    found = blocks(docs.filter(anchored(F.col("text")))).filter(anchored(whole))
+    # in arrays of one, so that words are made once for test and result
+    judged = F.transform(F.transform(F.array(whole), lambda p: F.struct(p.alias("paragraph"), grams(p).alias("w"))), lambda s: F.struct(s["paragraph"].alias("paragraph"), F.array_join(s["w"], " ").alias("words"), F.filter(_neighbours(s["w"]), lambda x: x.isin(PAIRS)).alias("pairs")))
+    found = found.withColumn("_s", F.explode(F.filter(judged, lambda s: F.exists(s["pairs"], lambda x: x.isin(SIGNS)) | F.exists("lines", lambda x: x.rlike(FIELD)))))
+    found = found.select("doc_id", "mark", "block", "lines", "_s.*").withColumn("heading", F.lit(True))
+    found = found.select("doc_id", "mark", "block", (F.greatest(*[_share(f) for f in TEMPLATES]) >= NEAR).alias("near"), "lines")
+    sign = F.exists(_neighbours(grams(F.col("paragraph"))), lambda x: x.isin(SIGNS))
+    return paragraphs(found).filter(anchored(F.col("paragraph"))).filter(sign | F.col("paragraph").rlike(FIELD))
 
 
-def _template_pairs(text: str) -> list[str]:
-    w = text.replace("-", " ").split()
-    return [a + " " + b for a, b in zip(w, w[1:], strict=False)] or w
+def background(found: DataFrame) -> DataFrame:
+    """paragraph (its words) and fold (0 or 1) of all candidates in blocks that are not near a notice; the same words once."""
+    words = with_grams(found.filter(~F.col("near"))).select(F.col("words").alias("paragraph")).distinct()
+    return words.withColumn("fold", F.pmod(F.xxhash64("paragraph"), F.lit(2)).cast("int"))
 
 
 def _share(family: str):
@@ -205,16 +225,35 @@ def _share(family: str):
     return best
 
 
+def _fitted(rows: DataFrame) -> LogisticRegressionModel:
+    """The classifier of label and features; the background, whose label is null, weighs as much as the notices at most."""
+    n = rows.agg(F.count_if(F.col("label") > 0).alias("notices"), F.count_if(F.col("label").isNull()).alias("rest")).first()
+    weight = F.when(F.col("label").isNull(), min(1.0, n["notices"] / max(n["rest"], 1))).otherwise(1.0)
+    rows = rows.select(F.coalesce("label", F.lit(0.0)).alias("label"), weight.alias("weight"), "features")
+    return LogisticRegression(maxIter=40, regParam=0.002, family="multinomial", aggregationDepth=2, weightCol="weight").fit(rows).setProbabilityCol("probability")
+
+
+def fit_on(found: DataFrame) -> tuple[LogisticRegressionModel, float]:
+    """The classifier and the least probability of a family, from a table of candidates."""
+    spark = found.sparkSession
+    every = _written_rows(spark).select(F.col("label").cast("double").alias("label"), "paragraph", F.lit(None).cast("int").alias("fold"))
+    every = every.union(background(found).select(F.lit(None).cast("double"), "paragraph", "fold"))
+    rows = written(hashed(every).select("label", "fold", "features"), "license-training")
+    model, left = _fitted(rows), rows.filter("fold is not null")
+    if left.isEmpty():
+        return model, LEAST
+    best, judged = F.array_max(F.slice(vector_to_array("probability"), 2, len(TEMPLATES))), []
+    for fold in (0, 1):
+        half = _fitted(rows.filter(F.col("fold").isNull() | (F.col("fold") != fold)))
+        judged.append(half.transform(left.filter(F.col("fold") == fold)).select(best.alias("p")))
+    # steps of 1e-4, so that the values to be counted are few
+    least = judged[0].union(judged[1]).agg(F.percentile(F.ceil(F.col("p") * 10000) / 10000, F.lit(QUANTILE)).alias("p")).first()["p"]
+    return model, max(LEAST, least)
+
+
 def fit(docs: DataFrame) -> tuple[LogisticRegressionModel, float]:
-    """The classifier and the least probability of a family."""
-    spark = docs.sparkSession
-    sample = written(background(docs), "background")
-    rows = _written_rows(spark).union(sample.filter("fold = 0").select(F.lit(0).alias("label"), "paragraph"))
-    rows = written(hashed(rows).select(F.col("label").cast("double").alias("label"), "features"), "license-training")
-    model = LogisticRegression(maxIter=40, regParam=0.002, family="multinomial", aggregationDepth=2).fit(rows.coalesce(4))
-    model = model.setProbabilityCol("probability")
-    left = model.transform(hashed(sample.filter("fold = 1"))).select(F.array_max(F.slice(vector_to_array("probability"), 2, len(TEMPLATES))).alias("p"))
-    return model, max(LEAST, left.agg(F.percentile("p", F.lit(QUANTILE)).alias("p")).first()["p"] or 0.0)
+    """The classifier and the least probability of a family, from all documents."""
+    return fit_on(written(candidates(docs), "license-candidates"))
 
 
 def confirmed(family) -> object:
@@ -227,10 +266,11 @@ def confirmed(family) -> object:
 
 def scan(docs: DataFrame, model: LogisticRegressionModel | None = None, least: float = LEAST) -> DataFrame:
     """doc_id, mark, block, at, family, probability and covered of each paragraph that is a licence notice."""
+    some = candidates(docs)
     if model is None:
-        model, least = fit(docs)
+        some = written(some, "license-candidates")
+        model, least = fit_on(some)
     names = [UNKNOWN, *sorted(TEMPLATES)]
-    some = paragraphs(blocks(docs.filter(anchored(F.col("text")))).filter(anchored(F.array_join("lines", " ")))).filter(anchored(F.col("paragraph")))
     found = model.transform(hashed(some)).withColumn("p", vector_to_array("probability"))
     found = found.withColumn("best", F.expr(f"array_max(slice(p, 2, {len(TEMPLATES)}))")).filter(F.col("best") >= least)
     family = F.element_at(F.array(*map(F.lit, names)), F.expr("cast(array_position(p, best) as int)"))

@@ -499,6 +499,18 @@ def test_license_query(spark, tmp_path):
     assert licenses.op8_licenses(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_license_background_is_all_documents(spark):
+    """Each of 600 documents adds its ordinary paragraph to the fit; near notices and paragraphs that nothing could confirm add none."""
+    texts = [(i, f"The bar lost the license of zorgle{i} again.") for i in range(600)] + [(600, "Released under the MIT License."), (601, "Nothing to see.")]
+    every = spark.createDataFrame(texts, "doc_id long, text string")
+    model, least = licenses.fit(every)
+    words = licenses.hashed(spark.createDataFrame([(f"zorgle{i}",) for i in range(600)], "paragraph string")).collect()
+    weights = model.coefficientMatrix.toArray()[0]
+    assert sum(weights[r["features"].indices[0]] == 0 for r in words) == 0 and 0.5 <= least < 1
+    got = licenses.background(licenses.candidates(every)).collect()
+    assert {r["paragraph"] for r in got} == {f"the bar lost the license of zorgle{i} again" for i in range(600)} and {r["fold"] for r in got} == {0, 1}
+
+
 def test_license_anchors_lose_no_template():
     for t in [t for ts in licenses.TEMPLATES.values() for t in ts]:
         pairs = set(licenses._template_pairs(t))
