@@ -96,6 +96,20 @@ def test_made_files_round_trip():
     assert [(r[6], round(r[7], 6)) for r in rows if r[5]] == [(50, 100), (70.5, 112), (1, 2)]
 
 
+def test_made_files_are_short_and_their_font_is_read_once(monkeypatch):
+    """Pages share one font object, and strings are written in brackets, not as hex."""
+    texts = ["(a) \\ b)) ((", "line\rend \r\n\n", "\u2829\u5c5c\u0d0a \U0001f600 \udc00", "%<>[]{}/ é"]
+    data = pdf.made([(800.0, [(50.0, 100.0 + 40 * k, text) for k, text in enumerate(texts)])] * 3)
+    read, fonts = [], []
+    monkeypatch.setattr(pdf, "Font", lambda *given, kind=pdf.Font: fonts.append(kind(*given)) or fonts[-1])
+    for row in pdf.spans_of("d", data):
+        read.append((row[1], row[5]))
+    assert read == [(page, text.encode("utf-16-be", "surrogatepass").decode("utf-16-be", "replace")) for page in (1, 2, 3) for text in texts]
+    assert len(fonts) == 1
+    file = pdf.File(data)
+    assert len(file.stream(next(file.pages())["Contents"])) < 4 * sum(map(len, texts)) + 40 * len(texts)
+
+
 def test_files_through_spark(spark, tmp_path):
     good = pdf.made([(800.0, [(50.0, 200.0, "Principle 1: Banks"), (50.0, 220.0, "They act"), (90.0, 220.5, "now."), (50.0, 780.0, "3")]), (800.0, [])])
     write = lambda rows, name: files.write_files(spark.createDataFrame(rows, "name string, content binary"), str(tmp_path / name))
