@@ -23,7 +23,8 @@ CONNECTORS = ("and", "or", "to", "of", "in", "for", "with", "on", "at", "by", "f
 
 def collapse(c: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return F.trim(F.regexp_replace(c, WS + "+", " "))
+    # single spaces stand as they are: most texts then need no new string
+    return F.trim(F.regexp_replace(c, WS + "{2,}|(?! )" + WS, " "))
 
 
 def header_footer_norm(c: Column) -> Column:

@@ -48,3 +48,10 @@ def test_metrics():
     assert token_set("a b", "b a c") == 1.0
     assert token_set("", "x") == 0.0
     assert sequence("tide", "diet") != sequence("diet", "tide")
+
+
+def test_collapse_leaves_single_spaces_and_joins_all_other_white_space(spark):
+    given = ["a b", " a  b ", "a\tb", "a \t", "\n", " ", "", "a b", "a\x1c\x1fb", " a　 b", "a​b", None]
+    want = ["a b", "a b", "a b", "a", "", "", "", "a b", "a b", "a b", "a​b", None]
+    rows = spark.createDataFrame(list(enumerate(given)), "i int, t string").select("i", T.collapse(F.col("t")).alias("c"))
+    assert [r["c"] for r in rows.orderBy("i").collect()] == want
