@@ -108,7 +108,7 @@ def row_chunks(off: np.ndarray, limit: int = CHUNK_BYTES):
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer; uint64 in, uint64 out."""
     x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
+    x *= np.uint64(0xFF51AFD7ED558CCD)
     x ^= x >> np.uint64(33)
     x *= np.uint64(0xC4CEB9FE1A85EC53)
     x ^= x >> np.uint64(33)
@@ -141,7 +141,9 @@ def _powers(base: int, n: int) -> np.ndarray:
 def prefix_hash(buf: np.ndarray) -> np.ndarray:
     """H with H[j] - H[i] == sum of byte(k) * B**k for i <= k < j, modulo 2**64."""
     out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * _powers(_BASE, len(buf)), out=out[1:])
+    term = _BYTE[buf]
+    term *= _powers(_BASE, len(buf))
+    np.cumsum(term, out=out[1:])
     return out
 
 
@@ -152,6 +154,14 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix64(h ^ ((end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
+def every_hash(prefix: np.ndarray, size: int) -> np.ndarray:
+    """What :func:`span_hash` gives for the strings of ``size`` bytes at all positions, without gathering them."""
+    h = prefix[size:] - prefix[: len(prefix) - size]
+    h *= _powers(_INV, len(prefix))[: len(h)]
+    h ^= np.uint64(size * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)
+    return mix64(h)
+
+
 def word_spans(buf: np.ndarray, off: np.ndarray, sep: np.ndarray = SPACE):
     """Starts and ends of the words in the rows, and the row of each word."""
     n = len(buf)
