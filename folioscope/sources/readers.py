@@ -65,10 +65,14 @@ register_extractor("elements", _elements)
 
 
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One document in a ``.json`` file, printed in any way, or a folder of files with a document a line."""
+    """One document in a ``.json`` file, printed in any way, or a folder of files with a document a line.
+
+    Reports are compressed, and few of their fields are read: the bytes by which Spark decides to send a table to
+    all tasks are a small part of its rows, so these are always merged.
+    """
     if not exists(spark, path):
         raise FileNotFoundError(path)
-    return spark.read.schema(schema).option("multiLine", path.lower().rstrip("/").endswith(".json")).json(path)
+    return spark.read.schema(schema).option("multiLine", path.lower().rstrip("/").endswith(".json")).json(path).hint("merge")
 
 
 def reports(spark: SparkSession, path: str) -> DataFrame:
@@ -124,7 +128,8 @@ def all_labels(spark: SparkSession, path: str, sources: DataFrame) -> DataFrame:
     lost = unnamed.join(named, documents, "left_anti").select("file").distinct().limit(3).collect()
     if lost and only:
         raise ValueError(f"no pair is named, and there are several reports: {', '.join(r['file'] for r in lost)}")
-    return last_labels(rows.filter("pair_id is not null").unionByName(unnamed.drop("pair_id").join(named, documents, "left")))
+    # a hint does not pass a union
+    return last_labels(rows.filter("pair_id is not null").unionByName(unnamed.drop("pair_id").join(named, documents, "left")).hint("merge"))
 
 
 def sibling_candidates(report: str) -> list[str]:
