@@ -1,7 +1,7 @@
 """Sequence alignment by ``difflib`` in Arrow UDFs, and inline differences by common subsequences.
 
 ``difflib`` with its popular-element rule is part of the method's results, so the library
-itself is called on the workers.
+itself is called on the workers, but for its ratio of two texts, which is counted here as it counts.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ import difflib
 import itertools
 import math
 import re
+from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -46,8 +48,75 @@ def token_set(a: str, b: str) -> float:
     return best
 
 
+def _places(text: str, chars) -> list[tuple[int, str]]:
+    """Where a text has each of some characters, in order."""
+    found = []
+    for ch in chars:
+        at = text.find(ch)
+        while at >= 0:
+            found.append((at, ch))
+            at = text.find(ch, at + 1)
+    found.sort()
+    return found
+
+
+#: Characters that are compared at a time where two texts go on being equal.
+STRIDE = 64
+
+
+def matched(a: str, b: str) -> int:
+    """How many characters the matching blocks of ``difflib`` hold, with its rule of popular characters.
+
+    The library looks at each character of ``a`` in each block again, and goes on from a match one by one; here
+    popular characters, which begin no match, are passed over, and equal texts are compared as strings.
+    """
+    counts, most = Counter(b), len(b) // 100 + 1
+    rare = [ch for ch, n in counts.items() if n <= most] if len(b) >= 200 else list(counts)
+    where: dict[str, list[int]] = {}
+    for j, ch in _places(b, rare):
+        where.setdefault(ch, []).append(j)
+    own = _places(a, where)
+    starts = [i for i, _ in own]
+    total, waiting = 0, [(0, len(a), 0, len(b))]
+    while waiting:
+        alo, ahi, blo, bhi = waiting.pop()
+        x, y, size, last, runs = alo, blo, 0, -2, {}
+        for k in range(bisect_left(starts, alo), bisect_left(starts, ahi)):
+            i, ch = own[k]
+            longer: dict[int, int] = {}
+            if i != last + 1:
+                runs = {}
+            for j in where[ch]:
+                if j < blo:
+                    continue
+                if j >= bhi:
+                    break
+                n = longer[j] = runs.get(j - 1, 0) + 1
+                if n > size:
+                    x, y, size = i - n + 1, j - n + 1, n
+            last, runs = i, longer
+        # to both sides as far as the texts are equal
+        while x - STRIDE >= alo and y - STRIDE >= blo and a[x - STRIDE : x] == b[y - STRIDE : y]:
+            x, y, size = x - STRIDE, y - STRIDE, size + STRIDE
+        while x > alo and y > blo and a[x - 1] == b[y - 1]:
+            x, y, size = x - 1, y - 1, size + 1
+        while x + size + STRIDE <= ahi and y + size + STRIDE <= bhi and a[x + size : x + size + STRIDE] == b[y + size : y + size + STRIDE]:
+            size += STRIDE
+        while x + size < ahi and y + size < bhi and a[x + size] == b[y + size]:
+            size += 1
+        if size:
+            total += size
+            if alo < x and blo < y:
+                waiting.append((alo, x, blo, y))
+            if x + size < ahi and y + size < bhi:
+                waiting.append((x + size, ahi, y + size, bhi))
+    return total
+
+
 def sequence(a: str, b: str) -> float:
-    return difflib.SequenceMatcher(None, a, b).ratio()
+    """``difflib.SequenceMatcher(None, a, b).ratio()``."""
+    whole = len(a) + len(b)
+    return 2.0 * matched(a, b) / whole if whole else 1.0
 
 
 METRICS = {"sequence": sequence, "token_set": token_set}

@@ -6,10 +6,15 @@ digits by Unicode property, since ``\\w`` and ``\\b`` differ between regex engin
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WS = r"(?U)[\s\x1c-\x1f]"
+#: The same; printable ASCII is told by one comparison.
+_SPACE = r"[[^!-~]&&[\s\x1c-\x1f]]"
+DIGITS = "0123456789"
 #: The heading patterns.
 ROMAN, NUMERIC, LETTER = r"^[IVXLCDM]+\.\s+.+", r"^\d+\.\s+.+", r"^[A-Za-z]\.\s+.+"
 NAMED = r"^(principle|article|section|chapter|standard|rule)\s+(\d+[a-z]?)\s*[:.-]?\s*(.*)$"
@@ -21,10 +26,20 @@ TOC_LINE = r"^.+?[.…·]{3,}\s*\d{1,4}\s*$"
 CONNECTORS = ("and", "or", "to", "of", "in", "for", "with", "on", "at", "by", "from", "under", "within")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value made once a row, as Spark does not share what a branch or a lambda repeats."""
+    return F.transform(F.array(value), use)[0]
+
+
+def begins(c: Column, chars: str) -> Column:
+    """Whether a text begins with one of these characters: a cheap test before an anchored pattern, which Java tries at every place."""
+    return F.left(c, F.lit(1)).isin(*chars)
+
+
 def collapse(c: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
     # single spaces stand as they are: most texts then need no new string
-    return F.trim(F.regexp_replace(c, WS + "{2,}|(?! )" + WS, " "))
+    return F.trim(F.regexp_replace(c, rf"(?U){_SPACE}(?:{_SPACE}+|(?<! ))", " "))
 
 
 def header_footer_norm(c: Column) -> Column:
@@ -34,12 +49,15 @@ def header_footer_norm(c: Column) -> Column:
 
 def strip_toc(c: Column) -> Column:
     """A table-of-contents line without its dot leaders or trailing page number."""
-    t = collapse(c)
     trailing = r"^(.+?)\s+(\d{1,4})\s*$"
-    title = F.regexp_extract(t, trailing, 1)
-    head = title.rlike(r"(?iu)^([ivxlcdm]+\.\s+|(chapter|section|part|annex)(?![\p{L}\p{N}_]))")
-    long = F.size(F.split(title, " ")) >= 4
-    return F.when(t.rlike(TOC), F.trim(F.regexp_extract(t, TOC, 1))).when(t.rlike(trailing) & long & head, F.trim(title)).otherwise(t)
+
+    def stripped(t):
+        title = F.regexp_extract(t, trailing, 1)
+        head = title.rlike(r"(?iu)^([ivxlcdm]+\.\s+|(chapter|section|part|annex)(?![\p{L}\p{N}_]))")
+        long = F.size(F.split(title, " ")) >= 4
+        return F.when(~_ends_in_digit(t), t).when(t.rlike(TOC), F.trim(F.regexp_extract(t, TOC, 1))).when(t.rlike(trailing) & long & head, F.trim(title)).otherwise(t)
+
+    return once(collapse(c), stripped)
 
 
 def strip_punctuation(c: Column) -> Column:
@@ -59,19 +77,20 @@ def normalize_body(c: Column) -> Column:
 
 def page_number(c: Column) -> Column:
     """Whether a single-spaced text is a page number."""
-    return c.rlike(r"(?i)^(?:page\s+)?\d+(?:\s*/\s*\d+)?$")
+    return begins(c, "pP" + DIGITS) & c.rlike(r"(?i)^(?:page\s+)?\d+(?:\s*/\s*\d+)?$")
 
 
 def is_page_number(c: Column) -> Column:
     return page_number(collapse(c))
 
 
+def _ends_in_digit(c: Column) -> Column:
+    return F.right(c, F.lit(1)).isin(*DIGITS)
+
+
 def toc_line(c: Column) -> Column:
     """Whether a single-spaced text is a line of a table of contents; only those that end in a digit are searched."""
-    last = F.lit(False)
-    for digit in "0123456789":
-        last = last | c.endswith(digit)
-    return last & c.rlike(TOC_LINE)
+    return _ends_in_digit(c) & c.rlike(TOC_LINE)
 
 
 def slugify(c: Column) -> Column:
@@ -81,7 +100,9 @@ def slugify(c: Column) -> Column:
 
 
 def body_prefix(c: Column, n: int = 240) -> Column:
-    return F.left(normalize_body(c), F.lit(n))
+    # of a long text twice the length is enough, unless much of it is white space, or the cut makes a final sigma
+    short = lambda p: (F.length(c) > 2 * n) & ((F.length(p) < n + 2) | p.contains("\u03c2"))
+    return once(normalize_body(F.left(c, F.lit(2 * n))), lambda p: F.left(F.when(short(p), normalize_body(c)).otherwise(p), F.lit(n)))
 
 
 def is_noise(c: Column, patterns: tuple[str, ...] = ()) -> Column:
@@ -117,8 +138,7 @@ def tokens(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Lower-cased sentences: cut after ``.``, ``?`` or ``!`` before white space."""
-    parts = F.transform(F.split(collapse(F.coalesce(c, F.lit(""))), r"(?<=[.?!])\s+"), lambda s: F.lower(F.trim(s)))
-    return F.filter(parts, lambda s: s != "")
+    return F.array_remove(F.split(F.lower(collapse(F.coalesce(c, F.lit("")))), " (?<=[.?!] )"), "")
 
 
 def semantic_units(c: Column) -> Column:
@@ -127,9 +147,10 @@ def semantic_units(c: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Of the distinct elements; 1 if both are empty; 6 digits."""
-    union = F.size(F.array_union(a, b))
-    return F.round(F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union), 6)
+    """Of arrays of distinct elements; 1 if both are empty; 6 digits."""
+    sizes = lambda x: F.struct((F.size(x["a"]) + F.size(x["b"])).alias("n"), F.size(F.array_intersect(x["a"], x["b"])).alias("k"))
+    share = lambda x: F.round(F.when(x["n"] == 0, F.lit(1.0)).otherwise(x["k"] / (x["n"] - x["k"])), 6)
+    return once(F.struct(a.alias("a"), b.alias("b")), lambda x: once(sizes(x), share))
 
 
 def found_in(c: Column, pattern: str) -> Column:
@@ -139,4 +160,4 @@ def found_in(c: Column, pattern: str) -> Column:
 
 def set_changes(a: Column, b: Column) -> Column:
     """Elements of one set only."""
-    return F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
+    return once(F.struct(a.alias("a"), b.alias("b")), lambda x: F.size(F.array_except(x["a"], x["b"])) + F.size(F.array_except(x["b"], x["a"])))

@@ -25,13 +25,23 @@ PERCENTS = r"(?U)\b\d+(?:\.\d+)?\s?%\b"
 CURRENCIES = r"(?iU)(?:[$€£]\s?\d+(?:,\d{3})*(?:\.\d+)?|\b(?:usd|eur|gbp|aud|cad|inr)\s?\d+(?:,\d{3})*(?:\.\d+)?)"
 DATES = r"(?iU)(?:\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b|\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+\d{1,2},?\s+\d{4}\b)"
 TABLE = r"\||\t|\s{3,}\S+\s{3,}"
+
+
+def _led(pattern: str) -> str:
+    """A pattern with the characters that a match begins with ahead of its word ends, which are dear to tell."""
+    for start, first in ((r"\b\d", r"\d"), (r"\b(?:jan|", "[jfmasond][aepuco]"), (r"\b(?:usd|", "[uegaci][suban]")):
+        pattern = pattern.replace(start, f"(?={first}){start}")
+    return pattern
+
+
 LABELS = ("editorial", "slight", "significant")
 
 
 def _has(c, cues):
-    low, out = F.lower(F.coalesce(c, F.lit(""))), F.lit(False)
+    """Whether lower-cased texts hold a cue."""
+    out = F.lit(False)
     for cue in cues:
-        out = out | low.contains(cue)
+        out = out | c.contains(cue)
     return out
 
 
@@ -56,16 +66,20 @@ def value_features(rows: DataFrame) -> DataFrame:
     # most texts of a comparison are equal on both sides, and nothing is looked for in these
     same = F.coalesce(a, F.lit("")) == F.coalesce(b, F.lit(""))
     for name, pattern in (("numeric_changes_count", NUMBERS), ("dates_changed", DATES), ("percentages_changed", PERCENTS), ("currency_changed", CURRENCIES)):
-        rows = rows.withColumn(name, F.when(same, 0).otherwise(T.set_changes(T.found_in(a, pattern), T.found_in(b, pattern))))
+        rows = rows.withColumn(name, F.when(same, 0).otherwise(T.set_changes(T.found_in(a, _led(pattern)), T.found_in(b, _led(pattern)))))
+    lower = lambda c: F.when(~same, F.lower(F.coalesce(c, F.lit(""))))
+    rows = rows.withColumn("_low_a", lower(a)).withColumn("_low_b", lower(b))
     for name, cues in (("obligation_change", OBLIGATION), ("negation_change", NEGATION), ("scope_change_cues", SCOPE)):
-        rows = rows.withColumn(name, ~same & (_has(a, cues) != _has(b, cues)))
+        rows = rows.withColumn(name, ~same & (_has(F.col("_low_a"), cues) != _has(F.col("_low_b"), cues)))
+    rows = rows.drop("_low_a", "_low_b")
     rows = rows.withColumn("table_change_detected", ~same & (F.coalesce(a, F.lit("")).rlike(TABLE) != F.coalesce(b, F.lit("")).rlike(TABLE)))
     rows = rows.withColumn("token_jaccard", F.when(same, 1.0).otherwise(T.jaccard(F.array_distinct(T.tokens(a)), F.array_distinct(T.tokens(b)))))
     return rows.withColumn("sentence_overlap", F.when(same, 1.0).otherwise(T.jaccard(F.array_distinct(T.sentences(a)), F.array_distinct(T.sentences(b)))))
 
 
 def features(rows: DataFrame) -> DataFrame:
-    a, b = T.collapse(F.col("before_text")), T.collapse(F.col("after_text"))
+    # equal texts do not leave the JVM
+    a, b = (F.when(F.col("before_text") != F.col("after_text"), T.collapse(F.col(c))) for c in ("before_text", "after_text"))
     rows = value_features(rows).withColumn("change_ratio", change_ratio(a, b)).withColumn("_l", line_changes(F.col("before_text"), F.col("after_text")))
     return rows.withColumn("lines_added", F.col("_l.added")).withColumn("lines_removed", F.col("_l.removed")).withColumn("changed_pairs_count", F.col("_l.pairs")).drop("_l")
 

@@ -21,16 +21,19 @@ def unwrapped(lines) -> F.Column:
     Whether a line goes on depends on it and the line before alone, so each line gets its
     own mark of a beginning or of going on, and one split of the joined text follows.
     """
-    clean = F.filter(F.transform(lines, lambda s: F.regexp_replace(F.trim(s), "\n", " ")), lambda s: s != "")
-    rest = F.greatest(F.size(clean) - 1, F.lit(0))
+    clean = F.filter(F.transform(lines, lambda s: F.replace(F.trim(s), F.lit("\n"), F.lit(" "))), lambda s: s != "")
 
     def marked(last, line):
         fresh = last.rlike(r"[.?!:;]$") | line.rlike(r"^\d+[.)]\s+") | line.rlike(r"^[A-Z][A-Z0-9\s-]{3,}$") | ~(line.rlike(r"^[a-z(,;]") | last.rlike(_JOINED))
         return F.concat(F.when(fresh, "\n").otherwise(" "), line)
 
-    more = F.zip_with(F.slice(clean, F.lit(1), rest), F.slice(clean, F.lit(2), rest), marked)
-    joined = F.array_join(F.concat(F.slice(clean, 1, 1), more), "")
-    return F.when(F.size(clean) > 0, F.split(joined, "\n")).otherwise(F.expr("cast(array() as array<string>)"))
+    def joined(clean):
+        rest = F.greatest(F.size(clean) - 1, F.lit(0))
+        more = F.zip_with(F.slice(clean, F.lit(1), rest), F.slice(clean, F.lit(2), rest), marked)
+        text = F.array_join(F.concat(F.slice(clean, 1, 1), more), "")
+        return F.when(F.size(clean) > 0, F.split(text, "\n")).otherwise(F.expr("cast(array() as array<string>)"))
+
+    return T.once(clean, joined)
 
 
 def section_lines(title, body_lines) -> F.Column:

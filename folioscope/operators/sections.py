@@ -20,12 +20,12 @@ def labelled(lines: DataFrame, single: bool = False) -> DataFrame:
     label = (
         F.when(flagged, "footer_or_header")
         .when(T.toc_line(t), "reference_line")
-        .when(t.rlike(r"^(\[\d+\]|\d+\)|\d+)\s*$"), "footnote_label")
-        .when(t.rlike(r"(?iu)^(references?|source|bibliography|annex|appendix)(?![\p{L}\p{N}_])"), "reference_line")
-        .when(t.rlike(T.ROMAN), "major_heading")
-        .when(t.rlike("(?iu)" + T.NAMED), "named_numbered_heading")
-        .when(t.rlike(T.NUMERIC), "numeric_heading")
-        .when(t.rlike(T.LETTER), "letter_heading")
+        .when(T.begins(t, "[" + T.DIGITS) & t.rlike(r"^(\[\d+\]|\d+\)|\d+)\s*$"), "footnote_label")
+        .when(T.begins(t, "rRsSbBaA\u017f") & t.rlike(r"(?iu)^(references?|source|bibliography|annex|appendix)(?![\p{L}\p{N}_])"), "reference_line")
+        .when(T.begins(t, "IVXLCDM") & t.rlike(T.ROMAN), "major_heading")
+        .when(T.begins(t, "pPaAsScCrR\u017f") & t.rlike("(?iu)" + T.NAMED), "named_numbered_heading")
+        .when(T.begins(t, T.DIGITS) & t.rlike(T.NUMERIC), "numeric_heading")
+        .when((F.substring(t, 2, 1) == ".") & t.rlike(T.LETTER), "letter_heading")
         .otherwise("body")
     )
     names = {"major_heading": "roman", "named_numbered_heading": "named_numbered", "numeric_heading": "numeric", "letter_heading": "letter"}

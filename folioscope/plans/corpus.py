@@ -88,8 +88,8 @@ def layout(documents: DataFrame, which: str = "a") -> tuple[DataFrame, DataFrame
         raw = raw.filter(IN_B)
     own = Window.partitionBy("doc_id", "page")
     raw = raw.withColumn("line_no", F.col("line_no").cast("long")).withColumn("page", (F.floor(F.col("line_no") / 4) + 1).cast("int"))
+    pages = raw.select("doc_id", "page").distinct().withColumn("height", F.lit(HEIGHT))
     raw = raw.withColumn("_first", F.row_number().over(own.orderBy("line_no")) == 1)
-    pages = raw.filter("_first").select("doc_id", "page", F.lit(HEIGHT).alias("height"))
     raw = raw.withColumn("source", F.max("source").over(own.orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     rows = raw.withColumn("kind", F.explode(F.when(F.col("_first"), F.array(*map(F.lit, (0, 1, 2)))).otherwise(F.array(F.lit(0)))))
     body, top = F.col("kind") == 0, F.col("kind") == 1
