@@ -405,7 +405,7 @@ def change_classification(spark, sf_dir):
 @query()
 def classification_summary(spark, sf_dir):
     found = compare.corpus_comparison(spark, sf_dir)
-    return classify.summary(classify.classified(found["texts"]), found["pairs"])
+    return classify.summary(classify.classified(found["texts"], ratios=False), found["pairs"])
 
 
 # --- single operators ------------------------------------------------------------------

@@ -40,7 +40,7 @@ LABELS = ("editorial", "slight", "significant")
 def _has(c, cues):
     """Whether lower-cased texts hold a cue."""
     out = F.lit(False)
-    for cue in cues:
+    for cue in (cue for cue in cues if not any(other in cue for other in cues if other != cue)):  # "no" tells of "not" as well
         out = out | c.contains(cue)
     return out
 
@@ -77,10 +77,16 @@ def value_features(rows: DataFrame) -> DataFrame:
     return rows.withColumn("sentence_overlap", F.when(same, 1.0).otherwise(T.jaccard(F.array_distinct(T.sentences(a)), F.array_distinct(T.sentences(b)))))
 
 
-def features(rows: DataFrame) -> DataFrame:
+def features(rows: DataFrame, ratios: bool = True) -> DataFrame:
+    """All features.  ratios: change_ratio of all rows; without, it is null where a hard signal decides, for those who want labels alone."""
+    rows = value_features(rows)
     # equal texts do not leave the JVM
-    a, b = (F.when(F.col("before_text") != F.col("after_text"), T.collapse(F.col(c))) for c in ("before_text", "after_text"))
-    rows = value_features(rows).withColumn("change_ratio", change_ratio(a, b)).withColumn("_l", line_changes(F.col("before_text"), F.col("after_text")))
+    asked, told = F.col("before_text") != F.col("after_text"), F.lit(True)
+    if not ratios:
+        told = F.size(hard_signals()) == 0
+        asked = asked & told
+    a, b = (F.when(asked, T.collapse(F.col(c))) for c in ("before_text", "after_text"))
+    rows = rows.withColumn("change_ratio", F.when(told, change_ratio(a, b))).withColumn("_l", line_changes(F.col("before_text"), F.col("after_text")))
     return rows.withColumn("lines_added", F.col("_l.added")).withColumn("lines_removed", F.col("_l.removed")).withColumn("changed_pairs_count", F.col("_l.pairs")).drop("_l")
 
 
@@ -270,13 +276,13 @@ def arbitrated(rows: DataFrame) -> DataFrame:
     return rows.withColumn("final_classification", F.when(told, F.col("model_label")).otherwise(F.col("rule_label")))
 
 
-def classified(diffs: DataFrame, hook: Hook | None = None, progress: Observation | None = None, **adapter) -> DataFrame:
-    """Features, rules, the model's answer and what counts of both.  adapter: further arguments of :func:`modelled`.
+def classified(diffs: DataFrame, hook: Hook | None = None, progress: Observation | None = None, ratios: bool = True, **adapter) -> DataFrame:
+    """Features, rules, the model's answer and what counts of both.  ratios: see :func:`features`.  adapter: further arguments of :func:`modelled`.
 
     progress: told, once the rows have been written or counted, how many there are, how many a
     model answered and how many of each label came out, without another pass.
     """
-    rows = arbitrated(modelled(ruled(features(payload(diffs))), hook, **adapter))
+    rows = arbitrated(modelled(ruled(features(payload(diffs), ratios)), hook, **adapter))
     if progress is None:
         return rows
     labels = [F.count_if(F.col("final_classification") == label).alias(label) for label in LABELS]
